@@ -13,6 +13,7 @@ import hashlib
 
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -50,7 +51,7 @@ def frequent_candidates(keyed: DataFrame, key: str, k: int = COUNTERS) -> DataFr
     def summarise(batches):
         counts: dict = {}
         for batch in batches:
-            for x in pa.compute.value_counts(batch.column(0)):
+            for x in pc.value_counts(batch.column(0)):
                 value = x["values"].as_py()
                 if value is not None:
                     counts[value] = counts.get(value, 0) + x["counts"].as_py()

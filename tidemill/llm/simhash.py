@@ -1,12 +1,13 @@
 """SimHash near-dedup over a byte-position inverted index with count filtering.
 
-A fingerprint is eight positional bytes. Two fingerprints that differ in at most
-``distance`` bits share at least ``8 - distance`` of them. With at least five shared
-bytes, three lie in one half of the positions, so the posting lists are kept for the
-eight triples of positions inside a half: a list of one byte would hold 1/256 of all
-fingerprints and its pairs would grow with their square. For each pair that meets in a
-list the shared positional bytes are tallied, pairs below the guaranteed minimum
-are dropped, and the rest are verified bit by bit.
+A fingerprint is a row of positional bytes, eight for each 64-bit lane. With one lane and
+at most three differing bits, two fingerprints share at least five of eight bytes,
+so three of them lie in one half of the positions: posting lists are kept for the
+eight triples of positions inside a half, and no pair is lost. (A list of one byte would hold
+1/256 of all fingerprints and its pairs would grow with their square.) With more lanes the
+threshold is a share of the bits and the lists are kept for ``WIDE_LISTS`` triples spread over all
+positions. For pairs that meet in a list the shared positional bytes are
+tallied, pairs below the guaranteed minimum are dropped, and the rest are verified bit by bit.
 
 Equal fingerprints are one entry of the index. A list leaves a spanning forest of
 its links, never all pairs, and lists with many entries are cut into chunks that
@@ -16,6 +17,7 @@ are compared two by two in separate tasks.
 from __future__ import annotations
 
 import itertools
+import math
 import re
 
 import numpy as np
@@ -31,112 +33,133 @@ DISTANCE = 3
 SEED = 42
 #: Entries of a posting list that one task compares with one another.
 CHUNK = 16384
+#: Lanes and posting lists of fingerprints that measure a similarity of shingles.
+WIDE_LANES = 4
+WIDE_LISTS = 64
 _SHORT = 48
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
-_TRIPLES = [t for half in (range(4), range(4, 8)) for t in itertools.combinations(half, 3)]
 
 
-def fingerprint(text: bytes, words: int = WORDS) -> int:
-    """SimHash of the text's word shingles, A-Z lower-cased; 0 without words."""
+def fingerprint(text: bytes, words: int = WORDS, lanes: int = 1) -> list[int]:
+    """SimHash of the text's word shingles, A-Z lower-cased: a 64-bit number for each lane, all 0 without words."""
     found = _WORD.findall(text.lower())
     if not found:
-        return 0
-    if len(found) < words:
-        return xxhash.xxh64_intdigest(b" ".join(found), SEED)
-    total, n, last = np.zeros(64, np.int64), len(found) - words + 1, len(found) - words + 1
+        return [0] * lanes
+    total, n = np.zeros((lanes, 64), np.int64), max(1, len(found) - words + 1)
     for a in range(0, n, 1 << 14):
-        b = min(last, a + (1 << 14))
-        hashes = np.array([xxhash.xxh64_intdigest(b" ".join(found[i : i + words]), SEED) for i in range(a, b)], "<u8")
-        total += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(total * 2 > n, bitorder="little").view("<u8")[0])
+        hashes = np.array([xxhash.xxh64_intdigest(b" ".join(found[i : i + words]), SEED) for i in range(a, min(n, a + (1 << 14)))], "<u8")
+        for lane in range(lanes):
+            if lane:
+                hashes = (hashes ^ (hashes >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+                hashes ^= hashes >> np.uint64(29)
+            total[lane] += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return np.packbits(total * 2 > n, axis=1, bitorder="little").view("<u8").ravel().tolist()
 
 
-def fingerprints(docs: DataFrame, words: int = WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id`` and the fingerprint as a signed long of each whole text; null counts as empty."""
+def _columns(lanes: int) -> list[str]:
+    return [f"f{i}" for i in range(lanes)]
+
+
+def fingerprints(docs: DataFrame, words: int = WORDS, lanes: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``id`` and the fingerprint's lanes ``f0``.. as signed longs, of each whole text; null counts as empty."""
     arrow_limits(docs.sparkSession)
+    names = _columns(lanes)
 
     def run(batches):
         for batch in pieces(batches, text_col, 4 << 20):
-            known: dict[bytes, int] = {}
-            out = [known[t] if t in known else known.setdefault(t, fingerprint(t, words)) for t in texts_of(batch.column(1))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(out, np.uint64).view(np.int64))], names=["id", "fp"])
+            known: dict[bytes, list[int]] = {}
+            out = [known[t] if t in known else known.setdefault(t, fingerprint(t, words, lanes)) for t in texts_of(batch.column(1))]
+            columns = np.array(out, np.uint64).reshape(-1, lanes).T
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(np.ascontiguousarray(c).view(np.int64)) for c in columns]], names=["id", *names])
 
-    return document_rows(docs, id_col, text_col).mapInArrow(run, "id long, fp long")
+    return document_rows(docs, id_col, text_col).mapInArrow(run, ", ".join(["id long", *[f"{c} long" for c in names]]))
 
 
-def _near(a: np.ndarray, b: np.ndarray, distance: int) -> np.ndarray:
-    """Tally the shared positional bytes, keep the guaranteed minimum, verify."""
+def _near(a: np.ndarray, b: np.ndarray, distance: int, shared: int) -> np.ndarray:
+    """Tally the shared positional bytes of rows of lanes, keep the guaranteed minimum, verify."""
     x = a ^ b
-    out = np.zeros(x.shape, bool)
     # a byte of x is zero where both hold the same: fold its bits into the lowest one and count
     y = x | (x >> np.uint64(4))
     y |= y >> np.uint64(2)
     y |= y >> np.uint64(1)
-    shared = 8 - np.bitwise_count(y & np.uint64(0x0101010101010101)).astype(np.int64)
-    may = shared >= 8 - distance
-    out[may] = np.bitwise_count(x[may]) <= distance
+    differ = np.bitwise_count(y & np.uint64(0x0101010101010101)).sum(-1, dtype=np.int64)
+    out = differ <= 8 * x.shape[-1] - shared
+    out[out] = np.bitwise_count(x[out]).sum(-1, dtype=np.int64) <= distance
     return out
 
 
-def forest(fps: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links that connect what all links among distinct fingerprints connect: breadth first, so each entry is reached once."""
-    left, a, b = np.arange(len(fps)), [], []
+def forest(prints: np.ndarray, distance: int, shared: int) -> tuple[np.ndarray, np.ndarray]:
+    """Row numbers of links that connect what all links among the prints [row, lane] connect: breadth first, so each row is reached once."""
+    left, a, b = np.arange(len(prints)), [], []
     while len(left) > 1:
         front, left = left[:1], left[1:]
         while len(front) and len(left):
             reached = []
             for f in front:
-                near = _near(fps[left], fps[f], distance)
+                near = _near(prints[left], prints[f], distance, shared)
                 if near.any():
                     got = left[near]
-                    a.append(np.full(len(got), fps[f]))
-                    b.append(fps[got])
+                    a.append(np.full(len(got), f))
+                    b.append(got)
                     reached.append(got)
                     left = left[~near]
                     if not len(left):
                         break
             front = np.concatenate(reached) if reached else left[:0]
-    none = np.zeros(0, np.uint64)
-    return (np.concatenate(a), np.concatenate(b)) if a else (none, none)
+    none = np.zeros(0, np.int64)
+    return np.concatenate([none, *a]), np.concatenate([none, *b])
 
 
-def _links(keys: list[np.ndarray], fps: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links within runs of equal keys."""
-    new = np.zeros(len(fps), bool)
+def _links(keys: list[np.ndarray], prints: np.ndarray, distance: int, shared: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links (row numbers) within runs of equal keys."""
+    new = np.zeros(len(prints), bool)
     new[:1] = True
     for k in keys:
         new[1:] |= k[1:] != k[:-1]
     start = np.flatnonzero(new)
-    size = np.diff(np.r_[start, len(fps)])
+    size = np.diff(np.r_[start, len(prints)])
     a, b = [], []
     short = np.repeat(size <= _SHORT, size)
     run = np.cumsum(new)
     for d in range(1, int(size[size <= _SHORT].max(initial=1))):
         i = np.flatnonzero((run[d:] == run[:-d]) & short[d:])
-        i = i[_near(fps[i], fps[i + d], distance)]
-        a.append(fps[i])
-        b.append(fps[i + d])
+        i = i[_near(prints[i], prints[i + d], distance, shared)]
+        a.append(i)
+        b.append(i + d)
     for s, n in zip(start[size > _SHORT], size[size > _SHORT]):
-        x, y = forest(fps[s : s + n], distance)
-        a.append(x)
-        b.append(y)
-    none = np.zeros(0, np.uint64)
+        x, y = forest(prints[s : s + n], distance, shared)
+        a.append(x + s)
+        b.append(y + s)
+    none = np.zeros(0, np.int64)
     return np.concatenate([none, *a]), np.concatenate([none, *b])
 
 
-def near_links(prints: DataFrame, distance: int = DISTANCE, chunk: int = CHUNK) -> DataFrame:
-    """``a``, ``b``: links whose components are those of all pairs of the distinct longs in ``fp`` with at most ``distance`` differing bits."""
-    if not 0 <= distance <= 3:
-        raise ValueError("the positional triples guarantee pairs of at most 3 differing bits")
-    byte = [F.shiftrightunsigned("fp", 8 * i).bitwiseAND(F.lit(255)) for i in range(8)]
-    lists = F.array(*[F.lit(g << 24).cast("long") + byte[x] * 65536 + byte[y] * 256 + byte[z] for g, (x, y, z) in enumerate(_TRIPLES)])
-    posted = prints.select("fp", F.explode(lists).alias("list"))
+def _triples(lanes: int) -> list[tuple[int, int, int]]:
+    """Positions of the posting lists: inside halves for one lane, else spread evenly by strides over all positions."""
+    if lanes == 1:
+        return [t for half in (range(4), range(4, 8)) for t in itertools.combinations(half, 3)]
+    n = 8 * lanes
+    spread = ((i % n, (i + 1 + 4 * (i // n)) % n, (i + 11 + 7 * (i // n)) % n) for i in range(WIDE_LISTS))
+    return [tuple(sorted(t)) for t in spread]
+
+
+def near_links(entries: DataFrame, lanes: int = 1, distance: int = DISTANCE, chunk: int = CHUNK) -> DataFrame:
+    """``a``, ``b`` (values of ``entry``): links whose components are those of all pairs found with at most ``distance`` differing bits.
+
+    ``entries`` holds distinct fingerprints, each named by the long ``entry``.
+    """
+    if lanes == 1 and not 0 <= distance <= 3:
+        raise ValueError("one lane guarantees pairs of at most 3 differing bits; take more lanes for more")
+    names, shared = _columns(lanes), 8 - distance if lanes == 1 else 3
+    byte = [F.shiftrightunsigned(names[i // 8], 8 * (i % 8)).bitwiseAND(F.lit(255)) for i in range(8 * lanes)]
+    lists = F.array(*[F.lit(g << 24).cast("long") + byte[x] * 65536 + byte[y] * 256 + byte[z] for g, (x, y, z) in enumerate(_triples(lanes))])
+    posted = entries.select("entry", *names, F.explode(lists).alias("list"))
     long = posted.groupBy("list").count().where(F.col("count") > chunk).select("list", F.ceil(F.col("count") / chunk).cast("int").alias("chunks"))
-    posted = posted.join(long, "list", "left").select("list", "fp", F.coalesce("chunks", F.lit(1)).alias("chunks"))
-    mine = F.pmod(F.xxhash64("fp"), F.col("chunks")).cast("int")
-    posted = posted.select("list", "fp", mine.alias("mine"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other"))
-    posted = posted.select("list", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "fp")
-    posted = posted.repartition("list", "i", "j").sortWithinPartitions("list", "i", "j", "fp")
+    posted = posted.join(long, "list", "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
+    mine = F.pmod(F.xxhash64("entry"), F.col("chunks")).cast("int")
+    posted = posted.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    posted = posted.select("list", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "entry", *names)
+    posted = posted.repartition("list", "i", "j").sortWithinPartitions("list", "i", "j", "entry")
 
     def run(batches):
         held = None
@@ -154,32 +177,46 @@ def near_links(prints: DataFrame, distance: int = DISTANCE, chunk: int = CHUNK)
                     same &= k == k[-1]
                 whole = int(np.flatnonzero(~same)[-1]) + 1 if not same.all() else 0
             if whole:
-                a, b = _links([k[:whole] for k in held[:3]], held[3][:whole].view(np.uint64), distance)
+                prints = np.stack([np.ascontiguousarray(c[:whole]).view(np.uint64) for c in held[4:]], 1)
+                a, b = _links([k[:whole] for k in held[:3]], prints, distance, shared)
+                yield pa.RecordBatch.from_arrays([pa.array(held[3][a]), pa.array(held[3][b])], names=["a", "b"])
                 held = [k[whole:] for k in held]
-                yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
 
     return posted.mapInArrow(run, "a long, b long")
 
 
-def simhash_components(docs: DataFrame, words: int = WORDS, distance: int = DISTANCE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The id, ``fingerprint`` (16 hex digits), ``component_id`` (the smallest id reachable by links) of each row.
+def simhash_components(docs: DataFrame, words: int = WORDS, lanes: int = 1, distance: int = DISTANCE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The id, ``fingerprint`` (16 hex digits a lane), ``component_id`` (the smallest id reachable by links) of each row.
 
     Texts without words have fingerprint zero and link like any other; null texts
     are empty; rows that repeat an id keep their own fingerprints. Null ids belong to
     the component of their fingerprint, whose id is null only without any other id.
     An empty table gives an empty result.
     """
-    prints = cut(fingerprints(docs, words, id_col, text_col))
-    entries = cut(prints.groupBy("fp").agg(F.min("id").alias("first")))
-    parts = connected_components(near_links(entries, distance))
-    named = entries.join(parts, entries.fp == parts.node, "left").select("fp", "first", F.coalesce("component", "fp").alias("root"))
+    names = _columns(lanes)
+    prints = cut(fingerprints(docs, words, lanes, id_col, text_col))
+    # an id may come with several texts, so entries have names of their own
+    entries = cut(prints.groupBy(*names).agg(F.min("id").alias("first")).withColumn("entry", F.col("f0") if lanes == 1 else F.xxhash64(*names)))
+    parts = connected_components(near_links(entries, lanes, distance))
+    named = entries.join(parts, entries.entry == parts.node, "left").select(*names, "first", F.coalesce("component", "entry").alias("root"))
     lowest = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    classes = named.join(lowest, "root").select("fp", "component_id")
-    return prints.join(classes, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    classes = named.join(lowest, "root").select(*names, "component_id")
+    digits = F.concat(*[F.lower(F.lpad(F.hex(c), 16, "0")) for c in names])
+    return prints.join(classes, names).select(F.col("id").alias(id_col), digits.alias("fingerprint"), "component_id")
+
+
+def wide_distance(similarity: float, lanes: int) -> int:
+    """Bits of ``lanes`` lanes in which texts of that Jaccard similarity of shingles differ: the angle between sets with
+    cosine 2J / (1 + J) as a share of a half turn, and one standard deviation, so most pairs at the limit are found."""
+    bits, share = 64 * lanes, math.acos(2 * similarity / (1 + similarity)) / math.pi
+    return math.floor(bits * share + math.sqrt(bits * share * (1 - share)))
 
 
-def drop_near_duplicates(docs: DataFrame, words: int = WORDS, distance: int = DISTANCE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one document of each component: that with the smallest id, once."""
-    found = simhash_components(docs, words, distance, id_col, text_col)
+def drop_near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, lanes: int = WIDE_LANES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with one document of each component: that with the smallest id, once.
+
+    Links join texts whose word shingles are about ``similarity`` alike, as wide fingerprints measure it.
+    """
+    found = simhash_components(docs, words, lanes, wide_distance(similarity, lanes), id_col, text_col)
     kept = found.where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("__keep")).distinct()
     return docs.join(kept, F.col(f"`{id_col}`").eqNullSafe(F.col("__keep")), "left_semi").dropDuplicates([id_col])

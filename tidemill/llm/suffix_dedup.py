@@ -20,6 +20,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -366,7 +367,7 @@ def repeated_windows(windows: DataFrame, window: int = WINDOW) -> DataFrame:
             marked = batch.filter(dup)
             if marked.num_rows:
                 yield pa.RecordBatch.from_arrays([marked.column(1), marked.column(2)], names=["doc", "p"])
-            batch = batch.filter(pa.compute.invert(dup))
+            batch = batch.filter(pc.invert(dup))
             if not batch.num_rows:
                 continue
             held.append(batch)
