@@ -130,38 +130,73 @@ class CoverTree:
         return self.rows[self.starts[node] : self.starts[node + 1]]
 
 
+def _passing(x, y, ca, ra, p, cb, rb, q, reach: float, ordered: bool = False):
+    """Pairs of nodes that the bound leaves. ``ordered``: p and q are the same list, and a pair is wanted once.
+
+    Products in single precision and the largest radius of a block screen; what is left is judged by its own radii.
+    """
+    by = np.argsort(ra[p], kind="stable")
+    p = p[by]
+    q = p if ordered else q
+    left, right = x[ca[p]].astype(np.float32), y[cb[q]].astype(np.float32)
+    for s in range(0, len(p), _BLOCK):
+        first = s if ordered else 0
+        far = np.minimum(2.0, ra[p[s : s + _BLOCK]].max() + rb[q[first:]] + reach + _SLACK)
+        i, j = np.nonzero(left[s : s + _BLOCK] @ right[first:].T >= (1.0 - far * far / 2.0 - 1e-5).astype(np.float32))
+        if ordered:
+            i, j = i[i <= j], j[i <= j]
+        i, j = p[s + i], q[first + j]
+        for t in range(0, len(i), 1 << 16):
+            m, n = i[t : t + (1 << 16)], j[t : t + (1 << 16)]
+            near = _apart(np.einsum("ij,ij->i", x[ca[m]], y[cb[n]])) <= ra[m] + rb[n] + reach + _SLACK
+            yield m[near], n[near]
+
+
 def dual_join(a: CoverTree, b: CoverTree, threshold: float):
     """(rows of a, rows of b, link matrix, same) of each pair of leaves that holds links; ``same``: a leaf with itself.
 
     With ``a is b`` a pair of different leaves comes once.
     """
     reach, one = math.sqrt(2.0 - 2.0 * threshold), a is b
-    depth = max(len(a.levels), len(b.levels))
-
-    def passing(ca, ra, p, cb, rb, q):
-        for s in range(0, len(p), _BLOCK):
-            g = _apart(a.x[ca[p[s : s + _BLOCK]]] @ b.x[cb[q]].T) <= ra[p[s : s + _BLOCK], None] + rb[q][None, :] + reach + _SLACK
-            i, j = np.nonzero(g)
-            i, j = p[s + i], q[j]
-            # a single row has no pair with itself
-            some = (i != j) | (sizes[i] > 1) if one else slice(None)
-            yield i[some], j[some]
-
-    (ca, _, ra, sizes), (cb, _, rb, _) = a.level(0), b.level(0)
-    pairs = list(passing(ca, ra, np.arange(len(ca)), cb, rb, np.arange(len(cb))))
-    for i in range(1, depth):
-        (ca, _, ra, sizes), (cb, _, rb, _) = a.level(i), b.level(i)
+
+    def kept(found, sizes):
+        # a single row has no pair with itself; small lists are joined, so a node's partners come together
+        out, held, size = [], [], 0
+        for p, q in found:
+            some = (p != q) | (sizes[p] > 1) if one else slice(None)
+            held.append((p[some], q[some]))
+            size += len(held[-1][0])
+            if size >= 1 << 20:
+                out.append(tuple(map(np.concatenate, zip(*held))))
+                held, size = [], 0
+        return out + ([tuple(map(np.concatenate, zip(*held)))] if size else [])
+
+    (ca, _, ra, sizes), (cb, _, rb, others) = a.level(0), b.level(0)
+    pairs = kept(_passing(a.x, b.x, ca, ra, np.arange(len(ca)), cb, rb, np.arange(len(cb)), reach, one), sizes)
+    for i in range(1, max(len(a.levels), len(b.levels))):
+        wide_a, wide_b, few_a, few_b = ra, rb, sizes == 1, others == 1
+        (ca, parent, ra, sizes), (cb, _, rb, others) = a.level(i), b.level(i)
         found = []
         for ps, qs in pairs:
-            # all partners of a node at once
-            order = np.argsort(ps, kind="stable")
-            for group in np.split(order, np.flatnonzero(np.diff(ps[order])) + 1) if len(order) else []:
-                p, q = a.below(i, ps[group[:1]]), b.below(i, qs[group])
-                found += passing(ca, ra, p, cb, rb, q)
-        pairs = found
+            # two single rows have met already; of the rest, all partners of the wider node are taken at once
+            done = few_a[ps] & few_b[qs]
+            if done.any():
+                found.append((a.below(i, ps[done]), b.below(i, qs[done])))
+                ps, qs = ps[~done], qs[~done]
+            by_q = wide_b[qs] > wide_a[ps]
+            for some, key in ((~by_q, ps), (by_q, qs)):
+                order = np.flatnonzero(some)
+                order = order[np.argsort(key[order], kind="stable")]
+                for group in np.split(order, np.flatnonzero(np.diff(key[order])) + 1) if len(order) else []:
+                    p = a.below(i, ps[group[:1]] if key is ps else ps[group])
+                    q = b.below(i, qs[group] if key is ps else qs[group[:1]])
+                    for m, n in _passing(a.x, b.x, ca, ra, p, cb, rb, q, reach):
+                        if one:  # children of one node meet twice
+                            once = (m <= n) | (parent[m] != parent[n])
+                            m, n = m[once], n[once]
+                        found.append((m, n))
+        pairs = kept(found, sizes)
     for ps, qs in pairs:
-        if one:
-            ps, qs = ps[ps <= qs], qs[ps <= qs]
         for p, q in zip(ps, qs):
             same = one and p == q
             rows, cols = a.leaf(int(p)), b.leaf(int(q))
