@@ -9,9 +9,10 @@ same minimiser, the least of their ``GRAM``-byte hashes. Equal windows have equa
    met before in the same task are marked there, so a hot passage leaves one row per task.
 2. Runs meet by minimiser. Of equal runs the earliest stays and all windows of the others go, as a whole. A minimiser seen
    once needs nothing more. Where different runs share one (the borders of repeated passages) the earliest of each is asked for its windows.
-3. The windows asked for are sorted: multikey quicksort on eight-byte words to a shallow
+3. The windows asked for are sorted where their texts are: multikey quicksort on eight-byte words to a shallow
    depth, then a blind trie orders each group that still shares its prefix. Neighbours that are
-   equal to the full depth are repeats; all but the earliest go.
+   equal to the full depth are repeats; the earliest of each stays and meets those of other tasks
+   by a 128-bit digest, again all but the earliest go.
 """
 
 from __future__ import annotations
@@ -24,15 +25,17 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_limits, document_rows, pieces, stored
+from .common import arrow_limits, pieces, release, stored
 
 WINDOW = 100
-GRAM = 50
+GRAM = 40
 #: Bytes of text that are hashed together, and the depth of the multikey quicksort.
 SEGMENT = 1 << 20
 SHALLOW = 24
 #: Runs that a task gathers before it marks those it has met.
 HELD = 1 << 18
+#: Windows that are sorted together.
+ASKED = 1 << 15
 _NO_ID = -(1 << 63)
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -56,7 +59,9 @@ class Hasher:
 
     def __init__(self, size: int):
         self.up, self.down = _powers(_BASE, size + 1), _powers(_INVERSE, size + 1)
-        self.value = np.random.default_rng(5).integers(0, 2**64, 256, np.uint64)
+        rng = np.random.default_rng(5)
+        self.value = rng.integers(0, 2**64, 256, np.uint64)
+        self.odd = rng.integers(0, 2**64, 256, np.uint64) | np.uint64(1)
 
     def prefix(self, data: np.ndarray) -> np.ndarray:
         out = np.zeros(len(data) + 1, np.uint64)
@@ -128,7 +133,8 @@ def _changes(*columns: np.ndarray) -> np.ndarray:
     return new
 
 
-RUN_SCHEMA = "h long, s long, doc long, p long, n long, dup boolean"
+#: ``place``: first window, number of windows and whether the run is already known to go, in one number.
+RUN_SCHEMA = "h long, s long, doc long, place long"
 
 
 def _marked(h, s, doc, p, n) -> pa.RecordBatch:
@@ -140,7 +146,7 @@ def _marked(h, s, doc, p, n) -> pa.RecordBatch:
     dup = ~new & ((doc != doc[first]) | (p != p[first]))
     # marked rows only pass through the next shuffle, so they are dealt out evenly
     h = np.where(dup, _mix(h + doc.astype(np.uint64) * np.uint64(31) + p.astype(np.uint64)), h)
-    return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(s.view(np.int64)), pa.array(doc), pa.array(p), pa.array(n), pa.array(dup)], names=["h", "s", "doc", "p", "n", "dup"])
+    return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(s.view(np.int64)), pa.array(doc), pa.array(p << 9 | n << 1 | dup)], names=["h", "s", "doc", "place"])
 
 
 def text_runs(rows: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
@@ -164,7 +170,7 @@ def text_runs(rows: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFr
 
 def meet(runs: DataFrame) -> DataFrame:
     """``doc``, ``p``, ``n``, ``h``, ``ask`` of the runs that go as a whole and of those whose windows have to be looked at."""
-    sorted_runs = runs.repartition("h").sortWithinPartitions("h", "s", "doc", "p")
+    sorted_runs = runs.repartition("h").sortWithinPartitions("h", "s", "doc", "place")
 
     def run(batches):
         # of the last minimiser: its first row (still alone or not), and of the last run: where its earliest stands
@@ -175,7 +181,8 @@ def meet(runs: DataFrame) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(doc), pa.array(p), pa.array(n), pa.array(h), pa.array(np.full(len(doc), ask))], names=["doc", "p", "n", "h", "ask"])
 
         for batch in batches:
-            h, s, doc, p, n, dup = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+            h, s, doc, place = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+            p, n, dup = place >> 9, place >> 1 & 255, (place & 1).astype(bool)
             if dup.any():
                 yield rows(doc[dup], p[dup], n[dup], h[dup], False)
                 h, s, doc, p, n = h[~dup], s[~dup], doc[~dup], p[~dup], n[~dup]
@@ -301,86 +308,75 @@ def suffix_order(windows: np.ndarray, shallow: int = SHALLOW) -> tuple[np.ndarra
     return order, new
 
 
+def _digests(w: np.ndarray, hasher: Hasher) -> tuple[np.ndarray, np.ndarray]:
+    """Two independent 64-bit hashes of each byte row: a polynomial, and products of words with random odd numbers."""
+    one = _mix((hasher.value[w] * hasher.up[: w.shape[1]]).sum(1, dtype=np.uint64))
+    words = np.zeros((len(w), -(-w.shape[1] // 4) * 4), np.uint8)
+    words[:, : w.shape[1]] = w
+    words = words.view("<u4").astype(np.uint64) + np.uint64(1)
+    mixed = words * hasher.odd[: words.shape[1]]
+    two = _mix(((mixed ^ (mixed >> np.uint64(32))) * hasher.odd[-words.shape[1] :]).sum(1, dtype=np.uint64))
+    return one, two
+
+
 def asked_windows(rows: DataFrame, asks: DataFrame, window: int = WINDOW) -> DataFrame:
-    """The windows of the runs asked for; those met earlier in the same task are marked at once."""
+    """Digests and places of the windows of the runs asked for; suffix sorting marks those that come earlier in the same batch."""
     lists = asks.groupBy("doc").agg(F.collect_list(F.struct("p", "n")).alias("runs"))
     joined = rows.join(lists, rows.id == lists.doc).select("id", "text", "runs")
 
+    def marked(doc: np.ndarray, p: np.ndarray, w: np.ndarray, hasher: Hasher) -> pa.RecordBatch:
+        order, new = suffix_order(w)
+        group = np.cumsum(new)
+        order = order[np.lexsort((p[order], doc[order], group))]
+        head = order[np.flatnonzero(new)[group - 1]]
+        dup = np.zeros(len(w), bool)
+        dup[order] = (doc[order] != doc[head]) | (p[order] != p[head])
+        one, two = _digests(w, hasher)
+        # marked rows only pass through the next shuffle, so they are dealt out evenly
+        one = np.where(dup, _mix(one + doc.astype(np.uint64) * np.uint64(31) + p.astype(np.uint64)), one)
+        return pa.RecordBatch.from_arrays([pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), pa.array(doc), pa.array(p << 1 | dup)], names=["h", "s", "doc", "place"])
+
     def run(batches):
-        hasher = Hasher(window)
+        hasher, held, size = Hasher(window), [], 0
         for batch in pieces(batches, "text", SEGMENT):
-            out_h, out_doc, out_p, out_w = [], [], [], []
             for doc, text, runs in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), batch.column(2).to_pylist()):
                 data = np.frombuffer(text, np.uint8)
                 p = np.unique(np.concatenate([np.arange(r["p"], r["p"] + r["n"]) for r in runs]))
                 p = p[p + window <= len(data)]
-                for a in range(0, len(p), 4096):
-                    q = p[a : a + 4096]
-                    w = data[q[:, None] + np.arange(window)]
-                    h = _mix((hasher.value[w] * hasher.up[:window]).sum(1, dtype=np.uint64))
-                    out_h.append(h)
-                    out_doc.append(np.full(len(q), doc))
-                    out_p.append(q)
-                    out_w.append(w)
-            if out_h:
-                h, doc, p, w = map(np.concatenate, (out_h, out_doc, out_p, out_w))
-                by = np.lexsort((p, doc, h))
-                same = np.zeros(len(h), bool)
-                same[1:] = (h[by][1:] == h[by][:-1]) & (w[by][1:] == w[by][:-1]).all(1)
-                head = np.maximum.accumulate(np.where(same, 0, np.arange(len(h))))
-                dup = np.zeros(len(h), bool)
-                dup[by] = same & ((doc[by] != doc[by][head]) | (p[by] != p[by][head]))
-                key = np.where(dup, _mix(h + doc.astype(np.uint64) * np.uint64(31) + p.astype(np.uint64)), h)
-                flat = pa.py_buffer(np.ascontiguousarray(w[~dup]).tobytes())
-                offsets = np.zeros(len(h) + 1, np.int32)
-                np.cumsum(np.where(dup, 0, window), out=offsets[1:])
-                text_column = pa.Array.from_buffers(pa.binary(), len(h), [None, pa.py_buffer(offsets.tobytes()), flat])
-                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(doc), pa.array(p), text_column, pa.array(dup)], names=["w", "doc", "p", "bytes", "dup"])
-
-    return joined.mapInArrow(run, "w long, doc long, p long, bytes binary, dup boolean")
-
-
-def repeated_windows(windows: DataFrame, window: int = WINDOW) -> DataFrame:
+                for a in range(0, len(p), ASKED):
+                    q = p[a : a + ASKED]
+                    held.append((np.full(len(q), doc), q, data[q[:, None] + np.arange(window)]))
+                    size += len(q)
+                    if size >= ASKED:
+                        yield marked(*map(np.concatenate, zip(*held)), hasher)
+                        held, size = [], 0
+        if held:
+            yield marked(*map(np.concatenate, zip(*held)), hasher)
+
+    return joined.mapInArrow(run, RUN_SCHEMA)
+
+
+def repeated_windows(windows: DataFrame) -> DataFrame:
     """``doc``, ``p`` of the windows that also start earlier."""
-    dealt = windows.repartition("w").sortWithinPartitions("w", "doc", "p")
+    dealt = windows.repartition("h").sortWithinPartitions("h", "s", "doc", "place")
 
     def run(batches):
-        held = []
-
-        def out(table: pa.Table) -> pa.RecordBatch:
-            doc, p = table.column("doc").to_numpy(), table.column("p").to_numpy()
-            flat = table.column("bytes").combine_chunks()
-            flat = flat if isinstance(flat, pa.Array) else pa.concat_arrays(flat.chunks)
-            w = np.frombuffer(flat.buffers()[2] or b"", np.uint8)[flat.offset * window :][: len(flat) * window].reshape(-1, window)
-            order, new = suffix_order(w)
-            group = np.cumsum(new)
-            by = np.lexsort((p[order], doc[order], group))
-            order = order[by]
-            head = np.flatnonzero(new)[group - 1] if len(order) else order
-            goes = (doc[order] != doc[order[head]]) | (p[order] != p[order[head]])
-            k = order[goes]
-            return pa.RecordBatch.from_arrays([pa.array(doc[k]), pa.array(p[k])], names=["doc", "p"])
-
-        size = 0
+        last = None
         for batch in batches:
-            dup = batch.column(4)
-            marked = batch.filter(dup)
-            if marked.num_rows:
-                yield pa.RecordBatch.from_arrays([marked.column(1), marked.column(2)], names=["doc", "p"])
-            batch = batch.filter(pc.invert(dup))
-            if not batch.num_rows:
+            h, s, doc, place = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+            p, dup = place >> 1, (place & 1).astype(bool)
+            yield pa.RecordBatch.from_arrays([pa.array(doc[dup]), pa.array(p[dup])], names=["doc", "p"])
+            h, s, doc, p = h[~dup], s[~dup], doc[~dup], p[~dup]
+            if not len(h):
                 continue
-            held.append(batch)
-            size += batch.num_rows
-            if size >= 1 << 16:
-                table = pa.Table.from_batches(held)
-                w = table.column("w").to_numpy()
-                whole = int(np.searchsorted(w, w[-1]))
-                if whole:
-                    yield out(table.slice(0, whole).combine_chunks())
-                    held, size = table.slice(whole).to_batches(), len(w) - whole
-        if held:
-            yield out(pa.Table.from_batches(held).combine_chunks())
+            if last is not None:  # the earliest place of the last digest goes on into this batch
+                h, s, doc, p = (np.r_[x, y] for x, y in zip(last, (h, s, doc, p)))
+            new = _changes(h, s)
+            head = np.flatnonzero(new)[np.cumsum(new) - 1]
+            goes = (doc != doc[head]) | (p != p[head])
+            yield pa.RecordBatch.from_arrays([pa.array(doc[goes]), pa.array(p[goes])], names=["doc", "p"])
+            k = head[-1:]
+            last = h[k], s[k], doc[k], p[k]
 
     return dealt.mapInArrow(run, "doc long, p long")
 
@@ -400,9 +396,14 @@ def _with_repeats(docs: DataFrame, columns: list[str], id_col: str, text_col: st
     """``columns`` of ``docs`` (the first two: id and text) with ``__starts`` and ``__counts`` of windows that go."""
     arrow_limits(docs.sparkSession)
     rows = docs.select(F.coalesce(F.col(f"`{id_col}`"), F.lit(_NO_ID)).alias("id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
+    if not 0 < gram < window or window - gram > 254:
+        raise ValueError("a window must be longer than a gram, by at most 254 bytes")
     met = stored(meet(text_runs(rows, window, gram)), "runs")
-    found = repeated_windows(asked_windows(rows, met.where("ask"), window), window)
-    gone = met.where("not ask").select("doc", "p", "n").unionByName(found.select("doc", "p", F.lit(1).cast("long").alias("n")))
+    release(docs.sparkSession)
+    found = repeated_windows(asked_windows(rows, met.where("ask"), window))
+    found = stored(found.select("doc", "p", F.lit(1).cast("long").alias("n")), "windows")
+    release(docs.sparkSession)
+    gone = met.where("not ask").select("doc", "p", "n").unionByName(found)
     lists = gone.groupBy("doc").agg(F.collect_list("p").alias("__starts"), F.collect_list("n").alias("__counts")).withColumnRenamed("doc", "__doc")
     own = docs.select(*[F.col(f"`{c}`") for c in columns])
     return own.join(lists, F.coalesce(F.col(f"`{id_col}`"), F.lit(_NO_ID)) == F.col("__doc"), "left").drop("__doc")
