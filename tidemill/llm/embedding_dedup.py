@@ -84,14 +84,32 @@ def _net(x: np.ndarray, radius: float, seeds: np.ndarray) -> tuple[np.ndarray, n
     return np.array(centres), owner
 
 
+def _first_scale(x: np.ndarray, finest: float) -> float:
+    """The largest halving of 1 at which a few hundred rows already cover one another: levels above would hold every row."""
+    few, scale = x[:: max(1, len(x) // 512)][:512], 1.0
+    g = few @ few.T
+    np.fill_diagonal(g, -1)
+    while scale > finest and (g.max(1, initial=-1) >= 1 - scale * scale / 2).mean() < 0.25:
+        scale /= 2
+    return scale
+
+
+def _screen(x: np.ndarray) -> np.ndarray:
+    """The first half of the dimensions and the length of the rest, in single precision: their products are never below the cosine."""
+    k = x.shape[1] // 2
+    return np.concatenate([x[:, :k], np.linalg.norm(x[:, k:], axis=1, keepdims=True)], 1).astype(np.float32)
+
+
 class CoverTree:
     """Levels from coarse to fine; each has its centres' rows, and of each node the parent, the covering radius over all rows below and their number."""
 
     def __init__(self, x: np.ndarray, finest: float):
-        self.x, self._by = x, {}
-        seeds, scale, nets = np.zeros(min(1, len(x)), np.int64), 1.0, []
+        self.x, self._by, self.screen = x, {}, _screen(x)
+        # nets may be rounded: only the radii, taken below in double precision, bound anything
+        single, nets = x.astype(np.float32), []
+        seeds, scale = np.zeros(min(1, len(x)), np.int64), _first_scale(single, finest)
         while True:
-            centres, owner = _net(x, scale, seeds)
+            centres, owner = _net(single, scale, seeds)
             nets.append((centres, owner))
             if scale <= finest or len(centres) == len(x):
                 break
@@ -130,15 +148,16 @@ class CoverTree:
         return self.rows[self.starts[node] : self.starts[node + 1]]
 
 
-def _passing(x, y, ca, ra, p, cb, rb, q, reach: float, ordered: bool = False):
+def _passing(a: CoverTree, b: CoverTree, ca, ra, p, cb, rb, q, reach: float, ordered: bool = False):
     """Pairs of nodes that the bound leaves. ``ordered``: p and q are the same list, and a pair is wanted once.
 
-    Products in single precision and the largest radius of a block screen; what is left is judged by its own radii.
+    Upper bounds of the cosine in single precision and the largest radius of a block screen; what is left is judged by its own radii.
     """
+    x, y = a.x, b.x
     by = np.argsort(ra[p], kind="stable")
     p = p[by]
     q = p if ordered else q
-    left, right = x[ca[p]].astype(np.float32), y[cb[q]].astype(np.float32)
+    left, right = a.screen[ca[p]], b.screen[cb[q]]
     for s in range(0, len(p), _BLOCK):
         first = s if ordered else 0
         far = np.minimum(2.0, ra[p[s : s + _BLOCK]].max() + rb[q[first:]] + reach + _SLACK)
@@ -172,7 +191,7 @@ def dual_join(a: CoverTree, b: CoverTree, threshold: float):
         return out + ([tuple(map(np.concatenate, zip(*held)))] if size else [])
 
     (ca, _, ra, sizes), (cb, _, rb, others) = a.level(0), b.level(0)
-    pairs = kept(_passing(a.x, b.x, ca, ra, np.arange(len(ca)), cb, rb, np.arange(len(cb)), reach, one), sizes)
+    pairs = kept(_passing(a, b, ca, ra, np.arange(len(ca)), cb, rb, np.arange(len(cb)), reach, one), sizes)
     for i in range(1, max(len(a.levels), len(b.levels))):
         wide_a, wide_b, few_a, few_b = ra, rb, sizes == 1, others == 1
         (ca, parent, ra, sizes), (cb, _, rb, others) = a.level(i), b.level(i)
@@ -190,7 +209,7 @@ def dual_join(a: CoverTree, b: CoverTree, threshold: float):
                 for group in np.split(order, np.flatnonzero(np.diff(key[order])) + 1) if len(order) else []:
                     p = a.below(i, ps[group[:1]] if key is ps else ps[group])
                     q = b.below(i, qs[group] if key is ps else qs[group[:1]])
-                    for m, n in _passing(a.x, b.x, ca, ra, p, cb, rb, q, reach):
+                    for m, n in _passing(a, b, ca, ra, p, cb, rb, q, reach):
                         if one:  # children of one node meet twice
                             once = (m <= n) | (parent[m] != parent[n])
                             m, n = m[once], n[once]
