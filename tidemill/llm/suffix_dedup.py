@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from .common import arrow_limits, pieces, release, stored
 
 WINDOW = 100
-GRAM = 40
+GRAM = 50
 #: Bytes of text that are hashed together, and the depth of the multikey quicksort.
 SEGMENT = 1 << 20
 SHALLOW = 24
