@@ -1,4 +1,200 @@
 """Registered queries of the engine's operators and the SQL that checks them."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..operators import analyze, clean, health, joins
+from . import console
+
 QUERIES: dict = {}
 ORACLES: dict = {}
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _query(name: str, table: str, build, sql: str | None = None) -> None:
+    QUERIES[name] = lambda spark, sf_dir: build(_table(spark, sf_dir, table))
+    if sql:
+        ORACLES[name] = sql
+
+
+def _op(name: str, table: str, op: str, params: dict, keep: list[str], sql: str, prepare=None) -> None:
+    """A cleaning operator on (prepared) rows, cut to the columns ``keep``."""
+    _query(name, table, lambda df: clean.build(prepare(df) if prepare else df, op, params).select(*keep), sql)
+
+
+def _sql(name: str, query: str, oracle: str | None = None, tables=("customer", "orders", "lineitem", "nation", "region", "supplier", "part")) -> None:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return console.run_sql(spark, query, {t: _table(spark, sf_dir, t) for t in tables if t in query}, preview=False)
+
+    QUERIES[name], ORACLES[name] = run, oracle or query
+
+
+def _renamed(df: DataFrame, *names: str) -> DataFrame:
+    return df.toDF(*names)
+
+
+def _hot(d: DataFrame) -> DataFrame:
+    """The made columns folded back into the value that they mark: their names depend on the data."""
+    top = F.coalesce(*[F.when(F.col(c) == 1, F.lit(c[2:])) for c in d.columns if c.startswith("s_")])
+    return d.select("o_orderkey", top.alias("top"))
+
+
+# aggregations
+
+_query("groupby_aggregates", "lineitem", lambda d: _renamed(analyze.groupby(d, ["l_returnflag", "l_linestatus"], [{"column": c, "agg": a} for c, a in (("l_quantity", "count"), ("l_quantity", "sum"), ("l_extendedprice", "mean"), ("l_extendedprice", "min"), ("l_extendedprice", "max"), ("l_extendedprice", "median"), ("l_discount", "std"), ("l_suppkey", "nunique"))]).select("*"), "l_returnflag", "l_linestatus", "n", "total", "mean", "lo", "hi", "med", "std", "suppliers").withColumns({"mean": F.round("mean", 6), "std": F.round("std", 9), "total": F.round("total", 4)}),
+       "SELECT l_returnflag, l_linestatus, count(l_quantity) AS n, round(sum(l_quantity), 4) AS total, round(avg(l_extendedprice), 6) AS mean, min(l_extendedprice) AS lo, max(l_extendedprice) AS hi, quantile_cont(l_extendedprice, 0.5) AS med, round(stddev_samp(l_discount), 9) AS std, count(DISTINCT l_suppkey) AS suppliers FROM lineitem GROUP BY ALL")
+_query("groupby_first_last", "orders", lambda d: _renamed(analyze.groupby(d, "o_orderstatus", [{"column": "o_totalprice", "agg": "first"}, {"column": "o_totalprice", "agg": "last"}], order_by=["o_orderkey"]), "o_orderstatus", "first_price", "last_price"),
+       "SELECT o_orderstatus, arg_min(o_totalprice, o_orderkey) AS first_price, arg_max(o_totalprice, o_orderkey) AS last_price FROM orders GROUP BY 1")
+_query("groupby_top", "part", lambda d: _renamed(analyze.groupby(d, "p_brand", [{"column": "p_size", "agg": "sum"}], top=5), "p_brand", "size"),
+       "SELECT p_brand, CAST(sum(p_size) AS BIGINT) AS size FROM part GROUP BY 1 ORDER BY 1 LIMIT 5")
+_query("describe", "orders", lambda d: analyze.describe(d, ["o_totalprice", "o_custkey"]).select("column", "count", *[F.round(c, 4).alias(c) for c in ("mean", "std", "min", "p25", "p50", "p75", "max")]),
+       " UNION ALL ".join(f"SELECT '{c}' AS \"column\", count({c}) AS count, round(avg({c}), 4) AS mean, round(stddev_samp({c}), 4) AS std, round(min({c})::DOUBLE, 4) AS min, round(quantile_cont({c}, 0.25), 4) AS p25, round(quantile_cont({c}, 0.5), 4) AS p50, round(quantile_cont({c}, 0.75), 4) AS p75, round(max({c})::DOUBLE, 4) AS max FROM orders" for c in ("o_totalprice", "o_custkey")))
+_query("value_counts", "orders", lambda d: analyze.value_counts(d, "o_orderpriority", 3),
+       "SELECT o_orderpriority AS value, count(*) AS count FROM orders GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 3")
+_query("histogram", "lineitem", lambda d: analyze.histogram(d, "l_extendedprice", 10).select("bin", "count"),
+       "WITH b AS (SELECT min(l_extendedprice) AS lo, max(l_extendedprice) AS hi FROM lineitem), c AS (SELECT CAST(least(floor((l_extendedprice - lo) / ((hi - lo) / 10)), 9) AS INTEGER) AS bin, count(*) AS n FROM lineitem, b GROUP BY 1) SELECT CAST(r.i AS INTEGER) AS bin, coalesce(n, 0) AS count FROM range(10) r(i) LEFT JOIN c ON c.bin = r.i")
+_query("boxplot", "lineitem", lambda d: analyze.boxplot(d, ["l_quantity", "l_extendedprice"]).select("column", "min", "q1", "median", "q3", "max", F.round("low", 4).alias("low"), F.round("high", 4).alias("high")),
+       " UNION ALL ".join(f"SELECT '{c}' AS \"column\", min({c}) AS min, round(quantile_cont({c}, 0.25), 6) AS q1, round(quantile_cont({c}, 0.5), 6) AS median, round(quantile_cont({c}, 0.75), 6) AS q3, max({c}) AS max, round(quantile_cont({c}, 0.25) - 1.5 * (quantile_cont({c}, 0.75) - quantile_cont({c}, 0.25)), 4) AS low, round(quantile_cont({c}, 0.75) + 1.5 * (quantile_cont({c}, 0.75) - quantile_cont({c}, 0.25)), 4) AS high FROM lineitem" for c in ("l_quantity", "l_extendedprice")))
+_IQR = "WITH q AS (SELECT quantile_cont({c}, 0.25) AS a, quantile_cont({c}, 0.75) AS b FROM {t}), f AS (SELECT a - 1.5 * (b - a) AS lo, b + 1.5 * (b - a) AS hi FROM q)"
+_Z = "WITH f AS (SELECT avg({c}) - 3 * stddev_pop({c}) AS lo, avg({c}) + 3 * stddev_pop({c}) AS hi FROM {t})"
+_query("outliers_iqr", "customer", lambda d: analyze.outliers(d, ["c_acctbal"]).select("column", "n_outliers", "min", "max"),
+       _IQR.format(c="c_acctbal", t="customer") + " SELECT 'c_acctbal' AS \"column\", count(*) FILTER (c_acctbal < lo OR c_acctbal > hi) AS n_outliers, min(c_acctbal) AS min, max(c_acctbal) AS max FROM customer, f")
+_query("outliers_zscore", "events", lambda d: analyze.outliers(d, ["value"], "zscore").select("column", "n_outliers", "min", "max"),
+       _Z.format(c="value", t="events") + " SELECT 'value' AS \"column\", count(*) FILTER (value < lo OR value > hi) AS n_outliers, min(value) AS min, max(value) AS max FROM events, f")
+_query("corr_pearson", "lineitem", lambda d: analyze.corr(d, ["l_quantity", "l_extendedprice", "l_discount"]),
+       "WITH c AS (SELECT round(corr(l_quantity, l_extendedprice), 4) AS ab, round(corr(l_quantity, l_discount), 4) AS ac, round(corr(l_extendedprice, l_discount), 4) AS bc FROM lineitem) SELECT 'l_quantity' AS \"column\", 1.0::DOUBLE AS l_quantity, ab AS l_extendedprice, ac AS l_discount FROM c UNION ALL SELECT 'l_extendedprice', ab, 1.0, bc FROM c UNION ALL SELECT 'l_discount', ac, bc, 1.0 FROM c")
+_query("corr_spearman", "customer", lambda d: analyze.corr(d, ["c_acctbal", "c_nationkey"], "spearman"),
+       "WITH r AS (SELECT rank() OVER (ORDER BY c_acctbal) + (count(*) OVER (PARTITION BY c_acctbal) - 1) / 2.0 AS a, rank() OVER (ORDER BY c_nationkey) + (count(*) OVER (PARTITION BY c_nationkey) - 1) / 2.0 AS b FROM customer), c AS (SELECT round(corr(a, b), 4) AS v FROM r) SELECT 'c_acctbal' AS \"column\", 1.0::DOUBLE AS c_acctbal, v AS c_nationkey FROM c UNION ALL SELECT 'c_nationkey', v, 1.0 FROM c")
+_query("corr_kendall", "supplier", lambda d: analyze.corr(d, ["s_acctbal", "s_nationkey"], "kendall"),
+       "WITH p AS (SELECT sign(a.s_acctbal - b.s_acctbal) AS x, sign(a.s_nationkey - b.s_nationkey) AS y FROM supplier a JOIN supplier b ON a.s_suppkey < b.s_suppkey), c AS (SELECT round(sum(x * y) / sqrt(sum(x * x)::DOUBLE * sum(y * y)), 4) AS v FROM p) SELECT 's_acctbal' AS \"column\", 1.0::DOUBLE AS s_acctbal, v AS s_nationkey FROM c UNION ALL SELECT 's_nationkey', v, 1.0 FROM c")
+for _freq, _unit, _step in (("D", "day", "1 day"), ("M", "month", "1 month"), ("Q", "quarter", "3 months"), ("Y", "year", "1 year")):
+    _query(f"trend_{_freq}", "orders", lambda d, f=_freq: analyze.trend(d, "o_orderdate", "o_totalprice", f, "sum").withColumn("value", F.round("value", 2)),
+           f"WITH s AS (SELECT date_trunc('{_unit}', o_orderdate)::TIMESTAMP AS period, sum(o_totalprice) AS v FROM orders GROUP BY 1) SELECT g.p AS period, round(coalesce(v, 0), 2) AS value FROM (SELECT unnest(generate_series((SELECT min(period) FROM s), (SELECT max(period) FROM s), INTERVAL '{_step}')) AS p) g LEFT JOIN s ON s.period = g.p")
+_query("trend_W_mean", "orders", lambda d: analyze.trend(d, "o_orderdate", "o_totalprice", "W", "mean"),
+       "SELECT (date_trunc('week', o_orderdate) + INTERVAL 6 DAY)::TIMESTAMP AS period, round(avg(o_totalprice), 4) AS value FROM orders GROUP BY 1")
+_query("kpi_sum", "orders", lambda d: analyze.kpi(d, "sum", "o_totalprice", "o_orderdate").select(F.round("value", 2).alias("value"), F.round("previous", 2).alias("previous"), "delta_percent"),
+       "WITH b AS (SELECT max(o_orderdate::DATE) AS hi, (date_diff('day', min(o_orderdate::DATE), max(o_orderdate::DATE)) + 1) // 2 AS half FROM orders), v AS (SELECT sum(o_totalprice) FILTER (o_orderdate::DATE > hi - half::INTEGER) AS a, sum(o_totalprice) FILTER (o_orderdate::DATE <= hi - half::INTEGER AND o_orderdate::DATE > hi - (2 * half)::INTEGER) AS p FROM orders, b) SELECT round(a, 2) AS value, round(p, 2) AS previous, round((a - p) * 100 / abs(p), 1) AS delta_percent FROM v")
+_query("kpi_count", "events", lambda d: analyze.kpi(d, "count", "value").select("value"), "SELECT count(value)::DOUBLE AS value FROM events")
+_STEPS = ["view", "click", "signup", "purchase"]
+_FUNNEL = "WITH s AS (SELECT * FROM (VALUES (0, 'view'), (1, 'click'), (2, 'signup'), (3, 'purchase')) t(i, step)), n AS (SELECT event_type, {n} AS n FROM events GROUP BY 1), j AS (SELECT i, step, coalesce(n, 0) AS n FROM s LEFT JOIN n ON step = event_type) SELECT step, n, round(n * 100.0::DOUBLE / lag(n) OVER (ORDER BY i), 1) AS conversion FROM j"
+_query("funnel_users", "events", lambda d: analyze.funnel(d, column="event_type", steps=_STEPS, user_column="user_id"), _FUNNEL.format(n="count(DISTINCT user_id)"))
+_query("funnel_rows", "events", lambda d: analyze.funnel(d, column="event_type", steps=_STEPS), _FUNNEL.format(n="count(*)"))
+_query("funnel_columns", "orders", lambda d: analyze.funnel(d.select("o_orderkey", F.when(F.col("o_orderkey") % 3 == 0, F.col("o_totalprice")).alias("paid")), "columns", columns=["o_orderkey", "paid"]),
+       "SELECT 'o_orderkey' AS step, count(*) AS n, NULL::DOUBLE AS conversion FROM orders UNION ALL SELECT 'paid', count(*) FILTER (o_orderkey % 3 = 0), round(count(*) FILTER (o_orderkey % 3 = 0) * 100.0::DOUBLE / count(*), 1) FROM orders")
+_query("crosstab", "lineitem", lambda d: analyze.crosstab(d, "l_returnflag", "l_linestatus"),
+       "SELECT l_returnflag AS row, count(*) FILTER (l_linestatus = 'F') AS \"F\", count(*) FILTER (l_linestatus = 'O') AS \"O\" FROM lineitem GROUP BY 1")
+_query("profile", "customer", lambda d: analyze.profile(d, ["c_acctbal", "c_mktsegment"]).select("column", "kind", "count", "missing", "nunique", F.round("mean", 6).alias("mean"), "median"),
+       "SELECT 'c_acctbal' AS \"column\", 'numeric' AS kind, count(c_acctbal) AS count, count(*) - count(c_acctbal) AS missing, count(DISTINCT c_acctbal) AS nunique, round(avg(c_acctbal), 6) AS mean, quantile_cont(c_acctbal, 0.5) AS median FROM customer UNION ALL SELECT 'c_mktsegment', 'text', count(c_mktsegment), count(*) - count(c_mktsegment), count(DISTINCT c_mktsegment), NULL, NULL FROM customer")
+_gaps = lambda d: d.select("o_orderkey", F.when(F.col("o_orderkey") % 7 != 0, F.col("o_totalprice")).alias("p"))
+_GAPS = "(SELECT o_orderkey, CASE WHEN o_orderkey % 7 <> 0 THEN o_totalprice END AS p FROM orders)"
+_query("missing_matrix", "orders", lambda d: analyze.missing_matrix(_gaps(d), ["o_orderkey"], 10).select("bucket", "p"),
+       f"WITH r AS (SELECT p, row_number() OVER (ORDER BY o_orderkey) - 1 AS i, count(*) OVER () AS n FROM {_GAPS}) SELECT CAST(i * 10 // n AS INTEGER) AS bucket, round(avg((p IS NULL)::INTEGER) * 100, 2) AS p FROM r GROUP BY 1")
+_query("duplicates", "orders", lambda d: analyze.duplicates(d.select("o_custkey", "o_orderstatus")),
+       "WITH g AS (SELECT count(*) AS c FROM orders GROUP BY o_custkey, o_orderstatus HAVING count(*) > 1) SELECT CAST(sum(c) AS BIGINT) AS duplicate_rows, CAST(sum(c - 1) AS BIGINT) AS extra_rows, count(*) AS groups FROM g")
+_query("text_stats", "part", lambda d: analyze.text_stats(d, "p_name"),
+       "SELECT CAST(min(length(p_name)) AS INTEGER) AS min_length, CAST(max(length(p_name)) AS INTEGER) AS max_length, avg(length(p_name)) AS mean_length, CAST(sum((trim(p_name) = '')::INTEGER) AS BIGINT) AS blank, CAST(sum((trim(p_name) <> p_name)::INTEGER) AS BIGINT) AS edge_space FROM part")
+_query("scatter", "lineitem", lambda d: analyze.scatter(d, "l_quantity", "l_extendedprice", ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity"]),
+       "WITH r AS (SELECT l_quantity AS x, l_extendedprice AS y, row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity) - 1 AS i, greatest(1, count(*) OVER () // 1000) AS k FROM lineitem) SELECT x, y FROM r WHERE i % k = 0")
+
+# cleaning
+
+_OK = ["o_orderkey", "o_totalprice"]
+for _name, _o, _v, _where in (("gt", "gt", 200000, "o_totalprice > 200000"), ("ge", "ge", "150000", "o_totalprice >= 150000"), ("lt", "lt", 5000, "o_totalprice < 5000"), ("le", "le", 5000, "o_totalprice <= 5000"), ("between", "between", [1000, 2000], "o_totalprice BETWEEN 1000 AND 2000")):
+    _op(f"filter_{_name}", "orders", "filter_rows", {"column": "o_totalprice", "op": _o, "value": _v}, _OK, f"SELECT o_orderkey, o_totalprice FROM orders WHERE {_where}")
+for _name, _v, _where in (("eq", "F", "o_orderstatus = 'F'"), ("ne", "F", "o_orderstatus IS DISTINCT FROM 'F'"), ("isin", ["F", "P"], "o_orderstatus IN ('F', 'P')")):
+    _op(f"filter_{_name}", "orders", "filter_rows", {"column": "o_orderstatus", "op": _name, "value": _v}, ["o_orderkey"], f"SELECT o_orderkey FROM orders WHERE {_where}")
+_op("filter_contains", "part", "filter_rows", {"column": "p_name", "op": "contains", "value": "A"}, ["p_partkey"], "SELECT p_partkey FROM part WHERE contains(lower(p_name), 'a')")
+_op("filter_startswith", "customer", "filter_rows", {"column": "c_mktsegment", "op": "startswith", "value": "B"}, ["c_custkey"], "SELECT c_custkey FROM customer WHERE starts_with(c_mktsegment, 'B')")
+_op("filter_isnull", "orders", "filter_rows", {"column": "p", "op": "isnull"}, ["o_orderkey"], f"SELECT o_orderkey FROM {_GAPS} WHERE p IS NULL", _gaps)
+_op("filter_notnull", "orders", "filter_rows", {"column": "p", "op": "notnull"}, ["o_orderkey", "p"], f"SELECT o_orderkey, p FROM {_GAPS} WHERE p IS NOT NULL", _gaps)
+_op("drop_duplicates_first", "orders", "drop_duplicates", {"columns": ["o_custkey"], "order_by": ["o_orderkey"]}, ["o_custkey", "o_orderkey"], "SELECT o_custkey, min(o_orderkey) AS o_orderkey FROM orders GROUP BY 1")
+_query("drop_duplicates_rows", "orders", lambda d: clean.drop_duplicates(d.select("o_custkey", "o_orderstatus")), "SELECT DISTINCT o_custkey, o_orderstatus FROM orders")
+_op("drop_missing", "orders", "drop_missing", {"columns": ["p"]}, ["o_orderkey", "p"], f"SELECT * FROM {_GAPS} WHERE p IS NOT NULL", _gaps)
+_op("fill_constant", "orders", "fill_missing", {"columns": ["p"], "value": 0.5}, ["o_orderkey", "p"], f"SELECT o_orderkey, coalesce(p, 0.5) AS p FROM {_GAPS}", _gaps)
+_query("fill_mean", "orders", lambda d: clean.fill_missing(_gaps(d), ["p"], "mean").select("o_orderkey", F.round("p", 4).alias("p")), f"SELECT o_orderkey, round(coalesce(p, avg(p) OVER ()), 4) AS p FROM {_GAPS}")
+_op("fill_median", "orders", "fill_missing", {"columns": ["p"], "method": "median"}, ["o_orderkey", "p"], f"SELECT o_orderkey, coalesce(p, (SELECT quantile_cont(p, 0.5) FROM {_GAPS})) AS p FROM {_GAPS}", _gaps)
+_status = lambda d: d.select("o_orderkey", F.when(F.col("o_orderkey") % 5 != 0, F.col("o_orderpriority")).alias("s"))
+_STATUS = "(SELECT o_orderkey, CASE WHEN o_orderkey % 5 <> 0 THEN o_orderpriority END AS s FROM orders)"
+_op("fill_mode", "orders", "fill_missing", {"columns": ["s"], "method": "mode"}, ["o_orderkey", "s"], f"SELECT o_orderkey, coalesce(s, (SELECT s FROM {_STATUS} WHERE s IS NOT NULL GROUP BY s ORDER BY count(*) DESC, s LIMIT 1)) AS s FROM {_STATUS}", _status)
+_op("fill_ffill", "orders", "fill_missing", {"columns": ["p"], "method": "ffill", "order_by": ["o_orderkey"]}, ["o_orderkey", "p"], f"SELECT o_orderkey, last_value(p IGNORE NULLS) OVER (ORDER BY o_orderkey ROWS UNBOUNDED PRECEDING) AS p FROM {_GAPS}", _gaps)
+_op("fill_bfill", "orders", "fill_missing", {"columns": ["p"], "method": "bfill", "order_by": ["o_orderkey"]}, ["o_orderkey", "p"], f"SELECT o_orderkey, first_value(p IGNORE NULLS) OVER (ORDER BY o_orderkey ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS p FROM {_GAPS}", _gaps)
+_query("fill_interpolate", "orders", lambda d: clean.fill_missing(_gaps(d), ["p"], "interpolate", order_by=["o_orderkey"]).select("o_orderkey", F.round("p", 4).alias("p")),
+       f"WITH r AS (SELECT *, row_number() OVER (ORDER BY o_orderkey) AS i FROM {_GAPS}), k AS (SELECT *, last_value(p IGNORE NULLS) OVER b AS p0, first_value(p IGNORE NULLS) OVER f AS p1, last_value(CASE WHEN p IS NOT NULL THEN i END IGNORE NULLS) OVER b AS i0, first_value(CASE WHEN p IS NOT NULL THEN i END IGNORE NULLS) OVER f AS i1 FROM r WINDOW b AS (ORDER BY i ROWS UNBOUNDED PRECEDING), f AS (ORDER BY i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) SELECT o_orderkey, round(coalesce(p, p0 + (p1 - p0) * (i - i0) / (i1 - i0), p0, p1), 4) AS p FROM k")
+_op("rename_columns", "nation", "rename_columns", {"mapping": {"n_name": "country"}}, ["n_nationkey", "country"], "SELECT n_nationkey, n_name AS country FROM nation")
+_op("drop_columns", "nation", "drop_columns", {"columns": ["n_name"]}, ["n_nationkey", "n_regionkey"], "SELECT n_nationkey, n_regionkey FROM nation")
+_mixed = lambda d: d.select("c_custkey", F.when(F.col("c_custkey") % 3 == 0, F.lit("n/a")).when(F.col("c_custkey") % 3 == 1, F.concat(F.col("c_custkey").cast("string"), F.lit(".5"))).otherwise(F.concat(F.lit(" "), F.col("c_custkey").cast("string"))).alias("x"))
+_MIXED = "SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN NULL WHEN 1 THEN c_custkey + 0.5 ELSE c_custkey END::DOUBLE AS x FROM customer"
+_op("cast_float", "customer", "cast_type", {"column": "x", "to": "float"}, ["c_custkey", "x"], _MIXED, _mixed)
+_op("cast_int", "customer", "cast_type", {"column": "x", "to": "int"}, ["c_custkey", "x"], f"SELECT c_custkey, CAST(round_even(x, 0) AS BIGINT) AS x FROM ({_MIXED})", _mixed)
+_op("cast_str", "customer", "cast_type", {"column": "c_nationkey", "to": "str"}, ["c_custkey", "c_nationkey"], "SELECT c_custkey, c_nationkey::VARCHAR AS c_nationkey FROM customer")
+_op("cast_datetime", "orders", "cast_type", {"column": "d", "to": "datetime"}, ["o_orderkey", "d"], "SELECT o_orderkey, date_trunc('day', o_orderdate)::TIMESTAMP AS d FROM orders", lambda d: d.select("o_orderkey", F.when(F.col("o_orderkey") % 2 == 0, F.date_format("o_orderdate", "yyyy-MM-dd")).otherwise(F.date_format("o_orderdate", "yyyy/M/d")).alias("d")))
+_op("drop_outliers_iqr", "lineitem", "drop_outliers", {"columns": ["l_extendedprice"]}, ["l_orderkey", "l_extendedprice"], _IQR.format(c="l_extendedprice", t="lineitem") + " SELECT l_orderkey, l_extendedprice FROM lineitem, f WHERE NOT (l_extendedprice < lo OR l_extendedprice > hi)")
+_op("drop_outliers_zscore", "events", "drop_outliers", {"columns": ["value"], "method": "zscore"}, ["event_id"], _Z.format(c="value", t="events") + " SELECT event_id FROM events, f WHERE NOT (value < lo OR value > hi)")
+_query("cap_outliers_iqr", "events", lambda d: clean.cap_outliers(d, ["value"]).select("event_id", F.round("value", 6).alias("value")), _IQR.format(c="value", t="events") + " SELECT event_id, round(greatest(lo, least(hi, value)), 6) AS value FROM events, f")
+_query("cap_outliers_zscore", "events", lambda d: clean.cap_outliers(d, ["value"], "zscore").select("event_id", F.round("value", 6).alias("value")), _Z.format(c="value", t="events") + " SELECT event_id, round(greatest(lo, least(hi, value)), 6) AS value FROM events, f")
+_query("bin_equal_width", "part", lambda d: clean.bin_column(d, "p_size", bins=4, labels=["a", "b", "c", "d"], new_column="bin").groupBy("bin").count(),
+       "WITH b AS (SELECT min(p_size) AS lo, max(p_size) AS hi FROM part) SELECT chr(97 + CAST(greatest(0, ceil((p_size - lo) / ((hi - lo) / 4.0)) - 1) AS INTEGER)) AS bin, count(*) AS count FROM part, b GROUP BY 1")
+_query("bin_equal_freq", "part", lambda d: clean.bin_column(d, "p_retailprice", "equal_freq", 4, ["a", "b", "c", "d"], "bin").groupBy("bin").count(),
+       "WITH q AS (SELECT quantile_cont(p_retailprice, 0.25) AS a, quantile_cont(p_retailprice, 0.5) AS b, quantile_cont(p_retailprice, 0.75) AS c FROM part) SELECT CASE WHEN p_retailprice <= a THEN 'a' WHEN p_retailprice <= b THEN 'b' WHEN p_retailprice <= c THEN 'c' ELSE 'd' END AS bin, count(*) AS count FROM part, q GROUP BY 1")
+_query("one_hot", "orders", lambda d: _hot(clean.one_hot_encode(d, "o_orderstatus", "s", 2)),
+       "SELECT o_orderkey, CASE o_orderstatus WHEN a THEN a WHEN b THEN b END AS top FROM orders, (SELECT max(s) FILTER (i = 1) AS a, max(s) FILTER (i = 2) AS b FROM (SELECT o_orderstatus AS s, row_number() OVER (ORDER BY count(*) DESC, o_orderstatus) AS i FROM orders GROUP BY 1))")
+_query("standardize_zscore", "customer", lambda d: clean.standardize_column(d, "c_acctbal").select("c_custkey", F.col("c_acctbal_z").alias("z")), "SELECT c_custkey, round((c_acctbal - avg(c_acctbal) OVER ()) / stddev_samp(c_acctbal) OVER (), 6) AS z FROM customer")
+_query("standardize_minmax", "customer", lambda d: clean.standardize_column(d, "c_acctbal", "minmax").select("c_custkey", F.col("c_acctbal_归一").alias("m")), "SELECT c_custkey, round((c_acctbal - min(c_acctbal) OVER ()) / (max(c_acctbal) OVER () - min(c_acctbal) OVER ()), 6) AS m FROM customer")
+_op("log_transform", "part", "log_transform", {"column": "p_size"}, ["p_partkey", "p_size_log"], "SELECT p_partkey, round(ln(1 + p_size), 6) AS p_size_log FROM part")
+_query("date_parts", "orders", lambda d: _renamed(clean.extract_date_parts(d, "o_orderdate", ["year", "month", "day", "quarter", "weekday", "hour"]).select("o_orderkey", *[f"o_orderdate_{p}" for p in ("年", "月", "日", "季度", "星期", "小时")]), "o_orderkey", "y", "m", "d", "q", "w", "h"),
+       "SELECT o_orderkey, year(o_orderdate) AS y, month(o_orderdate) AS m, day(o_orderdate) AS d, quarter(o_orderdate) AS q, isodow(o_orderdate) AS w, hour(o_orderdate) AS h FROM orders")
+_op("regex_extract", "customer", "regex_extract", {"column": "c_name", "pattern": r"#0*(\d+)", "new_column": "n"}, ["c_custkey", "n"], r"SELECT c_custkey, CASE WHEN regexp_matches(c_name, '#0*(\d+)') THEN regexp_extract(c_name, '#0*(\d+)', 1) END AS n FROM customer")
+_spaced = lambda d: d.select("c_custkey", F.concat(F.lit(" \t"), F.col("c_name"), F.lit("  ａ　 ")).alias("t"))
+_op("trim_whitespace", "customer", "trim_whitespace", {"columns": ["t"]}, ["c_custkey", "t"], "SELECT c_custkey, c_name || '  ａ' AS t FROM customer", _spaced)
+_op("normalize_text", "customer", "normalize_text", {"columns": ["t"]}, ["c_custkey", "t"], "SELECT c_custkey, c_name || ' a' AS t FROM customer", _spaced)
+_op("parse_number", "customer", "parse_number", {"column": "t", "new_column": "n"}, ["c_custkey", "n"], "SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN c_custkey + 1000000.5 WHEN 1 THEN c_custkey * 10000 WHEN 2 THEN c_custkey END::DOUBLE AS n FROM customer",
+    lambda d: d.select("c_custkey", F.when(F.col("c_custkey") % 4 == 0, F.concat(F.lit("￥"), F.format_number(F.col("c_custkey") + 1000000.5, 1))).when(F.col("c_custkey") % 4 == 1, F.concat(F.col("c_custkey").cast("string"), F.lit("万"))).when(F.col("c_custkey") % 4 == 2, F.concat(F.col("c_custkey").cast("string"), F.lit("%"))).otherwise(F.lit("12,34")).alias("t")))
+_op("map_values", "orders", "map_values", {"column": "o_orderstatus", "mapping": {"F": "done", "O": "open"}}, ["o_orderkey", "o_orderstatus"], "SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN 'done' WHEN 'O' THEN 'open' ELSE o_orderstatus END AS o_orderstatus FROM orders")
+_op("split_column", "customer", "split_column", {"column": "c_name", "sep": "#", "into": ["a", "b"]}, ["c_custkey", "a", "b"], "SELECT c_custkey, split_part(c_name, '#', 1) AS a, split_part(c_name, '#', 2) AS b FROM customer")
+_query("drop_high_missing_columns", "orders", lambda d: clean.drop_high_missing(d.select("o_orderkey", F.when(F.col("o_orderkey") % 7 == 0, 1).alias("gone")), 0.5), "SELECT o_orderkey FROM orders")
+_query("drop_high_missing_rows", "orders", lambda d: clean.drop_high_missing(_gaps(d), 0.4, "row"), f"SELECT * FROM {_GAPS} WHERE p IS NOT NULL")
+_op("unify_boolean", "orders", "unify_boolean_text", {"column": "b"}, ["o_orderkey", "b"], "SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN '是' WHEN 1 THEN '否' ELSE 'maybe' END AS b FROM orders", lambda d: d.select("o_orderkey", F.element_at(F.array(*map(F.lit, (" YES", "no", "maybe"))), (F.col("o_orderkey") % 3 + 1).cast("int")).alias("b")))
+_query("page", "customer", lambda d: analyze.page(d, 2, 50, "c_acctbal", "desc", {"c_mktsegment": ["BUILDING"]}, ["c_custkey"])[0].select("c_custkey", "c_acctbal"), "SELECT c_custkey, c_acctbal FROM customer WHERE c_mktsegment = 'BUILDING' ORDER BY c_acctbal DESC NULLS LAST, c_custkey LIMIT 50 OFFSET 50")
+_query("sample_top", "customer", lambda d: analyze.sample(d, "top", 20, order_by=["c_custkey"]).select("c_custkey"), "SELECT c_custkey FROM customer ORDER BY 1 LIMIT 20")
+_query("sample_random", "customer", lambda d: analyze.sample(d, "random", 50).agg(F.count("*").alias("n"), F.count_distinct("c_custkey").alias("d")), "SELECT 50::BIGINT AS n, 50::BIGINT AS d")
+_query("sample_stratified", "customer", lambda d: analyze.sample(d, "stratified", 10, "c_nationkey").groupBy("c_nationkey").count(), "SELECT c_nationkey, least(10, count(*)) AS count FROM customer GROUP BY 1")
+
+# health check
+
+_query("health_findings", "customer", lambda d: health.findings_frame(d))
+_query("health_duplicates", "orders", lambda d: health.findings_frame(d.select("o_custkey", "o_orderstatus")).where("rule = 'H1'").select("rule", "count"),
+       "SELECT 'H1' AS rule, count(*) - (SELECT count(*) FROM (SELECT DISTINCT o_custkey, o_orderstatus FROM orders)) AS count FROM orders")
+_query("health_missing", "orders", lambda d: health.findings_frame(_gaps(d)).where("rule = 'H8'").select("rule", "count"), f"SELECT 'H8' AS rule, count(*) FILTER (p IS NULL) AS count FROM {_GAPS}")
+
+# SQL console: joins, windows, set operations, grouping sets
+
+_sql("sql_join_inner", "SELECT n_name, count(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name")
+_sql("sql_join_left", "SELECT s_suppkey, count(l_orderkey) AS n FROM supplier LEFT JOIN lineitem ON l_suppkey = s_suppkey AND l_quantity > 45 GROUP BY s_suppkey")
+_sql("sql_join_full", "SELECT coalesce(a.k, b.k) AS k, a.x, b.y FROM (SELECT c_nationkey AS k, count(*) AS x FROM customer WHERE c_acctbal > 9000 GROUP BY 1) a FULL JOIN (SELECT s_nationkey AS k, count(*) AS y FROM supplier GROUP BY 1) b ON a.k = b.k")
+_sql("sql_semi", "SELECT c_custkey FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 200000)")
+_sql("sql_anti", "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+_sql("sql_range_join", "SELECT r_name, count(*) AS n FROM region JOIN nation ON n_regionkey >= r_regionkey GROUP BY r_name")
+_sql("sql_correlated", "SELECT s_suppkey, (SELECT max(l_quantity) FROM lineitem WHERE l_suppkey = s_suppkey) AS q FROM supplier")
+_sql("sql_windows", "SELECT o_orderkey, row_number() OVER w AS rn, rank() OVER w AS r, dense_rank() OVER w AS dr, ntile(4) OVER w AS nt, lag(o_orderkey) OVER w AS lg, lead(o_orderkey) OVER w AS ld FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)", None)
+_sql("sql_frames", "SELECT o_orderkey, count(*) OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS k, first_value(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS f FROM orders")
+_sql("sql_set_operations", "SELECT c_nationkey AS k FROM customer INTERSECT SELECT s_nationkey FROM supplier UNION ALL (SELECT n_nationkey FROM nation EXCEPT SELECT s_nationkey FROM supplier)")
+_sql("sql_cube", "SELECT l_returnflag, l_linestatus, count(*) AS n FROM lineitem GROUP BY CUBE (l_returnflag, l_linestatus)")
+_sql("sql_rollup", "SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM orders GROUP BY ROLLUP (o_orderstatus, o_orderpriority)")
+_sql("sql_grouping_sets", "SELECT p_brand, p_size, count(*) AS n FROM part GROUP BY GROUPING SETS ((p_brand), (p_size), ())")
+_sql("sql_cte_filter", "WITH big AS (SELECT * FROM orders WHERE o_totalprice > 100000) SELECT o_orderstatus, count(*) FILTER (WHERE o_orderpriority = '1-URGENT') AS urgent, count(*) AS n FROM big GROUP BY o_orderstatus")
+_sql("sql_recursive", "WITH RECURSIVE t(n) AS (SELECT 1 UNION ALL SELECT n + 1 FROM t WHERE n < 20) SELECT n FROM t")
+
+
+def _asof(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = _table(spark, sf_dir, "events")
+    clicks, views = e.where("event_type = 'purchase'").select("event_id", "user_id", "ts"), e.where("event_type = 'view'").groupBy("user_id", "ts").agg(F.max("event_id").alias("view_id"))
+    return joins.asof_join(clicks, views, "ts", ["user_id"], ["view_id"]).select("event_id", "view_id")
+
+
+QUERIES["asof_join"] = _asof
+ORACLES["asof_join"] = "WITH v AS (SELECT user_id, ts, max(event_id) AS view_id FROM events WHERE event_type = 'view' GROUP BY 1, 2) SELECT p.event_id, v.view_id FROM (SELECT * FROM events WHERE event_type = 'purchase') p ASOF LEFT JOIN v ON p.user_id = v.user_id AND p.ts >= v.ts"
