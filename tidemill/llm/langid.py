@@ -23,7 +23,7 @@ from .common import arrow_limits, document_rows, pieces
 
 ORDER = 5
 #: Bounds of the sample that a model is fitted on: documents per language, and languages (the most frequent).
-SAMPLE_DOCS_PER_LANG = 400
+SAMPLE_DOCS_PER_LANG = 250
 MAX_LANGS = 200
 UNKNOWN = "und"
 _STEP = np.uint64(0x9E3779B97F4A7C15)
