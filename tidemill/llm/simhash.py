@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_limits, connected_components, cut, document_rows, pieces, texts_of
+from .common import arrow_limits, connected_components, cut, document_rows, pieces, release, texts_of
 
 WORDS = 3
 DISTANCE = 3
@@ -36,6 +36,8 @@ CHUNK = 16384
 #: Lanes and posting lists of fingerprints that measure a similarity of shingles.
 WIDE_LANES = 4
 WIDE_LISTS = 64
+#: Long lists (two numbers each) that may be broadcast.
+BROADCAST_LISTS = 100_000
 _SHORT = 48
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
@@ -155,7 +157,13 @@ def near_links(entries: DataFrame, lanes: int = 1, distance: int = DISTANCE, chu
     lists = F.array(*[F.lit(g << 24).cast("long") + byte[x] * 65536 + byte[y] * 256 + byte[z] for g, (x, y, z) in enumerate(_triples(lanes))])
     posted = entries.select("entry", *names, F.explode(lists).alias("list"))
     long = posted.groupBy("list").count().where(F.col("count") > chunk).select("list", F.ceil(F.col("count") / chunk).cast("int").alias("chunks"))
-    posted = posted.join(long, "list", "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
+    long = cut(long)
+    n_long = long.count()
+    if n_long:  # lists beyond the chunk are few; they are broadcast only below a checked number
+        posted = posted.join(F.broadcast(long) if n_long <= BROADCAST_LISTS else long, "list", "left")
+    else:
+        posted = posted.withColumn("chunks", F.lit(None).cast("int"))
+    posted = posted.withColumn("chunks", F.coalesce("chunks", F.lit(1)))
     mine = F.pmod(F.xxhash64("entry"), F.col("chunks")).cast("int")
     posted = posted.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     posted = posted.select("list", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "entry", *names)
@@ -197,7 +205,9 @@ def simhash_components(docs: DataFrame, words: int = WORDS, lanes: int = 1, dist
     prints = cut(fingerprints(docs, words, lanes, id_col, text_col))
     # an id may come with several texts, so entries have names of their own
     entries = cut(prints.groupBy(*names).agg(F.min("id").alias("first")).withColumn("entry", F.col("f0") if lanes == 1 else F.xxhash64(*names)))
-    parts = connected_components(near_links(entries, lanes, distance))
+    links = cut(near_links(entries, lanes, distance))
+    release(docs.sparkSession)
+    parts = connected_components(links)
     named = entries.join(parts, entries.entry == parts.node, "left").select(*names, "first", F.coalesce("component", "entry").alias("root"))
     lowest = named.groupBy("root").agg(F.min("first").alias("component_id"))
     classes = named.join(lowest, "root").select(*names, "component_id")
@@ -218,5 +228,6 @@ def drop_near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.
     Links join texts whose word shingles are about ``similarity`` alike, as wide fingerprints measure it.
     """
     found = simhash_components(docs, words, lanes, wide_distance(similarity, lanes), id_col, text_col)
-    kept = found.where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("__keep")).distinct()
+    kept = cut(found.where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("__keep")).distinct())
+    release(docs.sparkSession)
     return docs.join(kept, F.col(f"`{id_col}`").eqNullSafe(F.col("__keep")), "left_semi").dropDuplicates([id_col])
