@@ -80,10 +80,12 @@ def fill_missing(df: DataFrame, columns=None, method: str = "constant", value=No
             raise InputError("order_by is needed: rows have no order of their own")
         need_columns(df, order_by)
         order = Window.orderBy(*map(col, order_by))
-        before, behind = order.rowsBetween(Window.unboundedPreceding, 0), order.rowsBetween(0, Window.unboundedFollowing)
+        before = order.rowsBetween(Window.unboundedPreceding, 0)
+        # the mirrored order: a frame that shrinks is worked out anew for each row, one that grows is not
+        behind = Window.orderBy(*[col(c).desc_nulls_last() for c in order_by]).rowsBetween(Window.unboundedPreceding, 0)
         for c in columns:
             here = F.when(~_absent(df, c), col(c))
-            last, first = F.last(here, True).over(before), F.first(here, True).over(behind)
+            last, first = F.last(here, True).over(before), F.last(here, True).over(behind)
             if method != "interpolate":
                 out[c] = last if method == "ffill" else first
                 continue
@@ -91,7 +93,7 @@ def fill_missing(df: DataFrame, columns=None, method: str = "constant", value=No
             at = F.row_number().over(order)
             df = df.withColumn("__at", at)
             known = F.when(here.isNotNull(), F.col("__at"))
-            p, q = F.last(known, True).over(before), F.first(known, True).over(behind)
+            p, q = F.last(known, True).over(before), F.last(known, True).over(behind)
             between = last + (first - last) * F.try_divide(F.col("__at") - p, (q - p).cast("double"))
             df = df.withColumn(c, F.coalesce(here.cast("double"), between, last, first)).drop("__at")
     else:
