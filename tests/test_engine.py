@@ -1,3 +1,5 @@
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -117,3 +119,28 @@ def test_user_code(spark):
     assert out.count() == 2 and said == "hi\n"
     with pytest.raises(InputError):
         usercode.run_code(spark.range(3), "df = 1")
+
+
+def test_ordered_work_crosses_ranges(spark):
+    from tidemill.functions import ranges
+
+    rng = np.random.default_rng(7)
+    values = [None if rng.random() < 0.7 or 400 < i < 800 else float(rng.integers(100)) for i in range(1200)]
+    rows = [(int(i), values[i]) for i in rng.permutation(1200)]
+    df = spark.createDataFrame(rows, "id long, v double").repartition(7)
+    series = pd.Series(values)
+    for method, want in (("ffill", series.ffill()), ("bfill", series.bfill()), ("interpolate", series.interpolate(limit_direction="both"))):
+        out = clean.fill_missing(df, ["v"], method, order_by=["id"]).toPandas().sort_values("id")
+        assert list(out.columns) == ["id", "v"]
+        np.testing.assert_allclose(out["v"].to_numpy(float), want.to_numpy(float))
+    many = df.repartition(5).withColumn("one", F.lit(1))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        assert ranges.in_ranges(many, [F.col("id")]).select("__part").distinct().count() > 1
+        assert ranges.row_numbers(many, [F.col("id")]).where("__row <> id").isEmpty()
+        assert ranges.running_total(many, "id", "one", "below").where("below <> id").isEmpty()
+        back = clean.fill_missing(df, ["v"], "bfill", order_by=["id"]).toPandas().sort_values("id")
+        np.testing.assert_allclose(back["v"].to_numpy(float), series.bfill().to_numpy(float))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert clean.fill_missing(df.limit(0), ["v"], "ffill", order_by=["id"]).count() == 0

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..errors import InputError
-from ..functions import dates, stats
+from ..functions import dates, ranges, stats
 from ..functions.stats import col, kinds, need_columns, number, numeric_columns, pearson
 from .clean import _absent, _numeric
 
@@ -118,23 +118,11 @@ def outliers(df: DataFrame, columns=None, method: str = "iqr") -> DataFrame:
 def _average_rank(df: DataFrame, x: str, name: str) -> DataFrame:
     """Ranks with ties averaged: counts by value, running totals over the sorted values, joined back; no row is sorted in one task twice."""
     counts = df.where(F.col(x).isNotNull()).groupBy(x).agg(F.count(F.lit(1)).alias("__n"))
-    counts = running_total(counts, x, "__n", "__below")
+    counts = ranges.running_total(counts, x, "__n", "__below")
     ranks = counts.select(F.col(x).alias("__v"), (F.col("__below") + (F.col("__n") + 1) / 2).alias(name))
     return df.join(ranks, F.col(x) == F.col("__v"), "left").drop("__v")
 
 
-def running_total(df: DataFrame, order: str, n: str, name: str) -> DataFrame:
-    """Sum of ``n`` over rows with a smaller ``order``: ranges are summed apart, then shifted by the sums of the ranges before.
-
-    Only one number for each range goes through a single task.
-    """
-    ranged = df.repartitionByRange(F.col(order)).withColumn("__part", F.spark_partition_id())
-    inside = Window.partitionBy("__part").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    sums = ranged.groupBy("__part").agg(F.sum(n).alias("__sum"))
-    shift = sums.select("__part", F.coalesce(F.sum("__sum").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__shift"))
-    return ranged.withColumn("__in", F.coalesce(F.sum(n).over(inside), F.lit(0))).join(shift, "__part").withColumn(name, F.col("__in") + F.col("__shift")).drop("__part", "__in", "__shift")
-
-
 def kendall(df: DataFrame, x: str, y: str) -> float | None:
     """Tau-b over distinct pairs with counts: discordant pairs by merge sort within one task per ordered half of the values, so no cross join."""
     pairs = df.select(number(df, x).alias("x"), number(df, y).alias("y")).where("x is not null and y is not null").groupBy("x", "y").agg(F.count(F.lit(1)).alias("w"))
@@ -294,22 +282,12 @@ def missing_matrix(df: DataFrame, order_by, buckets: int = 40) -> DataFrame:
     n = df.count()
     if not n:
         raise InputError("no rows")
-    numbered = row_numbers(df, order_by)
+    numbered = ranges.row_numbers(df, list(map(col, order_by)))
     seg = min(buckets, n)
     bucket = F.floor(F.col("__row") * seg / n).cast("int")
     return numbered.groupBy(bucket.alias("bucket")).agg(*[F.round(F.avg(_absent(df, c).cast("double")) * 100, 2).alias(c) for c in df.columns]).orderBy("bucket")
 
 
-def row_numbers(df: DataFrame, order_by, name: str = "__row") -> DataFrame:
-    """Rows numbered from 0 in order: ranges are numbered apart and shifted by the sizes of the ranges before."""
-    order = list(map(col, order_by))
-    ranged = df.repartitionByRange(*order).withColumn("__part", F.spark_partition_id())
-    inside = F.row_number().over(Window.partitionBy("__part").orderBy(*order))
-    sizes = ranged.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))
-    shift = sizes.select("__part", F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__shift"))
-    return ranged.withColumn("__in", inside).join(shift, "__part").withColumn(name, F.col("__in") - 1 + F.col("__shift")).drop("__part", "__in", "__shift")
-
-
 def duplicates(df: DataFrame) -> DataFrame:
     """Rows in groups of equal rows, rows beyond the first of each, and groups."""
     groups = df.groupBy(*map(col, df.columns)).count().where("count > 1")
@@ -339,7 +317,7 @@ def scatter(df: DataFrame, x: str, y: str, order_by, max_points: int = 1000) ->
     if not n:
         raise InputError("no points")
     step = max(1, n // max_points)
-    return row_numbers(good, order_by).where(F.col("__row") % step == 0).orderBy("__row").select(a.alias("x"), b.alias("y"))
+    return ranges.row_numbers(good, list(map(col, order_by))).where(F.col("__row") % step == 0).orderBy("__row").select(a.alias("x"), b.alias("y"))
 
 
 def sample(df: DataFrame, method: str = "random", n: int = 100, by: str | None = None, seed: int = 42, order_by=None) -> DataFrame:

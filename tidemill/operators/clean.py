@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..errors import InputError
-from ..functions import dates, numbers, stats, text
+from ..functions import dates, numbers, ranges, stats, text
 from ..functions.stats import col, kinds, need_columns, number
 
 
@@ -79,23 +79,22 @@ def fill_missing(df: DataFrame, columns=None, method: str = "constant", value=No
         if not order_by:
             raise InputError("order_by is needed: rows have no order of their own")
         need_columns(df, order_by)
-        order = Window.orderBy(*map(col, order_by))
-        before = order.rowsBetween(Window.unboundedPreceding, 0)
-        # the mirrored order: a frame that shrinks is worked out anew for each row, one that grows is not
-        behind = Window.orderBy(*[col(c).desc_nulls_last() for c in order_by]).rowsBetween(Window.unboundedPreceding, 0)
-        for c in columns:
-            here = F.when(~_absent(df, c), col(c))
-            last, first = F.last(here, True).over(before), F.last(here, True).over(behind)
-            if method != "interpolate":
+        if method == "interpolate":
+            for c in columns:
+                _numeric(df, c)
+        names = df.columns
+        here = {str(i): F.when(~_absent(df, c), col(c)) for i, c in enumerate(columns)}
+        df = ranges.neighbours(df, here, list(map(col, order_by)))
+        for i, c in enumerate(columns):
+            prev, next_ = F.col(f"__prev_{i}"), F.col(f"__next_{i}")
+            last, first = prev["value"], next_["value"]
+            if method == "interpolate":
+                last, first = last.cast("double"), first.cast("double")
+                between = last + (first - last) * F.try_divide(F.col("__at") - prev["at"], (next_["at"] - prev["at"]).cast("double"))
+                out[c] = F.when(~_absent(df, c), col(c).cast("double")).otherwise(F.coalesce(between, last, first))
+            else:
                 out[c] = last if method == "ffill" else first
-                continue
-            _numeric(df, c)
-            at = F.row_number().over(order)
-            df = df.withColumn("__at", at)
-            known = F.when(here.isNotNull(), F.col("__at"))
-            p, q = F.last(known, True).over(before), F.last(known, True).over(behind)
-            between = last + (first - last) * F.try_divide(F.col("__at") - p, (q - p).cast("double"))
-            df = df.withColumn(c, F.coalesce(here.cast("double"), between, last, first)).drop("__at")
+        return df.withColumns(out).select(*map(col, names))
     else:
         raise InputError(f"unknown method: {method}")
     return df.withColumns(out) if out else df
