@@ -5,6 +5,7 @@ import public_tokenizers
 import pytest
 
 from tidemill.llm import bpe, chat, embedding_dedup, exact_dedup, langid, packing, quality, simhash, suffix_dedup, url_filter
+from tidemill.llm.common import connected_components
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, digest string"
 
@@ -90,6 +91,18 @@ def test_wide_fingerprints_find_near_copies(spark):
     assert sorted(r["doc_id"] for r in kept.collect()) == [1, 3]
 
 
+def test_contracted_links_keep_components(spark):
+    rng = np.random.default_rng(8)
+    links = [(int(a), int(b)) for a, b in rng.integers(0, 300, (260, 2)) if a != b]
+    label = list(range(300))
+    for a, b in links:
+        x, y = label[a], label[b]
+        label = [min(x, y) if k in (x, y) else k for k in label]
+    made = simhash.contracted(spark.createDataFrame(links, "a long, b long"))
+    got = {r["node"]: r["component"] for r in connected_components(made).collect()}
+    assert [got.get(i, i) for i in range(300)] == label
+
+
 def test_embeddings_against_brute_force(spark):
     rng = np.random.default_rng(5)
     x = rng.normal(size=(120, 8)).astype(np.float32)

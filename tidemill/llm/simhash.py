@@ -23,7 +23,7 @@ import re
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import arrow_limits, connected_components, cut, document_rows, pieces, release, texts_of
@@ -193,6 +193,17 @@ def near_links(entries: DataFrame, lanes: int = 1, distance: int = DISTANCE, chu
     return posted.mapInArrow(run, "a long, b long")
 
 
+def contracted(links: DataFrame) -> DataFrame:
+    """Links with the same components: ``b`` keeps its smallest ``a``, and its other ``a`` are linked to that one.
+
+    The lists of one group differ in the entry that the others hang on, so each entry comes with several; those
+    pairs are few and collapse. An entry is ``b`` once for each list (and pair of chunks) that it is in.
+    """
+    low = links.distinct().withColumn("m", F.min("a").over(Window.partitionBy("b")))
+    both = F.array(F.struct(F.col("m").alias("a"), "b"), F.struct(F.col("m").alias("a"), F.col("a").alias("b")))
+    return low.select(F.explode(both).alias("link")).select("link.a", "link.b").where("a <> b").distinct()
+
+
 def simhash_components(docs: DataFrame, words: int = WORDS, lanes: int = 1, distance: int = DISTANCE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The id, ``fingerprint`` (16 hex digits a lane), ``component_id`` (the smallest id reachable by links) of each row.
 
@@ -205,7 +216,7 @@ def simhash_components(docs: DataFrame, words: int = WORDS, lanes: int = 1, dist
     prints = cut(fingerprints(docs, words, lanes, id_col, text_col))
     # an id may come with several texts, so entries have names of their own
     entries = cut(prints.groupBy(*names).agg(F.min("id").alias("first")).withColumn("entry", F.col("f0") if lanes == 1 else F.xxhash64(*names)))
-    links = cut(near_links(entries, lanes, distance))
+    links = cut(contracted(near_links(entries, lanes, distance)))
     release(docs.sparkSession)
     parts = connected_components(links)
     named = entries.join(parts, entries.entry == parts.node, "left").select(*names, "first", F.coalesce("component", "entry").alias("root"))
