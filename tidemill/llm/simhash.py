@@ -200,8 +200,9 @@ def contracted(links: DataFrame) -> DataFrame:
     pairs are few and collapse. An entry is ``b`` once for each list (and pair of chunks) that it is in.
     """
     low = links.distinct().withColumn("m", F.min("a").over(Window.partitionBy("b")))
-    both = F.array(F.struct(F.col("m").alias("a"), "b"), F.struct(F.col("m").alias("a"), F.col("a").alias("b")))
-    return low.select(F.explode(both).alias("link")).select("link.a", "link.b").where("a <> b").distinct()
+    # many rows name the same few hubs: each half is made distinct before it is shuffled, and none is written out twice
+    hubs = low.where("a > m").select(F.col("m").alias("a"), F.col("a").alias("b")).distinct()
+    return low.select(F.col("m").alias("a"), "b").distinct().unionByName(hubs).where("a <> b").distinct()
 
 
 def simhash_components(docs: DataFrame, words: int = WORDS, lanes: int = 1, distance: int = DISTANCE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -216,7 +217,7 @@ def simhash_components(docs: DataFrame, words: int = WORDS, lanes: int = 1, dist
     prints = cut(fingerprints(docs, words, lanes, id_col, text_col))
     # an id may come with several texts, so entries have names of their own
     entries = cut(prints.groupBy(*names).agg(F.min("id").alias("first")).withColumn("entry", F.col("f0") if lanes == 1 else F.xxhash64(*names)))
-    links = cut(contracted(near_links(entries, lanes, distance)))
+    links = cut(contracted(cut(near_links(entries, lanes, distance))))
     release(docs.sparkSession)
     parts = connected_components(links)
     named = entries.join(parts, entries.entry == parts.node, "left").select(*names, "first", F.coalesce("component", "entry").alias("root"))
