@@ -101,6 +101,15 @@ def test_contracted_links_keep_components(spark):
     made = simhash.contracted(spark.createDataFrame(links, "a long, b long"))
     got = {r["node"]: r["component"] for r in connected_components(made).collect()}
     assert [got.get(i, i) for i in range(300)] == label
+    a, b = simhash.contracted_pairs(*np.array(links).T)
+    assert len(a) <= len(links)
+    got = list(range(300))
+    for x, y in zip(a, b):
+        got = [min(got[x], got[y]) if k in (got[x], got[y]) else k for k in got]
+    assert got == label
+    x, y = np.triu_indices(40, 1)  # all pairs of a group leave a star
+    assert [len(c) for c in simhash.contracted_pairs(x, y)] == [39, 39]
+    assert [len(c) for c in simhash.contracted_pairs(x[:0], y[:0])] == [0, 0]
 
 
 def test_embeddings_against_brute_force(spark):

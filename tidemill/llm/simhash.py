@@ -187,12 +187,25 @@ def near_links(entries: DataFrame, lanes: int = 1, distance: int = DISTANCE, chu
             if whole:
                 prints = np.stack([np.ascontiguousarray(c[:whole]).view(np.uint64) for c in held[4:]], 1)
                 a, b = _links([k[:whole] for k in held[:3]], prints, distance, shared)
-                yield pa.RecordBatch.from_arrays([pa.array(held[3][a]), pa.array(held[3][b])], names=["a", "b"])
+                a, b = contracted_pairs(held[3][a], held[3][b])
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
                 held = [k[whole:] for k in held]
 
     return posted.mapInArrow(run, "a long, b long")
 
 
+def contracted_pairs(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What ``contracted`` does, for the links of a few lists, before they leave their task."""
+    if not len(a):
+        return a, b
+    order = np.lexsort((a, b))
+    a, b = a[order], b[order]
+    new = np.r_[True, b[1:] != b[:-1]]
+    low = a[new][np.cumsum(new) - 1]
+    pairs = np.unique(np.stack([np.r_[a[new], low[a > low]], np.r_[b[new], a[a > low]]], 1), axis=0)
+    return pairs[:, 0], pairs[:, 1]
+
+
 def contracted(links: DataFrame) -> DataFrame:
     """Links with the same components: ``b`` keeps its smallest ``a``, and its other ``a`` are linked to that one.
 
