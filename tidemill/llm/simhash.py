@@ -4,10 +4,12 @@ A fingerprint is a row of positional bytes, eight for each 64-bit lane. With one
 at most three differing bits, two fingerprints share at least five of eight bytes,
 so three of them lie in one half of the positions: posting lists are kept for the
 eight triples of positions inside a half, and no pair is lost. (A list of one byte would hold
-1/256 of all fingerprints and its pairs would grow with their square.) With more lanes the
-threshold is a share of the bits and the lists are kept for ``WIDE_LISTS`` triples spread over all
-positions. For pairs that meet in a list the shared positional bytes are
-tallied, pairs below the guaranteed minimum are dropped, and the rest are verified bit by bit.
+1/256 of all fingerprints and its pairs would grow with their square.) For pairs that meet in a list
+the shared positional bytes are tallied, pairs below the guaranteed minimum are dropped, and the rest are verified bit by bit.
+
+``drop_near_duplicates`` asks for a similarity of shingles, which no list of bytes guarantees at 0.8. Its
+lists are kept for the rarest shingles of each text (a prefix that any two similar texts share an element of), wide
+fingerprints only drop pairs that are far below the limit, and the sets of shingles verify each link.
 
 Equal fingerprints are one entry of the index. A list leaves a spanning forest of
 its links, never all pairs, and lists with many entries are cut into chunks that
@@ -26,16 +28,23 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_limits, connected_components, cut, document_rows, pieces, release, texts_of
+from .common import arrow_limits, connected_components, cut, document_rows, pieces, release, stored, texts_of
 
 WORDS = 3
 DISTANCE = 3
 SEED = 42
 #: Entries of a posting list that one task compares with one another.
 CHUNK = 16384
-#: Lanes and posting lists of fingerprints that measure a similarity of shingles.
+#: Lanes of the fingerprints that go before the sets of shingles, and the share of bits beyond which a pair is not looked at.
+#: Texts of similarity 0.8 differ in 0.15 of the bits, tiny ones in up to 0.19; for those 5/16 of 256 bits are five standard deviations more.
 WIDE_LANES = 4
-WIDE_LISTS = 64
+WIDE_SHARE = 5 / 16
+#: Common shingles come last in the order of prefixes: at most so many, found so often in one of so many texts. Any order loses nothing.
+COMMON = 1 << 16
+COMMON_COUNT = 8
+COMMON_SAMPLE = 16
+#: Members of a group whose sets of shingles one task compares with one another.
+SETS = 512
 #: Long lists (two numbers each) that may be broadcast.
 BROADCAST_LISTS = 100_000
 _SHORT = 48
@@ -136,26 +145,25 @@ def _links(keys: list[np.ndarray], prints: np.ndarray, distance: int, shared: in
     return np.concatenate([none, *a]), np.concatenate([none, *b])
 
 
-def _triples(lanes: int) -> list[tuple[int, int, int]]:
-    """Positions of the posting lists: inside halves for one lane, else spread evenly by strides over all positions."""
-    if lanes == 1:
-        return [t for half in (range(4), range(4, 8)) for t in itertools.combinations(half, 3)]
-    n = 8 * lanes
-    spread = ((i % n, (i + 1 + 4 * (i // n)) % n, (i + 11 + 7 * (i // n)) % n) for i in range(WIDE_LISTS))
-    return [tuple(sorted(t)) for t in spread]
+_TRIPLES = [t for half in (range(4), range(4, 8)) for t in itertools.combinations(half, 3)]
 
 
-def near_links(entries: DataFrame, lanes: int = 1, distance: int = DISTANCE, chunk: int = CHUNK) -> DataFrame:
-    """``a``, ``b`` (values of ``entry``): links whose components are those of all pairs found with at most ``distance`` differing bits.
+def near_links(entries: DataFrame, distance: int = DISTANCE, chunk: int = CHUNK) -> DataFrame:
+    """``a``, ``b`` (values of ``entry``): links whose components are those of all pairs with at most ``distance`` differing bits.
 
-    ``entries`` holds distinct fingerprints, each named by the long ``entry``.
+    ``entries`` holds distinct fingerprints ``f0``, each named by the long ``entry``.
     """
-    if lanes == 1 and not 0 <= distance <= 3:
-        raise ValueError("one lane guarantees pairs of at most 3 differing bits; take more lanes for more")
-    names, shared = _columns(lanes), 8 - distance if lanes == 1 else 3
-    byte = [F.shiftrightunsigned(names[i // 8], 8 * (i % 8)).bitwiseAND(F.lit(255)) for i in range(8 * lanes)]
-    lists = F.array(*[F.lit(g << 24).cast("long") + byte[x] * 65536 + byte[y] * 256 + byte[z] for g, (x, y, z) in enumerate(_triples(lanes))])
-    posted = entries.select("entry", *names, F.explode(lists).alias("list"))
+    if not 0 <= distance <= 3:
+        raise ValueError("byte triples guarantee pairs of at most 3 differing bits")
+    byte = [F.shiftrightunsigned("f0", 8 * i).bitwiseAND(F.lit(255)) for i in range(8)]
+    lists = F.array(*[F.lit(g << 24).cast("long") + byte[x] * 65536 + byte[y] * 256 + byte[z] for g, (x, y, z) in enumerate(_TRIPLES)])
+    return listed_links(entries.select("entry", "f0", lists.alias("lists")), 1, distance, 8 - distance, chunk)
+
+
+def listed_links(entries: DataFrame, lanes: int, distance: int, shared: int, chunk: int = CHUNK) -> DataFrame:
+    """``a``, ``b``: links whose components are those of all near pairs that meet in one of the ``lists`` of an entry."""
+    names = _columns(lanes)
+    posted = entries.select("entry", *names, F.explode("lists").alias("list"))
     long = posted.groupBy("list").count().where(F.col("count") > chunk).select("list", F.ceil(F.col("count") / chunk).cast("int").alias("chunks"))
     long = cut(long)
     n_long = long.count()
@@ -218,41 +226,181 @@ def contracted(links: DataFrame) -> DataFrame:
     return low.select(F.col("m").alias("a"), "b").distinct().unionByName(hubs).where("a <> b").distinct()
 
 
-def simhash_components(docs: DataFrame, words: int = WORDS, lanes: int = 1, distance: int = DISTANCE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The id, ``fingerprint`` (16 hex digits a lane), ``component_id`` (the smallest id reachable by links) of each row.
+def simhash_components(docs: DataFrame, words: int = WORDS, distance: int = DISTANCE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The id, ``fingerprint`` (16 hex digits), ``component_id`` (the smallest id reachable by links) of each row.
 
     Texts without words have fingerprint zero and link like any other; null texts
     are empty; rows that repeat an id keep their own fingerprints. Null ids belong to
     the component of their fingerprint, whose id is null only without any other id.
     An empty table gives an empty result.
     """
-    names = _columns(lanes)
-    prints = cut(fingerprints(docs, words, lanes, id_col, text_col))
+    prints = cut(fingerprints(docs, words, 1, id_col, text_col))
     # an id may come with several texts, so entries have names of their own
-    entries = cut(prints.groupBy(*names).agg(F.min("id").alias("first")).withColumn("entry", F.col("f0") if lanes == 1 else F.xxhash64(*names)))
-    links = cut(contracted(cut(near_links(entries, lanes, distance))))
+    entries = cut(prints.groupBy("f0").agg(F.min("id").alias("first")).withColumn("entry", F.col("f0")))
+    links = cut(contracted(cut(near_links(entries, distance))))
     release(docs.sparkSession)
     parts = connected_components(links)
-    named = entries.join(parts, entries.entry == parts.node, "left").select(*names, "first", F.coalesce("component", "entry").alias("root"))
+    named = entries.join(parts, entries.entry == parts.node, "left").select("f0", "first", F.coalesce("component", "entry").alias("root"))
     lowest = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    classes = named.join(lowest, "root").select(*names, "component_id")
-    digits = F.concat(*[F.lower(F.lpad(F.hex(c), 16, "0")) for c in names])
-    return prints.join(classes, names).select(F.col("id").alias(id_col), digits.alias("fingerprint"), "component_id")
+    classes = named.join(lowest, "root").select("f0", "component_id")
+    digits = F.lower(F.lpad(F.hex("f0"), 16, "0"))
+    return prints.join(classes, "f0").select(F.col("id").alias(id_col), digits.alias("fingerprint"), "component_id")
+
+
+def shingles(text: bytes, words: int) -> np.ndarray:
+    """Sorted distinct hashes of the text's word shingles, A-Z lower-cased; a text of fewer words is one shingle."""
+    found = _WORD.findall(text.lower())
+    if not found:
+        return np.zeros(0, np.uint64)
+    each = np.array([xxhash.xxh64_intdigest(w, SEED) for w in found], np.uint64)
+    n = max(1, len(each) - words + 1)
+    out = np.full(n, min(words, len(each)), np.uint64)
+    for k in range(min(words, len(each))):
+        out = (out ^ each[k : k + n]) * np.uint64(0x9E3779B97F4A7C15)
+        out ^= out >> np.uint64(32)
+    return np.unique(out)
+
+
+def _wide(found: np.ndarray, lanes: int) -> np.ndarray:
+    """SimHash lanes of a set of hashes."""
+    total, hashes = np.zeros((lanes, 64), np.int64), found
+    for lane in range(lanes):
+        hashes = (hashes ^ (hashes >> np.uint64(31))) * np.uint64(0xD6E8FEB86659FD93)
+        hashes = hashes ^ (hashes >> np.uint64(29))
+        for a in range(0, len(hashes), 1 << 14):
+            total[lane] += np.unpackbits(hashes[a : a + (1 << 14)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return np.packbits(total * 2 > len(found), axis=1, bitorder="little").view("<u8").ravel()
+
+
+def _prefix(found: np.ndarray, common: np.ndarray, similarity: float) -> np.ndarray:
+    """The first shingles, common ones last: two sets share ``similarity`` of each at least, so one of these."""
+    size = len(found) - math.ceil(similarity * len(found) - 1e-9) + 1 if len(found) else 0
+    if len(common):
+        often = common[np.minimum(np.searchsorted(common, found), len(common) - 1)] == found
+        found = np.r_[found[~often], found[often]]
+    return found[:size]
+
+
+def common_shingles(texts: DataFrame, words: int, sample: int = COMMON_SAMPLE, count: int = COMMON_COUNT) -> np.ndarray:
+    """Sorted hashes of shingles that many texts (``text``) hold, counted in a sample; only the order of prefixes follows them."""
+
+    def run(batches):
+        for batch in pieces(batches, "text", 4 << 20):
+            found = np.concatenate([np.zeros(0, np.uint64), *[shingles(t, words) for t in texts_of(batch.column(0))]])
+            one, n = np.unique(found, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(one.view(np.int64)), pa.array(n)], names=["list", "n"])
+
+    some = texts.where(F.pmod(F.xxhash64("text"), F.lit(sample)) == 0).select("text").mapInArrow(run, "list long, n long")
+    often = some.groupBy("list").agg(F.sum("n").alias("n")).where(F.col("n") >= count).orderBy(F.desc("n"), "list").limit(COMMON)
+    return np.sort(np.array([r["list"] for r in often.collect()], np.int64).view(np.uint64))
+
+
+def shingle_entries(rows: DataFrame, words: int, similarity: float, lanes: int) -> DataFrame:
+    """``id``, ``key`` of the rows (which have a ``text`` too), the name of their set of shingles (``entry``), its fingerprint and its ``lists``."""
+    held = rows.sparkSession.sparkContext.broadcast(common_shingles(rows, words))
+    names = _columns(lanes)
 
+    def run(batches):
+        common = held.value
+        for batch in pieces(batches, "text", 4 << 20):
+            sets = [shingles(t, words) for t in texts_of(batch.column(2))]
+            entry = np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets], np.uint64).view(np.int64)
+            prints = np.array([_wide(s, lanes) for s in sets], np.uint64).reshape(-1, lanes).view(np.int64).T
+            lists = [_prefix(s, common, similarity) for s in sets]
+            ends = np.cumsum([0, *map(len, lists)])
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.uint64), *lists]).view(np.int64)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(entry), *[pa.array(np.ascontiguousarray(c)) for c in prints], lists], names=["id", "key", "entry", *names, "lists"])
+
+    return rows.mapInArrow(run, ", ".join(["id long, key binary, entry long", *[f"{c} long" for c in names], "lists array<long>"]))
+
+
+def similar_forest(sets: list[np.ndarray], prints: np.ndarray, similarity: float, distance: int) -> tuple[np.ndarray, np.ndarray]:
+    """What ``forest`` does, for sets of that Jaccard similarity at least."""
+    sizes, left, a, b = np.array([len(s) for s in sets]), np.arange(len(sets)), [], []
+    while len(left) > 1:
+        front, left = [int(left[0])], left[1:]
+        while front and len(left):
+            f = front.pop()
+            least, most = np.minimum(sizes[left], sizes[f]), np.maximum(sizes[left], sizes[f])
+            may = left[(least >= similarity * most - 1e-9) & (np.bitwise_count(prints[left] ^ prints[f]).sum(-1, dtype=np.int64) <= distance)]
+            may = may[sizes[may] > 0]
+            if not len(may) or not sizes[f]:
+                continue
+            flat = np.concatenate([sets[k] for k in may])
+            hit = sets[f][np.minimum(np.searchsorted(sets[f], flat), sizes[f] - 1)] == flat
+            both = np.add.reduceat(hit, np.cumsum(sizes[may]) - sizes[may], dtype=np.int64)
+            got = may[both >= similarity * (sizes[may] + sizes[f] - both) - 1e-9]
+            a += [f] * len(got)
+            b += got.tolist()
+            front += got.tolist()
+            left = np.setdiff1d(left, got, assume_unique=True)
+    return np.array(a, np.int64), np.array(b, np.int64)
+
+
+def similar_links(rows: DataFrame, entries: DataFrame, groups: DataFrame, words: int, similarity: float, lanes: int, distance: int, size: int = SETS) -> DataFrame:
+    """``a``, ``b``: links by the sets of shingles within ``groups`` (``node``, ``component``), large ones by pairs of parts of about ``size`` members."""
+    names = _columns(lanes)
+    parts = groups.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / size).cast("int").alias("chunks"))
+    members = groups.join(parts, "component").join(entries, F.col("node") == F.col("entry")).select("key", "entry", *names, "component", "chunks")
+    texts = rows.select("key", "text").join(members, "key").select("entry", *names, "component", "chunks", "text")
 
-def wide_distance(similarity: float, lanes: int) -> int:
-    """Bits of ``lanes`` lanes in which texts of that Jaccard similarity of shingles differ: the angle between sets with
-    cosine 2J / (1 + J) as a share of a half turn, and one standard deviation, so most pairs at the limit are found."""
-    bits, share = 64 * lanes, math.acos(2 * similarity / (1 + similarity)) / math.pi
-    return math.floor(bits * share + math.sqrt(bits * share * (1 - share)))
+    def sets(batches):
+        for batch in pieces(batches, "text", 4 << 20):
+            found = pa.array([shingles(t, words).tobytes() for t in texts_of(batch.column(batch.num_columns - 1))], pa.binary())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], found], names=[*batch.schema.names[:-1], "found"])
+
+    made = texts.mapInArrow(sets, ", ".join(["entry long", *[f"{c} long" for c in names], "component long, chunks int, found binary"]))
+    mine = F.pmod(F.xxhash64("entry"), F.col("chunks")).cast("int")
+    made = made.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    made = made.select("component", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "entry", *names, "found")
+    made = made.repartition("component", "i", "j").sortWithinPartitions("component", "i", "j", "entry")
+
+    def run(batches):
+        last, entry, prints, found = None, [], [], []
+
+        def links():
+            a, b = similar_forest(found, np.array(prints, np.int64).view(np.uint64), similarity, distance)
+            a, b = np.array(entry, np.int64)[a], np.array(entry, np.int64)[b]
+            return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+
+        for batch in batches:
+            for c, i, j, e, *rest in zip(*[x.to_pylist() for x in batch.columns]):
+                if (c, i, j) != last:
+                    if len(entry) > 1:
+                        yield links()
+                    last, entry, prints, found = (c, i, j), [], [], []
+                if not entry or entry[-1] != e:  # the same text in several rows is one
+                    entry.append(e)
+                    prints.append(rest[:-1])
+                    found.append(np.frombuffer(rest[-1], np.uint64))
+        if len(entry) > 1:
+            yield links()
+
+    return made.mapInArrow(run, "a long, b long")
 
 
 def drop_near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, lanes: int = WIDE_LANES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one document of each component: that with the smallest id, once.
+    """``docs`` with one document of each component: that with the smallest id, once; null ids come last.
 
-    Links join texts whose word shingles are about ``similarity`` alike, as wide fingerprints measure it.
+    Links join texts whose sets of word shingles have a Jaccard similarity of at least ``similarity``. A document is an id
+    with its text: other texts of the same id, or of null ids, are documents of their own.
     """
-    found = simhash_components(docs, words, lanes, wide_distance(similarity, lanes), id_col, text_col)
-    kept = cut(found.where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("__keep")).distinct())
+    arrow_limits(docs.sparkSession)
+    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
+    key = F.unhex(F.sha2(text, 256))
+    rows = docs.select(F.col(f"`{id_col}`").alias("id"), key.alias("key"), text.alias("text"))
+    distance, names = int(WIDE_SHARE * 64 * lanes), _columns(lanes)
+    prints = stored(shingle_entries(rows, words, similarity, lanes), "shingles")
+    one = F.min_by(F.struct("key", *names, "lists"), "key")
+    entries = stored(prints.groupBy("entry").agg(one.alias("x")).select("entry", "x.*"), "entries")
+    release(docs.sparkSession)
+    loose = connected_components(cut(contracted(cut(listed_links(entries, lanes, distance, 0)))))
+    links = cut(contracted(cut(similar_links(rows, entries.drop("lists"), loose, words, similarity, lanes, distance))))
+    release(docs.sparkSession)
+    parts = connected_components(links)
+    named = prints.select("id", "key", "entry").join(parts, F.col("entry") == F.col("node"), "left").select("id", "key", F.coalesce("component", "entry").alias("root"))
+    first = named.groupBy("root").agg(F.min(F.struct(F.col("id").isNull(), "id", "key")).alias("x"))
+    kept = cut(first.select(F.col("x.id").alias("__keep"), F.col("x.key").alias("__kept")))
     release(docs.sparkSession)
-    return docs.join(kept, F.col(f"`{id_col}`").eqNullSafe(F.col("__keep")), "left_semi").dropDuplicates([id_col])
+    found = docs.withColumn("__key", key).join(kept, F.col(f"`{id_col}`").eqNullSafe(F.col("__keep")) & (F.col("__key") == F.col("__kept")), "left_semi")
+    return found.dropDuplicates([id_col, "__key"]).drop("__key")
