@@ -2,7 +2,7 @@
 
 import numpy as np
 
-from tidemill.llm import simhash
+from tidemill.llm import exact_dedup, simhash
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, digest string"
 
@@ -60,3 +60,12 @@ def test_groups_larger_than_a_part(spark):
     groups = prints.selectExpr("entry as node", "0L as component")
     links = simhash.similar_links(d, prints.select("key", "entry", "f0", "f1", "f2", "f3"), groups, 5, 0.8, 4, 80, size=7).collect()
     assert len({x for r in links for x in r}) == 40
+
+
+def test_null_and_repeated_ids_lose_no_document(spark):
+    a, b, c, d = ("alpha one two three four five six", "beta other words that stand alone here", "gamma third text of its own again", "delta fourth and last of them all")
+    rows = [(None, a), (None, b), (1, c), (1, d), (1, d), (2, c), (None, d.upper())]
+    exact = exact_dedup.drop_exact_duplicates(docs(spark, rows)).collect()
+    assert sorted(((r["doc_id"], r["text"]) for r in exact), key=str) == sorted([(None, a), (None, b), (2, c), (1, d)], key=str)
+    near = simhash.drop_near_duplicates(docs(spark, rows)).collect()
+    assert sorted(((r["doc_id"], r["text"]) for r in near), key=str) == sorted([(None, a), (None, b), (1, c), (1, d)], key=str)

@@ -93,6 +93,16 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = COUNTERS) -> DataFrame:
-    """``docs`` without all but the kept row of each group; repeated rows of one id leave one."""
-    kept = exact_dedup(docs, id_col, text_col, k).where("kept").select(F.col(id_col).alias("__keep")).distinct()
-    return docs.join(kept, F.col(f"`{id_col}`").eqNullSafe(F.col("__keep")), "left_semi").dropDuplicates([id_col])
+    """``docs`` without all but the kept row of each group; rows that repeat an id and its text leave one.
+
+    A document is an id with its text: other texts of the same id, or of null ids, are documents of their own. Of texts
+    of one id that differ in case only, that with the smallest SHA-256 stays.
+    """
+    own, text = F.col(f"`{id_col}`"), F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
+    kept = exact_dedup(docs, id_col, text_col, k).where("kept").select(F.col(id_col).alias("__id"), F.col("text_sha256").alias("__norm")).distinct()
+    lower = F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    keyed = docs.select(own.alias("id"), F.sha2(lower, 256).alias("norm"), F.sha2(text, 256).alias("raw"))
+    named = keyed.join(kept, F.col("id").eqNullSafe(F.col("__id")) & (F.col("norm") == F.col("__norm")), "left_semi")
+    named = cut(named.groupBy("id", "norm").agg(F.min("raw").alias("__raw")).select(F.col("id").alias("__id"), "__raw"))
+    found = docs.withColumn("__key", F.sha2(text, 256)).join(named, own.eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__raw")), "left_semi")
+    return found.dropDuplicates([id_col, "__key"]).drop("__key")
