@@ -1,8 +1,10 @@
 """Brute-force tests of what the training-data operators have to find or leave alone as a whole."""
 
+import hashlib
+
 import numpy as np
 
-from tidemill.llm import exact_dedup, simhash
+from tidemill.llm import exact_dedup, simhash, suffix_dedup
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, digest string"
 
@@ -69,3 +71,32 @@ def test_null_and_repeated_ids_lose_no_document(spark):
     assert sorted(((r["doc_id"], r["text"]) for r in exact), key=str) == sorted([(None, a), (None, b), (2, c), (1, d)], key=str)
     near = simhash.drop_near_duplicates(docs(spark, rows)).collect()
     assert sorted(((r["doc_id"], r["text"]) for r in near), key=str) == sorted([(None, a), (None, b), (1, c), (1, d)], key=str)
+
+
+def without_repeats(rows, window=100):
+    """{(id, text): bytes that stay}: places in the order of id (null first) and SHA-256 of the text."""
+    order = sorted(set(rows), key=lambda x: (x[0] is not None, x[0] or 0, hashlib.sha256(x[1].encode()).hexdigest()))
+    seen, out = set(), {}
+    for i, text in order:
+        t = text.encode()
+        mask = np.zeros(len(t), bool)
+        for p in range(len(t) - window + 1):
+            if t[p : p + window] in seen:
+                mask[p : p + window] = True
+            seen.add(t[p : p + window])
+        out[i, text] = np.frombuffer(t, np.uint8)[~mask].tobytes()
+    return out
+
+
+def test_repeats_under_null_and_repeated_ids(spark):
+    rng = np.random.default_rng(11)
+    word = lambda n: "".join(rng.choice(list("abcde "), n))
+    shared = word(160)
+    rows = [(None, word(20) + shared), (None, word(20) + shared), (None, word(130)), (1, word(300) + shared + word(40)), (1, word(120)), (2, shared + word(60)), (2, shared + word(60)), (3, word(140)), (-(1 << 63), word(50) + shared)]
+    rows.append(rows[3])
+    want = without_repeats(rows)
+    cut = suffix_dedup.cut_repeats(docs(spark, rows)).collect()
+    assert sorted((str(r["doc_id"]), r["text"]) for r in cut) == sorted((str(i), want[i, t].decode()) for i, t in rows)
+    found = suffix_dedup.repeated_spans(docs(spark, rows)).collect()
+    assert sorted((str(r["doc_id"]), r["kept_sha256"]) for r in found) == sorted((str(i), hashlib.sha256(want[i, t]).hexdigest()) for i, t in rows)
+    assert all(s["end"] > s["start"] for r in found for s in r["spans"])

@@ -25,6 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.ranges import row_numbers
 from .common import arrow_limits, pieces, release, stored
 
 WINDOW = 100
@@ -392,10 +393,29 @@ def _covered(length: int, p: np.ndarray, n: np.ndarray, window: int) -> np.ndarr
     return np.stack([start[new], far[np.r_[new[1:] - 1, len(far) - 1]]], 1)
 
 
+def placed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``docs`` with ``__place``, the long that orders and names documents: a document is an id with its text.
+
+    Where every id has one text that is the id itself, null before all others. Else documents are numbered in the order of
+    id (null first) and text digest, so that other texts of the same id or of null ids are places of their own.
+    """
+    own = F.col(f"`{id_col}`")
+    number, key = F.coalesce(own, F.lit(_NO_ID)), F.sha2(F.coalesce(F.col(f"`{text_col}`"), F.lit("")), 256)
+    names = docs.select(own.isNotNull().alias("__has"), number.alias("__doc_id"), key.alias("__key"))
+    several = F.min(F.struct("__has", "__key")) != F.max(F.struct("__has", "__key"))
+    if names.groupBy("__doc_id").agg(several.alias("several")).where("several").isEmpty():
+        return docs.withColumn("__place", number)
+    order = [F.col(c) for c in ("__has", "__doc_id", "__key")]
+    places = row_numbers(names.distinct(), order, "__place")
+    keyed = docs.withColumns({"__has": own.isNotNull(), "__doc_id": number, "__key": key})
+    return stored(keyed.join(places, ["__has", "__doc_id", "__key"]).drop("__has", "__doc_id", "__key"), "places")
+
+
 def _with_repeats(docs: DataFrame, columns: list[str], id_col: str, text_col: str, window: int, gram: int) -> DataFrame:
     """``columns`` of ``docs`` (the first two: id and text) with ``__starts`` and ``__counts`` of windows that go."""
     arrow_limits(docs.sparkSession)
-    rows = docs.select(F.coalesce(F.col(f"`{id_col}`"), F.lit(_NO_ID)).alias("id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
+    docs = placed(docs, id_col, text_col)
+    rows = docs.select(F.col("__place").alias("id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
     if not 0 < gram < window or window - gram > 254:
         raise ValueError("a window must be longer than a gram, by at most 254 bytes")
     met = stored(meet(text_runs(rows, window, gram)), "runs")
@@ -405,8 +425,8 @@ def _with_repeats(docs: DataFrame, columns: list[str], id_col: str, text_col: st
     release(docs.sparkSession)
     gone = met.where("not ask").select("doc", "p", "n").unionByName(found)
     lists = gone.groupBy("doc").agg(F.collect_list("p").alias("__starts"), F.collect_list("n").alias("__counts")).withColumnRenamed("doc", "__doc")
-    own = docs.select(*[F.col(f"`{c}`") for c in columns])
-    return own.join(lists, F.coalesce(F.col(f"`{id_col}`"), F.lit(_NO_ID)) == F.col("__doc"), "left").drop("__doc")
+    own = docs.select(*[F.col(f"`{c}`") for c in columns], "__place")
+    return own.join(lists, F.col("__place") == F.col("__doc"), "left").drop("__doc", "__place")
 
 
 def _cut(text: bytes, starts, counts, window: int) -> tuple[bytes, np.ndarray]:
@@ -423,7 +443,8 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     A byte is removed if a window of ``window`` bytes that covers it also starts in a document with a smaller id, or earlier in the same
     one. Null texts are empty; texts shorter than a window lose nothing. A null id comes
-    before all others. Rows that repeat an id are one place: they don't make repeats of one another.
+    before all others. Rows that repeat an id and its text are one place: they don't make repeats of one another. Other texts
+    of an id, or of null ids, are places of their own, in the order of their SHA-256.
     An empty table gives an empty result.
     """
 
