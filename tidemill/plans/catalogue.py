@@ -170,6 +170,9 @@ _query("health_findings", "customer", lambda d: health.findings_frame(d))
 _query("health_duplicates", "orders", lambda d: health.findings_frame(d.select("o_custkey", "o_orderstatus")).where("rule = 'H1'").select("rule", "count"),
        "SELECT 'H1' AS rule, count(*) - (SELECT count(*) FROM (SELECT DISTINCT o_custkey, o_orderstatus FROM orders)) AS count FROM orders")
 _query("health_missing", "orders", lambda d: health.findings_frame(_gaps(d)).where("rule = 'H8'").select("rule", "count"), f"SELECT 'H8' AS rule, count(*) FILTER (p IS NULL) AS count FROM {_GAPS}")
+_query("health_dates", "orders", lambda d: health.findings_frame(d.where("month(o_orderdate) = 1 and year(o_orderdate) in (1995, 1998)").select("o_orderdate")).where("rule = 'H37'").select("rule", "count"),
+       "SELECT 'H37' AS rule, date_diff('day', min(o_orderdate), max(o_orderdate)) + 1 - count(DISTINCT o_orderdate::DATE) AS count FROM orders WHERE month(o_orderdate) = 1 AND year(o_orderdate) IN (1995, 1998) HAVING count(*) >= 30")
+_query("health_trend", "orders", lambda d: health.trend_frame(d.select("o_orderdate", "o_totalprice")))
 
 # SQL console: joins, windows, set operations, grouping sets
 
