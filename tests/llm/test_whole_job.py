@@ -4,7 +4,7 @@ import hashlib
 
 import numpy as np
 
-from tidemill.llm import exact_dedup, simhash, suffix_dedup
+from tidemill.llm import exact_dedup, langid, simhash, suffix_dedup
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, digest string"
 
@@ -100,3 +100,10 @@ def test_repeats_under_null_and_repeated_ids(spark):
     found = suffix_dedup.repeated_spans(docs(spark, rows)).collect()
     assert sorted((str(r["doc_id"]), r["kept_sha256"]) for r in found) == sorted((str(i), hashlib.sha256(want[i, t]).hexdigest()) for i, t in rows)
     assert all(s["end"] > s["start"] for r in found for s in r["spans"])
+
+
+def test_every_labelled_language_is_learned(spark):
+    words = lambda k: " ".join(chr(0x4E00 + 40 * k + i) * 3 for i in range(30))
+    rows = [(3 * k + i, words(k), f"l{k:03d}") for k in range(205) for i in range(3)]
+    model = langid.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert set(model.judge([words(k) for k in range(205)])[0]) >= {f"l{k:03d}" for k in range(201, 205)}

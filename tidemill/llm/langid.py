@@ -22,9 +22,8 @@ from pyspark.sql import functions as F
 from .common import arrow_limits, document_rows, pieces
 
 ORDER = 5
-#: Bounds of the sample that a model is fitted on: documents per language, and languages (the most frequent).
-SAMPLE_DOCS_PER_LANG = 250
-MAX_LANGS = 200
+#: Bound of the sample that a model is fitted on: documents per language.
+SAMPLE_DOCS_PER_LANG = 400
 UNKNOWN = "und"
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
@@ -249,20 +248,17 @@ def fit(samples: dict[str, list[str]], order: int = ORDER) -> Model:
 
 
 def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", order: int = ORDER, per_lang: int = SAMPLE_DOCS_PER_LANG) -> Model:
-    """Fit on at most ``per_lang`` documents of each of at most ``MAX_LANGS`` languages, chosen by a hash of the id
+    """Fit on at most ``per_lang`` documents of every labelled language, chosen by a hash of the id
     among those whose crc32(id as text) mod 5 is not 0."""
     rows = document_rows(docs, id_col, text_col, lang_col).toDF("id", "text", "lang").where("lang is not null and text is not null and crc32(cast(id as string)) % 5 <> 0")
-    sizes = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS).collect()
-    if not sizes:
-        return fit({}, order)
     # a cut on the hash leaves a few times as many as wanted, whatever a language's share; then the smallest hashes are taken
-    share = F.create_map(*[x for r in sizes for x in (F.lit(r["lang"]), F.lit(min(1.0, 3.0 * per_lang / r["count"])))])
+    share = rows.groupBy("lang").agg((F.lit(3.0 * per_lang) / F.count(F.lit(1))).alias("share"))
     mark = F.pmod(F.xxhash64("id"), F.lit(1_000_000)) / 1e6
-    few = rows.where(F.element_at(share, F.col("lang")) > mark)
+    few = rows.join(F.broadcast(share), "lang").where(F.col("share") > mark)
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id", "text"))
-    picked = few.withColumn("rank", rank).where(F.col("rank") <= per_lang).orderBy("lang", "rank").select("lang", "text").collect()
+    picked = few.withColumn("rank", rank).where(F.col("rank") <= per_lang).orderBy("lang", "rank").select("lang", "text")
     samples: dict[str, list[str]] = {}
-    for r in picked:
+    for r in picked.toLocalIterator():  # never all rows in the JVM's and Python's memory at once
         samples.setdefault(r["lang"], []).append(r["text"])
     return fit(samples, order)
 
