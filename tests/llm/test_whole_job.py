@@ -1,6 +1,7 @@
 """Brute-force tests of what the training-data operators have to find or leave alone as a whole."""
 
 import hashlib
+import zlib
 
 import numpy as np
 
@@ -106,4 +107,4 @@ def test_every_labelled_language_is_learned(spark):
     words = lambda k: " ".join(chr(0x4E00 + 40 * k + i) * 3 for i in range(30))
     rows = [(3 * k + i, words(k), f"l{k:03d}") for k in range(205) for i in range(3)]
     model = langid.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
-    assert set(model.judge([words(k) for k in range(205)])[0]) >= {f"l{k:03d}" for k in range(201, 205)}
+    assert set(model.judge([words(k) for k in range(205)])[0]) == {lang for i, _, lang in rows if zlib.crc32(str(i).encode()) % 5}
