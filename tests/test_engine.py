@@ -74,13 +74,35 @@ def test_every_fix_of_the_health_check_runs(spark):
     assert good["score"] == 100 and not [f for f in good["findings"] if f["level"] != "info"]
 
 
-def test_console_only_reads(spark, sales):
-    assert console.run_sql(spark, "SELECT ';' AS x, count(*) AS n FROM df", {"df": sales}).first()["n"] == 5
-    for bad in ("DROP TABLE df", "SELECT 1; SELECT 2", "WITH x AS (SELECT 1) INSERT INTO df SELECT * FROM x", "SELECT reflect('java.lang.System', 'exit', 1)", "", "SET a=b", "CREATE VIEW v AS SELECT 1"):
-        with pytest.raises(InputError):
-            console.run_sql(spark, bad, {"df": sales})
-    with pytest.raises(Exception, match="(?i)parquet|not found|unsupported"):
-        console.run_sql(spark, "SELECT * FROM parquet.`/root/testdata/sf0.001/nation.parquet`").collect()
+CONSOLE_REFUSES = (
+    "DROP TABLE df", "SELECT 1; SELECT 2", "", "-- nothing", "SET a=b", "CREATE VIEW v AS SELECT 1", "CREATE TABLE made AS SELECT 1", "REPLACE TABLE made USING parquet AS SELECT 1",
+    "WITH x AS (SELECT 1) INSERT INTO df SELECT * FROM x", "WITH x AS (SELECT 1) FROM x INSERT INTO df SELECT *", "SELECT * FROM (INSERT INTO df SELECT 1)", "MERGE INTO df USING df ON 1 = 1 WHEN MATCHED THEN DELETE",
+    "EXECUTE IMMEDIATE 'CREATE TABLE made (a INT)'", "BEGIN CREATE TABLE made (a INT); SELECT 1; END", "CLEAR CACHE", "SHOW TABLES", "EXPLAIN SELECT 1", "DESCRIBE df", "DECLARE VARIABLE x INT", "LIST JARS", "/* SELECT */ DROP TABLE df",
+    "SELECT TRANSFORM(amount) USING 'cat' AS (x) FROM df", "SELECT * FROM parquet.`/root/testdata/sf0.001/nation.parquet`", "SELECT (SELECT count(*) FROM csv.`relative`)", "SELECT * FROM IDENTIFIER('parquet.`/x`')", "SELECT IDENTIFIER('reflect')('java.lang.Math', 'random')",
+    "SELECT reflect('java.lang.System', 'exit', 1)", "SELECT * FROM reflect('a', 'b')", "SELECT builtin.try_reflect /* ' */ ('a', 'b') -- '", "SELECT x FROM df LATERAL VIEW java_method('a', 'b') t AS x", "SELECT 1 FROM df WHERE n IN (SELECT `reflect`('a', 'b'))", "SELECT transform(array(1), x -> reflect('a', 'b'))",
+)
+
+
+@pytest.mark.parametrize("query", CONSOLE_REFUSES)
+def test_console_refuses(spark, sales, query):
+    with pytest.raises(InputError):
+        console.run_sql(spark, query, {"df": sales})
+
+
+def test_console_reads(spark, sales):
+    assert not spark.catalog.tableExists("made")
+    for query, want in (("SELECT ';' AS x, count(*) AS n FROM df;", (";", 5)), ('SELECT max("amount") AS "a b", \'it\'\'s "x" -- y\' AS t FROM "df" -- end', (3500, 'it\'s "x" -- y')), ("with t as (select 1 as a) select * from t", (1,)), ("(SELECT 1 AS drop) UNION (SELECT 1)", (1,)), (r"SELECT r'\d' AS z, 'reflect(' AS y", (r"\d", "reflect("))):
+        assert tuple(console.run_sql(spark, query, {"df": sales}).first()) == want
+
+
+def test_console_saves_whole_results(spark, sales, tmp_path):
+    store = Store(spark, str(tmp_path))
+    project = store.create_project("p")["id"]
+    base = store.create(sales, "sales", project=project)["id"]
+    made = console.save_as(store, "SELECT product, sum(amount) AS total FROM df GROUP BY product", "totals", base)
+    assert made["parent"] == base and made["project"] == project and store.load(made["id"]).count() == 3
+    big = console.save_as(store, "SELECT id FROM range(100005)", "many", base)
+    assert store.load(big["id"]).count() == 100005
 
 
 def test_versions(spark, tmp_path):
