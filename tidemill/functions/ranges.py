@@ -7,20 +7,12 @@ for each range goes through a single task.
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-_BITS = 33  # monotonically_increasing_id: partition above, row in the partition below
-
+from ..session import fixed
 
-def fixed(df: DataFrame) -> DataFrame:
-    """A checkpoint in ``spark.checkpoint.dir``; a local folder only where the session names none."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tidemill-checkpoint-"))
-    return df.checkpoint()
+_BITS = 33  # monotonically_increasing_id: partition above, row in the partition below
 
 
 def in_ranges(df: DataFrame, order: list[Column]) -> DataFrame:
