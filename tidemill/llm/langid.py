@@ -161,72 +161,73 @@ class Model:
         return [self.langs[b] if k else UNKNOWN for b, k in zip(best, known)], score, low, rejected
 
 
-def _per_key(index: np.ndarray, values: np.ndarray, size: int) -> np.ndarray:
-    return np.bincount(index, values, size)
+def _counted(texts: list[str], order: int) -> list[tuple[np.ndarray, ...]]:
+    """For n from 1 to ``order`` the distinct n-grams of one language's texts: hash, hash of the first and of the last n - 1 characters, count.
+
+    Counts are of occurrences at the top order; below it, of the distinct n-grams that an n-gram ends (continuations).
+    """
+    c, starts, _ = normalised(texts, order)
+    hashes, pad = gram_hashes(c, order), order - 1
+    ends = np.concatenate([np.arange(a + pad, b) for a, b in zip(starts[:-1], starts[1:])] or [np.zeros(0, np.int64)]).astype(np.int64)
+    out = []
+    for n in range(order, 0, -1):
+        h, first, counts = np.unique(hashes[n][ends - n + 1], return_index=True, return_counts=True)
+        ends = ends[first]
+        none = np.zeros(len(h), np.uint64)
+        out.append((h, hashes[n - 1][ends - n + 1] if n > 1 else none, hashes[n - 1][ends - n + 2] if n > 1 else none, counts.astype(np.float64)))
+    return out[::-1]
+
+
+def _at(keys: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where hashes stand in sorted keys, and which are there."""
+    if not len(keys):
+        return np.zeros(len(h), np.int64), np.zeros(len(h), bool)
+    i = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
+    return i, keys[i] == h
 
 
 def fit(samples: dict[str, list[str]], order: int = ORDER) -> Model:
-    """A model of the texts per language; every fifth text only calibrates (all do both if there are fewer than five)."""
+    """A model of the texts per language; every fifth text only calibrates (all do both if there are fewer than five).
+
+    Languages are counted one after the other, so no more than one language's positions are in memory at once.
+    """
     langs = sorted(samples)
     if not langs:
         return Model([], order, [SortedHashes(np.zeros(0, np.uint64))] * (order + 1), [np.float32(0)] * (order + 1), [np.float32(0)] * (order + 1), np.zeros(0), np.zeros(0), 1.0)
-    train = {k: [t for i, t in enumerate(v) if i % 5] or v for k, v in samples.items()}
     held = {k: v[::5] for k, v in samples.items()}
-    texts = [t for k in langs for t in train[k]]
-    owner = np.repeat(np.arange(len(langs)), [len(train[k]) for k in langs])
-    c, starts, _ = normalised(texts, order)
-    hashes, pad = gram_hashes(c, order), order - 1
-    lang_of = np.repeat(owner, np.diff(starts))
-    at = np.concatenate([np.arange(a + pad, b) for a, b in zip(starts[:-1], starts[1:])] or [np.zeros(0, np.int64)]).astype(np.int64)
+    counted = [_counted([t for i, t in enumerate(samples[k]) if i % 5] or samples[k], order) for k in langs]
     n_langs = len(langs)
 
-    # distinct n-grams of each language with an example of where one ends; counts at the top order, continuations below
-    grams: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
-    ends, counted = at, None
-    for n in range(order, 0, -1):
-        ids = np.empty(len(ends), [("l", np.int64), ("h", np.uint64)])
-        ids["l"], ids["h"] = lang_of[ends], hashes[n][ends - n + 1]
-        by = np.lexsort((ids["h"], ids["l"]))
-        new = np.r_[True, ids[by][1:] != ids[by][:-1]] if len(by) else np.zeros(0, bool)
-        first = np.flatnonzero(new)
-        counts = np.diff(np.r_[first, len(by)])
-        ends = ends[by[first]]
-        grams[n] = (ends, lang_of[ends], counts.astype(np.float64))
-    del counted
-
     keys, logp, logg = [np.zeros(0, np.uint64)], [np.float32(np.log(1 / 4096))], [np.zeros(0, np.float32)]
     below = None
     for n in range(1, order + 1):
-        e, l, k = grams[n]
-        h = hashes[n][e - n + 1]
-        ukeys, u = np.unique(h, return_inverse=True)
+        h, context, suffix, k = (np.concatenate([grams[n - 1][i] for grams in counted]) for i in range(4))
+        l = np.repeat(np.arange(n_langs), [len(grams[n - 1][0]) for grams in counted])
+        for grams in counted:
+            grams[n - 1] = ()
         n1, n2 = (np.bincount(l[k == x], minlength=n_langs) for x in (1, 2))
         discount = np.clip(n1 / np.maximum(n1 + 2 * n2, 1), 0.1, 0.95)
         if n == 1:
-            ctx, n_ctx = np.zeros(len(e), np.int64), 1
+            ctx, n_ctx = np.zeros(len(h), np.int64), 1
         else:
-            ctx, n_ctx = np.searchsorted(keys[n - 1], hashes[n - 1][e - n + 1]), len(keys[n - 1])
-            # a context at a text's start may be no n-gram of its own; its row then stands for the nearest key and is dropped
-            good = keys[n - 1][np.minimum(ctx, n_ctx - 1)] == hashes[n - 1][e - n + 1]
-            e, l, k, h, u, ctx = e[good], l[good], k[good], h[good], u[good], ctx[good]
+            # at a text's start a context is no n-gram of its own: what follows it is left to the lower orders
+            n_ctx = len(keys[n - 1])
+            ctx, good = _at(keys[n - 1], context)
+            h, suffix, k, l, ctx = h[good], suffix[good], k[good], l[good], ctx[good]
         cell = ctx * n_langs + l
-        total = _per_key(cell, k, n_ctx * n_langs).reshape(n_ctx, n_langs)
-        kinds = _per_key(cell, np.ones(len(k)), n_ctx * n_langs).reshape(n_ctx, n_langs)
+        total = np.bincount(cell, k, n_ctx * n_langs).reshape(n_ctx, n_langs)
+        kinds = np.bincount(cell, minlength=n_ctx * n_langs).reshape(n_ctx, n_langs)
         weight = np.where(total > 0, discount * kinds / np.maximum(total, 1), 1.0)
-        direct = np.zeros((len(ukeys), n_langs))
-        direct[u, l] = np.maximum(k - discount[l], 0) / total[ctx, l]
-        # an example of each key gives its suffix and its context
-        where = np.zeros(len(ukeys), np.int64)
-        where[u] = e
+        ukeys, first, u = np.unique(h, return_index=True, return_inverse=True)
         if n == 1:
-            low, w = np.full((len(ukeys), n_langs), 1 / 4096), np.broadcast_to(weight[0], (len(ukeys), n_langs))
+            below = np.broadcast_to(weight[0] / 4096, (len(ukeys), n_langs)).copy()
         else:
-            low = below[np.searchsorted(keys[n - 1], hashes[n - 1][where - n + 2])]
-            w = weight[np.minimum(np.searchsorted(keys[n - 1], hashes[n - 1][where - n + 1]), n_ctx - 1)]
-        below = direct + w * low
+            below = weight[ctx[first]] * below[_at(keys[n - 1], suffix[first])[0]]
+        below[u, l] += np.maximum(k - discount[l], 0) / total[ctx, l]
         keys.append(ukeys)
         logp.append(np.log(below).astype(np.float32))
         logg.append(np.log(weight[0] if n == 1 else weight).astype(np.float32))
+    del counted
 
     model = Model(langs, order, [SortedHashes(k) for k in keys], logp, logg, np.zeros(n_langs), np.full(n_langs, np.inf), 1.0)
     rng = np.random.default_rng(0)
