@@ -59,9 +59,9 @@ def test_groups_larger_than_a_part(spark):
     base = [f"w{i}" for i in range(100)]
     rows = [(i, " ".join(base[:50] + [f"x{i}"] + base[50:])) for i in range(40)]
     d = docs(spark, rows).selectExpr("doc_id as id", "unhex(sha2(text, 256)) as key", "text")
-    prints = simhash.shingle_entries(d, 5, 0.8, 4).cache()
-    groups = prints.selectExpr("entry as node", "0L as component")
-    links = simhash.similar_links(d, prints.select("key", "entry", "f0", "f1", "f2", "f3"), groups, 5, 0.8, 4, 80, size=7).collect()
+    entries = simhash.shingle_entries(d, 5, 0.8, 4).selectExpr("key", "xxhash64(set) as entry", "f0", "f1", "f2", "f3").cache()
+    groups = entries.selectExpr("entry as node", "0L as component")
+    links = simhash.similar_links(d, entries, groups, 5, 0.8, 4, 80, size=7).collect()
     assert len({x for r in links for x in r}) == 40
 
 

@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_limits, cut, document_rows, texts_of
+from .common import arrow_limits, cut, document_rows, texts_of, unused
 
 #: Counters of a summary: digests above 1/(COUNTERS + 1) of all rows are found for certain.
 COUNTERS = 1024
@@ -99,10 +99,11 @@ def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     of one id that differ in case only, that with the smallest SHA-256 stays.
     """
     own, text = F.col(f"`{id_col}`"), F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
-    kept = exact_dedup(docs, id_col, text_col, k).where("kept").select(F.col(id_col).alias("__id"), F.col("text_sha256").alias("__norm")).distinct()
+    key, keep, kept = unused(docs, "__key", "__keep", "__kept")
+    stay = exact_dedup(docs, id_col, text_col, k).where("kept").select(F.col(id_col).alias("keep"), F.col("text_sha256").alias("kept")).distinct()
     lower = F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     keyed = docs.select(own.alias("id"), F.sha2(lower, 256).alias("norm"), F.sha2(text, 256).alias("raw"))
-    named = keyed.join(kept, F.col("id").eqNullSafe(F.col("__id")) & (F.col("norm") == F.col("__norm")), "left_semi")
-    named = cut(named.groupBy("id", "norm").agg(F.min("raw").alias("__raw")).select(F.col("id").alias("__id"), "__raw"))
-    found = docs.withColumn("__key", F.sha2(text, 256)).join(named, own.eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__raw")), "left_semi")
-    return found.dropDuplicates([id_col, "__key"]).drop("__key")
+    named = keyed.join(stay, F.col("id").eqNullSafe(F.col("keep")) & (F.col("norm") == F.col("kept")), "left_semi")
+    named = cut(named.groupBy("id", "norm").agg(F.min("raw").alias("raw")).select(F.col("id").alias(keep), F.col("raw").alias(kept)))
+    found = docs.withColumn(key, F.sha2(text, 256)).join(named, own.eqNullSafe(F.col(keep)) & (F.col(key) == F.col(kept)), "left_semi")
+    return found.dropDuplicates([id_col, key]).drop(key)

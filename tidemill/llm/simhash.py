@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_limits, connected_components, cut, document_rows, pieces, release, stored, texts_of
+from .common import arrow_limits, connected_components, cut, document_rows, joined, named_by_first, pieces, stored, texts_of, unused
 
 WORDS = 3
 DISTANCE = 3
@@ -235,16 +235,17 @@ def simhash_components(docs: DataFrame, words: int = WORDS, distance: int = DIST
     An empty table gives an empty result.
     """
     prints = cut(fingerprints(docs, words, 1, id_col, text_col))
-    # an id may come with several texts, so entries have names of their own
-    entries = cut(prints.groupBy("f0").agg(F.min("id").alias("first")).withColumn("entry", F.col("f0")))
+    # an id may come with several texts, and a fingerprint with many ids
+    classes = cut(prints.groupBy("f0").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("k")))
+    entries, firsts = named_by_first(classes, "f0")
     links = cut(contracted(cut(near_links(entries, distance))))
-    release(docs.sparkSession)
     parts = connected_components(links)
-    named = entries.join(parts, entries.entry == parts.node, "left").select("f0", "first", F.coalesce("component", "entry").alias("root"))
-    lowest = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    classes = named.join(lowest, "root").select("f0", "component_id")
+    found = entries.join(parts, entries.entry == parts.node, "left").select("f0", "k", F.coalesce("component", "entry").alias("component"))
+    if firsts is not None:
+        found = found.join(firsts, "component").withColumn("component", F.col("__first"))
+    found = cut(found.select("f0", "k", F.col("component").alias("component_id")))
     digits = F.lower(F.lpad(F.hex("f0"), 16, "0"))
-    return prints.join(classes, "f0").select(F.col("id").alias(id_col), digits.alias("fingerprint"), "component_id")
+    return joined(prints, found, ["f0"], prints.count()).select(F.col("id").alias(id_col), digits.alias("fingerprint"), "component_id")
 
 
 def shingles(text: bytes, words: int) -> np.ndarray:
@@ -296,7 +297,7 @@ def common_shingles(texts: DataFrame, words: int, sample: int = COMMON_SAMPLE, c
 
 
 def shingle_entries(rows: DataFrame, words: int, similarity: float, lanes: int) -> DataFrame:
-    """``id``, ``key`` of the rows (which have a ``text`` too), the name of their set of shingles (``entry``), its fingerprint and its ``lists``."""
+    """``id``, ``key`` of the rows (which have a ``text`` too), a 128-bit digest of their set of shingles (``set``), its fingerprint and its ``lists``."""
     held = rows.sparkSession.sparkContext.broadcast(common_shingles(rows, words))
     names = _columns(lanes)
 
@@ -304,14 +305,14 @@ def shingle_entries(rows: DataFrame, words: int, similarity: float, lanes: int)
         common = held.value
         for batch in pieces(batches, "text", 4 << 20):
             sets = [shingles(t, words) for t in texts_of(batch.column(2))]
-            entry = np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets], np.uint64).view(np.int64)
+            digest = pa.array([xxhash.xxh3_128_digest(s.tobytes(), SEED) for s in sets], pa.binary())
             prints = np.array([_wide(s, lanes) for s in sets], np.uint64).reshape(-1, lanes).view(np.int64).T
             lists = [_prefix(s, common, similarity) for s in sets]
             ends = np.cumsum([0, *map(len, lists)])
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.uint64), *lists]).view(np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(entry), *[pa.array(np.ascontiguousarray(c)) for c in prints], lists], names=["id", "key", "entry", *names, "lists"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), digest, *[pa.array(np.ascontiguousarray(c)) for c in prints], lists], names=["id", "key", "set", *names, "lists"])
 
-    return rows.mapInArrow(run, ", ".join(["id long, key binary, entry long", *[f"{c} long" for c in names], "lists array<long>"]))
+    return rows.mapInArrow(run, ", ".join(["id long, key binary, set binary", *[f"{c} long" for c in names], "lists array<long>"]))
 
 
 def similar_forest(sets: list[np.ndarray], prints: np.ndarray, similarity: float, distance: int) -> tuple[np.ndarray, np.ndarray]:
@@ -391,16 +392,15 @@ def drop_near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), key.alias("key"), text.alias("text"))
     distance, names = int(WIDE_SHARE * 64 * lanes), _columns(lanes)
     prints = stored(shingle_entries(rows, words, similarity, lanes), "shingles")
-    one = F.min_by(F.struct("key", *names, "lists"), "key")
-    entries = stored(prints.groupBy("entry").agg(one.alias("x")).select("entry", "x.*"), "entries")
-    release(docs.sparkSession)
+    # a set is named by the smallest id that has it, and told by that document's text
+    one = F.min_by(F.struct("id", "key", *names, "lists"), F.struct(F.col("id").isNull(), "id", "key"))
+    entries, _ = named_by_first(stored(prints.groupBy("set").agg(one.alias("x")).select("set", F.col("x.id").alias("first"), "x.key", *[f"x.{c}" for c in names], "x.lists"), "entries"), "key")
     loose = connected_components(cut(contracted(cut(listed_links(entries, lanes, distance, 0)))))
-    links = cut(contracted(cut(similar_links(rows, entries.drop("lists"), loose, words, similarity, lanes, distance))))
-    release(docs.sparkSession)
+    links = cut(contracted(cut(similar_links(rows, entries.select("key", "entry", *names), loose, words, similarity, lanes, distance))))
     parts = connected_components(links)
-    named = prints.select("id", "key", "entry").join(parts, F.col("entry") == F.col("node"), "left").select("id", "key", F.coalesce("component", "entry").alias("root"))
-    first = named.groupBy("root").agg(F.min(F.struct(F.col("id").isNull(), "id", "key")).alias("x"))
-    kept = cut(first.select(F.col("x.id").alias("__keep"), F.col("x.key").alias("__kept")))
-    release(docs.sparkSession)
-    found = docs.withColumn("__key", key).join(kept, F.col(f"`{id_col}`").eqNullSafe(F.col("__keep")) & (F.col("__key") == F.col("__kept")), "left_semi")
-    return found.dropDuplicates([id_col, "__key"]).drop("__key")
+    # a component's smallest entry is its document with the smallest id
+    roots = entries.join(parts, F.col("entry") == F.col("node"), "left").where(F.coalesce("component", "entry") == F.col("entry"))
+    own, keep, kept = unused(docs, "__key", "__keep", "__kept")
+    roots = cut(roots.select(F.col("first").alias(keep), F.col("key").alias(kept)))
+    found = docs.withColumn(own, key).join(roots, F.col(f"`{id_col}`").eqNullSafe(F.col(keep)) & (F.col(own) == F.col(kept)), "left_semi")
+    return found.dropDuplicates([id_col, own]).drop(own)

@@ -5,19 +5,21 @@ starts earlier in the corpus. Sorting every suffix would move ``WINDOW`` times t
 corpus, so windows are first gathered into runs: consecutive windows that share the
 same minimiser, the least of their ``GRAM``-byte hashes. Equal windows have equal minimisers.
 
-1. Each text is cut into runs where it is read. A run is named by its minimiser's hash and a hash of all its bytes; runs
-   met before in the same task are marked there, so a hot passage leaves one row per task.
-2. Runs meet by minimiser. Of equal runs the earliest stays and all windows of the others go, as a whole. A minimiser seen
-   once needs nothing more. Where different runs share one (the borders of repeated passages) the earliest of each is asked for its windows.
-3. The windows asked for are sorted where their texts are: multikey quicksort on eight-byte words to a shallow
-   depth, then a blind trie orders each group that still shares its prefix. Neighbours that are
-   equal to the full depth are repeats; the earliest of each stays and meets those of other tasks
-   by a 128-bit digest, again all but the earliest go.
+1. Each text is cut into runs where it is read. Runs met before in the same task are compared byte by byte and marked, and of
+   the different runs of one minimiser one alone goes on by it, so a hot passage leaves one row per task.
+2. Runs meet by minimiser. One that stands in a single place needs nothing more; the bytes of all others are asked for.
+3. The bytes, a window and the few that its run adds, meet by minimiser; those of hot ones window by window, by what they hold. There they are sorted
+   deep-shallow: multikey quicksort on eight-byte words to a shallow depth, then blind tries for the groups that still
+   share their prefix. Runs that are equal to their full length come first: the earliest stays, all
+   windows of the others go. Then the windows of the different runs are sorted likewise, and of equal ones all but the earliest go.
+
+Hashes only bring candidates together. What goes is decided by the sorted order of bytes.
 """
 
 from __future__ import annotations
 
 import hashlib
+import itertools
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.ranges import row_numbers
-from .common import arrow_limits, pieces, release, stored
+from .common import arrow_limits, pieces, stored, unused
 
 WINDOW = 100
 GRAM = 50
@@ -35,8 +37,10 @@ SEGMENT = 1 << 20
 SHALLOW = 24
 #: Runs that a task gathers before it marks those it has met.
 HELD = 1 << 18
-#: Windows that are sorted together.
-ASKED = 1 << 15
+#: Runs whose bytes are sorted together, and windows of them.
+RUNS, ASKED = 1 << 14, 1 << 17
+#: A minimiser with more runs than this is hot, and at most so many minimisers are: beyond that the limit grows.
+HOT_RUNS, HOT_MINIMISERS = 2048, 500_000
 _NO_ID = -(1 << 63)
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -82,10 +86,11 @@ def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
 
 
 def runs_of(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, hasher: Hasher, window: int = WINDOW, gram: int = GRAM):
-    """Runs of the texts at ``starts``..``ends`` of ``data``: text number, first window, number of windows, minimiser's hash, run's hash."""
+    """Runs of the texts at ``starts``..``ends`` of ``data``: text number, first window (within ``data``), number of windows, place of the minimiser
+after the first window, its hash, the run's hash."""
     none = np.zeros(0, np.int64)
     if len(data) < window:
-        return none, none, none, none.astype(np.uint64), none.astype(np.uint64)
+        return none, none, none, none, none.astype(np.uint64), none.astype(np.uint64)
     prefix = hasher.prefix(data)
     n = len(data) - gram + 1
     h = _mix((prefix[gram:] - prefix[:n]) * hasher.down[:n])
@@ -98,7 +103,7 @@ def runs_of(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, hasher: Hash
     count = np.diff(np.r_[new, len(p)])
     first, at, text = p[new], a[new], text[new]
     whole = _mix(hasher.stretch(prefix, first, first + count + window - 1) ^ _mix((at - first).astype(np.uint64) * np.uint64(1009) + count.astype(np.uint64)))
-    return text, first - starts[text], count, h[at], whole
+    return text, first, count, at - first, h[at], whole
 
 
 def _segments(texts: list[bytes], window: int):
@@ -134,252 +139,326 @@ def _changes(*columns: np.ndarray) -> np.ndarray:
     return new
 
 
-#: ``place``: first window, number of windows and whether the run is already known to go, in one number.
-RUN_SCHEMA = "h long, s long, doc long, place long"
+#: ``place`` in one number: first window, place of the minimiser after it, number of windows, and what is known: the run goes,
+#: its bytes are asked for, it doesn't have to meet others (dealt out evenly).
+RUN_SCHEMA = "h long, doc long, place long"
+_GOES, _ASKED, _PASSES = 1, 2, 4
 
 
-def _marked(h, s, doc, p, n) -> pa.RecordBatch:
-    """Rows with ``dup`` where an equal run stands earlier among them."""
+def _place(p, off, n, flags=0):
+    return p << 20 | off << 12 | n << 4 | flags
+
+
+def _parts(place: np.ndarray):
+    """First window, place of the minimiser after it, number of windows."""
+    return place >> 20, place >> 12 & 255, place >> 4 & 255
+
+
+def _equal_bytes(data: np.ndarray, a: np.ndarray, b: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """Which stretches of the same length, from ``a`` and from ``b``, hold the same bytes."""
+    out = np.ones(len(a), bool)
+    for s in range(0, len(a), 1 << 14):
+        n = length[s : s + (1 << 14)]
+        first = np.cumsum(n) - n
+        step = np.arange(int(n.sum())) - np.repeat(first, n)
+        same = data[np.repeat(a[s : s + (1 << 14)], n) + step] == data[np.repeat(b[s : s + (1 << 14)], n) + step]
+        out[s : s + (1 << 14)] = np.logical_and.reduceat(same, first)
+    return out
+
+
+def _marked(data, at, h, s, doc, p, off, n, window: int) -> pa.RecordBatch:
+    """Rows of runs: those that repeat an earlier one of these go, and of several with one minimiser the first alone has to meet others."""
     by = np.lexsort((p, doc, s, h))
-    h, s, doc, p, n = h[by], s[by], doc[by], p[by], n[by]
+    at, h, s, doc, p, off, n = (x[by] for x in (at, h, s, doc, p, off, n))
     new = _changes(h, s)
     first = np.flatnonzero(new)[np.cumsum(new) - 1] if len(h) else np.zeros(0, np.int64)
-    dup = ~new & ((doc != doc[first]) | (p != p[first]))
-    # marked rows only pass through the next shuffle, so they are dealt out evenly
-    h = np.where(dup, _mix(h + doc.astype(np.uint64) * np.uint64(31) + p.astype(np.uint64)), h)
-    return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(s.view(np.int64)), pa.array(doc), pa.array(p << 9 | n << 1 | dup)], names=["h", "s", "doc", "place"])
+    goes = np.flatnonzero(~new & ((doc != doc[first]) | (p != p[first])))
+    goes = goes[_equal_bytes(data, at[goes], at[first[goes]], n[goes] + window - 1)] if len(goes) else goes
+    flags = np.zeros(len(h), np.int64)
+    flags[goes] = _GOES | _PASSES
+    left = np.flatnonzero(flags == 0)
+    group = _changes(h[left])
+    several = np.flatnonzero(~group | np.r_[~group[1:], False]) if len(left) else left
+    flags[left[several]] |= _ASKED
+    flags[left[~group]] |= _PASSES
+    return pa.RecordBatch.from_arrays([pa.array(np.where(flags & _GOES, 0, h.view(np.int64))), pa.array(doc), pa.array(_place(p, off, n, flags))], names=["h", "doc", "place"])
 
 
 def text_runs(rows: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     def run(batches):
         hasher = Hasher(2 * SEGMENT + 2 * window)
-        held, size = [], 0
+        held, size, base = [], 0, 0
+
+        def out():
+            data, *columns = zip(*held)
+            return _marked(np.concatenate(data), *map(np.concatenate, columns), window)
+
         for batch in pieces(batches, "text", 4 * SEGMENT):
             ids, texts = batch.column(0).to_numpy(), batch.column(1).cast(pa.binary()).to_pylist()
             for numbers, offsets, data, starts, ends in _segments(texts, window):
-                text, p, n, h, s = runs_of(data, starts, ends, hasher, window, gram)
-                held.append((h, s, ids[numbers[text]], p + offsets[text], n))
-                size += len(h)
+                text, p, n, off, h, s = runs_of(data, starts, ends, hasher, window, gram)
+                held.append((data, p + base, h, s, ids[numbers[text]], p - starts[text] + offsets[text], off, n))
+                size, base = size + len(h), base + len(data)
             if size >= HELD:
-                yield _marked(*map(np.concatenate, zip(*held)))
-                held, size = [], 0
+                yield out()
+                held, size, base = [], 0, 0
         if held:
-            yield _marked(*map(np.concatenate, zip(*held)))
+            yield out()
 
     return rows.mapInArrow(run, RUN_SCHEMA)
 
 
-def meet(runs: DataFrame) -> DataFrame:
-    """``doc``, ``p``, ``n``, ``h``, ``ask`` of the runs that go as a whole and of those whose windows have to be looked at."""
-    sorted_runs = runs.repartition("h").sortWithinPartitions("h", "s", "doc", "place")
+def _dealt(rows: DataFrame, key: str) -> DataFrame:
+    """Rows that pass are dealt out evenly, all others by ``key``, and sorted by it."""
+    passes = F.col("place").bitwiseAND(F.lit(_PASSES)) != 0
+    return rows.repartition(F.when(passes, F.xxhash64("doc", "place")).otherwise(F.col(key))).sortWithinPartitions(key)
 
-    def run(batches):
-        # of the last minimiser: its first row (still alone or not), and of the last run: where its earliest stands
-        last_h = last_s = last_at = None
-        lone = None
 
-        def rows(doc, p, n, h, ask):
-            return pa.RecordBatch.from_arrays([pa.array(doc), pa.array(p), pa.array(n), pa.array(h), pa.array(np.full(len(doc), ask))], names=["doc", "p", "n", "h", "ask"])
+def meet(runs: DataFrame) -> DataFrame:
+    """The runs that go, and those whose bytes are asked for because their minimiser stands in several places."""
 
+    def run(batches):
+        last = lone = None  # the last minimiser, and its first row while it is the only one
         for batch in batches:
-            h, s, doc, place = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
-            p, n, dup = place >> 9, place >> 1 & 255, (place & 1).astype(bool)
-            if dup.any():
-                yield rows(doc[dup], p[dup], n[dup], h[dup], False)
-                h, s, doc, p, n = h[~dup], s[~dup], doc[~dup], p[~dup], n[~dup]
+            h, doc, place = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+            passes = (place & _PASSES) != 0
+            yield _rows(h[passes], doc[passes], place[passes])
+            h, doc, place = h[~passes], doc[~passes], place[~passes]
             if not len(h):
                 continue
-            new_h, new_s = _changes(h), _changes(h, s)
-            if last_h is not None and h[0] == last_h:
-                new_h[0] = False
-                new_s[0] = s[0] != last_s
-            heads = np.flatnonzero(new_s)
-            # the earliest place of each row's run
-            at = np.searchsorted(heads, np.arange(len(h)), side="right") - 1
-            if len(heads):
-                first_doc, first_p = doc[heads[np.maximum(at, 0)]], p[heads[np.maximum(at, 0)]]
-            else:
-                first_doc, first_p = doc.copy(), p.copy()
-            if last_at is not None:
-                first_doc, first_p = np.where(at < 0, last_at[0], first_doc), np.where(at < 0, last_at[1], first_p)
-            goes = ~new_s & ((doc != first_doc) | (p != first_p))
-            if goes.any():
-                yield rows(doc[goes], p[goes], n[goes], h[goes], False)
-            # heads whose minimiser has another run before or behind
-            before = ~new_h[heads]
-            behind = np.r_[before[1:], False] if len(heads) else before
-            asks = before | behind
-            if len(heads) and before[0] and lone is not None:
-                yield rows(*[np.array([x]) for x in lone], True)
-                lone = None
-            if asks.any():
-                k = heads[asks]
-                yield rows(doc[k], p[k], n[k], h[k], True)
-            if len(heads):
-                k = heads[-1]
-                lone = None if asks[-1] else (doc[k], p[k], n[k], h[k])
-                last_at = doc[k], p[k]
-            last_h, last_s = h[-1], s[-1]
-
-    return sorted_runs.mapInArrow(run, "doc long, p long, n long, h long, ask boolean")
-
-
-class _Trie:
-    """A blind trie over strings of one length, as big integers: inner nodes keep only a depth and branching bytes."""
-
-    def __init__(self, length: int):
-        self.length, self.root = length, None
-
-    def add(self, key: int, row: int) -> None:
-        if self.root is None:
-            self.root = ["leaf", key, [row]]
-            return
-        # down by branching bytes alone, to any leaf
-        node, path = self.root, []
-        while node[0] != "leaf":
-            path.append(node)
-            node = node[2].get(self._byte(key, node[1])) or next(iter(node[2].values()))
-        if node[1] == key:
-            node[2].append(row)
-            return
-        # one comparison gives the common prefix; the branch belongs above the first deeper node
-        common = self.length - ((key ^ node[1]).bit_length() + 7) // 8
-        parent, below = None, self.root
-        for inner in path:
-            if inner[1] > common:
-                break
-            parent, below = inner, inner[2].get(self._byte(key, inner[1]))
-            if inner[1] == common:
-                break
-        leaf = ["leaf", key, [row]]
-        if parent is not None and parent[1] == common:
-            parent[2][self._byte(key, common)] = leaf
-            return
-        made = ["node", common, {self._byte(key, common): leaf, self._byte(node[1], common): below}]
-        if parent is None:
-            self.root = made
-        else:
-            parent[2][self._byte(key, parent[1])] = made
-
-    def _byte(self, key: int, depth: int) -> int:
-        return key >> 8 * (self.length - 1 - depth) & 255
-
-    def leaves(self) -> list[list[int]]:
-        """Rows of equal strings, in the order of the strings."""
-        out, todo = [], [self.root] if self.root else []
-        while todo:
-            node = todo.pop()
-            if node[0] == "leaf":
-                out.append(node[2])
-            else:
-                todo += [child for _, child in sorted(node[2].items(), reverse=True)]
-        return out
+            group = _changes(h)
+            if h[0] == last:
+                group[0] = False
+            asked = ~group | np.r_[~group[1:], False] | ((place & _ASKED) != 0)
+            if lone is not None and not group[0]:
+                yield _rows(*lone)
+            yield _rows(h[asked], doc[asked], place[asked] | _ASKED)
+            last = h[-1]
+            lone = None if asked[-1] else (h[-1:], doc[-1:], place[-1:] | _ASKED)
+
+    return _dealt(runs, "h").mapInArrow(run, RUN_SCHEMA)
+
+
+def _rows(h: np.ndarray, doc: np.ndarray, place: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(h), pa.array(doc), pa.array(place)], names=["h", "doc", "place"])
 
 
-def suffix_order(windows: np.ndarray, shallow: int = SHALLOW) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted order of equal-length byte rows, and which of them (in that order) differ from the one before."""
-    n, length = windows.shape
-    width = -(-length // 8) * 8
-    words = np.zeros((n, width), np.uint8)
-    words[:, :length] = windows
-    words = words.view(">u8")
+def suffix_order(rows: np.ndarray, shallow: int = SHALLOW) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted order of byte rows of one length, and which of them (in that order) differ from the one before.
+
+    Multikey quicksort to a shallow depth: only groups that are still tied are split by their next eight bytes.
+    Then a blind trie for each group that still shares its prefix.
+    """
+    n, length = rows.shape
+    depth = min(length, -(-shallow // 8) * 8)
+    words = np.zeros((n, -(-depth // 8) * 8), np.uint8)
+    words[:, :depth] = rows[:, :depth]
+    words = words.view(">u8").astype(np.uint64)
     order, new = np.arange(n), np.zeros(n, bool)
     new[:1] = True
-    for k in range(min(width, -(-shallow // 8) * 8) // 8):
-        group = np.cumsum(new)
-        open_ = np.flatnonzero(~new | np.r_[~new[1:], False]) if n else order
-        if not len(open_):
+    for k in range(words.shape[1]):
+        tied = np.flatnonzero(~new | np.r_[~new[1:], False]) if n else order
+        if not len(tied):
             return order, new
-        # only groups that are still tied are split further
-        word = words[order[open_], k]
-        by = np.lexsort((word, group[open_]))
-        order[open_] = order[open_][by]
-        new[open_[1:]] |= (word[by][1:] != word[by][:-1]) & (group[open_][1:] == group[open_][:-1])
-    starts = np.flatnonzero(new)
-    size = np.diff(np.r_[starts, n])
-    for s, m in zip(starts[size > 1], size[size > 1]):
-        trie, rows = _Trie(length), order[s : s + m].copy()
-        for r in rows:
-            trie.add(int.from_bytes(windows[r].tobytes(), "big"), int(r))
-        at = s
-        for leaf in trie.leaves():
-            order[at : at + len(leaf)] = leaf
-            new[at] = True
-            at += len(leaf)
+        group, word = np.cumsum(new)[tied], words[order[tied], k]
+        by = np.lexsort((word, group))
+        order[tied], word = order[tied][by], word[by]
+        new[tied[1:]] |= (word[1:] != word[:-1]) & (group[1:] == group[:-1])
+    _blind_tries(rows, order, new, depth)
     return order, new
 
 
-def _digests(w: np.ndarray, hasher: Hasher) -> tuple[np.ndarray, np.ndarray]:
-    """Two independent 64-bit hashes of each byte row: a polynomial, and products of words with random odd numbers."""
-    one = _mix((hasher.value[w] * hasher.up[: w.shape[1]]).sum(1, dtype=np.uint64))
-    words = np.zeros((len(w), -(-w.shape[1] // 4) * 4), np.uint8)
-    words[:, : w.shape[1]] = w
-    words = words.view("<u4").astype(np.uint64) + np.uint64(1)
-    mixed = words * hasher.odd[: words.shape[1]]
-    two = _mix(((mixed ^ (mixed >> np.uint64(32))) * hasher.odd[-words.shape[1] :]).sum(1, dtype=np.uint64))
-    return one, two
-
-
-def asked_windows(rows: DataFrame, asks: DataFrame, window: int = WINDOW) -> DataFrame:
-    """Digests and places of the windows of the runs asked for; suffix sorting marks those that come earlier in the same batch."""
-    lists = asks.groupBy("doc").agg(F.collect_list(F.struct("p", "n")).alias("runs"))
-    joined = rows.join(lists, rows.id == lists.doc).select("id", "text", "runs")
-
-    def marked(doc: np.ndarray, p: np.ndarray, w: np.ndarray, hasher: Hasher) -> pa.RecordBatch:
-        order, new = suffix_order(w)
-        group = np.cumsum(new)
-        order = order[np.lexsort((p[order], doc[order], group))]
-        head = order[np.flatnonzero(new)[group - 1]]
-        dup = np.zeros(len(w), bool)
-        dup[order] = (doc[order] != doc[head]) | (p[order] != p[head])
-        one, two = _digests(w, hasher)
-        # marked rows only pass through the next shuffle, so they are dealt out evenly
-        one = np.where(dup, _mix(one + doc.astype(np.uint64) * np.uint64(31) + p.astype(np.uint64)), one)
-        return pa.RecordBatch.from_arrays([pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), pa.array(doc), pa.array(p << 1 | dup)], names=["h", "s", "doc", "place"])
+def _blind_tries(rows: np.ndarray, order: np.ndarray, new: np.ndarray, depth: int) -> None:
+    """Order the groups that share their first ``depth`` bytes, all groups at once.
 
-    def run(batches):
-        hasher, held, size = Hasher(window), [], 0
-        for batch in pieces(batches, "text", SEGMENT):
-            for doc, text, runs in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), batch.column(2).to_pylist()):
-                data = np.frombuffer(text, np.uint8)
-                p = np.unique(np.concatenate([np.arange(r["p"], r["p"] + r["n"]) for r in runs]))
-                p = p[p + window <= len(data)]
-                for a in range(0, len(p), ASKED):
-                    q = p[a : a + ASKED]
-                    held.append((np.full(len(q), doc), q, data[q[:, None] + np.arange(window)]))
-                    size += len(q)
-                    if size >= ASKED:
-                        yield marked(*map(np.concatenate, zip(*held)), hasher)
-                        held, size = [], 0
-        if held:
-            yield marked(*map(np.concatenate, zip(*held)), hasher)
+    A group's first row is a path from the root of its trie. One comparison gives the depth at which each other row leaves
+    the path, and its branching byte; what lies in between isn't looked at again. Rows that leave at one
+    node by one byte are the group of the trie below, rows that never leave are equal.
+    Rows below the path come before it, the higher they leave the earlier; rows above it come after it, the deeper the earlier.
+    """
+    n, length = rows.shape
+    if depth >= length or not n:
+        return
+    equal = np.zeros(n, bool)  # first places of groups of equal rows
+    path_key = length << 8
+    while True:
+        starts = np.flatnonzero(new)
+        size = np.diff(np.r_[starts, n])
+        some = (size > 1) & ~equal[starts]
+        if not some.any():
+            return
+        starts, size = starts[some], size[some]
+        at = np.repeat(starts - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+        path, row = np.repeat(order[starts], size), order[at]
+        key = np.empty(len(at), np.int64)
+        for a in range(0, len(at), 1 << 15):
+            x, y = rows[row[a : a + (1 << 15)], depth:], rows[path[a : a + (1 << 15)], depth:]
+            differ = x != y
+            leaves = differ.argmax(1)
+            k = np.arange(len(x))
+            mine, its = x[k, leaves].astype(np.int64), y[k, leaves]
+            down = leaves << 8 | mine
+            up = path_key + 1 + ((length - leaves) << 8 | mine)
+            key[a : a + (1 << 15)] = np.where(~differ[k, leaves], path_key, np.where(mine < its, down, up))
+        group = np.repeat(np.arange(len(starts)), size)
+        by = np.lexsort((key, group))
+        order[at], key = row[by], key[by]
+        fresh = np.r_[True, (key[1:] != key[:-1]) | (group[1:] != group[:-1])]
+        new[at] = fresh
+        equal[at[fresh]] = key[fresh] == path_key
+
+
+def _digest(w: np.ndarray, hasher: Hasher) -> np.ndarray:
+    """A 64-bit hash of each byte row, to deal rows out by what they hold."""
+    return _mix((hasher.value[w] * hasher.up[: w.shape[1]]).sum(1, dtype=np.uint64)).view(np.int64)
+
+
+def _stretches(data: np.ndarray, start: np.ndarray, length: np.ndarray) -> pa.Array:
+    """The bytes from each start as values of a binary column."""
+    ends = np.r_[0, np.cumsum(length)]
+    flat = data[np.repeat(start - ends[:-1], length) + np.arange(int(ends[-1]))]
+    return pa.Array.from_buffers(pa.binary(), len(start), [None, pa.py_buffer(ends.astype(np.int32).tobytes()), pa.py_buffer(flat.tobytes())])
+
+
+def _values(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of a binary column without nulls, and where each value begins (one more than there are values)."""
+    column = column.cast(pa.binary())
+    offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    data = column.buffers()[2]
+    return np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8), offsets
+
+
+def _repeats(order: np.ndarray, new: np.ndarray, doc: np.ndarray, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of sorted rows: which aren't the earliest of those they are equal to, and which are."""
+    group = np.cumsum(new)
+    order = order[np.lexsort((p[order], doc[order], group))]
+    head = order[np.flatnonzero(new)[group - 1]]
+    goes, first = np.zeros(len(order), bool), np.zeros(len(order), bool)
+    goes[order] = (doc[order] != doc[head]) | (p[order] != p[head])
+    first[head] = True
+    return goes, first
+
+
+def hot_minimisers(asks: DataFrame) -> np.ndarray:
+    """Sorted hashes of the minimisers with so many runs that one task shouldn't have them all; their number is bounded."""
+    limit = max(HOT_RUNS, asks.count() // HOT_MINIMISERS)
+    hot = asks.groupBy("h").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") > limit)
+    return np.sort(np.array([r["h"] for r in hot.select("h").collect()], np.int64))
+
+
+def asked_bytes(rows: DataFrame, asks: DataFrame, hot: np.ndarray, window: int = WINDOW) -> DataFrame:
+    """The runs asked for with their ``bytes``; hot ones as single windows, dealt out by their bytes, of which those that repeat one of the same batch go."""
+    lists = asks.groupBy("doc").agg(F.collect_list(F.struct("h", "place")).alias("runs"))
+    joined_rows = rows.join(lists, rows.id == lists.doc).select("id", "text", "runs")
+    held = rows.sparkSession.sparkContext.broadcast(hot)  # at most HOT_MINIMISERS numbers
 
-    return joined.mapInArrow(run, RUN_SCHEMA)
+    def run(batches):
+        hot, hasher = held.value, Hasher(window)
 
+        def out(h, doc, place, found):
+            return pa.RecordBatch.from_arrays([pa.array(h), pa.array(doc), pa.array(place), found], names=["h", "doc", "place", "bytes"])
 
-def repeated_windows(windows: DataFrame) -> DataFrame:
-    """``doc``, ``p`` of the windows that also start earlier."""
-    dealt = windows.repartition("h").sortWithinPartitions("h", "s", "doc", "place")
+        for batch in pieces(batches, "text", SEGMENT):
+            data, begins = _values(batch.column(1))
+            runs = batch.column(2)
+            of = np.repeat(np.arange(len(runs)), runs.value_lengths().to_numpy(zero_copy_only=False))
+            runs = runs.flatten()
+            h, place = (pc.struct_field(runs, c).to_numpy(zero_copy_only=False) for c in ("h", "place"))
+            doc, base, (p, off, n) = batch.column(0).to_numpy()[of], begins[:-1][of], _parts(place)
+            burning = hot[np.minimum(np.searchsorted(hot, h), len(hot) - 1)] == h if len(hot) else np.zeros(len(h), bool)
+            k = np.flatnonzero(~burning)
+            yield out(h[k], doc[k], _place(p[k], off[k], n[k]), _stretches(data, base[k] + p[k], n[k] + window - 1))
+            k = np.flatnonzero(burning)
+            k = np.repeat(k, n[k])
+            step = np.arange(len(k)) - np.flatnonzero(np.r_[True, k[1:] != k[:-1]])[np.cumsum(np.r_[True, k[1:] != k[:-1]]) - 1] if len(k) else k
+            for a in range(0, len(k), ASKED):
+                r, j = k[a : a + ASKED], step[a : a + ASKED]
+                w = data[(base[r] + p[r] + j)[:, None] + np.arange(window)]
+                goes, _ = _repeats(*suffix_order(w), doc[r], p[r] + j)
+                places = _place(p[r] + j, off[r] - j, 1)
+                yield out(np.zeros(int(goes.sum()), np.int64), doc[r][goes], places[goes] | _GOES | _PASSES, pa.nulls(int(goes.sum()), pa.binary()))
+                stay = np.flatnonzero(~goes)
+                yield out(_digest(w[stay], hasher), doc[r][stay], places[stay], _stretches(data, (base[r] + p[r] + j)[stay], np.full(len(stay), window)))
+
+    return joined_rows.mapInArrow(run, f"{RUN_SCHEMA}, bytes binary")
+
+
+def _decided(h: np.ndarray, doc: np.ndarray, place: np.ndarray, data: np.ndarray, begins: np.ndarray, window: int):
+    """``doc``, ``p``, ``n`` of the windows that go among runs with their bytes, whole groups of equal ``h``."""
+    p, off, n = _parts(place)
+    length = np.diff(begins)
+    sorted_rows = np.zeros((len(h), int(length.max()) + 2), np.uint8)
+    row = np.repeat(np.arange(len(h)), length)
+    sorted_rows[row, np.arange(len(row)) - np.repeat(begins[:-1] - begins[0], length)] = data[begins[0] : begins[-1]]
+    sorted_rows[:, -2], sorted_rows[:, -1] = n, off
+    goes, first = _repeats(*suffix_order(sorted_rows), doc, p)
+    yield doc[goes], p[goes], n[goes]
+    # windows of different runs of one minimiser, a bounded number at a time
+    k = np.flatnonzero(first)
+    group = _changes(h[k])
+    k = k[~group | np.r_[~group[1:], False]] if len(k) else k
+    starts = np.flatnonzero(_changes(h[k]))
+    total = np.r_[0, np.cumsum(n[k])]
+    s = 0
+    while s < len(starts):
+        t = max(s + 1, int(np.searchsorted(total[np.r_[starts[s + 1 :], len(k)]], total[starts[s]] + ASKED, side="right")) + s)
+        some = k[starts[s] : starts[t] if t < len(starts) else len(k)]
+        r = np.repeat(np.arange(len(some)), n[some])
+        j = np.arange(len(r)) - np.repeat(np.cumsum(n[some]) - n[some], n[some])
+        w = sorted_rows[some[r][:, None], j[:, None] + np.arange(window)]
+        goes, _ = _repeats(*suffix_order(w), doc[some[r]], p[some[r]] + j)
+        # neighbouring windows of a run in one row
+        begin = goes & np.r_[True, ~goes[:-1] | (r[1:] != r[:-1])]
+        end = goes & np.r_[~goes[1:] | (r[1:] != r[:-1]), True]
+        b = np.flatnonzero(begin)
+        yield doc[some[r[b]]], p[some[r[b]]] + j[b], np.flatnonzero(end) - b + 1
+        s = t
+
+
+def decide(asked: DataFrame, window: int = WINDOW) -> DataFrame:
+    """``doc``, ``p``, ``n`` of the windows that also start earlier: runs of one minimiser meet, sorted by their bytes."""
 
     def run(batches):
-        last = None
-        for batch in batches:
-            h, s, doc, place = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
-            p, dup = place >> 1, (place & 1).astype(bool)
-            yield pa.RecordBatch.from_arrays([pa.array(doc[dup]), pa.array(p[dup])], names=["doc", "p"])
-            h, s, doc, p = h[~dup], s[~dup], doc[~dup], p[~dup]
-            if not len(h):
+        def out(doc, p, n):
+            return pa.RecordBatch.from_arrays([pa.array(doc), pa.array(p), pa.array(n)], names=["doc", "p", "n"])
+
+        held, size, last = [], 0, None
+        for batch in itertools.chain(batches, [None]):
+            if batch is not None:
+                if not batch.num_rows:
+                    continue
+                place = batch.column(2).to_numpy()
+                passes = (place & _PASSES) != 0
+                if passes.any():
+                    p, _, n = _parts(place[passes])
+                    yield out(batch.column(1).to_numpy()[passes], p, n)
+                    batch = batch.filter(pa.array(~passes))
+                if not batch.num_rows:
+                    continue
+                held.append(batch)
+                size += batch.num_rows
+                h = batch.column(0).to_numpy()
+                # what belongs to the last minimiser may go on in the next batch
+                if size < RUNS or (h[0] == h[-1] and last in (None, h[0])):
+                    last = h[-1] if last is None or last == h[0] else last
+                    continue
+            if not held:
                 continue
-            if last is not None:  # the earliest place of the last digest goes on into this batch
-                h, s, doc, p = (np.r_[x, y] for x, y in zip(last, (h, s, doc, p)))
-            new = _changes(h, s)
-            head = np.flatnonzero(new)[np.cumsum(new) - 1]
-            goes = (doc != doc[head]) | (p != p[head])
-            yield pa.RecordBatch.from_arrays([pa.array(doc[goes]), pa.array(p[goes])], names=["doc", "p"])
-            k = head[-1:]
-            last = h[k], s[k], doc[k], p[k]
-
-    return dealt.mapInArrow(run, "doc long, p long")
+            table = pa.Table.from_batches(held).combine_chunks()
+            h = table.column(0).to_numpy()
+            whole = len(h)
+            if batch is not None:
+                whole = int(np.searchsorted(h, h[-1]))
+            if whole:
+                part = table.slice(0, whole)
+                doc, place = part.column(1).to_numpy(), part.column(2).to_numpy()
+                for found in _decided(h[:whole], doc, place, *_values(part.column(3).combine_chunks() if part.column(3).num_chunks != 1 else part.column(3).chunk(0)), window):
+                    yield out(*found)
+            rest = table.slice(whole)
+            held, size = (rest.to_batches() if rest.num_rows else []), rest.num_rows
+            last = h[-1] if rest.num_rows else None
+
+    return _dealt(asked, "h").mapInArrow(run, "doc long, p long, n long")
 
 
 def _covered(length: int, p: np.ndarray, n: np.ndarray, window: int) -> np.ndarray:
@@ -393,40 +472,40 @@ def _covered(length: int, p: np.ndarray, n: np.ndarray, window: int) -> np.ndarr
     return np.stack([start[new], far[np.r_[new[1:] - 1, len(far) - 1]]], 1)
 
 
-def placed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``docs`` with ``__place``, the long that orders and names documents: a document is an id with its text.
+def placed(docs: DataFrame, id_col: str, text_col: str, place: str) -> DataFrame:
+    """``docs`` with ``place``, a long that orders and names documents: a document is an id with its text.
 
     Where every id has one text that is the id itself, null before all others. Else documents are numbered in the order of
     id (null first) and text digest, so that other texts of the same id or of null ids are places of their own.
     """
     own = F.col(f"`{id_col}`")
     number, key = F.coalesce(own, F.lit(_NO_ID)), F.sha2(F.coalesce(F.col(f"`{text_col}`"), F.lit("")), 256)
-    names = docs.select(own.isNotNull().alias("__has"), number.alias("__doc_id"), key.alias("__key"))
-    several = F.min(F.struct("__has", "__key")) != F.max(F.struct("__has", "__key"))
-    if names.groupBy("__doc_id").agg(several.alias("several")).where("several").isEmpty():
-        return docs.withColumn("__place", number)
-    order = [F.col(c) for c in ("__has", "__doc_id", "__key")]
-    places = row_numbers(names.distinct(), order, "__place")
-    keyed = docs.withColumns({"__has": own.isNotNull(), "__doc_id": number, "__key": key})
-    return stored(keyed.join(places, ["__has", "__doc_id", "__key"]).drop("__has", "__doc_id", "__key"), "places")
+    has_col, id_, key_ = names = unused(docs, "__has", "__doc_id", "__key")
+    plain = docs.select(own.isNotNull().alias(has_col), number.alias(id_), key.alias(key_))
+    several = F.min(F.struct(has_col, key_)) != F.max(F.struct(has_col, key_))
+    if plain.groupBy(id_).agg(several.alias("several")).where("several").isEmpty():
+        return docs.withColumn(place, number)
+    places = row_numbers(plain.distinct(), [F.col(c) for c in names], place)
+    keyed = docs.withColumns({has_col: own.isNotNull(), id_: number, key_: key})
+    return stored(keyed.join(places, names).drop(*names), "places")
 
 
 def _with_repeats(docs: DataFrame, columns: list[str], id_col: str, text_col: str, window: int, gram: int) -> DataFrame:
-    """``columns`` of ``docs`` (the first two: id and text) with ``__starts`` and ``__counts`` of windows that go."""
+    """``columns`` of ``docs``, then the starts and the counts of windows that go."""
     arrow_limits(docs.sparkSession)
-    docs = placed(docs, id_col, text_col)
-    rows = docs.select(F.col("__place").alias("id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
     if not 0 < gram < window or window - gram > 254:
         raise ValueError("a window must be longer than a gram, by at most 254 bytes")
+    place, doc, starts, counts = unused(docs, "__place", "__doc", "__starts", "__counts")
+    docs = placed(docs, id_col, text_col, place)
+    rows = docs.select(F.col(place).alias("id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
     met = stored(meet(text_runs(rows, window, gram)), "runs")
-    release(docs.sparkSession)
-    found = repeated_windows(asked_windows(rows, met.where("ask"), window))
-    found = stored(found.select("doc", "p", F.lit(1).cast("long").alias("n")), "windows")
-    release(docs.sparkSession)
-    gone = met.where("not ask").select("doc", "p", "n").unionByName(found)
-    lists = gone.groupBy("doc").agg(F.collect_list("p").alias("__starts"), F.collect_list("n").alias("__counts")).withColumnRenamed("doc", "__doc")
-    own = docs.select(*[F.col(f"`{c}`") for c in columns], "__place")
-    return own.join(lists, F.col("__place") == F.col("__doc"), "left").drop("__doc", "__place")
+    goes = F.col("place").bitwiseAND(F.lit(_GOES)) != 0
+    asks = met.where(~goes)
+    found = stored(decide(asked_bytes(rows, asks, hot_minimisers(asks), window), window), "windows")
+    gone = met.where(goes).select("doc", F.shiftright("place", 20).alias("p"), F.shiftright("place", 4).bitwiseAND(F.lit(255)).alias("n")).unionByName(found)
+    lists = gone.groupBy("doc").agg(F.collect_list("p").alias(starts), F.collect_list("n").alias(counts)).withColumnRenamed("doc", doc)
+    own = docs.select(*[F.col(f"`{c}`") for c in columns], place)
+    return own.join(lists, F.col(place) == F.col(doc), "left").drop(doc, place)
 
 
 def _cut(text: bytes, starts, counts, window: int) -> tuple[bytes, np.ndarray]:
