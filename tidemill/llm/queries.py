@@ -30,7 +30,8 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(_read(spark, sf_dir, "documents"))
+    ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    return packing.pack(_read(spark, sf_dir, "documents"), count=packing.token_counts(ranks, public_tokenizers.PATTERN))
 
 
 def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
