@@ -2,9 +2,8 @@
 
 Vectors are scaled to length one, where cosine ``c`` is distance ``sqrt(2 - 2c)``.
 Pivots taken farthest-first from a bounded sample are the upper, nested levels: every
-vector goes to the cell of its nearest pivot, and a pair of cells is pruned when
-their pivots are farther apart than both covering radii (over all vectors)
-and the threshold allow. Cells are cut into chunks; each surviving pair of chunks is one
+vector goes to the cell of its nearest pivot, and meets another cell only if it lies within that cell's
+covering radius (over all vectors) and the threshold of its pivot. Cells are cut into chunks; each pair of chunks is one
 task, which builds a cover tree per side (nested levels, halving radii, covering
 radii of what lies below) and walks both together level by level. Node pairs that pass the
 bound on the last level are compared row by row in double precision.
@@ -23,13 +22,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_limits, connected_components, cut
+from .common import arrow_limits, connected_components, cut, joined, named_by_first
 
 THRESHOLD = 0.9
 #: Vectors of the sample that pivots come from (and so the most pivots), and distinct vectors of one side of a task.
 SAMPLE = 1024
 CHUNK = 8192
 _BLOCK = 1024
+#: Vectors in one batch on their way to the chunks that they meet.
+_SENT = 1 << 15
 #: Room for rounding in the bounds; links are decided by the cosine itself.
 _SLACK = 1e-6
 
@@ -286,16 +287,33 @@ def _links(vectors: DataFrame, threshold: float, sample: int, chunk: int) -> Dat
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(best.astype(np.int32)), pa.array(far)], names=["rep", "many", "v", "cell", "far"])
 
     placed = cut(vectors.mapInArrow(nearest, f"rep long, many long, v {kind}, cell int, far double"))
-    cells = {r["cell"]: (r["n"], r["radius"]) for r in placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("far").alias("radius")).collect()}
-    reach, gaps = math.sqrt(2.0 - 2.0 * threshold), _apart(pivots @ pivots.T)
-    partners = [(i, j) for i in cells for j in cells if gaps[i, j] <= cells[i][1] + cells[j][1] + reach + _SLACK]
-    chunks = {i: max(1, math.ceil(n / chunk)) for i, (n, _) in cells.items()}
-    side = vectors.sparkSession.createDataFrame([(i, chunks[i], j, chunks[j]) for i, j in partners], "cell int, own int, other int, others int")
-    mine = F.pmod(F.xxhash64("rep"), F.col("own")).cast("int")
-    # at most sample^2 rows of four integers
-    work = placed.join(F.broadcast(side), "cell").select("rep", "many", "v", "cell", mine.alias("part"), "other", F.explode(F.sequence(F.lit(0), F.col("others") - 1)).alias("other_part"))
-    here, there = F.struct("cell", "part"), F.struct(F.col("other").alias("cell"), F.col("other_part").alias("part"))
-    work = work.select(F.least(here, there).alias("p"), F.greatest(here, there).alias("q"), (here <= there).alias("first"), "rep", "many", "v")
+    # one row for each pivot
+    cells = placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("far").alias("radius")).collect()
+    limit, parts = np.full(len(pivots), -1.0), np.zeros(len(pivots), np.int64)
+    for r in cells:
+        limit[r["cell"]] = r["radius"] + math.sqrt(2.0 - 2.0 * threshold) + _SLACK
+        parts[r["cell"]] = max(1, math.ceil(r["n"] / chunk))
+
+    def sent(batches):
+        """Each vector to the chunks of the cells that it may have links in, as one side of a pair of chunks."""
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rep, many = batch.column(0).to_numpy(), batch.column(1)
+            cell = batch.column(3).to_numpy().astype(np.int64)
+            own = cell << 32 | ((rep.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)).astype(np.int64) % parts[cell]
+            meets = _apart(_matrix(batch.column(2)) @ pivots.T) <= limit
+            meets[np.arange(len(rep)), cell] = True
+            i, j = np.nonzero(meets)
+            n = parts[j]
+            part = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+            i, other = np.repeat(i, n), np.repeat(j, n) << 32 | part
+            for a in range(0, len(i), _SENT):
+                k, o = i[a : a + _SENT], other[a : a + _SENT]
+                mine = own[k]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(mine, o)), pa.array(np.maximum(mine, o)), pa.array(mine <= o), pa.array(rep[k]), many.take(pa.array(k)), batch.column(2).take(pa.array(k))], names=["p", "q", "first", "rep", "many", "v"])
+
+    work = placed.mapInArrow(sent, f"p long, q long, first boolean, rep long, many long, v {kind}")
 
     def join(table: pa.Table) -> pa.Table:
         first = table.column("first").to_numpy()
@@ -320,8 +338,8 @@ def near_duplicates(rows: DataFrame, threshold: float = THRESHOLD, id_col: str =
 
     Vectors that are null, empty, zero or hold null or non-finite components link with
     nothing. Only vectors of the same dimension are compared. Equal vectors are one entry of the
-    join with a weight and always link with one another. Rows that repeat an id count as vectors of
-    their own; a row with a null id links, but names no component unless its
+    join with a weight and always link with one another. Rows that repeat an id are vectors of
+    their own: each has its own links, and a component is named by the smallest id of its rows; a row with a null id links, but names no component unless its
     own has no id. An empty table gives an empty result.
     """
     if not 0 < threshold <= 1:
@@ -332,21 +350,26 @@ def near_duplicates(rows: DataFrame, threshold: float = THRESHOLD, id_col: str =
     finite = F.forall("v", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")))
     good = (F.size("v") > 0) & finite & F.exists("v", lambda c: c != 0)
     every = every.withColumn("good", F.coalesce(F.col("v").isNotNull() & good, F.lit(False)))
-    # a row with a null id still stands for its vector: entries are named by numbers of their own only where all ids are null
-    classes = every.where("good").groupBy("v").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("many")).withColumn("rep", F.coalesce("first", F.xxhash64("v")))
-    classes = cut(classes)
-    found = None
-    for (width,) in classes.select(F.size("v")).distinct().orderBy(F.size("v")).collect():
-        part = _links(classes.where(F.size("v") == width).select("rep", "many", "v"), threshold, sample, chunk)
-        found = part if found is None else found.unionByName(part)
-    if found is None:
-        return every.select(F.col("id").alias(id_col), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.lit(True).alias("kept"))
-    found = cut(found)
-    links = found.groupBy("rep").agg(F.sum("n").alias("n"))
-    parts = connected_components(found.select(F.col("rep").alias("a"), F.col("root").alias("b")))
-    named = classes.join(links, "rep", "left").join(parts, F.col("rep") == F.col("node"), "left")
-    named = named.select("v", (F.coalesce("n", F.lit(0)) + F.col("many") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
-    linked = every.where("good").join(named, "v").select("id", "n_links", "component_id")
     alone = every.where("not good").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
-    out = linked.unionByName(alone)
+    # vectors meet their class again by 128 bits of hash, so they don't move a second time
+    value = (F.xxhash64("v").alias("h1"), F.xxhash64(F.lit(1), "v").alias("h2"))
+    classes = cut(every.where("good").groupBy("v").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("many")))
+    classes, firsts = named_by_first(classes, "v")
+    found, n_good = None, 0
+    for width, n in classes.groupBy(F.size("v").alias("width")).agg(F.sum("many").alias("n")).orderBy("width").collect():
+        part = _links(classes.where(F.size("v") == width).select(F.col("entry").alias("rep"), "many", "v"), threshold, sample, chunk)
+        found, n_good = part if found is None else found.unionByName(part), n_good + n
+    if found is None:
+        out = alone
+    else:
+        found = cut(found)
+        links = found.groupBy("rep").agg(F.sum("n").alias("n"))
+        parts = connected_components(found.select(F.col("rep").alias("a"), F.col("root").alias("b")))
+        named = classes.select("entry", "many", *value).join(links, F.col("entry") == F.col("rep"), "left").join(parts, F.col("entry") == F.col("node"), "left")
+        named = named.select("h1", "h2", F.col("many").alias("k"), (F.coalesce("n", F.lit(0)) + F.col("many") - 1).alias("n_links"), F.coalesce("component", "entry").alias("component"))
+        if firsts is not None:
+            named = named.join(firsts, "component").withColumn("component", F.col("__first"))
+        named = cut(named.select("h1", "h2", "k", "n_links", F.col("component").alias("component_id")))
+        linked = joined(every.where("good").select("id", *value), named, ["h1", "h2"], n_good)
+        out = linked.select("id", "n_links", "component_id").unionByName(alone)
     return out.select(F.col("id").alias(id_col), "n_links", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
