@@ -179,3 +179,74 @@ def test_models_learn():
     scorer = quality.train(x, counts, np.array([1.0, 0.0] * 20), rounds=100)
     good, bad = scorer.scores(texts[:2])
     assert good > 0.9 and bad < 0.1
+
+
+def linked_pages():
+    """Pages whose links are relative, quoted, without quotes, with character references, behind comments, and chained; every third has a rule."""
+    link = lambda t: f'<head><link rel="canonical" href="{t}"></head>'
+    refresh = lambda t: f'<meta http-equiv="refresh" content="{t}">'
+    hosts = ("free.io", "a.net", "q.example.net", "x.org", "shop.example.com", "HTTP.io")
+    forms = (lambda h, k: link(f"http://{h}/p{k}"), lambda h, k: link(f"//{h}/p{k}"), lambda h, k: link(f"/p{k}"), lambda h, k: link(f"p{k}"), lambda h, k: link(f"../d/../p{k}"), lambda h, k: refresh(f"0; url='http://{h}/p{k}'"), lambda h, k: refresh(f"5;URL=HTTP://{h.upper()}/p{k}#top"), lambda h, k: link(f"http://{h}/p{k}?a=1&amp;b=2"), lambda h, k: f"<LINK href=/p{k} REL='alternate canonical'>", lambda h, k: refresh(f"0;url=&quot;/p{k}&quot;"), lambda h, k: f"<!-- {link(f'http://a.net/p{k}')} -->", lambda h, k: refresh("30"), lambda h, k: link("mailto:me@a.net"), lambda h, k: "")
+    rng, rows = np.random.default_rng(12), []
+    for i in range(240):
+        host, k = hosts[int(rng.integers(len(hosts)))], int(rng.integers(120))
+        url = f"http://{host}/{('en/', 'de/', 'fr/', '')[int(rng.integers(4))]}p{i % 120}" + ("?a=1&b=2" if i % 11 == 0 else "")
+        rows.append((i, url, forms[i % len(forms)](hosts[int(rng.integers(len(hosts)))], k)))
+    return rows + [(1000, None, link("/x")), (1001, "nothing", link("http://a.net/x")), (1001, "nothing", None), (1002, "http://free.io/p1", None)]
+
+
+def test_url_aliases_against_brute_force(spark):
+    import html as entities
+    import re
+    from urllib.parse import urldefrag, urljoin, urlsplit
+
+    def parts(url):
+        m = re.match(r"(?s).*?://([^/?#]*)([^?#]*)", url or "")
+        return (m[1].lower(), m[2]) if m else ("", "")
+
+    def ruled(url):
+        host, path = parts(url)
+        fits = [(len(r), a, r) for a, r in url_filter.RULES for d, p in [r.split("/", 1)] if (host == d or host.endswith("." + d)) and path.startswith("/" + p)]
+        return max(fits)[1:] if fits else (None, None)
+
+    def spelt(url):
+        s = urlsplit(urldefrag(url)[0])
+        return s._replace(scheme=s.scheme.lower(), netloc=s.netloc.lower()).geturl()
+
+    rows, up = linked_pages(), {}
+
+    def find(x):
+        while up.setdefault(x, x) != x:
+            x = up[x]
+        return x
+
+    for _, url, page in rows:
+        for tag in re.findall(r"(?is)<(?:link|meta)[^>]*>", re.sub(r"(?s)<!--.*?-->", "", page or "")):
+            target = None
+            if re.search(r"(?i)canonical", tag):
+                target = re.search(r"""(?i)href=["']?([^"'\s>]+)""", tag)[1]
+            elif "refresh" in tag:
+                found = re.search(r"""(?i)url=["']?([^"'>]+)""", entities.unescape(re.search(r'content="([^"]*)"', tag)[1]))
+                target = found and found[1]
+            if target and url and "://" in url and not target.startswith("mailto:"):
+                a, b = sorted((find(spelt(url)), find(spelt(urljoin(url, entities.unescape(target))))))
+                up[b] = a
+    want = {}
+    for i, url, _ in rows:
+        action = ruled(url)[0]
+        if action is None:
+            members = [ruled(x)[0] for x in list(up) if url and "://" in url and find(x) == find(spelt(url))]
+            action = "allow" if "allow" in members or "block" not in members else "block"
+        want[i, url] = (ruled(url)[1], action)
+    got = url_filter.filter_urls(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    urls = {i: url for i, url, _ in rows}
+    assert len(got) == len(rows) and {(r["page_id"], urls[r["page_id"]]): (r["rule"], r["verdict"]) for r in got} == want
+    inherited = sum(rule is None and verdict == "block" for rule, verdict in want.values())
+    assert inherited > 10 and sum(rule is None and verdict == "allow" for rule, verdict in want.values()) > 10
+
+
+def test_embeddings_with_repeated_and_null_ids(spark):
+    near = lambda a, b: [float(np.cos(a)), float(np.sin(a)), b]
+    rows = [(1, near(0, 0)), (1, near(np.pi / 2, 0)), (2, near(np.pi / 2 + 0.1, 0)), (3, near(np.pi / 2 - 0.1, 0)), (None, near(np.pi, 0)), (None, near(-np.pi / 2, 0)), (4, near(np.pi + 0.1, 0)), (5, None)]
+    got = embedding_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert sorted(map(tuple, got), key=str) == sorted([(1, 0, 1, True), (1, 2, 1, True), (2, 2, 1, False), (3, 2, 1, False), (None, 1, 4, False), (None, 0, None, True), (4, 1, 4, True), (5, 0, 5, True)], key=str)
