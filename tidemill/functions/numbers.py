@@ -10,6 +10,7 @@ from .text import halfwidth
 PLAIN_NUMBER = r"^\s*[+-]?(\d+(\.\d*)?|\.\d+)([eE][+-]?\d+)?\s*$"
 # fixed values: unit suffixes and what they stand for
 UNITS = {"亿": 1e8, "万": 1e4, "W": 1e4, "w": 1e4, "K": 1e3, "k": 1e3}
+# fixed values: thousands in groups, and a number without them
 _GROUPED = r"^[+-]?\d{1,3}(,\d{3})+(\.\d+)?$"
 _BARE = r"^[+-]?(\d+(\.\d+)?|\.\d+)$"
 
@@ -17,7 +18,7 @@ _BARE = r"^[+-]?(\d+(\.\d+)?|\.\d+)$"
 def to_number(c: Column) -> Column:
     """Double of a plainly written number, else null (Java's type suffixes are no numbers)."""
     text = c.cast("string")
-    return F.when(text.rlike(PLAIN_NUMBER), F.expr("1") * F.trim(text).try_cast("double")).when(F.lower(F.trim(text)).isin("inf", "+inf", "infinity", "-inf", "-infinity"), F.trim(text).try_cast("double"))
+    return F.when(text.rlike(PLAIN_NUMBER), F.trim(text).try_cast("double")).when(F.lower(F.trim(text)).isin("inf", "+inf", "infinity", "-inf", "-infinity"), F.trim(text).try_cast("double"))
 
 
 def parse_number(c: Column, percent_scale: bool = False) -> Column:

@@ -39,6 +39,45 @@ def number(df: DataFrame, name: str) -> Column:
     return F.when(~F.isnan(c), c)
 
 
+#: Up to so many rows one buffer may hold a column's values; beyond it quantiles are bracketed first.
+EXACT_ROWS = 2_000_000
+#: Accuracy of the brackets: a quantile's bracket holds about 4/BRACKETS of the rows.
+BRACKETS = 100_000
+
+
+def quantiles(df: DataFrame, columns: dict[str, Column], at: list[float], n_rows: int | None = None) -> dict[str, list | None]:
+    """Exact quantiles (linear between neighbours) of each named column, None for a column without values.
+
+    ``percentile`` keeps every distinct value of a column in one buffer. On many rows a first pass brackets each quantile
+    approximately, a second counts what lies below and inside, and only what lies inside is looked at exactly.
+    """
+    names = list(columns)
+    if not names:
+        return {}
+    n_rows = df.count() if n_rows is None else n_rows
+    if n_rows <= EXACT_ROWS:
+        row = df.agg(*[F.percentile(x, F.array(*map(F.lit, at))).alias(str(i)) for i, x in enumerate(columns.values())]).first()
+        return {name: row[i] for i, name in enumerate(names)}
+    edge = 2.0 / BRACKETS
+    around = [min(1.0, max(0.0, q + e)) for q in at for e in (-edge, edge)]
+    row = df.agg(*[F.percentile_approx(x, around, BRACKETS).alias(str(i)) for i, x in enumerate(columns.values())], *[F.count(x).alias(f"n{i}") for i, x in enumerate(columns.values())]).first()
+    bracket = {(i, j): row[i][2 * j : 2 * j + 2] for i in range(len(names)) if row[i] for j in range(len(at))}
+    if not bracket:
+        return dict.fromkeys(names)
+    x = list(columns.values())
+    inside = {k: (x[k[0]] >= low) & (x[k[0]] <= high) for k, (low, high) in bracket.items()}
+    counts = df.agg(*[c for k, (low, high) in bracket.items() for c in (F.sum((x[k[0]] < low).cast("long")).alias(f"b{k}"), F.sum(inside[k].cast("long")).alias(f"m{k}"))]).first()
+    wanted = {}
+    for k in bracket:
+        n, below, m, rank = row[f"n{k[0]}"], counts[f"b{k}"], counts[f"m{k}"], at[k[1]] * (row[f"n{k[0]}"] - 1)
+        if below <= rank and rank <= below + m - 1:
+            wanted[k] = F.percentile(F.when(inside[k], x[k[0]]), min(1.0, (rank - below) / max(m - 1, 1)))
+        else:  # between two brackets' edges: all values of the column
+            wanted[k] = F.percentile(x[k[0]], at[k[1]])
+    found = df.agg(*[c.alias(str(k)) for k, c in wanted.items()]).first()
+    return {name: [found[str((i, j))] for j in range(len(at))] if row[i] else None for i, name in enumerate(names)}
+
+
 def outlier_bounds(df: DataFrame, columns, method: str = "iqr") -> dict[str, tuple]:
     """(low, high) by column from one aggregation; (None, None) where nothing can be an outlier."""
     if method not in ("iqr", "zscore"):
@@ -47,22 +86,16 @@ def outlier_bounds(df: DataFrame, columns, method: str = "iqr") -> dict[str, tup
     wrong = [c for c in columns if kinds(df)[c] != "numeric"]
     if wrong or not columns:
         raise InputError(f"not numeric: {', '.join(wrong)}" if wrong else "no column selected")
-    aggs = []
-    for i, c in enumerate(columns):
-        x = number(df, c)
-        if method == "iqr":
-            aggs.append(F.percentile(x, F.array(F.lit(0.25), F.lit(0.75))).alias(f"q{i}"))
-        else:
-            aggs += [F.avg(x).alias(f"m{i}"), F.stddev_pop(x).alias(f"s{i}")]
-    row, out = df.agg(*aggs).first(), {}
-    for i, c in enumerate(columns):
-        if method == "iqr":
-            q = row[f"q{i}"]
+    out = {}
+    if method == "iqr":
+        for c, q in quantiles(df, {c: number(df, c) for c in columns}, [0.25, 0.75]).items():
             gap = 1.5 * (q[1] - q[0]) if q else None
             out[c] = (q[0] - gap, q[1] + gap) if q else (None, None)
-        else:
-            m, s = row[f"m{i}"], row[f"s{i}"]
-            out[c] = (m - 3 * s, m + 3 * s) if s else (None, None)
+        return out
+    row = df.agg(*[a for i, c in enumerate(columns) for a in (F.avg(number(df, c)).alias(f"m{i}"), F.stddev_pop(number(df, c)).alias(f"s{i}"))]).first()
+    for i, c in enumerate(columns):
+        m, s = row[f"m{i}"], row[f"s{i}"]
+        out[c] = (m - 3 * s, m + 3 * s) if s else (None, None)
     return out
 
 

@@ -15,7 +15,16 @@ FALSE_WORDS = ("否", "false", "no", "n", "0")
 
 _FULL = "".join(chr(c) for c in range(0xFF01, 0xFF5F)) + "　"
 _HALF = "".join(chr(c) for c in range(0x21, 0x7F)) + " "
-_CONTROL = r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F​-‍﻿�]"
+# fixed values: what text columns are looked through for, and the formats of whole columns, the first that fits deciding
+FULL_WIDTH = "[０-９Ａ-Ｚａ-ｚ＄％＃＠＆]"
+INNER_BLANKS = r"\S[ \t　]{2,}\S"
+COLUMN_FORMATS = {
+    "phone": r"^1[3-9]\d{9}$",
+    "email": r"(?U)^[\w.+-]+@[\w-]+(\.[\w-]+)+$",
+    "url": r"(?i)^(https?://|www\.)\S+$",
+    "id_card": r"^\d{15}(\d{2}[0-9Xx])?$",
+}
+CONTROL = r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F​-‍﻿�]"
 
 
 def halfwidth(c: Column) -> Column:
@@ -28,7 +37,7 @@ def trim_edges(c: Column) -> Column:
 
 def normalize(c: Column) -> Column:
     """Half width, no control characters, inner white space as one blank, no white space around."""
-    return F.trim(F.regexp_replace(F.regexp_replace(halfwidth(c), _CONTROL, ""), r"(?U)\s+", " "))
+    return F.trim(F.regexp_replace(F.regexp_replace(halfwidth(c), CONTROL, ""), r"(?U)\s+", " "))
 
 
 def canonical(c: Column) -> Column:
