@@ -34,14 +34,21 @@ def row_numbers(df: DataFrame, order: list[Column], name: str = "__row") -> Data
     return ranged.join(F.broadcast(shift), "__part").withColumn(name, F.col("__in") + F.col("__shift")).drop("__part", "__in", "__shift")
 
 
-def running_total(df: DataFrame, order: str, n: str, name: str) -> DataFrame:
-    """Sum of ``n`` over rows with a smaller ``order``: ranges are summed apart, then shifted by the sums of the ranges before."""
-    ranged = in_ranges(df, [F.col(order)])
+def running_totals(df: DataFrame, order: list[str], totals: dict[str, str]) -> DataFrame:
+    """For each column of ``totals`` its sum over the rows before, under the name given: ranges are summed apart, then shifted by the sums of those before."""
+    ranged = in_ranges(df, [F.col(c) for c in order])
     inside = Window.partitionBy("__part").orderBy("__in").rowsBetween(Window.unboundedPreceding, -1)
-    sums = ranged.groupBy("__part").agg(F.sum(n).alias("__sum"))
-    shift = sums.select("__part", F.coalesce(_before(F.col("__sum"), F.sum), F.lit(0)).alias("__shift"))
-    here = F.coalesce(F.sum(n).over(inside), F.lit(0))
-    return ranged.withColumn("__here", here).join(F.broadcast(shift), "__part").withColumn(name, F.col("__here") + F.col("__shift")).drop("__part", "__in", "__here", "__shift")
+    sums = ranged.groupBy("__part").agg(*[F.sum(n).alias(f"__sum_{i}") for i, n in enumerate(totals)])
+    shift = sums.select("__part", *[F.coalesce(_before(F.col(f"__sum_{i}"), F.sum), F.lit(0)).alias(f"__shift_{i}") for i in range(len(totals))])
+    here = {f"__here_{i}": F.coalesce(F.sum(n).over(inside), F.lit(0)) for i, n in enumerate(totals)}
+    made = {name: F.col(f"__here_{i}") + F.col(f"__shift_{i}") for i, name in enumerate(totals.values())}
+    spare = [f"__{k}_{i}" for k in ("here", "shift") for i in range(len(totals))]
+    return ranged.withColumns(here).join(F.broadcast(shift), "__part").withColumns(made).drop("__part", "__in", *spare)
+
+
+def running_total(df: DataFrame, order: str, n: str, name: str) -> DataFrame:
+    """Sum of ``n`` over the rows before, as ``name``."""
+    return running_totals(df, [order], {n: name})
 
 
 def neighbours(df: DataFrame, values: dict[str, Column], order: list[Column]) -> DataFrame:

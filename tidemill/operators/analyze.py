@@ -4,15 +4,19 @@ from __future__ import annotations
 
 import math
 
-import pandas as pd
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..errors import InputError
 from ..functions import dates, ranges, stats
 from ..functions.stats import col, kinds, need_columns, number, numeric_columns, pearson
+from ..session import fixed
 from .clean import _absent, _numeric
 
+#: Bits of a digit of ranks: each digit is one pass. Up to so many distinct pairs are counted on the driver instead.
+DIGIT_BITS = 4
+FEW_PAIRS = 100_000
 AGGS = ("count", "sum", "mean", "min", "max", "median", "std", "nunique", "first", "last")
 
 
@@ -43,25 +47,38 @@ def groupby(df: DataFrame, by, metrics, top: int | None = None, order_by=None) -
     return out.limit(int(top)) if top else out
 
 
+def _wide_counts(df: DataFrame, columns: list[str]) -> DataFrame:
+    """``i`` (number of the column), ``v`` (value as text), ``n``: the values of all columns by one unpivoted count."""
+    cells = F.array(*[F.struct(F.lit(i).alias("i"), F.when(~_absent(df, c), col(c).cast("string")).alias("v")) for i, c in enumerate(columns)])
+    return df.select(F.explode(cells).alias("c")).select("c.*").where("v is not null").groupBy("i", "v").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _top(counts: DataFrame) -> DataFrame:
+    """By column number: present values, distinct ones, and the most frequent with its count (ties by value)."""
+    best = F.min_by("v", F.struct(-F.col("n"), "v"))
+    return counts.groupBy("i").agg(F.sum("n").alias("count"), F.count(F.lit(1)).alias("unique"), best.alias("top"), F.max("n").alias("freq"))
+
+
 def describe(df: DataFrame, columns=None) -> DataFrame:
-    """A row for each column: count, unique, top and freq, and numeric statistics; one scan for numbers, one per text column for tops."""
+    """A row for each column: count, unique, top and freq of text, statistics of numbers; one scan for the numbers, one for the other columns together."""
     columns = list(columns or df.columns)
     need_columns(df, columns)
-    kind, parts = kinds(df), []
-    for c in columns:
-        if kind[c] == "numeric":
-            x = number(df, c)
-            q = F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-            parts.append(df.agg(F.lit(c).alias("column"), F.count(x).alias("count"), F.lit(None).cast("long").alias("unique"), F.lit(None).cast("string").alias("top"), F.lit(None).cast("long").alias("freq"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"), F.min(x).alias("min"), q[0].alias("p25"), q[1].alias("p50"), q[2].alias("p75"), F.max(x).alias("max")))
-        else:
-            v = df.select(col(c).cast("string").alias("v")).where("v is not null").groupBy("v").agg(F.count(F.lit(1)).alias("n"))
-            best = F.max_by("v", F.struct(F.col("n"), -F.xxhash64("v"), "v"))
-            none = [F.lit(None).cast("double").alias(x) for x in ("mean", "std", "min", "p25", "p50", "p75", "max")]
-            parts.append(v.agg(F.lit(c).alias("column"), F.coalesce(F.sum("n"), F.lit(0)).alias("count"), F.count("v").alias("unique"), best.alias("top"), F.max("n").alias("freq"), *none))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    kind = kinds(df)
+    numeric, others = [c for c in columns if kind[c] == "numeric"], [c for c in columns if kind[c] != "numeric"]
+    rows = {}
+    if numeric:
+        x = {c: number(df, c) for c in numeric}
+        aggs = [a.alias(f"{i}:{n}") for i, c in enumerate(numeric) for n, a in (("count", F.count(x[c])), ("mean", F.avg(x[c])), ("std", F.stddev_samp(x[c])), ("min", F.min(x[c])), ("max", F.max(x[c])))]
+        got, q = df.agg(*aggs).first(), stats.quantiles(df, x, [0.25, 0.5, 0.75])
+        for i, c in enumerate(numeric):
+            rows[c] = (c, got[f"{i}:count"], None, None, None, got[f"{i}:mean"], got[f"{i}:std"], got[f"{i}:min"], *(q[c] or [None] * 3), got[f"{i}:max"])
+    if others:
+        found = {r["i"]: r for r in _top(_wide_counts(df, others)).collect()}
+        for i, c in enumerate(others):
+            r = found.get(i)
+            rows[c] = (c, *((r["count"], r["unique"], r["top"], r["freq"]) if r else (0, 0, None, None)), *[None] * 7)
+    numbers_of = ", ".join(f"{n} double" for n in ("mean", "std", "min", "p25", "p50", "p75", "max"))
+    return df.sparkSession.createDataFrame([rows[c] for c in columns], f"column string, count long, unique long, top string, freq long, {numbers_of}")
 
 
 def value_counts(df: DataFrame, column: str, top: int = 20) -> DataFrame:
@@ -92,15 +109,18 @@ def boxplot(df: DataFrame, columns=None) -> DataFrame:
     columns = list(columns or numeric_columns(df))
     if not columns:
         raise InputError("no numeric column")
-    out = None
     for c in columns:
         _numeric(df, c)
-        x = number(df, c)
-        q = F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-        one = df.agg(F.lit(c).alias("column"), F.min(x).alias("min"), q.alias("q"), F.max(x).alias("max"))
-        one = one.select("column", F.round("min", 6).alias("min"), *[F.round(F.col("q")[i], 6).alias(n) for i, n in enumerate(("q1", "median", "q3"))], F.round("max", 6).alias("max"), F.round(F.col("q")[0] - 1.5 * (F.col("q")[2] - F.col("q")[0]), 6).alias("low"), F.round(F.col("q")[2] + 1.5 * (F.col("q")[2] - F.col("q")[0]), 6).alias("high"))
-        out = one if out is None else out.unionByName(one)
-    return out
+    x = {c: number(df, c) for c in columns}
+    ends = df.agg(*[a for i, c in enumerate(columns) for a in (F.min(x[c]).alias(f"a{i}"), F.max(x[c]).alias(f"b{i}"))]).first()
+    rows = []
+    for i, (c, q) in enumerate(stats.quantiles(df, x, [0.25, 0.5, 0.75]).items()):
+        if q:
+            gap = 1.5 * (q[2] - q[0])
+            rows.append((c, *[round(v, 6) for v in (ends[f"a{i}"], *q, ends[f"b{i}"], q[0] - gap, q[2] + gap)]))
+        else:
+            rows.append((c, *[None] * 7))
+    return df.sparkSession.createDataFrame(rows, "column string, " + ", ".join(f"{n} double" for n in ("min", "q1", "median", "q3", "max", "low", "high")))
 
 
 def outliers(df: DataFrame, columns=None, method: str = "iqr") -> DataFrame:
@@ -123,43 +143,71 @@ def _average_rank(df: DataFrame, x: str, name: str) -> DataFrame:
     return df.join(ranks, F.col(x) == F.col("__v"), "left").drop("__v")
 
 
+def spearman(df: DataFrame, x: str, y: str) -> float | None:
+    """Pearson's coefficient of average ranks over pairwise complete rows."""
+    both = df.select(number(df, x).alias("a"), number(df, y).alias("b")).where("a is not null and b is not null")
+    ranked = _average_rank(_average_rank(both, "a", "ra"), "b", "rb")
+    return ranked.agg(pearson(F.col("ra"), F.col("rb"))).first()[0]
+
+
 def kendall(df: DataFrame, x: str, y: str) -> float | None:
-    """Tau-b over distinct pairs with counts: discordant pairs by merge sort within one task per ordered half of the values, so no cross join."""
-    pairs = df.select(number(df, x).alias("x"), number(df, y).alias("y")).where("x is not null and y is not null").groupBy("x", "y").agg(F.count(F.lit(1)).alias("w"))
+    """Tau-b. Values become dense ranks; pairs of ranks with their counts are compared by merge counting over the digits of x's rank.
 
-    def tau(group: pd.DataFrame) -> pd.DataFrame:
-        import numpy as np
-
-        g = group.sort_values(["x", "y"])
-        xs, ys, w = g["x"].to_numpy(), g["y"].to_numpy(), g["w"].to_numpy(np.int64)
-        rank = np.unique(ys, return_inverse=True)[1] + 1
-        tree, size = np.zeros(rank.max() + 2, np.int64), int(rank.max()) + 1
-        n, s, done = int(w.sum()), 0, 0
-
-        def upto(i):
-            total = 0
-            while i > 0:
-                total += tree[i]
-                i -= i & -i
-            return int(total)
-
-        for start in np.flatnonzero(np.r_[True, xs[1:] != xs[:-1]]):
-            stop = start + int((xs[start:] == xs[start]).argmin() or len(xs) - start)
-            for i in range(start, stop):
-                below = upto(rank[i] - 1)
-                s += int(w[i]) * (below - (done - upto(rank[i])))
-            for i in range(start, stop):
-                j = int(rank[i])
-                while j <= size:
-                    tree[j] += w[i]
-                    j += j & -j
-                done += int(w[i])
-        ties = lambda k: sum(t * (t - 1) // 2 for t in g.groupby(k)["w"].sum().tolist())
-        a, b = n * (n - 1) // 2 - ties("x"), n * (n - 1) // 2 - ties("y")
-        return pd.DataFrame({"tau": [s / math.sqrt(a * b) if a and b else None]})
-
-    row = pairs.withColumn("k", F.lit(0)).groupBy("k").applyInPandas(lambda g: tau(g), "tau double").first()
-    return row[0] if row else None
+    Two pairs first differ in exactly one digit of x, from the top. So for each digit the rows that agree above it form a group, and
+    each row needs to know how many of its group have a larger digit and a smaller y. Rows sorted by (group, y) answer that with
+    running totals, range by range: no task holds a group and no pairs are made.
+    """
+    pairs = df.select(number(df, x).alias("x"), number(df, y).alias("y")).where("x is not null and y is not null").groupBy("x", "y").agg(F.count(F.lit(1)).alias("w"))
+    pairs = fixed(pairs)
+
+    def ties(*keys: str):
+        row = pairs.groupBy(*keys).agg(F.sum("w").alias("w")).agg(F.sum("w"), F.sum(F.col("w").cast("decimal(38,0)") * (F.col("w") - 1) / 2), F.count(F.lit(1))).first()
+        return int(row[0] or 0), int(row[1] or 0), row[2]
+
+    (n, tied_x, distinct), (_, tied_y, _), (_, tied_both, _) = ties("x"), ties("y"), ties("x", "y")
+    every = n * (n - 1) // 2
+    if not every or every == tied_x or every == tied_y:
+        return None
+    found = _swapped_few(pairs) if pairs.count() <= FEW_PAIRS else _swapped(pairs, distinct)
+    concordant = every - tied_x - tied_y + tied_both - found
+    return (concordant - found) / math.sqrt((every - tied_x) * (every - tied_y))
+
+
+def _swapped_few(pairs: DataFrame) -> int:
+    """Pairs of rows whose order in y is against that in x, of a bounded number of distinct pairs, with the same digits as below, one bit each."""
+    x, y, w = (np.array(c) for c in zip(*pairs.select("x", "y", "w").collect()))
+    rank, w, total = np.unique(x, return_inverse=True)[1], w.astype(object), 0
+    for bit in range(max(1, int(rank.max()).bit_length())):
+        group, one = rank >> (bit + 1), (rank >> bit & 1).astype(bool)
+        by = np.lexsort((y, group))
+        before = np.r_[0, np.cumsum(np.where(one, w, 0)[by])][:-1]
+        new_group = np.r_[True, group[by][1:] != group[by][:-1]]
+        first = np.flatnonzero(new_group | np.r_[True, y[by][1:] != y[by][:-1]])
+        run = np.searchsorted(first, np.arange(len(by)), side="right") - 1
+        start = np.flatnonzero(new_group)[np.cumsum(new_group) - 1]
+        total += int((np.where(one, 0, w)[by] * (before[first[run]] - before[start])).sum())
+    return total
+
+
+def _swapped(pairs: DataFrame, distinct: int) -> int:
+    """Pairs of rows whose order in y is against that in x, by digits of x's rank."""
+    ranks = ranges.row_numbers(pairs.select("x").distinct(), [F.col("x")], "rank").select(F.col("x").alias("at"), "rank")
+    ranked = fixed(pairs.join(ranks, F.col("x") == F.col("at")).select("rank", "y", "w"))
+    digits = max(1, -(-int(distinct - 1).bit_length() // DIGIT_BITS))
+    swapped = 0  # pairs whose order in y is against that in x
+    above = range(1, 1 << DIGIT_BITS)
+    for k in range(digits):
+        digit = F.shiftright("rank", DIGIT_BITS * k).bitwiseAND(F.lit((1 << DIGIT_BITS) - 1).cast("long"))
+        group = F.shiftright("rank", DIGIT_BITS * (k + 1)).alias("g")
+        by_value = ranked.groupBy(group, "y").agg(*[F.sum(F.when(digit == d, F.col("w")).otherwise(0)).alias(f"c{d}") for d in range(1 << DIGIT_BITS)])
+        counted = ranges.running_totals(by_value, ["g", "y"], {f"c{d}": f"b{d}" for d in above})
+        starts = counted.groupBy("g").agg(*[F.min(f"b{d}").alias(f"s{d}") for d in above])
+        larger, total = F.lit(0).cast("decimal(38,0)"), F.lit(0).cast("decimal(38,0)")
+        for d in reversed(above):
+            larger = larger + (F.col(f"b{d}") - F.col(f"s{d}"))
+            total = total + F.col(f"c{d - 1}").cast("decimal(19,0)") * larger.cast("decimal(19,0)")
+        swapped += int(counted.join(starts, "g").agg(F.sum(total.cast("decimal(38,0)"))).first()[0] or 0)
+    return swapped
 
 
 def corr(df: DataFrame, columns=None, method: str = "pearson") -> DataFrame:
@@ -175,10 +223,7 @@ def corr(df: DataFrame, columns=None, method: str = "pearson") -> DataFrame:
         row = df.agg(*[pearson(number(df, a), number(df, b)).alias(str(i)) for i, (a, b) in enumerate(pairs)], *[F.stddev_pop(number(df, c)).alias(f"s{i}") for i, c in enumerate(columns)]).first()
         found = {p: row[i] for i, p in enumerate(pairs)}
     elif method == "spearman":
-        for a, b in pairs:
-            both = df.select(number(df, a).alias("a"), number(df, b).alias("b")).where("a is not null and b is not null")
-            ranked = _average_rank(_average_rank(both, "a", "ra"), "b", "rb")
-            found[a, b] = ranked.agg(pearson(F.col("ra"), F.col("rb"))).first()[0]
+        found = {(a, b): spearman(df, a, b) for a, b in pairs}
     elif method == "kendall":
         found = {(a, b): kendall(df, a, b) for a, b in pairs}
     else:
@@ -263,17 +308,37 @@ def crosstab(df: DataFrame, row: str, column: str) -> DataFrame:
 
 
 def profile(df: DataFrame, columns=None) -> DataFrame:
-    """By column: kind, count, missing, missing percent, distinct values and numeric statistics."""
-    columns, kind, out = list(columns or df.columns), kinds(df), None
-    for c in columns:
-        x = number(df, c) if kind[c] == "numeric" else F.lit(None).cast("double")
-        absent = F.sum(_absent(df, c).cast("long"))
-        q = F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-        one = df.agg(F.lit(c).alias("column"), F.lit(kind[c]).alias("kind"), (F.count(F.lit(1)) - absent).alias("count"), absent.alias("missing"), F.round(absent * 100.0 / F.count(F.lit(1)), 2).alias("missing_percent"), F.min(x).alias("min"), F.max(x).alias("max"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"), q[0].alias("p25"), q[1].alias("median"), q[2].alias("p75"))
-        distinct = df.where(~_absent(df, c)).groupBy(col(c)).count().agg(F.count(F.lit(1)).alias("nunique"))
-        one = one.crossJoin(distinct)  # one row with one row
-        out = one if out is None else out.unionByName(one)
-    return out
+    """By column: kind, count, missing, distinct values; numeric statistics, the first and last date, or the five most frequent values.
+
+    One scan for counts and moments, one for the values of all columns together.
+    """
+    columns, kind = list(columns or df.columns), kinds(df)
+    need_columns(df, columns)
+    aggs = [F.count(F.lit(1)).alias("n")]
+    for i, c in enumerate(columns):
+        aggs.append(F.count(F.when(~_absent(df, c), 1)).alias(f"{i}:count"))
+        if kind[c] == "numeric":
+            x = number(df, c)
+            aggs += [F.min(x).alias(f"{i}:min"), F.max(x).alias(f"{i}:max"), F.avg(x).alias(f"{i}:mean"), F.stddev_samp(x).alias(f"{i}:std")]
+        elif kind[c] == "datetime":
+            aggs += [F.min(col(c)).cast("string").alias(f"{i}:first"), F.max(col(c)).cast("string").alias(f"{i}:last")]
+    got = df.agg(*aggs).first().asDict()
+    q = stats.quantiles(df, {c: number(df, c) for c in columns if kind[c] == "numeric"}, [0.25, 0.5, 0.75], got["n"])
+    counts = _wide_counts(df, columns)
+    listed = [i for i, c in enumerate(columns) if kind[c] in ("text", "boolean")]
+    rank = F.row_number().over(Window.partitionBy("i").orderBy(F.desc("n"), "v"))
+    distinct = {r["i"]: r["k"] for r in counts.groupBy("i").agg(F.count(F.lit(1)).alias("k")).collect()}
+    tops: dict[int, list] = {}
+    if listed:
+        best = counts.where(F.col("i").isin(listed)).withColumn("rank", rank).where("rank <= 5").orderBy("i", "rank").collect()
+        for r in best:
+            tops.setdefault(r["i"], []).append((r["v"], r["n"]))
+    rows = []
+    for i, c in enumerate(columns):
+        missing = got["n"] - got[f"{i}:count"]
+        quarters = q.get(c) or [None] * 3
+        rows.append((c, kind[c], got[f"{i}:count"], missing, round(missing * 100 / got["n"], 2) if got["n"] else 0.0, distinct.get(i, 0), *[got.get(f"{i}:{n}") for n in ("min", "max", "mean", "std")], *quarters, got.get(f"{i}:first"), got.get(f"{i}:last"), tops.get(i, [])))
+    return df.sparkSession.createDataFrame(rows, "column string, kind string, count long, missing long, missing_percent double, nunique long, min double, max double, mean double, std double, p25 double, median double, p75 double, first string, last string, top_values array<struct<value: string, count: long>>")
 
 
 def missing_matrix(df: DataFrame, order_by, buckets: int = 40) -> DataFrame:
@@ -320,13 +385,26 @@ def scatter(df: DataFrame, x: str, y: str, order_by, max_points: int = 1000) ->
     return ranges.row_numbers(good, list(map(col, order_by))).where(F.col("__row") % step == 0).orderBy("__row").select(a.alias("x"), b.alias("y"))
 
 
+def interactions(df: DataFrame, x: str, y: str, order_by, max_points: int = 1000) -> dict:
+    """The points of ``scatter`` and their rank correlation."""
+    points = scatter(df, x, y, order_by, max_points)
+    held = [(round(r["x"], 6), round(r["y"], 6)) for r in points.collect()]  # fewer than 2 * max_points
+    rho = spearman(points, "x", "y") if len(held) > 2 else None
+    return {"x": x, "y": y, "points": held, "spearman": None if rho is None else round(rho, 4), "total_sampled": len(held)}
+
+
 def sample(df: DataFrame, method: str = "random", n: int = 100, by: str | None = None, seed: int = 42, order_by=None) -> DataFrame:
     """Exactly ``n`` rows at random, up to ``n`` of each group, or the first ``n``; the seed decides, not the partitioning."""
     if int(n) < 1:
         raise InputError("n must be at least 1")
     mark = F.xxhash64(*map(col, df.columns), F.lit(seed))
     if method == "random":
-        return df.orderBy(mark, *map(col, df.columns)).limit(int(n))
+        # the smallest hashes are wanted: a cut that keeps twice as many as needed, and some, leaves little to sort
+        rows = df.count()
+        share = min(1.0, (2.0 * int(n) + 1000) / max(rows, 1))
+        few = df.where(mark < F.lit(int((share - 0.5) * 2.0**64) if share < 1 else (1 << 63) - 1))
+        few = few if share < 1 and few.count() >= int(n) else df
+        return few.orderBy(mark, *map(col, df.columns)).limit(int(n))
     if method == "stratified":
         if not by:
             raise InputError("by is needed")
@@ -362,19 +440,38 @@ def page(df: DataFrame, page: int = 1, page_size: int = 50, sort: str | None = N
 
 
 def suggest_charts(df: DataFrame, limit: int = 10) -> list[dict]:
-    """Specs (kind and parameters) that suit the columns' kinds, each runnable by ``run``."""
+    """Titled specs (kind and parameters), each runnable by ``run``: what the columns' kinds and few statistics call for, the most telling first."""
+    if df.isEmpty():
+        return []
     kind = kinds(df)
     numbers = [c for c, k in kind.items() if k == "numeric"]
-    texts = [c for c, k in kind.items() if k == "text"]
-    times = [c for c, k in kind.items() if k == "datetime"]
-    out = [{"kind": "trend", "params": {"date_column": t, "value_column": n}} for t in times[:1] for n in numbers[:2]]
-    out += [{"kind": "groupby", "params": {"by": [t], "metrics": [{"column": n, "agg": "sum"}]}} for t in texts[:2] for n in numbers[:1]]
-    out += [{"kind": "histogram", "params": {"column": n}} for n in numbers[:2]]
-    out += [{"kind": "corr", "params": {"columns": numbers[:8]}}] if len(numbers) > 1 else []
-    out += [{"kind": "boxplot", "params": {"columns": numbers[:4]}}] if numbers else []
-    out += [{"kind": "value_counts", "params": {"column": t}} for t in texts[:2]]
-    out += [{"kind": "crosstab", "params": {"row": texts[0], "column": texts[1]}}] if len(texts) > 1 else []
-    return out[:limit]
+    texts = [c for c, k in kind.items() if k in ("text", "boolean")]
+    date = next((c for c, k in kind.items() if k == "datetime"), None)
+    few = df.limit(200)  # a text column whose first values are dates will do
+    if date is None and texts:
+        shares = few.agg(*[F.avg(F.when(col(c).isNotNull(), dates.parse_date(col(c)).isNotNull().cast("int"))).alias(str(i)) for i, c in enumerate(texts)]).first()
+        date = next((c for i, c in enumerate(texts) if (shares[i] or 0) >= 0.8), None)
+    groups = [c for c in texts if c != date]
+    distinct = df.agg(*[F.count_distinct(col(c)).alias(str(i)) for i, c in enumerate(groups[:2])]).first() if groups else []
+    out = []
+    if date and numbers:
+        out.append((f"{numbers[0]} over time", "trend", {"date_column": date, "value_column": numbers[0], "freq": "M"}))
+    if groups and numbers:
+        out.append((f"{numbers[0]} by {groups[0]}", "groupby", {"by": [groups[0]], "metrics": [{"column": numbers[0], "agg": "sum"}]}))
+        if distinct[0] <= 12:
+            out.append((f"shares of {groups[0]}", "value_counts", {"column": groups[0], "top": 10}))
+    if len(numbers) > 1:
+        out.append((f"{numbers[0]} and {numbers[1]}", "scatter", {"x": numbers[0], "y": numbers[1], "order_by": list(df.columns)}))
+    if numbers:
+        out.append((f"distribution of {numbers[0]}", "histogram", {"column": numbers[0], "bins": 20}))
+        beyond = df.agg(F.sum(stats.is_outlier(df, numbers[0], stats.outlier_bounds(df, numbers[:1])[numbers[0]]).cast("long"))).first()[0]
+        if beyond:
+            out.append((f"outliers of {numbers[0]} ({beyond})", "boxplot", {"columns": numbers[:6]}))
+    if len(groups) > 1 and max(distinct) <= 30:
+        out.append((f"{groups[0]} by {groups[1]}", "crosstab", {"row": groups[0], "column": groups[1]}))
+    if len(numbers) > 2:
+        out.append(("correlations", "corr", {}))
+    return [{"title": t, "kind": k, "params": p} for t, k, p in out[:limit]]
 
 
 KINDS = {f.__name__: f for f in (describe, groupby, corr, histogram, boxplot, value_counts, trend, outliers, kpi, funnel, crosstab, profile, missing_matrix, duplicates, text_stats, scatter)}
