@@ -3,50 +3,45 @@
 from __future__ import annotations
 
 import json
-import os
-import shutil
-import tempfile
 import threading
 import time
 import uuid
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 from ..errors import InputError
 from ..operators import analyze
+from ..sources import readers
+from ..sources.files import Files
 
 KEEP_VERSIONS, KEEP_HISTORY, MAX_CARDS = 20, 200, 12
 
 
 class Store:
-    """Datasets below one folder that driver and executors share."""
+    """Datasets below one folder, in any store that driver and executors share."""
 
     def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root, self._lock = spark, Path(root), threading.RLock()
-        (self.root / "datasets").mkdir(parents=True, exist_ok=True)
+        self.spark, self.root, self.files, self._lock = spark, str(root).rstrip("/"), Files(spark), threading.RLock()
+        self.files.make_dir(f"{self.root}/datasets")
 
     # metadata
 
-    def _write(self, path: Path, value) -> None:
-        fd, tmp = tempfile.mkstemp(dir=path.parent)
-        with os.fdopen(fd, "w", encoding="utf-8") as f:
-            json.dump(value, f, ensure_ascii=False)
-        os.replace(tmp, path)
+    def _write(self, path: str, value) -> None:
+        self.files.write(path, json.dumps(value, ensure_ascii=False).encode())
 
-    def _read(self, path: Path, default=None):
+    def _read(self, path: str, default=None):
         try:
-            return json.loads(path.read_text(encoding="utf-8"))
-        except (FileNotFoundError, json.JSONDecodeError):
+            return json.loads(self.files.read(path)) if self.files.exists(path) else default
+        except ValueError:
             return default
 
-    def _dir(self, ds: str) -> Path:
+    def _dir(self, ds: str) -> str:
         if not ds.isalnum():
             raise InputError("bad dataset id")
-        return self.root / "datasets" / ds
+        return f"{self.root}/datasets/{ds}"
 
     def meta(self, ds: str) -> dict:
-        found = self._read(self._dir(ds) / "meta.json")
+        found = self._read(f"{self._dir(ds)}/meta.json")
         if found is None:
             raise InputError(f"no such dataset: {ds}")
         return found
@@ -54,26 +49,47 @@ class Store:
     def _save(self, m: dict) -> dict:
         m["updated_at"] = time.time()
         m["history"] = m["history"][-KEEP_HISTORY:]
-        self._write(self._dir(m["id"]) / "meta.json", m)
+        self._write(f"{self._dir(m['id'])}/meta.json", m)
         return m
 
     def list(self) -> list[dict]:
         """Latest first; folders without readable metadata are skipped."""
-        found = [self._read(p / "meta.json") for p in (self.root / "datasets").iterdir()]
+        found = [self._read(f"{self.root}/datasets/{name}/meta.json") for name in self.files.names(f"{self.root}/datasets")]
         return sorted((m for m in found if m), key=lambda m: m["updated_at"], reverse=True)
 
     # data
 
     def _path(self, ds: str, version: int) -> str:
-        return str(self._dir(ds) / f"v{version}.parquet")
+        return f"{self._dir(ds)}/v{version}.parquet"
 
-    def create(self, df: DataFrame, name: str, project: str | None = None, parent: str | None = None) -> dict:
+    def create(self, df: DataFrame, name: str, project: str | None = None, parent: str | None = None, original: str | None = None) -> dict:
+        """A dataset that holds ``df``; ``original``, the file that it comes from, is kept beside it."""
         ds = uuid.uuid4().hex[:12]
-        self._dir(ds).mkdir()
         df.write.parquet(self._path(ds, 0))
+        return self._created(ds, df, name, project, parent, original)
+
+    def _created(self, ds: str, df: DataFrame, name: str, project: str | None, parent: str | None, original: str | None) -> dict:
+        kept = None
+        if original:
+            kept = f"original.{original.rsplit('.', 1)[-1]}"
+            self.files.copy(original, f"{self._dir(ds)}/{kept}")
         inherited = self.meta(parent).get("project") if parent and not project else project
         columns = [{"name": n, "type": t} for n, t in df.dtypes]
-        return self._save({"id": ds, "name": name, "project": inherited, "parent": parent, "current": 0, "versions": [0], "next": 1, "columns": columns, "history": [{"version": 0, "action": "create"}]})
+        return self._save({"id": ds, "name": name, "project": inherited, "parent": parent, "original": kept, "current": 0, "versions": [0], "next": 1, "columns": columns, "history": [{"version": 0, "action": "create"}]})
+
+    def ingest_csv(self, path: str, name: str, project: str | None = None) -> dict:
+        """A delimited file as a dataset in one pass: types come from its head, and only if a later row doesn't fit them are they taken from all rows."""
+        ds = uuid.uuid4().hex[:12]
+        df = readers.ingest_csv(self.spark, path, self._path(ds, 0))
+        return self._created(ds, df, name, project, None, None)
+
+    def import_sheet(self, ds: str, sheet: str) -> dict:
+        """Another sheet of a dataset's workbook as a dataset below it, in its project."""
+        m = self.meta(ds)
+        if not (m.get("original") or "").endswith(".xlsx"):
+            raise InputError("the dataset doesn't come from a workbook")
+        path = f"{self._dir(ds)}/{m['original']}"
+        return self.create(readers.read_xlsx(self.spark, path, sheet), f"{m['name']}-{sheet}", parent=ds, original=path)
 
     def load(self, ds: str, version: int | None = None) -> DataFrame:
         m = self.meta(ds)
@@ -86,7 +102,7 @@ class Store:
         with self._lock:
             m = self.meta(ds)
             if m["next"] != version:
-                os.rename(self._path(ds, version), self._path(ds, m["next"]))
+                self.files.move(self._path(ds, version), self._path(ds, m["next"]))
                 version = m["next"]
             gone = [v for v in m["versions"] if v > m["current"]]
             kept = [v for v in m["versions"] if v <= m["current"]] + [version]
@@ -96,7 +112,7 @@ class Store:
             m["history"].append({"version": version, "action": action})
             self._save(m)
         for v in gone:
-            shutil.rmtree(self._path(ds, v), ignore_errors=True)
+            self.files.delete(self._path(ds, v))
         return m
 
     def restore(self, ds: str, version: int) -> dict:
@@ -135,11 +151,11 @@ class Store:
 
     def delete(self, ds: str) -> None:
         self.meta(ds)
-        shutil.rmtree(self._dir(ds))
+        self.files.delete(self._dir(ds))
         with self._lock:
-            boards = self._read(self.root / "dashboards.json", {})
+            boards = self._read(f"{self.root}/dashboards.json", {})
             if boards.pop(ds, None) is not None:
-                self._write(self.root / "dashboards.json", boards)
+                self._write(f"{self.root}/dashboards.json", boards)
 
     def views(self, current: str | None = None) -> dict[str, DataFrame]:
         """Tables of the SQL console: ds1.. by last change, and df for the current dataset."""
@@ -152,7 +168,7 @@ class Store:
     # projects
 
     def projects(self) -> list[dict]:
-        return self._read(self.root / "projects.json", [])
+        return self._read(f"{self.root}/projects.json", [])
 
     def _project_name(self, name: str, but: str | None = None) -> str:
         name = name.strip()
@@ -163,18 +179,18 @@ class Store:
     def create_project(self, name: str) -> dict:
         with self._lock:
             p = {"id": uuid.uuid4().hex[:8], "name": self._project_name(name), "created_at": time.time()}
-            self._write(self.root / "projects.json", [*self.projects(), p])
+            self._write(f"{self.root}/projects.json", [*self.projects(), p])
         return p
 
     def rename_project(self, project: str, name: str) -> None:
         with self._lock:
             name = self._project_name(name, project)
-            self._write(self.root / "projects.json", [p | {"name": name} if p["id"] == project else p for p in self.projects()])
+            self._write(f"{self.root}/projects.json", [p | {"name": name} if p["id"] == project else p for p in self.projects()])
 
     def delete_project(self, project: str) -> None:
         """Its datasets stay, without a project."""
         with self._lock:
-            self._write(self.root / "projects.json", [p for p in self.projects() if p["id"] != project])
+            self._write(f"{self.root}/projects.json", [p for p in self.projects() if p["id"] != project])
             for m in self.list():
                 if m.get("project") == project:
                     self._save(m | {"project": None})
@@ -189,7 +205,7 @@ class Store:
 
     def dashboard(self, ds: str) -> list[dict]:
         self.meta(ds)
-        return self._read(self.root / "dashboards.json", {}).get(ds, [])
+        return self._read(f"{self.root}/dashboards.json", {}).get(ds, [])
 
     def save_dashboard(self, ds: str, cards: list[dict]) -> None:
         if len(cards) > MAX_CARDS:
@@ -199,7 +215,7 @@ class Store:
             raise InputError(f"unknown analysis: {wrong[0]}")
         self.meta(ds)
         with self._lock:
-            self._write(self.root / "dashboards.json", self._read(self.root / "dashboards.json", {}) | {ds: cards})
+            self._write(f"{self.root}/dashboards.json", self._read(f"{self.root}/dashboards.json", {}) | {ds: cards})
 
     def replay(self, ds: str) -> list[DataFrame]:
         df = self.load(ds)

@@ -2,46 +2,49 @@
 
 from __future__ import annotations
 
+import datetime as dt
 import io
 import json
 import re
 import zipfile
 from xml.etree import ElementTree
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyarrow import csv as arrow_csv
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..errors import InputError
+from .files import Files
 
 ENCODINGS = ("utf-8-sig", "gbk", "latin-1")
 SEPARATORS = (",", "\t", ";", "|")
 RECORD_KEYS = ("data", "rows", "records", "items", "list")
 SNIFF_BYTES = 1 << 20
+_TORN = "_torn_record"
 
 
 def _head(spark: SparkSession, path: str) -> bytes:
-    """The first bytes of a file, read through Spark, so any store that Spark knows will do."""
-    jvm = spark._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    stream = where.getFileSystem(spark._jsc.hadoopConfiguration()).open(where)
-    try:
-        # SNIFF_BYTES at most ever reach the driver
-        return bytes(stream.readNBytes(SNIFF_BYTES))
-    finally:
-        stream.close()
+    """The first bytes of the first file with data."""
+    files = Files(spark)
+    return files.read(files.first_data_file(path), SNIFF_BYTES)
 
 
-def sniff(head: bytes) -> tuple[str, str]:
-    """(encoding, separator) of delimited text."""
+def _decoded(head: bytes) -> tuple[str, str]:
+    """(encoding, text) of the first bytes of a file."""
     for encoding in ENCODINGS:
         try:
-            text = head.decode(encoding)
-            break
+            return encoding, head.decode(encoding)
         except UnicodeDecodeError as e:
             if e.start >= len(head) - 4:  # a character cut at the end
-                text = head[: e.start].decode(encoding)
-                break
+                return encoding, head[: e.start].decode(encoding)
+    raise AssertionError("latin-1 decodes anything")
+
+
+def sniff(head: bytes) -> tuple[str, str]:
+    """(encoding, separator) of delimited text; a comma where the first line has no separator."""
+    encoding, text = _decoded(head)
     line = text.splitlines()[0] if text else ""
     return encoding, max(SEPARATORS, key=lambda s: (line.count(s), -SEPARATORS.index(s)))
 
@@ -52,19 +55,76 @@ def trimmed_names(df: DataFrame) -> DataFrame:
 
 def nan_to_null(df: DataFrame) -> DataFrame:
     floats = [c for c, k in df.dtypes if k in ("float", "double")]
-    return df.withColumns({c: F.when(~F.isnan(c), F.col(f"`{c}`")) for c in floats}) if floats else df
+    return df.withColumns({c: F.when(~F.isnan(f"`{c}`"), F.col(f"`{c}`")) for c in floats}) if floats else df
+
+
+def _lines_torn(spark: SparkSession, path: str) -> bool:
+    """Whether a line of the text has an odd number of quotes: some value goes on in the next line."""
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    return not spark.read.text(path).where(quotes % 2 == 1).isEmpty()
+
+
+def _reader(spark: SparkSession, sep: str, schema, multi_line: bool = False):
+    reader = spark.read.option("header", True).option("sep", sep).option("quote", '"').option("escape", '"').option("multiLine", multi_line)
+    return reader.schema(schema) if schema else reader.option("inferSchema", True)
+
+
+def _delimited(spark: SparkSession, path: str, encoding: str, sep: str, schema, multi_line: bool, **options) -> DataFrame:
+    reader = _reader(spark, sep, schema, multi_line).options(**options)
+    if encoding != "gbk":
+        return reader.option("encoding", {"utf-8-sig": "UTF-8", "latin-1": "ISO-8859-1"}[encoding]).csv(path)
+    # Spark's reader doesn't know the encoding; its lines are decoded one by one, so files still split
+    if multi_line:
+        raise InputError("values over several lines can't be read in this encoding")
+    return reader.csv(spark.sparkContext.textFile(path, use_unicode=False).map(lambda line: line.decode("gb18030", "replace")))
 
 
-def read_csv(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
+def read_csv(spark: SparkSession, path: str, schema: str | None = None, multi_line: bool | None = None) -> DataFrame:
+    """Delimited text: a file, a folder or a pattern. Encoding and separator come from the first bytes.
+
+    Files are split between tasks unless a value holds a line break (``multi_line``; looked for in all lines if it isn't said).
+    Types are taken from all rows unless a schema is given.
+    """
     head = _head(spark, path)
     if not head.strip():
         raise InputError("the file is empty")
     encoding, sep = sniff(head)
-    reader = spark.read.option("header", True).option("sep", sep).option("multiLine", True).option("quote", '"').option("escape", '"').option("encoding", {"utf-8-sig": "UTF-8", "gbk": "GB18030", "latin-1": "ISO-8859-1"}[encoding])
-    reader = reader.schema(schema) if schema else reader.option("inferSchema", True)
-    if encoding == "gbk":
-        spark.conf.set("spark.sql.legacy.javaCharsets", "true")
-    return nan_to_null(trimmed_names(reader.csv(path)))
+    if multi_line is None:
+        multi_line = _lines_torn(spark, path)
+    df = trimmed_names(_delimited(spark, path, encoding, sep, schema, multi_line))
+    whole = {c: F.col(f"`{c}`").cast("bigint") for c, k in df.dtypes if k == "int" and not schema}
+    return nan_to_null(df.withColumns(whole) if whole else df)
+
+
+def _head_schema(text: str, sep: str) -> T.StructType | None:
+    """The types that the first lines of a delimited text suggest, None if they don't read as a table."""
+    try:
+        table = arrow_csv.read_csv(io.BytesIO(text.encode()), parse_options=arrow_csv.ParseOptions(delimiter=sep))
+    except pa.ArrowInvalid:
+        return None
+    kinds = ((pa.types.is_integer, T.LongType()), (pa.types.is_floating, T.DoubleType()), (pa.types.is_boolean, T.BooleanType()), (pa.types.is_timestamp, T.TimestampNTZType()), (pa.types.is_date, T.DateType()))
+    return T.StructType([T.StructField(f.name, next((k for fits, k in kinds if fits(f.type)), T.StringType())) for f in table.schema])
+
+
+def ingest_csv(spark: SparkSession, path: str, table: str) -> DataFrame:
+    """Delimited text written to a Parquet table in one pass over the text: the types of its first bytes are tried on all rows.
+
+    Rows that don't fit are counted while the table is written. If there are any the types are taken from all rows, and the table is written again.
+    """
+    head = _head(spark, path)
+    encoding, sep = sniff(head)
+    text = _decoded(head)[1]
+    schema = _head_schema(text.rsplit("\n", 1)[0] if len(head) == SNIFF_BYTES else text, sep)  # the last line is cut
+    if schema and len(schema) > 1 and _TORN not in schema.names:
+        whole = T.StructType([*schema, T.StructField(_TORN, T.StringType())])
+        rows = _delimited(spark, path, encoding, sep, whole, False, columnNameOfCorruptRecord=_TORN)
+        drift = Observation("drift")
+        rows = rows.observe(drift, F.count(_TORN).alias("torn"))
+        nan_to_null(trimmed_names(rows.drop(_TORN))).write.mode("overwrite").parquet(table)
+        if not drift.get["torn"]:
+            return spark.read.parquet(table)
+    read_csv(spark, path).write.mode("overwrite").parquet(table)
+    return spark.read.parquet(table)
 
 
 def read_paste(spark: SparkSession, text: str) -> DataFrame:
@@ -75,7 +135,7 @@ def read_paste(spark: SparkSession, text: str) -> DataFrame:
     first = text.splitlines()[0]
     sep = "\t" if "\t" in first and "," not in first else ","
     lines = spark.createDataFrame([(line,) for line in text.splitlines()], "value string").coalesce(1).rdd.map(lambda r: r[0])
-    return trimmed_names(spark.read.csv(lines, header=True, inferSchema=True, sep=sep))
+    return trimmed_names(_reader(spark, sep, None).csv(lines))
 
 
 def flatten(df: DataFrame) -> DataFrame:
@@ -95,11 +155,22 @@ def flatten(df: DataFrame) -> DataFrame:
 
 
 def read_json(spark: SparkSession, path: str) -> DataFrame:
-    """A list of records, an object that holds one under a known key, or one record."""
-    df = spark.read.option("multiLine", True).json(path)
+    """Records: one to a line, a list of them, an object that holds a list under a known key, an object of columns, or one record."""
+    head = _head(spark, path).decode("utf-8-sig", "ignore").strip()
+    lines = head.splitlines()
+    by_line = len(lines) > 1 and all(x.startswith("{") and x.rstrip().endswith("}") for x in lines[:2])
+    df = spark.read.option("multiLine", not by_line).json(path)
+    if head.startswith("[") or by_line:
+        return flatten(df)
+    arrays = {f.name: f.dataType.elementType for f in df.schema if isinstance(f.dataType, T.ArrayType)}
     for key in RECORD_KEYS:
-        if key in df.columns and isinstance(df.schema[key].dataType, T.ArrayType) and isinstance(df.schema[key].dataType.elementType, T.StructType):
-            return flatten(df.select(F.explode(f"`{key}`").alias("r")).select("r.*"))
+        if key in arrays:
+            rows = df.select(F.explode(f"`{key}`").alias("0"))
+            return flatten(rows.select("0.*") if isinstance(arrays[key], T.StructType) else rows)
+    if arrays and len(arrays) == len(df.columns):  # columns of equal length, as a table is often dumped
+        zipped = F.arrays_zip(*[F.col(f"`{c}`") for c in df.columns])
+        rows = df.select(F.explode(zipped).alias("r"))
+        return flatten(rows.select(*[F.col("r")[name].alias(c) for name, c in zip(rows.schema["r"].dataType.names, df.columns)]))
     return flatten(df)
 
 
@@ -107,49 +178,109 @@ def read_parquet(spark: SparkSession, path: str) -> DataFrame:
     return nan_to_null(spark.read.parquet(path))
 
 
-_NS = {"m": "http://schemas.openxmlformats.org/spreadsheetml/2006/main"}
+_MAIN = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
+_REL = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id"
+#: Number formats of the standard that show dates or times.
+_DATE_FORMATS = {*range(14, 23), *range(27, 37), *range(45, 48), *range(50, 59)}
+#: A cell: n(umber), d(ate), b(oolean) or s(tring), and its text.
+_CELL = "struct<kind: string, value: string>"
 
 
 def sheet_names(data: bytes) -> list[str]:
-    with zipfile.ZipFile(io.BytesIO(data)) as z:
-        return [s.get("name") for s in ElementTree.fromstring(z.read("xl/workbook.xml")).findall("m:sheets/m:sheet", _NS)]
+    return [name for name, _ in _sheets(data)]
 
 
-def read_xlsx(spark: SparkSession, data: bytes, sheet: str | int = 0) -> DataFrame:
-    """One sheet of a workbook; the format itself is bounded to about a million rows, which one task parses."""
-    names = sheet_names(data)
-    if isinstance(sheet, str) and sheet not in names:
-        raise InputError(f"no such sheet: {sheet}")
-    index = names.index(sheet) if isinstance(sheet, str) else sheet
+def _sheets(data: bytes) -> list[tuple[str, str]]:
+    """(name, file within the archive) of a workbook's sheets, in their order."""
+    with zipfile.ZipFile(io.BytesIO(data)) as z:
+        targets = {r.get("Id"): r.get("Target") for r in ElementTree.fromstring(z.read("xl/_rels/workbook.xml.rels"))}
+        sheets = ElementTree.fromstring(z.read("xl/workbook.xml")).iter(f"{_MAIN}sheet")
+        return [(s.get("name"), t.lstrip("/") if (t := targets[s.get(_REL)]).startswith("/") else f"xl/{t}") for s in sheets]
+
+
+def _date_styles(z: zipfile.ZipFile) -> set[int]:
+    """Numbers of the cell styles that show dates."""
+    if "xl/styles.xml" not in z.namelist():
+        return set()
+    root = ElementTree.fromstring(z.read("xl/styles.xml"))
+    own = {int(f.get("numFmtId")): re.sub(r'"[^"]*"|\\.|\[[^\]]*\]', "", f.get("formatCode") or "") for f in root.iter(f"{_MAIN}numFmt")}
+    dated = _DATE_FORMATS | {i for i, code in own.items() if re.search(r"[dmyhs]", code, re.I)}
+    styles = root.find(f"{_MAIN}cellXfs")
+    return {i for i, x in enumerate(styles if styles is not None else []) if int(x.get("numFmtId") or 0) in dated}
+
+
+def sheet_rows(data: bytes, sheet: str | int = 0) -> list[list[tuple[str, str] | None]]:
+    """The cells of a sheet, row by row."""
+    sheets = _sheets(data)
+    if isinstance(sheet, str):
+        if sheet not in dict(sheets):
+            raise InputError(f"no such sheet: {sheet}")
+        part = dict(sheets)[sheet]
+    else:
+        part = sheets[sheet][1]
     with zipfile.ZipFile(io.BytesIO(data)) as z:
-        shared = []
+        shared, dated = [], _date_styles(z)
         if "xl/sharedStrings.xml" in z.namelist():
-            shared = ["".join(t.text or "" for t in si.iter(f"{{{_NS['m']}}}t")) for si in ElementTree.fromstring(z.read("xl/sharedStrings.xml")).findall("m:si", _NS)]
+            shared = ["".join(t.text or "" for t in si.iter(f"{_MAIN}t")) for si in ElementTree.fromstring(z.read("xl/sharedStrings.xml")).iter(f"{_MAIN}si")]
+        book = ElementTree.fromstring(z.read("xl/workbook.xml")).find(f"{_MAIN}workbookPr")
+        base = dt.datetime(1904, 1, 1) if book is not None and book.get("date1904") in ("1", "true") else dt.datetime(1899, 12, 30)
         rows = []
-        for row in ElementTree.fromstring(z.read(f"xl/worksheets/sheet{index + 1}.xml")).iter(f"{{{_NS['m']}}}row"):
-            cells: dict[int, object] = {}
-            for c in row.findall("m:c", _NS):
-                at = 0
-                for letter in re.match("[A-Z]+", c.get("r"))[0]:
-                    at = at * 26 + ord(letter) - 64
-                value, kind = c.find("m:v", _NS), c.get("t")
+        for row in ElementTree.fromstring(z.read(part)).iter(f"{_MAIN}row"):
+            cells: dict[int, tuple[str, str]] = {}
+            for place, c in enumerate(row.iter(f"{_MAIN}c")):
+                at = place + 1
+                if c.get("r"):
+                    at = 0
+                    for letter in re.match("[A-Z]+", c.get("r"))[0]:
+                        at = at * 26 + ord(letter) - 64
+                value, kind = c.find(f"{_MAIN}v"), c.get("t")
                 if kind == "inlineStr":
-                    cells[at - 1] = "".join(t.text or "" for t in c.iter(f"{{{_NS['m']}}}t"))
-                elif value is not None:
-                    cells[at - 1] = shared[int(value.text)] if kind == "s" else value.text if kind == "str" else value.text
-            rows.append(cells)
-    if not rows:
+                    cells[at - 1] = "s", "".join(t.text or "" for t in c.iter(f"{_MAIN}t"))
+                elif value is not None and value.text is not None and kind != "e":
+                    if kind == "s":
+                        cells[at - 1] = "s", shared[int(value.text)]
+                    elif kind == "b":
+                        cells[at - 1] = "b", "true" if value.text == "1" else "false"
+                    elif kind in ("str", "d"):
+                        cells[at - 1] = "s" if kind == "str" else "d", value.text
+                    elif int(c.get("s") or 0) in dated:
+                        cells[at - 1] = "d", (base + dt.timedelta(days=float(value.text))).isoformat(sep=" ", timespec="milliseconds")
+                    else:
+                        cells[at - 1] = "n", value.text
+            rows.append([cells.get(i) for i in range(max(cells, default=-1) + 1)])
+    return rows
+
+
+def read_xlsx(spark: SparkSession, source: bytes | str, sheet: str | int = 0) -> DataFrame:
+    """One sheet of a workbook (a path, or its bytes): numbers, dates and truth values keep their kind where a whole column has it.
+
+    The format is bounded to about a million rows, which one task parses where the file is read.
+    """
+    if isinstance(source, str):
+        books = spark.read.format("binaryFile").load(source).select("content")
+    else:
+        books = spark.createDataFrame([(bytearray(source),)], "content binary")
+
+    def parse(batches):
+        for batch in batches:
+            for book in batch.column(0).to_pylist():
+                rows = sheet_rows(book, sheet)
+                cells = [[None if c is None else {"kind": c[0], "value": c[1]} for c in r] for r in rows]
+                yield pa.RecordBatch.from_arrays([pa.array(range(len(rows)), pa.int64()), pa.array(cells, pa.list_(pa.struct([("kind", pa.string()), ("value", pa.string())])))], names=["row", "cells"])
+
+    if isinstance(sheet, str):
+        head = source if isinstance(source, bytes) else Files(spark).read(source)
+        if sheet not in sheet_names(head):
+            raise InputError(f"no such sheet: {sheet}")
+    rows = books.mapInArrow(parse, f"row long, cells array<{_CELL}>")
+    width = rows.agg(F.max(F.size("cells"))).first()[0]
+    if not width:
         raise InputError("the sheet is empty")
-    width = max(max(r, default=-1) for r in rows) + 1
-    header = [str(rows[0].get(i) or f"列{i + 1}").strip() for i in range(width)]
-    table = [[r.get(i) for i in range(width)] for r in rows[1:]]
-    lines = spark.createDataFrame([(json.dumps(dict(zip(header, r)), ensure_ascii=False),) for r in table], "value string")
-    out = lines.select(F.from_json("value", T.StructType([T.StructField(h, T.StringType()) for h in header])).alias("r")).select("r.*")
-    from ..functions.numbers import to_number
-
-    for h in header:  # a column of plain numbers is numeric
-        c = F.col(f"`{h}`")
-        n, k = out.agg(F.count(c), F.count(to_number(c))).first()
-        if n and n == k:
-            out = out.withColumn(h, to_number(c))
-    return out
+    first = rows.where("row = 0").first()["cells"]
+    names = [str(first[i]["value"] if i < len(first) and first[i] else f"列{i + 1}").strip() or f"列{i + 1}" for i in range(width)]
+    body = rows.where("row > 0")
+    cell = [F.get("cells", F.lit(i)) for i in range(width)]
+    ends = body.agg(*[x for i, c in enumerate(cell) for x in (F.min(c["kind"]).alias(f"a{i}"), F.max(c["kind"]).alias(f"b{i}"))]).first()
+    kinds = {"n": "double", "d": "timestamp_ntz", "b": "boolean"}
+    out = [c["value"].try_cast(kinds[ends[f"a{i}"]]) if ends[f"a{i}"] == ends[f"b{i}"] and ends[f"a{i}"] in kinds else c["value"] for i, c in enumerate(cell)]
+    return body.select(*[c.alias(n) for c, n in zip(out, names)])

@@ -6,6 +6,7 @@ import csv
 import io
 import math
 import re
+import uuid
 import zipfile
 from xml.sax.saxutils import escape
 
@@ -13,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import InputError
+from .files import Files
 
 XLSX_ROWS = 1_048_575
 
@@ -22,9 +24,16 @@ def safe_name(name: str) -> str:
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    """Distributed part files with a header each; the first header cell carries the byte-order mark."""
-    first, *rest = df.columns
-    df.withColumnRenamed(first, f"﻿{first}").write.mode("overwrite").option("header", True).option("quote", '"').option("escape", '"').csv(path)
+    """One file at ``path`` with a byte-order mark and one header line, whatever the number of rows.
+
+    Rows are written by all tasks, without headers; their part files, which begin with the header's, are then joined by the store.
+    """
+    files, parts = Files(df.sparkSession), f"{path}.{uuid.uuid4().hex[:8]}.parts"
+    kept = df.write.option("quote", '"').option("escape", '"').option("emptyValue", '""')
+    kept.csv(parts)
+    head = io.StringIO()
+    csv.writer(head, lineterminator="\n").writerow(df.columns)
+    files.join_parts(parts, path, ("\ufeff" + head.getvalue()).encode())
 
 
 def write_xlsx(df: DataFrame, path: str) -> None:
@@ -54,12 +63,14 @@ def write_xlsx(df: DataFrame, path: str) -> None:
     sheet = "".join(named(i + 1, values) for i, values in enumerate([df.columns, *rows]))
     main, rel = "http://schemas.openxmlformats.org/spreadsheetml/2006/main", "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
     head = '<?xml version="1.0" encoding="UTF-8"?>'
-    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+    book = io.BytesIO()
+    with zipfile.ZipFile(book, "w", zipfile.ZIP_DEFLATED) as z:
         z.writestr("[Content_Types].xml", f'{head}<Types xmlns="http://schemas.openxmlformats.org/package/2006/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Default Extension="xml" ContentType="application/xml"/><Override PartName="/xl/workbook.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.sheet.main+xml"/><Override PartName="/xl/worksheets/sheet1.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.worksheet+xml"/></Types>')
         z.writestr("_rels/.rels", f'{head}<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="rId1" Type="{rel}/officeDocument" Target="xl/workbook.xml"/></Relationships>')
         z.writestr("xl/workbook.xml", f'{head}<workbook xmlns="{main}" xmlns:r="{rel}"><sheets><sheet name="Sheet1" sheetId="1" r:id="rId1"/></sheets></workbook>')
         z.writestr("xl/_rels/workbook.xml.rels", f'{head}<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="rId1" Type="{rel}/worksheet" Target="worksheets/sheet1.xml"/></Relationships>')
         z.writestr("xl/worksheets/sheet1.xml", f'{head}<worksheet xmlns="{main}"><sheetData>{sheet}</sheetData></worksheet>')
+    Files(df.sparkSession).write(path, book.getvalue())
 
 
 def json_cell(v):
