@@ -16,6 +16,10 @@ from ..functions import dates, numbers, ranges, stats, text
 from ..functions.stats import col, kinds, need_columns, number
 
 
+#: Mappings of more pairs are joined instead of written into the plan.
+MAP_LITERAL = 500
+
+
 def _default(df: DataFrame, columns) -> list[str]:
     columns = list(columns or df.columns)
     need_columns(df, columns)
@@ -39,12 +43,14 @@ def _absent(df: DataFrame, name: str):
 
 
 def drop_duplicates(df: DataFrame, columns=None, order_by=None) -> DataFrame:
-    """Keep the first row of equal keys; missing equals missing."""
+    """Keep the first row of equal keys in ``order_by``'s order, by the other columns where that ties or isn't given; missing equals missing.
+
+    Without ``columns`` equal rows are one, whatever the order.
+    """
     if not columns and not order_by:
         return df.dropDuplicates()
     keys = _default(df, columns)
-    if not order_by:
-        return df.dropDuplicates(keys)
+    order_by = [*(order_by or ()), *[c for c in df.columns if c not in keys and c not in (order_by or ()) and not dict(df.dtypes)[c].startswith(("map", "variant"))]] or keys
     need_columns(df, order_by)
     rank = F.row_number().over(Window.partitionBy(*map(col, keys)).orderBy(*map(col, order_by)))
     return df.withColumn("__rank", rank).where("__rank = 1").drop("__rank")
@@ -323,8 +329,13 @@ def map_values(df: DataFrame, column: str, mapping: dict, keep_original: bool =
     need_columns(df, [column])
     if not mapping:
         raise InputError("nothing to map")
-    pairs = F.create_map(*[F.lit(str(x)) for pair in mapping.items() for x in pair])
     c = col(column).cast("string")
+    if len(mapping) > MAP_LITERAL:
+        made, key, new = df.sparkSession.createDataFrame([(str(k), str(v)) for k, v in mapping.items()], "k string, v string"), "__map_key", "__map_value"
+        # as many rows as the caller's mapping has
+        met = df.join(F.broadcast(made.toDF(key, new)), c == F.col(key), "left")
+        return met.withColumn(column, F.coalesce(F.col(new), c) if keep_original else F.col(new)).drop(key, new)
+    pairs = F.create_map(*[F.lit(str(x)) for pair in mapping.items() for x in pair])
     return df.withColumn(column, F.coalesce(F.element_at(pairs, c), c) if keep_original else F.element_at(pairs, c))
 
 
@@ -364,6 +375,8 @@ def unify_boolean_text(df: DataFrame, column: str) -> DataFrame:
 OPS = {f.__name__: f for f in (drop_duplicates, drop_missing, fill_missing, rename_columns, cast_type, filter_rows, drop_columns, drop_outliers, bin_column, one_hot_encode, standardize_column, log_transform, extract_date_parts, regex_extract, trim_whitespace, normalize_text, parse_number, map_values, split_column, cap_outliers, drop_high_missing, unify_boolean_text)}
 #: Operators whose empty result is an error when they are applied interactively.
 _NOT_EMPTY = ("filter_rows", "drop_outliers")
+#: Operators after which rows have to be counted again.
+_CHANGES_ROWS = ("drop_duplicates", "drop_missing", "filter_rows", "drop_outliers")
 
 
 def build(df: DataFrame, op: str, params: dict | None = None) -> DataFrame:
@@ -382,9 +395,12 @@ def apply_op(df: DataFrame, op: str, params: dict | None = None) -> tuple[DataFr
         made = (params or {}).get("new_column") or f"{(params or {})['column']}_数值"
         if out.where(col(made).isNotNull()).isEmpty():
             raise InputError("nothing could be read as a number")
-    message = f"{op}: {df.count()} -> {out.count()} rows, {len(df.columns)} -> {len(out.columns)} columns"
-    if op == "cast_type":
-        c = (params or {})["column"]
-        new = out.where(col(c).isNull()).count() - df.where(_absent(df, c)).count()
-        message += f", {max(new, 0)} values could not be converted"
+    changes_rows = op in _CHANGES_ROWS or op == "drop_high_missing" and (params or {}).get("axis") == "row"
+    c = (params or {}).get("column") if op == "cast_type" else None
+    lost = F.lit(0) if c is None else F.sum(_absent(df, c).cast("long"))
+    before = df.agg(F.count(F.lit(1)), lost).first()
+    after = before if not changes_rows and c is None else out.agg(F.count(F.lit(1)), lost if c is None else F.sum(col(c).isNull().cast("long"))).first()
+    message = f"{op}: {before[0]} -> {after[0]} rows, {len(df.columns)} -> {len(out.columns)} columns"
+    if c is not None:
+        message += f", {max((after[1] or 0) - (before[1] or 0), 0)} values could not be converted"
     return out, message

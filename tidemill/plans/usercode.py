@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import contextlib
 import io
+import sys
 import threading
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -14,16 +16,54 @@ from ..errors import InputError
 SECONDS = 30
 
 
+class _Printed(io.TextIOBase):
+    """Standard output that keeps what one thread prints and passes on what all others do."""
+
+    def __init__(self):
+        self.held: dict[int, io.StringIO] = {}
+        self.others = sys.stdout
+
+    def write(self, text: str) -> int:
+        return (self.held.get(threading.get_ident()) or self.others).write(text)
+
+    def flush(self) -> None:
+        self.others.flush()
+
+
+@contextlib.contextmanager
+def _printing() -> Iterator[io.StringIO]:
+    """What this thread prints meanwhile."""
+    with _swapping:
+        if not isinstance(sys.stdout, _Printed):
+            sys.stdout = _Printed()
+        out = sys.stdout
+        out.held[threading.get_ident()] = printed = io.StringIO()
+    try:
+        yield printed
+    finally:
+        with _swapping:
+            out.held.pop(threading.get_ident(), None)
+            if not out.held and sys.stdout is out:
+                sys.stdout = out.others
+
+
+_swapping = threading.Lock()
+
+
 def run_code(df: DataFrame, code: str, seconds: float = SECONDS) -> tuple[DataFrame, str]:
-    """(result, what was printed). The result must be a DataFrame with columns; building it may take ``seconds``."""
-    scope, printed, failed = {"df": df, "F": F, "Window": Window, "spark": df.sparkSession}, io.StringIO(), []
+    """(result, what was printed). The result must be a DataFrame with columns; building it may take ``seconds``.
+
+    Code that defines ``pandas_batch(frame)`` instead is applied to batches of rows as pandas frames; the columns stay as they are.
+    """
+    scope, said, failed = {"df": df, "F": F, "Window": Window, "spark": df.sparkSession}, [], []
 
     def work():
-        try:
-            with contextlib.redirect_stdout(printed):
+        with _printing() as printed:
+            try:
                 exec(compile(code, "<transform>", "exec"), scope)  # noqa: S102  the feature itself
-        except Exception as e:
-            failed.append(e)
+            except Exception as e:
+                failed.append(e)
+            said.append(printed)
 
     thread = threading.Thread(target=work, daemon=True)
     thread.start()
@@ -32,10 +72,14 @@ def run_code(df: DataFrame, code: str, seconds: float = SECONDS) -> tuple[DataFr
         raise InputError(f"the code took more than {seconds} seconds")
     if failed:
         raise InputError(f"{type(failed[0]).__name__}: {failed[0]}") from failed[0]
-    out = scope.get("result", scope["df"])
+    batch = scope.get("pandas_batch")
+    if callable(batch):
+        out = df.mapInPandas(lambda frames: (batch(f) for f in frames), df.schema)
+    else:
+        out = scope.get("result", scope["df"])
     if not isinstance(out, DataFrame) or not out.columns:
         raise InputError("the code must leave a DataFrame in df or result")
-    return out, printed.getvalue()
+    return out, said[0].getvalue()
 
 
 def preview(df: DataFrame, code: str) -> DataFrame:

@@ -73,10 +73,11 @@ def _delimited(spark: SparkSession, path: str, encoding: str, sep: str, schema,
     reader = _reader(spark, sep, schema, multi_line).options(**options)
     if encoding != "gbk":
         return reader.option("encoding", {"utf-8-sig": "UTF-8", "latin-1": "ISO-8859-1"}[encoding]).csv(path)
-    # Spark's reader doesn't know the encoding; its lines are decoded one by one, so files still split
+    # Spark's CSV reader doesn't know the encoding: its lines are decoded one by one, so files still split
     if multi_line:
         raise InputError("values over several lines can't be read in this encoding")
-    return reader.csv(spark.sparkContext.textFile(path, use_unicode=False).map(lambda line: line.decode("gb18030", "replace")))
+    lines = spark.read.text(path).select(F.col("value").cast("binary")).rdd
+    return reader.csv(lines.map(lambda r: bytes(r[0]).decode("gb18030", "replace")))
 
 
 def read_csv(spark: SparkSession, path: str, schema: str | None = None, multi_line: bool | None = None) -> DataFrame:
