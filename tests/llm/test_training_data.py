@@ -246,7 +246,7 @@ def test_url_aliases_against_brute_force(spark):
 
 
 def test_embeddings_with_repeated_and_null_ids(spark):
-    near = lambda a, b: [float(np.cos(a)), float(np.sin(a)), b]
+    near = lambda a, b: [float(np.cos(a)), float(np.sin(a)), float(b)]
     rows = [(1, near(0, 0)), (1, near(np.pi / 2, 0)), (2, near(np.pi / 2 + 0.1, 0)), (3, near(np.pi / 2 - 0.1, 0)), (None, near(np.pi, 0)), (None, near(-np.pi / 2, 0)), (4, near(np.pi + 0.1, 0)), (5, None)]
     got = embedding_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
     assert sorted(map(tuple, got), key=str) == sorted([(1, 0, 1, True), (1, 2, 1, True), (2, 2, 1, False), (3, 2, 1, False), (None, 1, 4, False), (None, 0, None, True), (4, 1, 4, True), (5, 0, 5, True)], key=str)

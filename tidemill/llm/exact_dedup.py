@@ -26,15 +26,16 @@ FAN_IN = 32
 
 
 def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id_col`` and the SHA-256 of the text with A-Z lower-cased; null counts as empty."""
+    """``id_col``, the SHA-256 of the text with A-Z lower-cased (``digest``) and of the text itself (``raw``); null counts as empty."""
     arrow_limits(docs.sparkSession)
 
     def run(batches):
         for batch in batches:
-            found = [hashlib.sha256(t.lower()).digest() for t in texts_of(batch.column(1))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], names=["id", "digest"])
+            texts = texts_of(batch.column(1))
+            found = [[hashlib.sha256(t).digest() for t in some] for some in (map(bytes.lower, texts), texts)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(x, pa.binary()) for x in found]], names=["id", "digest", "raw"])
 
-    return document_rows(docs, id_col, text_col).mapInArrow(run, "id long, digest binary")
+    return document_rows(docs, id_col, text_col).mapInArrow(run, "id long, digest binary, raw binary")
 
 
 def _pruned(counts: dict, k: int) -> dict:
@@ -68,6 +69,16 @@ def frequent_candidates(keyed: DataFrame, key: str, k: int = COUNTERS) -> DataFr
     return found.select("key")
 
 
+def _resolved(rows: DataFrame, k: int) -> DataFrame:
+    """The rows (``id``, ``digest`` and more) with ``keep_id`` and ``group_size``; those of hot digests stay where they are."""
+    hot = rows.join(F.broadcast(frequent_candidates(rows, "digest", k)), rows.digest == F.col("key"), "left_semi")
+    winners = cut(hot.groupBy("digest").agg(F.max("id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")))
+    marked = rows.join(F.broadcast(winners), "digest", "left")
+    same = Window.partitionBy("digest")
+    rest = marked.where("group_size is null").select(*rows.columns, F.max("id").over(same).alias("keep_id"), F.count(F.lit(1)).over(same).alias("group_size"))
+    return marked.where("group_size is not null").select(*rows.columns, "keep_id", "group_size").unionByName(rest)
+
+
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = COUNTERS) -> DataFrame:
     """Groups of equal texts (A-Z lower-cased); the row with the largest id stays.
 
@@ -76,14 +87,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     id and its text carry the same values; rows with a null id stay only in a
     group without any id. An empty table gives an empty result.
     """
-    rows = cut(digests(docs, id_col, text_col))
-    hot = rows.join(F.broadcast(frequent_candidates(rows, "digest", k)), rows.digest == F.col("key"), "left_semi")
-    winners = cut(hot.groupBy("digest").agg(F.max("id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")))
-    marked = rows.join(F.broadcast(winners), "digest", "left")
-    same = Window.partitionBy("digest")
-    rest = marked.where("group_size is null").select("id", "digest", F.max("id").over(same).alias("keep_id"), F.count(F.lit(1)).over(same).alias("group_size"))
-    every = marked.where("group_size is not null").select("id", "digest", "keep_id", "group_size").unionByName(rest)
-    return every.select(
+    return _resolved(cut(digests(docs, id_col, text_col).select("id", "digest")), k).select(
         F.col("id").alias(id_col),
         "keep_id",
         "group_size",
@@ -98,12 +102,9 @@ def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     A document is an id with its text: other texts of the same id, or of null ids, are documents of their own. Of texts
     of one id that differ in case only, that with the smallest SHA-256 stays.
     """
-    own, text = F.col(f"`{id_col}`"), F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     key, keep, kept = unused(docs, "__key", "__keep", "__kept")
-    stay = exact_dedup(docs, id_col, text_col, k).where("kept").select(F.col(id_col).alias("keep"), F.col("text_sha256").alias("kept")).distinct()
-    lower = F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    keyed = docs.select(own.alias("id"), F.sha2(lower, 256).alias("norm"), F.sha2(text, 256).alias("raw"))
-    named = keyed.join(stay, F.col("id").eqNullSafe(F.col("keep")) & (F.col("norm") == F.col("kept")), "left_semi")
-    named = cut(named.groupBy("id", "norm").agg(F.min("raw").alias("raw")).select(F.col("id").alias(keep), F.col("raw").alias(kept)))
-    found = docs.withColumn(key, F.sha2(text, 256)).join(named, own.eqNullSafe(F.col(keep)) & (F.col(key) == F.col(kept)), "left_semi")
+    rows = _resolved(cut(digests(docs, id_col, text_col)), k).where(F.col("id").eqNullSafe(F.col("keep_id")))
+    stay = cut(rows.groupBy("id", "digest").agg(F.min("raw").alias(kept)).select(F.col("id").alias(keep), kept))
+    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
+    found = docs.withColumn(key, F.unhex(F.sha2(text, 256))).join(stay, F.col(f"`{id_col}`").eqNullSafe(F.col(keep)) & (F.col(key) == F.col(kept)), "left_semi")
     return found.dropDuplicates([id_col, key]).drop(key)
