@@ -1,6 +1,7 @@
 """Brute-force tests of what the training-data operators have to find or leave alone as a whole."""
 
 import hashlib
+import re
 import zlib
 
 import numpy as np
@@ -15,7 +16,7 @@ def docs(spark, texts):
 
 
 def shingle_set(text, words=5):
-    w = (text or "").lower().split()
+    w = re.findall(rb"[^\x20\x09-\x0D]+", (text or "").encode().lower())
     return {tuple(w[i : i + words]) for i in range(max(1, len(w) - words + 1))} if w else set()
 
 
