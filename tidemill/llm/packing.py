@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bpe
-from .common import arrow_limits, document_rows, pieces, texts_of
+from .common import arrow_limits, cut, document_rows, pieces, texts_of
 
 #: Permitted sequence lengths, and what a sequence of length L costs: its tokens, a fixed share, and attention's square.
 LENGTHS = (512, 1024, 2048, 4096, 8192)
@@ -151,7 +151,8 @@ def pack(docs: DataFrame, lengths=LENGTHS, id_col: str = "doc_id", text_col: str
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(count(texts_of(batch.column(2))), pa.int64())], names=["id", "text_hash", "n"])
 
     rows = document_rows(docs, id_col, text_col).toDF("id", "text").select("id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"), "text")
-    rows = rows.mapInArrow(measure, "id long, text_hash long, n long").withColumn("copy", F.lit(0).cast("long"))
+    # three branches follow; texts are measured once for all
+    rows = cut(rows.mapInArrow(measure, "id long, text_hash long, n long")).withColumn("copy", F.lit(0).cast("long"))
     # rows without an id are counted first, so that equal ones can be dealt to different shards
     nameless = rows.where("id is null").groupBy("id", "text_hash", "n").agg(F.count(F.lit(1)).alias("k"))
     nameless = nameless.select("id", "text_hash", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1)).alias("copy"))
