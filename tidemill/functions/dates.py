@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -40,8 +42,17 @@ def spark_format(fmt: str) -> str:
     return "".join(out)
 
 
+def _shape(fmt: str) -> str:
+    """A pattern of the texts that a strptime format can fit."""
+    kinds = {"Y": r"\d{4}", "f": r"\d{1,6}", "p": r"\p{L}+", "b": r"\p{L}+", "B": r"\p{L}+", "j": r"\d{1,3}", "%": "%"}
+    parts = re.split(r"%(.)", fmt)
+    return "^" + "".join(kinds.get(x, r"\d{1,2}") if i % 2 else re.sub(r"([\\.^$|?*+()\[\]{}])", r"\\\1", x) for i, x in enumerate(parts)) + "$"
+
+
 def parse_as(c: Column, fmt: str) -> Column:
-    return F.try_to_timestamp(c, F.lit(spark_format(fmt))).cast("timestamp_ntz")
+    """Null where the text doesn't fit; only texts of the format's shape are handed to the parser, whose failures are slow."""
+    parsed = F.try_to_timestamp(c, F.lit(spark_format(fmt))).cast("timestamp_ntz")
+    return F.when(c.rlike(_shape(fmt)), parsed) if "%" in fmt else parsed
 
 
 def parse_date(c: Column, formats=READ_ORDER) -> Column:

@@ -101,8 +101,11 @@ def histogram(df: DataFrame, column: str, bins: int = 20) -> DataFrame:
     counted = df.where(x.isNotNull()).groupBy(slot.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
     every = df.sparkSession.range(bins).select(F.col("id").cast("int").alias("bin"))
     out = every.join(F.broadcast(counted), "bin", "left")  # at most 200 rows
-    edge = F.lit(low) + F.col("bin") * width
-    return out.select("bin", edge.alias("low"), F.when(F.col("bin") == bins - 1, F.lit(high)).otherwise(F.lit(low) + (F.col("bin") + 1) * width).alias("high"), F.coalesce("n", F.lit(0)).alias("count")).orderBy("bin")
+    edges = [low + i * width for i in range(bins)] + [high]
+    labels = F.array(*[F.lit(f"{a:.4g}~{b:.4g}") for a, b in zip(edges, edges[1:])])
+    at = F.array(*map(F.lit, edges))
+    here = F.col("bin") + 1
+    return out.select("bin", F.element_at(labels, here).alias("label"), F.element_at(at, here).alias("low"), F.element_at(at, here + 1).alias("high"), F.coalesce("n", F.lit(0)).alias("count")).orderBy("bin")
 
 
 def boxplot(df: DataFrame, columns=None) -> DataFrame:
@@ -397,13 +400,15 @@ def sample(df: DataFrame, method: str = "random", n: int = 100, by: str | None =
     """Exactly ``n`` rows at random, up to ``n`` of each group, or the first ``n``; the seed decides, not the partitioning."""
     if int(n) < 1:
         raise InputError("n must be at least 1")
-    mark = F.xxhash64(*map(col, df.columns), F.lit(seed))
+    # md5 of the row's text and the seed: any engine draws the same rows
+    texts = [F.coalesce(col(c).cast("string"), F.lit("")) for c, k in df.dtypes if not k.startswith(("map", "variant"))]
+    mark = F.md5(F.concat_ws("|", *texts, F.lit(str(seed))))
     if method == "random":
-        # the smallest hashes are wanted: a cut that keeps twice as many as needed, and some, leaves little to sort
+        # the smallest digests are wanted: a cut that keeps twice as many as needed, and some, leaves little to sort
         rows = df.count()
-        share = min(1.0, (2.0 * int(n) + 1000) / max(rows, 1))
-        few = df.where(mark < F.lit(int((share - 0.5) * 2.0**64) if share < 1 else (1 << 63) - 1))
-        few = few if share < 1 and few.count() >= int(n) else df
+        share = (2.0 * int(n) + 1000) / max(rows, 1)
+        few = df.where(mark < f"{int(share * 2**60):015x}") if share < 1 else df
+        few = few if share >= 1 or few.limit(int(n)).count() == int(n) else df
         return few.orderBy(mark, *map(col, df.columns)).limit(int(n))
     if method == "stratified":
         if not by:

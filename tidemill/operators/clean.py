@@ -6,8 +6,10 @@ Plans stay lazy. Where a literal or the schema depends on the data, one small ag
 
 from __future__ import annotations
 
+import math
 import re
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -75,8 +77,10 @@ def fill_missing(df: DataFrame, columns=None, method: str = "constant", value=No
     elif method in ("mean", "median"):
         for c in columns:
             _numeric(df, c)
-        how = F.avg if method == "mean" else F.median
-        row = df.agg(*[how(number(df, c)).alias(str(i)) for i, c in enumerate(columns)]).first()
+        if method == "mean":
+            row = df.agg(*[F.avg(number(df, c)).alias(str(i)) for i, c in enumerate(columns)]).first()
+        else:
+            row = [q[0] if q else None for q in stats.quantiles(df, {c: number(df, c) for c in columns}, [0.5]).values()]
         out = {c: F.when(_absent(df, c), F.lit(row[i])).otherwise(col(c)) for i, c in enumerate(columns)}
     elif method == "mode":
         row = df.agg(*[F.mode(F.when(~_absent(df, c), col(c)), True).alias(str(i)) for i, c in enumerate(columns)]).first()
@@ -192,8 +196,21 @@ def cap_outliers(df: DataFrame, columns, method: str = "iqr") -> DataFrame:
     return df.withColumns(out) if out else df
 
 
-def _edge(x: float) -> str:
-    return f"{x:.3g}" if x != int(x) or abs(x) >= 1e15 else f"{x:.1f}"
+def _bin_names(edges: list[float], lowest: bool) -> list[str]:
+    """``(a, b]`` for each bin: edges with three decimals (three digits where there is no whole part), more where they would coincide.
+
+    With ``lowest`` the first bin holds its lower edge too, so that edge is shown a little lower.
+    """
+
+    def shown(x: float, digits: int) -> float:
+        frac, whole = math.modf(x)
+        return x if not x else float(np.round(x, digits if whole else digits - 1 - math.floor(math.log10(abs(frac)))))
+
+    digits = next((d for d in range(3, 20) if len({shown(x, d) for x in edges}) == len(edges)), 19)
+    cut = [shown(x, digits) for x in edges]
+    if lowest:
+        cut[0] = float(np.round(cut[0] - 10.0**-digits, digits + 1))
+    return [f"({a}, {b}]" for a, b in zip(cut, cut[1:])]
 
 
 def bin_column(df: DataFrame, column: str, method: str = "equal_width", bins: int = 5, labels=None, new_column: str | None = None) -> DataFrame:
@@ -215,7 +232,7 @@ def bin_column(df: DataFrame, column: str, method: str = "equal_width", bins: in
             edges = [low + (high - low) * i / bins for i in range(bins)] + [high]
             edges[0] = low - (high - low) * 0.001
     elif method == "equal_freq":
-        found = df.agg(F.percentile(x, F.array(*[F.lit(i / bins) for i in range(bins + 1)]))).first()[0]
+        found = stats.quantiles(df, {column: x}, [i / bins for i in range(bins + 1)])[column]
         if found is None:
             raise InputError("no values")
         edges = sorted(set(found))
@@ -223,7 +240,7 @@ def bin_column(df: DataFrame, column: str, method: str = "equal_width", bins: in
             raise InputError("all values are equal")
     else:
         raise InputError(f"unknown method: {method}")
-    names = [f"({_edge(a)}, {_edge(b)}]" for a, b in zip(edges, edges[1:])]
+    names = _bin_names(edges, method == "equal_freq")
     number_of = F.lit(None).cast("int")
     for i in range(len(names) - 1, -1, -1):
         inside = (x <= edges[i + 1]) & ((x >= edges[i]) if method == "equal_freq" and i == 0 else (x > edges[i]))

@@ -52,20 +52,30 @@ _query("groupby_first_last", "orders", lambda d: _renamed(analyze.groupby(d, "o_
        "SELECT o_orderstatus, arg_min(o_totalprice, o_orderkey) AS first_price, arg_max(o_totalprice, o_orderkey) AS last_price FROM orders GROUP BY 1")
 _query("groupby_top", "part", lambda d: _renamed(analyze.groupby(d, "p_brand", [{"column": "p_size", "agg": "sum"}], top=5), "p_brand", "size"),
        "SELECT p_brand, CAST(sum(p_size) AS BIGINT) AS size FROM part GROUP BY 1 ORDER BY 1 LIMIT 5")
-_query("describe", "orders", lambda d: analyze.describe(d, ["o_totalprice", "o_custkey"]).select("column", "count", *[F.round(c, 4).alias(c) for c in ("mean", "std", "min", "p25", "p50", "p75", "max")]),
-       " UNION ALL ".join(f"SELECT '{c}' AS \"column\", count({c}) AS count, round(avg({c}), 4) AS mean, round(stddev_samp({c}), 4) AS std, round(min({c})::DOUBLE, 4) AS min, round(quantile_cont({c}, 0.25), 4) AS p25, round(quantile_cont({c}, 0.5), 4) AS p50, round(quantile_cont({c}, 0.75), 4) AS p75, round(max({c})::DOUBLE, 4) AS max FROM orders" for c in ("o_totalprice", "o_custkey")))
+_DESCRIBED = ("mean", "std", "min", "p25", "p50", "p75", "max")
+_query(
+    "describe",
+    "orders",
+    lambda d: analyze.describe(d, ["o_totalprice", "o_custkey", "o_orderpriority"]).select("column", "count", "unique", "top", "freq", *[F.round(c, 4).alias(c) for c in _DESCRIBED]),
+    " UNION ALL ".join(
+        f"SELECT '{c}' AS \"column\", count({c}) AS count, NULL::BIGINT AS \"unique\", NULL::VARCHAR AS top, NULL::BIGINT AS freq, round(avg({c}), 4) AS mean, round(stddev_samp({c}), 4) AS std, round(min({c})::DOUBLE, 4) AS min,"
+        f" round(quantile_cont({c}, 0.25), 4) AS p25, round(quantile_cont({c}, 0.5), 4) AS p50, round(quantile_cont({c}, 0.75), 4) AS p75, round(max({c})::DOUBLE, 4) AS max FROM orders"
+        for c in ("o_totalprice", "o_custkey")
+    )
+    + " UNION ALL SELECT 'o_orderpriority', sum(k)::BIGINT, count(*), arg_min(v, (-k, v)), max(k), NULL, NULL, NULL, NULL, NULL, NULL, NULL FROM (SELECT o_orderpriority AS v, count(*) AS k FROM orders GROUP BY 1)",
+)
 _query("value_counts", "orders", lambda d: analyze.value_counts(d, "o_orderpriority", 3),
        "SELECT o_orderpriority AS value, count(*) AS count FROM orders GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 3")
-_query("histogram", "lineitem", lambda d: analyze.histogram(d, "l_extendedprice", 10).select("bin", "count"),
-       "WITH b AS (SELECT min(l_extendedprice) AS lo, max(l_extendedprice) AS hi FROM lineitem), c AS (SELECT CAST(least(floor((l_extendedprice - lo) / ((hi - lo) / 10)), 9) AS INTEGER) AS bin, count(*) AS n FROM lineitem, b GROUP BY 1) SELECT CAST(r.i AS INTEGER) AS bin, coalesce(n, 0) AS count FROM range(10) r(i) LEFT JOIN c ON c.bin = r.i")
+_query("histogram", "lineitem", lambda d: analyze.histogram(d, "l_extendedprice", 10).select("bin", F.round("low", 6).alias("low"), F.round("high", 6).alias("high"), "count"),
+       "WITH b AS (SELECT min(l_extendedprice) AS lo, max(l_extendedprice) AS hi FROM lineitem), c AS (SELECT CAST(least(floor((l_extendedprice - lo) / ((hi - lo) / 10)), 9) AS INTEGER) AS bin, count(*) AS n FROM lineitem, b GROUP BY 1) SELECT CAST(r.i AS INTEGER) AS bin, round(lo + r.i * ((hi - lo) / 10), 6) AS low, round(lo + (r.i + 1) * ((hi - lo) / 10), 6) AS high, coalesce(n, 0) AS count FROM range(10) r(i) CROSS JOIN b LEFT JOIN c ON c.bin = r.i")
 _query("boxplot", "lineitem", lambda d: analyze.boxplot(d, ["l_quantity", "l_extendedprice"]).select("column", "min", "q1", "median", "q3", "max", F.round("low", 4).alias("low"), F.round("high", 4).alias("high")),
        " UNION ALL ".join(f"SELECT '{c}' AS \"column\", min({c}) AS min, round(quantile_cont({c}, 0.25), 6) AS q1, round(quantile_cont({c}, 0.5), 6) AS median, round(quantile_cont({c}, 0.75), 6) AS q3, max({c}) AS max, round(quantile_cont({c}, 0.25) - 1.5 * (quantile_cont({c}, 0.75) - quantile_cont({c}, 0.25)), 4) AS low, round(quantile_cont({c}, 0.75) + 1.5 * (quantile_cont({c}, 0.75) - quantile_cont({c}, 0.25)), 4) AS high FROM lineitem" for c in ("l_quantity", "l_extendedprice")))
 _IQR = "WITH q AS (SELECT quantile_cont({c}, 0.25) AS a, quantile_cont({c}, 0.75) AS b FROM {t}), f AS (SELECT a - 1.5 * (b - a) AS lo, b + 1.5 * (b - a) AS hi FROM q)"
 _Z = "WITH f AS (SELECT avg({c}) - 3 * stddev_pop({c}) AS lo, avg({c}) + 3 * stddev_pop({c}) AS hi FROM {t})"
-_query("outliers_iqr", "customer", lambda d: analyze.outliers(d, ["c_acctbal"]).select("column", "n_outliers", "min", "max"),
-       _IQR.format(c="c_acctbal", t="customer") + " SELECT 'c_acctbal' AS \"column\", count(*) FILTER (c_acctbal < lo OR c_acctbal > hi) AS n_outliers, min(c_acctbal) AS min, max(c_acctbal) AS max FROM customer, f")
-_query("outliers_zscore", "events", lambda d: analyze.outliers(d, ["value"], "zscore").select("column", "n_outliers", "min", "max"),
-       _Z.format(c="value", t="events") + " SELECT 'value' AS \"column\", count(*) FILTER (value < lo OR value > hi) AS n_outliers, min(value) AS min, max(value) AS max FROM events, f")
+_query("outliers_iqr", "customer", lambda d: analyze.outliers(d.withColumn("c_acctbal", F.when(F.col("c_custkey") % 20 == 0, F.col("c_acctbal") * 50).otherwise(F.col("c_acctbal"))), ["c_acctbal"]).withColumns({"low": F.round("low", 4), "high": F.round("high", 4)}),
+       _IQR.format(c="c_acctbal", t="(SELECT CASE WHEN c_custkey % 20 = 0 THEN c_acctbal * 50 ELSE c_acctbal END AS c_acctbal FROM customer)") + " SELECT 'c_acctbal' AS \"column\", round(min(lo), 4) AS low, round(min(hi), 4) AS high, count(*) FILTER (x < lo OR x > hi) AS n_outliers, round(count(*) FILTER (x < lo OR x > hi) * 100.0::DOUBLE / count(*), 2) AS percent, min(x) AS min, max(x) AS max FROM (SELECT CASE WHEN c_custkey % 20 = 0 THEN c_acctbal * 50 ELSE c_acctbal END AS x FROM customer), f")
+_query("outliers_zscore", "events", lambda d: analyze.outliers(d, ["value"], "zscore"),
+       _Z.format(c="value", t="events") + " SELECT 'value' AS \"column\", NULL::DOUBLE AS low, NULL::DOUBLE AS high, count(*) FILTER (value < lo OR value > hi) AS n_outliers, round(count(*) FILTER (value < lo OR value > hi) * 100.0::DOUBLE / count(*), 2) AS percent, min(value) AS min, max(value) AS max FROM events, f")
 _query("corr_pearson", "lineitem", lambda d: analyze.corr(d, ["l_quantity", "l_extendedprice", "l_discount"]),
        "WITH c AS (SELECT round(corr(l_quantity, l_extendedprice), 4) AS ab, round(corr(l_quantity, l_discount), 4) AS ac, round(corr(l_extendedprice, l_discount), 4) AS bc FROM lineitem) SELECT 'l_quantity' AS \"column\", 1.0::DOUBLE AS l_quantity, ab AS l_extendedprice, ac AS l_discount FROM c UNION ALL SELECT 'l_extendedprice', ab, 1.0, bc FROM c UNION ALL SELECT 'l_discount', ac, bc, 1.0 FROM c")
 _query("corr_spearman", "customer", lambda d: analyze.corr(d, ["c_acctbal", "c_nationkey"], "spearman"),
@@ -75,8 +85,8 @@ _query("corr_kendall", "supplier", lambda d: analyze.corr(d, ["s_acctbal", "s_na
 for _freq, _unit, _step in (("D", "day", "1 day"), ("M", "month", "1 month"), ("Q", "quarter", "3 months"), ("Y", "year", "1 year")):
     _query(f"trend_{_freq}", "orders", lambda d, f=_freq: analyze.trend(d, "o_orderdate", "o_totalprice", f, "sum").withColumn("value", F.round("value", 2)),
            f"WITH s AS (SELECT date_trunc('{_unit}', o_orderdate)::TIMESTAMP AS period, sum(o_totalprice) AS v FROM orders GROUP BY 1) SELECT g.p AS period, round(coalesce(v, 0), 2) AS value FROM (SELECT unnest(generate_series((SELECT min(period) FROM s), (SELECT max(period) FROM s), INTERVAL '{_step}')) AS p) g LEFT JOIN s ON s.period = g.p")
-_query("trend_W_mean", "orders", lambda d: analyze.trend(d, "o_orderdate", "o_totalprice", "W", "mean").select("period", F.floor("value").alias("value")),
-       "SELECT (date_trunc('week', o_orderdate) + INTERVAL 6 DAY)::TIMESTAMP AS period, CAST(floor(avg(o_totalprice)) AS BIGINT) AS value FROM orders GROUP BY 1")
+_query("trend_W_mean", "orders", lambda d: analyze.trend(d, "o_orderdate", "o_totalprice", "W", "mean").select("period", F.round("value", 1).alias("value")),
+       "SELECT (date_trunc('week', o_orderdate) + INTERVAL 6 DAY)::TIMESTAMP AS period, round(round(avg(o_totalprice), 4), 1) AS value FROM orders GROUP BY 1")
 _query("kpi_sum", "orders", lambda d: analyze.kpi(d, "sum", "o_totalprice", "o_orderdate").select(F.round("value", 2).alias("value"), F.round("previous", 2).alias("previous"), "delta_percent"),
        "WITH b AS (SELECT max(o_orderdate::DATE) AS hi, (date_diff('day', min(o_orderdate::DATE), max(o_orderdate::DATE)) + 1) // 2 AS half FROM orders), v AS (SELECT sum(o_totalprice) FILTER (o_orderdate::DATE > hi - half::INTEGER) AS a, sum(o_totalprice) FILTER (o_orderdate::DATE <= hi - half::INTEGER AND o_orderdate::DATE > hi - (2 * half)::INTEGER) AS p FROM orders, b) SELECT round(a, 2) AS value, round(p, 2) AS previous, round((a - p) * 100 / abs(p), 1) AS delta_percent FROM v")
 _query("kpi_count", "events", lambda d: analyze.kpi(d, "count", "value").select("value"), "SELECT count(value)::DOUBLE AS value FROM events")
@@ -88,8 +98,14 @@ _query("funnel_columns", "orders", lambda d: analyze.funnel(d.select("o_orderkey
        "SELECT 'o_orderkey' AS step, count(*) AS n, NULL::DOUBLE AS conversion FROM orders UNION ALL SELECT 'paid', count(*) FILTER (o_orderkey % 3 = 0), round(count(*) FILTER (o_orderkey % 3 = 0) * 100.0::DOUBLE / count(*), 1) FROM orders")
 _query("crosstab", "lineitem", lambda d: analyze.crosstab(d, "l_returnflag", "l_linestatus"),
        "SELECT l_returnflag AS row, count(*) FILTER (l_linestatus = 'F') AS \"F\", count(*) FILTER (l_linestatus = 'O') AS \"O\" FROM lineitem GROUP BY 1")
-_query("profile", "customer", lambda d: analyze.profile(d, ["c_acctbal", "c_mktsegment"]).select("column", "kind", "count", "missing", "nunique", F.round("mean", 6).alias("mean"), "median"),
-       "SELECT 'c_acctbal' AS \"column\", 'numeric' AS kind, count(c_acctbal) AS count, count(*) - count(c_acctbal) AS missing, count(DISTINCT c_acctbal) AS nunique, round(avg(c_acctbal), 6) AS mean, quantile_cont(c_acctbal, 0.5) AS median FROM customer UNION ALL SELECT 'c_mktsegment', 'text', count(c_mktsegment), count(*) - count(c_mktsegment), count(DISTINCT c_mktsegment), NULL, NULL FROM customer")
+_query(
+    "profile",
+    "customer",
+    lambda d: analyze.profile(d, ["c_acctbal", "c_mktsegment"]).select("column", "kind", "count", "missing", "missing_percent", "nunique", *[F.round(c, 6).alias(c) for c in ("min", "max", "mean", "std", "p25", "median", "p75")], F.to_json("top_values").alias("top_values")),
+    "SELECT 'c_acctbal' AS \"column\", 'numeric' AS kind, count(c_acctbal) AS count, count(*) - count(c_acctbal) AS missing, 0.0::DOUBLE AS missing_percent, count(DISTINCT c_acctbal) AS nunique, min(c_acctbal) AS min, max(c_acctbal) AS max, round(avg(c_acctbal), 6) AS mean, round(stddev_samp(c_acctbal), 6) AS std, round(quantile_cont(c_acctbal, 0.25), 6) AS p25, round(quantile_cont(c_acctbal, 0.5), 6) AS median, round(quantile_cont(c_acctbal, 0.75), 6) AS p75, '[]' AS top_values FROM customer"
+    " UNION ALL SELECT 'c_mktsegment', 'text', sum(k)::BIGINT, 0, 0.0, count(*), NULL, NULL, NULL, NULL, NULL, NULL, NULL, '[' || string_agg('{\"value\":\"' || v || '\",\"count\":' || k || '}', ',' ORDER BY k DESC, v) || ']' FROM (SELECT c_mktsegment AS v, count(*) AS k FROM customer GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 5)",
+)
+_query("profile_dates", "orders", lambda d: analyze.profile(d, ["o_orderdate"]).select("column", "kind", "first", "last", "nunique"), "SELECT 'o_orderdate' AS \"column\", 'datetime' AS kind, min(o_orderdate)::VARCHAR AS first, max(o_orderdate)::VARCHAR AS last, count(DISTINCT o_orderdate) AS nunique FROM orders")
 _gaps = lambda d: d.select("o_orderkey", F.when(F.col("o_orderkey") % 7 != 0, F.col("o_totalprice")).alias("p"))
 _GAPS = "(SELECT o_orderkey, CASE WHEN o_orderkey % 7 <> 0 THEN o_totalprice END AS p FROM orders)"
 _query("missing_matrix", "orders", lambda d: analyze.missing_matrix(_gaps(d), ["o_orderkey"], 10).select("bucket", "p"),
@@ -106,7 +122,7 @@ _query("scatter", "lineitem", lambda d: analyze.scatter(d, "l_quantity", "l_exte
 _OK = ["o_orderkey", "o_totalprice"]
 for _name, _o, _v, _where in (("gt", "gt", 200000, "o_totalprice > 200000"), ("ge", "ge", "150000", "o_totalprice >= 150000"), ("lt", "lt", 5000, "o_totalprice < 5000"), ("le", "le", 5000, "o_totalprice <= 5000"), ("between", "between", [1000, 2000], "o_totalprice BETWEEN 1000 AND 2000")):
     _op(f"filter_{_name}", "orders", "filter_rows", {"column": "o_totalprice", "op": _o, "value": _v}, _OK, f"SELECT o_orderkey, o_totalprice FROM orders WHERE {_where}")
-for _name, _v, _where in (("eq", "F", "o_orderstatus = 'F'"), ("ne", "F", "o_orderstatus IS DISTINCT FROM 'F'"), ("isin", ["F", "P"], "o_orderstatus IN ('F', 'P')")):
+for _name, _v, _where in (("eq", "F", "o_orderstatus = 'F'"), ("isin", ["F", "P"], "o_orderstatus IN ('F', 'P')")):
     _op(f"filter_{_name}", "orders", "filter_rows", {"column": "o_orderstatus", "op": _name, "value": _v}, ["o_orderkey"], f"SELECT o_orderkey FROM orders WHERE {_where}")
 _op("filter_contains", "part", "filter_rows", {"column": "p_name", "op": "contains", "value": "A"}, ["p_partkey"], "SELECT p_partkey FROM part WHERE contains(lower(p_name), 'a')")
 _op("filter_startswith", "customer", "filter_rows", {"column": "c_mktsegment", "op": "startswith", "value": "B"}, ["c_custkey"], "SELECT c_custkey FROM customer WHERE starts_with(c_mktsegment, 'B')")
@@ -120,6 +136,7 @@ _query("fill_mean", "orders", lambda d: clean.fill_missing(_gaps(d), ["p"], "mea
 _op("fill_median", "orders", "fill_missing", {"columns": ["p"], "method": "median"}, ["o_orderkey", "p"], f"SELECT o_orderkey, coalesce(p, (SELECT quantile_cont(p, 0.5) FROM {_GAPS})) AS p FROM {_GAPS}", _gaps)
 _status = lambda d: d.select("o_orderkey", F.when(F.col("o_orderkey") % 5 != 0, F.col("o_orderpriority")).alias("s"))
 _STATUS = "(SELECT o_orderkey, CASE WHEN o_orderkey % 5 <> 0 THEN o_orderpriority END AS s FROM orders)"
+_op("filter_ne", "orders", "filter_rows", {"column": "s", "op": "ne", "value": "1-URGENT"}, ["o_orderkey", "s"], f"SELECT o_orderkey, s FROM {_STATUS} WHERE s IS DISTINCT FROM '1-URGENT'", _status)
 _op("fill_mode", "orders", "fill_missing", {"columns": ["s"], "method": "mode"}, ["o_orderkey", "s"], f"SELECT o_orderkey, coalesce(s, (SELECT s FROM {_STATUS} WHERE s IS NOT NULL GROUP BY s ORDER BY count(*) DESC, s LIMIT 1)) AS s FROM {_STATUS}", _status)
 _op("fill_ffill", "orders", "fill_missing", {"columns": ["p"], "method": "ffill", "order_by": ["o_orderkey"]}, ["o_orderkey", "p"], f"SELECT o_orderkey, last_value(p IGNORE NULLS) OVER (ORDER BY o_orderkey ROWS UNBOUNDED PRECEDING) AS p FROM {_GAPS}", _gaps)
 _op("fill_bfill", "orders", "fill_missing", {"columns": ["p"], "method": "bfill", "order_by": ["o_orderkey"]}, ["o_orderkey", "p"], f"SELECT o_orderkey, first_value(p IGNORE NULLS) OVER (ORDER BY o_orderkey ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS p FROM {_GAPS}", _gaps)
@@ -133,12 +150,19 @@ _op("cast_float", "customer", "cast_type", {"column": "x", "to": "float"}, ["c_c
 _op("cast_int", "customer", "cast_type", {"column": "x", "to": "int"}, ["c_custkey", "x"], f"SELECT c_custkey, CAST(round_even(x, 0) AS BIGINT) AS x FROM ({_MIXED})", _mixed)
 _op("cast_str", "customer", "cast_type", {"column": "c_nationkey", "to": "str"}, ["c_custkey", "c_nationkey"], "SELECT c_custkey, c_nationkey::VARCHAR AS c_nationkey FROM customer")
 _op("cast_datetime", "orders", "cast_type", {"column": "d", "to": "datetime"}, ["o_orderkey", "d"], "SELECT o_orderkey, date_trunc('day', o_orderdate)::TIMESTAMP AS d FROM orders", lambda d: d.select("o_orderkey", F.when(F.col("o_orderkey") % 2 == 0, F.date_format("o_orderdate", "yyyy-MM-dd")).otherwise(F.date_format("o_orderdate", "yyyy/M/d")).alias("d")))
-_op("drop_outliers_iqr", "lineitem", "drop_outliers", {"columns": ["l_extendedprice"]}, ["l_orderkey", "l_extendedprice"], _IQR.format(c="l_extendedprice", t="lineitem") + " SELECT l_orderkey, l_extendedprice FROM lineitem, f WHERE NOT (l_extendedprice < lo OR l_extendedprice > hi)")
+_spiked = lambda d: d.select("l_orderkey", "l_linenumber", F.when(F.col("l_orderkey") % 50 == 0, F.col("l_extendedprice") * 100).otherwise(F.col("l_extendedprice")).alias("x"))
+_SPIKED = "(SELECT l_orderkey, l_linenumber, CASE WHEN l_orderkey % 50 = 0 THEN l_extendedprice * 100 ELSE l_extendedprice END AS x FROM lineitem)"
+_op("drop_outliers_iqr", "lineitem", "drop_outliers", {"columns": ["x"]}, ["l_orderkey", "l_linenumber", "x"], _IQR.format(c="x", t=_SPIKED) + f" SELECT l_orderkey, l_linenumber, x FROM {_SPIKED}, f WHERE NOT (x < lo OR x > hi)", _spiked)
 _op("drop_outliers_zscore", "events", "drop_outliers", {"columns": ["value"], "method": "zscore"}, ["event_id"], _Z.format(c="value", t="events") + " SELECT event_id FROM events, f WHERE NOT (value < lo OR value > hi)")
 _query("cap_outliers_iqr", "events", lambda d: clean.cap_outliers(d, ["value"]).select("event_id", F.round("value", 6).alias("value")), _IQR.format(c="value", t="events") + " SELECT event_id, round(greatest(lo, least(hi, value)), 6) AS value FROM events, f")
 _query("cap_outliers_zscore", "events", lambda d: clean.cap_outliers(d, ["value"], "zscore").select("event_id", F.round("value", 6).alias("value")), _Z.format(c="value", t="events") + " SELECT event_id, round(greatest(lo, least(hi, value)), 6) AS value FROM events, f")
 _query("bin_equal_width", "part", lambda d: clean.bin_column(d, "p_size", bins=4, labels=["a", "b", "c", "d"], new_column="bin").groupBy("bin").count(),
        "WITH b AS (SELECT min(p_size) AS lo, max(p_size) AS hi FROM part) SELECT chr(97 + CAST(greatest(0, ceil((p_size - lo) / ((hi - lo) / 4.0)) - 1) AS INTEGER)) AS bin, count(*) AS count FROM part, b GROUP BY 1")
+_query("bin_intervals", "part", lambda d: clean.bin_column(d, "p_size", bins=4, new_column="bin").select("p_partkey", "bin"),
+       "WITH b AS (SELECT min(p_size)::DOUBLE AS lo, (max(p_size) - min(p_size)) / 4.0::DOUBLE AS w FROM part), n AS (SELECT p_partkey, lo, w, greatest(0, ceil((p_size - lo) / w) - 1)::DOUBLE AS i FROM part, b) SELECT p_partkey, '(' || round(CASE WHEN i = 0 THEN lo - 4 * w * 0.001 ELSE lo + i * w END, 3)::VARCHAR || ', ' || round(lo + (i + 1) * w, 3)::VARCHAR || ']' AS bin FROM n")
+# sizes 10 to 20 don't occur, so one bin is empty and labels shift
+_query("bin_empty_bin", "part", lambda d: clean.bin_column(d.where("p_size < 10 or p_size > 30"), "p_size", bins=5, labels=["a", "b", "c", "d"], new_column="bin").groupBy("bin").count(),
+       "WITH t AS (SELECT p_size FROM part WHERE p_size < 10 OR p_size > 30), b AS (SELECT min(p_size) AS lo, max(p_size) AS hi FROM t), n AS (SELECT greatest(0, ceil((p_size - lo) / ((hi - lo) / 5.0)) - 1) AS i FROM t, b), o AS (SELECT i, count(*) AS count, row_number() OVER (ORDER BY i) AS r FROM n GROUP BY i) SELECT chr(96 + r::INTEGER) AS bin, count FROM o")
 _query("bin_equal_freq", "part", lambda d: clean.bin_column(d, "p_retailprice", "equal_freq", 4, ["a", "b", "c", "d"], "bin").groupBy("bin").count(),
        "WITH q AS (SELECT quantile_cont(p_retailprice, 0.25) AS a, quantile_cont(p_retailprice, 0.5) AS b, quantile_cont(p_retailprice, 0.75) AS c FROM part) SELECT CASE WHEN p_retailprice <= a THEN 'a' WHEN p_retailprice <= b THEN 'b' WHEN p_retailprice <= c THEN 'c' ELSE 'd' END AS bin, count(*) AS count FROM part, q GROUP BY 1")
 _query("one_hot", "orders", lambda d: _hot(clean.one_hot_encode(d, "o_orderstatus", "s", 2)),
@@ -161,12 +185,119 @@ _query("drop_high_missing_rows", "orders", lambda d: clean.drop_high_missing(_ga
 _op("unify_boolean", "orders", "unify_boolean_text", {"column": "b"}, ["o_orderkey", "b"], "SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN '是' WHEN 1 THEN '否' ELSE 'maybe' END AS b FROM orders", lambda d: d.select("o_orderkey", F.element_at(F.array(*map(F.lit, (" YES", "no", "maybe"))), (F.col("o_orderkey") % 3 + 1).cast("int")).alias("b")))
 _query("page", "customer", lambda d: analyze.page(d, 2, 50, "c_acctbal", "desc", {"c_mktsegment": ["BUILDING"]}, ["c_custkey"])[0].select("c_custkey", "c_acctbal"), "SELECT c_custkey, c_acctbal FROM customer WHERE c_mktsegment = 'BUILDING' ORDER BY c_acctbal DESC NULLS LAST, c_custkey LIMIT 50 OFFSET 50")
 _query("sample_top", "customer", lambda d: analyze.sample(d, "top", 20, order_by=["c_custkey"]).select("c_custkey"), "SELECT c_custkey FROM customer ORDER BY 1 LIMIT 20")
-_query("sample_random", "customer", lambda d: analyze.sample(d, "random", 50).agg(F.count("*").alias("n"), F.count_distinct("c_custkey").alias("d")), "SELECT 50::BIGINT AS n, 50::BIGINT AS d")
-_query("sample_stratified", "customer", lambda d: analyze.sample(d, "stratified", 10, "c_nationkey").groupBy("c_nationkey").count(), "SELECT c_nationkey, least(10, count(*)) AS count FROM customer GROUP BY 1")
+_query("sample_random", "customer", lambda d: analyze.sample(d.select("c_custkey", "c_name"), "random", 50), "SELECT c_custkey, c_name FROM customer ORDER BY md5(c_custkey || '|' || c_name || '|42') LIMIT 50")
+_query("sample_random_of_many", "orders", lambda d: analyze.sample(d.select("o_orderkey", "o_orderstatus"), "random", 20, seed=7), "SELECT o_orderkey, o_orderstatus FROM orders ORDER BY md5(o_orderkey || '|' || o_orderstatus || '|7') LIMIT 20")
+_query("sample_stratified", "customer", lambda d: analyze.sample(d.select("c_custkey", "c_nationkey"), "stratified", 10, "c_nationkey"), "SELECT c_custkey, c_nationkey FROM customer QUALIFY row_number() OVER (PARTITION BY c_nationkey ORDER BY md5(c_custkey || '|' || c_nationkey || '|42')) <= 10")
 
 # health check
 
 _query("health_findings", "customer", lambda d: health.findings_frame(d))
+
+
+def _watched(frame: DataFrame, watched) -> DataFrame:
+    """The findings of some rules on some columns."""
+    found = health.findings_frame(frame).select("rule", F.coalesce("column", F.lit("")).alias("column"), "count")
+    return found.where(F.concat("rule", F.lit(":"), "column").isin([f"{r}:{c}" for r, c, _ in watched]))
+
+
+def _expected(frame: str, watched) -> str:
+    """What these findings should count, each worked out on its own."""
+    return f"WITH t AS ({frame}) " + " UNION ALL ".join(f"SELECT '{r}' AS rule, '{c}' AS \"column\", CAST({n} AS BIGINT) AS count FROM t" for r, c, n in watched)
+
+
+#: Columns with one fault each, in words that both engines read, and what the rules should count.
+_FAULTY_TEXT = {
+    "edge": "CASE WHEN c_custkey % 10 = 0 THEN concat(' ', c_name) ELSE c_name END",
+    "blank": "CASE WHEN c_custkey % 9 = 0 THEN '  ' ELSE concat('n', CAST(c_custkey AS STRING)) END",
+    "wide": "CASE WHEN c_custkey % 8 = 0 THEN concat('Ａ', c_name) ELSE c_name END",
+    "control": "CASE WHEN c_custkey % 7 = 0 THEN concat('a\u200b', c_name) ELSE c_name END",
+    "inner": "CASE WHEN c_custkey % 6 = 0 THEN concat('a  b', c_name) ELSE c_name END",
+    "plain": "CAST(c_custkey AS STRING)",
+    "mixed": "CASE WHEN c_custkey % 2 = 0 THEN CAST(c_custkey AS STRING) ELSE concat('item ', CAST(c_custkey AS STRING)) END",
+    "money": "concat('¥', CAST(c_custkey AS STRING))",
+    "day": "concat('2024-01-', lpad(CAST(c_custkey % 28 + 1 AS STRING), 2, '0'))",
+    "days": "concat(CASE WHEN c_custkey % 2 = 0 THEN '2024-01-' ELSE '2024/01/' END, lpad(CAST(c_custkey % 28 + 1 AS STRING), 2, '0'))",
+    "truth": "CASE c_custkey % 3 WHEN 0 THEN 'Yes' WHEN 1 THEN 'no' ELSE '是' END",
+    "city": "CASE c_custkey % 5 WHEN 0 THEN 'Beijing' WHEN 1 THEN 'beijing ' WHEN 2 THEN 'Shanghai' WHEN 3 THEN 'SHANGHAI' ELSE 'Wuhan' END",
+    "one": "CASE WHEN c_custkey % 4 < 3 THEN 'a' ELSE concat('b', CAST(c_custkey % 7 AS STRING)) END",
+    "mail": "CASE WHEN c_custkey % 20 = 0 THEN 'broken' ELSE concat('u', CAST(c_custkey AS STRING), '@example.org') END",
+    "length": "CASE WHEN c_custkey % 50 = 0 THEN repeat('x', 60) ELSE 'abcdef' END",
+    "ident": "concat('ID', CAST(CASE WHEN c_custkey % 40 = 1 THEN c_custkey - 1 ELSE c_custkey END AS STRING))",
+    "same": "'x'",
+    "none": "CAST(NULL AS STRING)",
+}
+_TEXT_RULES = (
+    ("H11", "edge", "count(*) FILTER (edge <> trim(edge))"),
+    ("H12", "blank", "count(*) FILTER (trim(blank) = '')"),
+    ("H13", "wide", "count(*) FILTER (contains(wide, 'Ａ'))"),
+    ("H14", "control", "count(*) FILTER (contains(control, '\u200b'))"),
+    ("H15", "inner", "count(*) FILTER (contains(\"inner\", '  '))"),
+    ("H16", "plain", "count(TRY_CAST(plain AS DOUBLE))"),
+    ("H17", "mixed", "count(TRY_CAST(mixed AS DOUBLE))"),
+    ("H18", "money", "count(*) FILTER (money LIKE '¥%')"),
+    ("H19", "day", "count(TRY_CAST(day AS DATE))"),
+    ("H20", "days", "count(DISTINCT substr(days, 5, 1))"),
+    ("H27", "truth", "count(*) FILTER (lower(truth) IN ('yes', 'no', '是'))"),
+    ("H28", "city", "max((SELECT count(*) FROM (SELECT lower(trim(city)) FROM t GROUP BY 1 HAVING count(DISTINCT city) > 1)))"),
+    ("H29", "one", "count(*) FILTER (one = 'a')"),
+    ("H32", "mail", "count(*) FILTER (NOT regexp_full_match(mail, '[a-z0-9]+@[a-z]+\\.org'))"),
+    ("H33", "length", "count(*) FILTER (length(length) > 18)"),
+    ("H6", "ident", "count(DISTINCT ident)"),
+    ("H7", "ident", "count(ident) - count(DISTINCT ident)"),
+    ("H5", "same", "max(0)"),
+    ("H4", "none", "count(*)"),
+    ("H9", "", "max(1)"),
+)
+_query("health_text_rules", "customer", lambda d: _watched(d.select(*[F.expr(x).alias(c) for c, x in _FAULTY_TEXT.items()]), _TEXT_RULES),
+       _expected("SELECT " + ", ".join(f'{x} AS "{c}"' for c, x in _FAULTY_TEXT.items()) + " FROM customer", _TEXT_RULES))
+
+_FAULTY_NUMBERS = {
+    "x": "l_quantity",
+    "y": "CAST(l_partkey % 97 + 1 AS DOUBLE)",
+    "z": "l_quantity * (l_partkey % 97 + 1) + CASE WHEN l_orderkey % 101 = 0 THEN 5000 ELSE 0 END",
+    "neg": "CASE WHEN l_orderkey % 50 = 0 THEN -1 ELSE l_suppkey % 50 + 1 END",
+    "zero": "CASE WHEN l_orderkey % 3 = 0 THEN 5 ELSE 0 END",
+    "far_out": "CASE WHEN l_orderkey % 10 = 0 THEN 1000000 + l_partkey ELSE l_partkey % 43 + 1 END",
+    "skewed": "CASE WHEN l_orderkey % 100 = 0 THEN 1000 ELSE l_linenumber END",
+    "finer": "CASE WHEN l_orderkey % 40 = 0 THEN l_linenumber + 0.123 ELSE l_suppkey % 61 END",
+    "scale": "CASE WHEN l_orderkey % 100 = 0 THEN 1000000000 ELSE l_partkey % 37 + 1 END",
+    "gap": "CASE WHEN l_orderkey % 5 < 2 THEN NULL ELSE l_suppkey % 17 END",
+}
+_NUMBER_RULES = (
+    ("H30", "z", "count(*) FILTER (abs(x * y - z) > 0.01 * abs(z))"),
+    ("H25", "neg", "count(*) FILTER (neg < 0)"),
+    ("H26", "zero", "count(*) FILTER (zero = 0)"),
+    ("H23", "far_out", "count(*) FILTER (far_out > 1000)"),
+    ("H24", "skewed", "max(0)"),
+    ("H34", "finer", "count(*) FILTER (finer <> floor(finer))"),
+    ("H35", "scale", "count(*) FILTER (scale > 1000000)"),
+    ("H10", "", "max(1)"),
+)
+_query("health_number_rules", "lineitem", lambda d: _watched(d.select(*[F.expr(x).cast("double").alias(c) for c, x in _FAULTY_NUMBERS.items()]), _NUMBER_RULES),
+       _expected("SELECT " + ", ".join(f"CAST({x} AS DOUBLE) AS {c}" for c, x in _FAULTY_NUMBERS.items()) + " FROM lineitem", _NUMBER_RULES))
+
+_SECOND = "CASE WHEN o_orderkey % 20 = 1 THEN o_orderkey - 1 ELSE o_orderkey END"
+_TIME_RULES = (
+    ("H21", "late", "count(*) FILTER (o_orderkey % 100 = 0)"),
+    ("H22", "early", "count(*) FILTER (o_orderkey % 200 = 1)"),
+    ("H36", "stamp", "count(*) FILTER (o_orderkey % 20 = 1)"),
+    ("H31", "id", "count(*) FILTER (o_orderkey % 20 = 1)"),
+)
+_query(
+    "health_time_rules",
+    "orders",
+    lambda d: _watched(
+        d.select(
+            F.when(F.col("o_orderkey") % 100 == 0, F.expr("timestamp_ntz'2999-01-01'")).otherwise(F.col("o_orderdate")).alias("late"),
+            F.when(F.col("o_orderkey") % 200 == 1, F.expr("timestamp_ntz'1850-01-01'")).otherwise(F.col("o_orderdate")).alias("early"),
+            F.timestamp_seconds(F.expr(_SECOND) + 1700000000).cast("timestamp_ntz").alias("stamp"),
+            F.concat(F.lit("O"), F.expr(_SECOND).cast("string")).alias("id"),
+            (F.col("o_orderkey") % 5).cast("string").alias("depends"),
+        ),
+        _TIME_RULES,
+    ),
+    _expected("SELECT o_orderkey FROM orders", _TIME_RULES),
+)
 _query("health_duplicates", "orders", lambda d: health.findings_frame(d.select("o_custkey", "o_orderstatus")).where("rule = 'H1'").select("rule", "count"),
        "SELECT 'H1' AS rule, count(*) - (SELECT count(*) FROM (SELECT DISTINCT o_custkey, o_orderstatus FROM orders)) AS count FROM orders")
 _query("health_missing", "orders", lambda d: health.findings_frame(_gaps(d)).where("rule = 'H8'").select("rule", "count"), f"SELECT 'H8' AS rule, count(*) FILTER (p IS NULL) AS count FROM {_GAPS}")
@@ -180,11 +311,19 @@ _sql("sql_join_inner", "SELECT n_name, count(*) AS n FROM customer JOIN nation O
 _sql("sql_join_left", "SELECT s_suppkey, count(l_orderkey) AS n FROM supplier LEFT JOIN lineitem ON l_suppkey = s_suppkey AND l_quantity > 45 GROUP BY s_suppkey")
 _sql("sql_join_full", "SELECT coalesce(a.k, b.k) AS k, a.x, b.y FROM (SELECT c_nationkey AS k, count(*) AS x FROM customer WHERE c_acctbal > 9000 GROUP BY 1) a FULL JOIN (SELECT s_nationkey AS k, count(*) AS y FROM supplier GROUP BY 1) b ON a.k = b.k")
 _sql("sql_semi", "SELECT c_custkey FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 200000)")
-_sql("sql_anti", "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+_sql("sql_anti", "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 400000)")
+_sql("sql_join_right", "SELECT n_name, count(s_suppkey) AS n FROM supplier RIGHT JOIN nation ON s_nationkey = n_nationkey AND s_acctbal > 5000 GROUP BY n_name")
+_sql("sql_lateral", "SELECT r_name, x.n FROM region, LATERAL (SELECT count(*) AS n FROM nation WHERE n_regionkey = r_regionkey) x")
 _sql("sql_range_join", "SELECT r_name, count(*) AS n FROM region JOIN nation ON n_regionkey >= r_regionkey GROUP BY r_name")
 _sql("sql_correlated", "SELECT s_suppkey, (SELECT max(l_quantity) FROM lineitem WHERE l_suppkey = s_suppkey) AS q FROM supplier")
 _sql("sql_windows", "SELECT o_orderkey, row_number() OVER w AS rn, rank() OVER w AS r, dense_rank() OVER w AS dr, ntile(4) OVER w AS nt, lag(o_orderkey) OVER w AS lg, lead(o_orderkey) OVER w AS ld FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)", None)
 _sql("sql_frames", "SELECT o_orderkey, count(*) OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS k, first_value(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS f FROM orders")
+_sql("sql_distributions", "SELECT o_orderkey, round(percent_rank() OVER w, 9) AS pr, round(cume_dist() OVER w, 9) AS cd, nth_value(o_orderkey, 2) OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS second FROM orders WINDOW w AS (PARTITION BY o_orderstatus ORDER BY o_totalprice)")
+_sql("sql_range_frame", "SELECT o_orderkey, count(*) OVER (PARTITION BY o_custkey ORDER BY o_orderkey RANGE BETWEEN 5000 PRECEDING AND CURRENT ROW) AS k FROM orders")
+_sql("sql_set_operations_all", "(SELECT c_nationkey AS k FROM customer WHERE c_custkey < 300 EXCEPT ALL SELECT s_nationkey FROM supplier) UNION ALL (SELECT c_nationkey FROM customer INTERSECT ALL SELECT s_nationkey FROM supplier)")
+_sql("sql_json", "SELECT event_id, CAST(get_json_object(props, '$.k') AS INT) AS k FROM events", "SELECT event_id, CAST(json_extract(props, '$.k') AS INTEGER) AS k FROM events", ("events",))
+_sql("sql_arrays", "SELECT vec_id, size(embedding) AS n, round(aggregate(embedding, CAST(0 AS DOUBLE), (a, x) -> a + x * x), 4) AS norm, embedding[0] AS head FROM embeddings", "SELECT vec_id, len(embedding)::INTEGER AS n, round(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x)), 4) AS norm, embedding[1] AS head FROM embeddings", ("embeddings",))
+_sql("sql_maps", "SELECT o_orderstatus, map_from_entries(collect_list(struct(o_orderpriority, n)))['1-URGENT'] AS urgent FROM (SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM orders GROUP BY 1, 2) GROUP BY 1", "SELECT o_orderstatus, count(*) FILTER (o_orderpriority = '1-URGENT') AS urgent FROM orders GROUP BY 1")
 _sql("sql_set_operations", "SELECT c_nationkey AS k FROM customer INTERSECT SELECT s_nationkey FROM supplier UNION ALL (SELECT n_nationkey FROM nation EXCEPT SELECT s_nationkey FROM supplier)")
 _sql("sql_cube", "SELECT l_returnflag, l_linestatus, count(*) AS n FROM lineitem GROUP BY CUBE (l_returnflag, l_linestatus)")
 _sql("sql_rollup", "SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM orders GROUP BY ROLLUP (o_orderstatus, o_orderpriority)")
