@@ -51,26 +51,27 @@ def running_total(df: DataFrame, order: str, n: str, name: str) -> DataFrame:
     return running_totals(df, [order], {n: name})
 
 
-def neighbours(df: DataFrame, values: dict[str, Column], order: list[Column]) -> DataFrame:
-    """The rows with ``__at``, their number, and for each name of ``values`` the structs ``__prev_<name>`` and ``__next_<name>``:
+def neighbours(df: DataFrame, values: dict[str, Column], order: list[Column], ahead: bool = True) -> DataFrame:
+    """The rows with ``__at``, their number, and for each name of ``values`` the structs ``__prev_<name>`` and (``ahead``) ``__next_<name>``:
     ``at`` and ``value`` of the nearest row, itself included, where the value isn't null; null where there is none."""
     ranged = in_ranges(df, order)
     known = {n: F.when(v.isNotNull(), F.struct(F.col("__in").alias("at"), v.alias("value"))) for n, v in values.items()}
+    sides = ("last", "first") if ahead else ("last",)
     # a range hands on its first and last known value
-    edges = [e for n, k in known.items() for e in (F.max_by(k, F.when(k.isNotNull(), F.col("__in"))).alias(f"__last_{n}"), F.min_by(k, F.when(k.isNotNull(), F.col("__in"))).alias(f"__first_{n}"))]
+    edges = [(F.max_by if side == "last" else F.min_by)(k, F.when(k.isNotNull(), F.col("__in"))).alias(f"__{side}_{n}") for n, k in known.items() for side in sides]
     parts = ranged.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"), *edges)
     parts = parts.withColumn("__shift", F.coalesce(_before(F.col("__n"), F.sum), F.lit(0)))
 
     def moved(k: Column) -> Column:
         return F.when(k.isNotNull(), F.struct((k["at"] + F.col("__shift")).alias("at"), k["value"].alias("value")))
 
-    back, ahead = [Window.orderBy(o).rowsBetween(Window.unboundedPreceding, -1) for o in (F.col("__part"), F.col("__part").desc())]
-    carried = [c for n in values for c in (F.last(moved(F.col(f"`__last_{n}`")), True).over(back).alias(f"__lo_{n}"), F.last(moved(F.col(f"`__first_{n}`")), True).over(ahead).alias(f"__hi_{n}"))]
+    # a frame that shrinks is worked out anew for each row, one that grows over the mirrored order is not
+    ways = {"last": (F.col("__part"), F.col("__in")), "first": (F.col("__part").desc(), F.col("__in").desc())}
+    carried = [F.last(moved(F.col(f"`__{side}_{n}`")), True).over(Window.orderBy(ways[side][0]).rowsBetween(Window.unboundedPreceding, -1)).alias(f"__far_{side}_{n}") for n in values for side in sides]
     rows = ranged.join(F.broadcast(parts.select("__part", "__shift", *carried)), "__part")
-    up, down = [Window.partitionBy("__part").orderBy(o).rowsBetween(Window.unboundedPreceding, 0) for o in (F.col("__in"), F.col("__in").desc())]
     found = {"__at": F.col("__in") + F.col("__shift")}
     for n, k in known.items():
-        # a frame that shrinks is worked out anew for each row, one that grows over the mirrored order is not
-        found[f"__prev_{n}"] = F.coalesce(moved(F.last(k, True).over(up)), F.col(f"`__lo_{n}`"))
-        found[f"__next_{n}"] = F.coalesce(moved(F.last(k, True).over(down)), F.col(f"`__hi_{n}`"))
-    return rows.withColumns(found).drop("__part", "__in", "__shift", *[f"__{s}_{n}" for n in values for s in ("lo", "hi")])
+        for side, name in zip(sides, ("prev", "next")):
+            inside = Window.partitionBy("__part").orderBy(ways[side][1]).rowsBetween(Window.unboundedPreceding, 0)
+            found[f"__{name}_{n}"] = F.coalesce(moved(F.last(k, True).over(inside)), F.col(f"`__far_{side}_{n}`"))
+    return rows.withColumns(found).drop("__part", "__in", "__shift", *[f"__far_{side}_{n}" for n in values for side in sides])

@@ -2,19 +2,34 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import ranges
+from ..functions.stats import col, need_columns
+
 
 def asof_join(left: DataFrame, right: DataFrame, on: str, by: list[str], columns: list[str]) -> DataFrame:
-    """Each left row with ``columns`` of the latest right row of its key at or before ``on``: one shuffle of a union, no inequality join.
+    """Each left row with ``columns`` of the latest right row of its key at or before ``on``, null if there is none.
 
-    Right rows with equal keys and times must not be ambiguous: the largest tuple of values wins.
+    Both sides are laid in one order of key and time, cut into ranges, and each range hands its last right row on to the next: a
+    hot key spreads over many ranges, and there is no inequality join. Of right rows with equal keys and times the
+    largest tuple of values wins. Rows with a null key or time find nothing.
     """
-    keys = [F.col(c) for c in by]
-    value = F.struct(*[F.col(c).alias(f"__{c}") for c in columns])
-    a = left.select(*left.columns, F.lit(1).alias("__side"), F.lit(None).cast(right.select(value).schema[0].dataType).alias("__v"))
-    b = right.select(*[F.col(c) if c in (on, *by) else F.lit(None).cast(left.schema[c].dataType).alias(c) for c in left.columns], F.lit(0).alias("__side"), value.alias("__v"))
-    order = Window.partitionBy(*keys).orderBy(on, "__side", "__v").rowsBetween(Window.unboundedPreceding, 0)
-    out = a.unionByName(b).withColumn("__last", F.last("__v", True).over(order)).where("__side = 1")
-    return out.select(*left.columns, *[F.col(f"__last.__{c}").alias(c) for c in columns])
+    need_columns(left, [on, *by])
+    need_columns(right, [on, *by, *columns])
+    keys = [col(c) for c in (*by, on)]
+    whole = F.lit(True)
+    for k in keys:
+        whole = whole & k.isNotNull()
+    value = F.struct(*[col(c).alias(f"k{i}") for i, c in enumerate(by)], *[col(c).alias(f"v{i}") for i, c in enumerate(columns)])
+    kind = right.select(value.alias("v")).schema["v"].dataType
+    a = left.select(F.struct(*map(col, left.columns)).alias("row"), *[k.alias(f"o{i}") for i, k in enumerate(keys)], F.lit(1).alias("side"), F.lit(None).cast(kind).alias("v"))
+    b = right.where(whole).select(F.lit(None).cast(a.schema["row"].dataType).alias("row"), *[k.alias(f"o{i}") for i, k in enumerate(keys)], F.lit(0).alias("side"), value.alias("v"))
+    order = [F.col(f"o{i}") for i in range(len(keys))] + [F.col("side"), F.col("v")]
+    met = ranges.neighbours(a.unionByName(b), {"v": F.col("v")}, order, ahead=False).where("side = 1")
+    found = F.col("__prev_v.value")
+    same = F.col(f"o{len(by)}").isNotNull()
+    for i in range(len(by)):
+        same = same & (found[f"k{i}"] == F.col(f"o{i}"))
+    return met.select("row.*", *[F.when(same, found[f"v{i}"]).alias(c) for i, c in enumerate(columns)])
