@@ -28,8 +28,8 @@ LEARNED_ROLE = "assistant"
 _CONTROL = re.compile("|".join(map(re.escape, ("\\", *CONTROL))))
 _ESCAPED = re.compile(r"\\(.)", re.DOTALL)
 _TURN = re.compile(f"{re.escape(OPEN)}(.*?){re.escape(SEP)}(.*?){re.escape(CLOSE)}", re.DOTALL)
-#: Rows of whole conversations that are assembled together.
-ROWS_AT_ONCE = 4096
+#: Rows and characters of whole conversations that are assembled together.
+ROWS_AT_ONCE, CHARS_AT_ONCE = 4096, 1 << 25
 
 
 def escape(text: str) -> str:
@@ -101,24 +101,29 @@ def format_chats(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "t
         conv = np.zeros(len(ids), np.int64)
         conv[starts[1:]] = 1
         column, spans = assemble(np.cumsum(conv), roles, texts)
+        if column.type != pa.string():
+            raise ValueError("a formatted conversation of 2 GB and more is no value of a Spark column")
         sizes = np.diff([*starts, len(ids)])
         return pa.RecordBatch.from_arrays(
-            [pa.array([ids[i] for i in starts], pa.int64()), pa.array(sizes, pa.int64()), column.cast(pa.string()), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))],
+            [pa.array([ids[i] for i in starts], pa.int64()), pa.array(sizes, pa.int64()), column, pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))],
             names=["conv", "n_turns", "formatted", "loss_spans"],
         )
 
     def run(batches):
         ids, roles, texts = [], [], []
+        last = size = 0  # where the last conversation begins, and characters held
         for batch in batches:
-            for x, new in zip((ids, roles, texts), batch.columns):
-                x += new.to_pylist()
-            if len(ids) >= ROWS_AT_ONCE:
-                whole = len(ids)
-                while whole and ids[whole - 1] == ids[-1]:
-                    whole -= 1
-                if whole:
-                    yield done(ids[:whole], roles[:whole], texts[:whole])
-                    ids, roles, texts = ids[whole:], roles[whole:], texts[whole:]
+            new = batch.column(0).to_pylist()
+            for i, c in enumerate(new, len(ids)):
+                if i and c != (ids[-1] if i == len(ids) else new[i - len(ids) - 1]):
+                    last = i
+            for x, column in zip((ids, roles, texts), (new, *map(pa.Array.to_pylist, batch.columns[1:]))):
+                x += column
+            size += sum(map(len, texts[-len(new) :])) if new else 0
+            if (len(ids) >= ROWS_AT_ONCE or size >= CHARS_AT_ONCE) and last:
+                yield done(ids[:last], roles[:last], texts[:last])
+                ids, roles, texts = ids[last:], roles[last:], texts[last:]
+                last, size = 0, sum(map(len, texts))
         if ids:
             yield done(ids, roles, texts)
 
