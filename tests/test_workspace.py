@@ -205,3 +205,13 @@ def test_keep_first_is_the_first(spark):
     big = {str(i): str(-i) for i in range(600)}
     mapped = clean.map_values(df.withColumn("t", F.col("b").cast("string")), "t", big).where("b = 7").first()["t"]
     assert mapped == "-7"
+
+
+def test_new_files_are_ingested_once(spark, tmp_path):
+    from tidemill.streaming.ingest import follow_csv
+
+    (tmp_path / "in").mkdir()
+    for k in range(2):
+        (tmp_path / "in" / f"{k}.csv").write_text(f"a,b\n{k},x\n")
+        follow_csv(spark, str(tmp_path / "in"), "a int, b string", str(tmp_path / "table"), str(tmp_path / "checkpoint")).awaitTermination()
+        assert sorted(r["a"] for r in spark.read.parquet(str(tmp_path / "table")).collect()) == list(range(k + 1))
