@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 
-from . import bpe, chat, embedding_dedup, exact_dedup, langid, packing, quality, simhash, suffix_dedup, url_filter
+from . import alignment, bpe, chat, embedding_dedup, exact_dedup, langid, packing, quality, simhash, suffix_dedup, url_filter
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -69,7 +69,12 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.token_digests(_read(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
 
 
-QUERIES = {f.__name__: f for f in (op1_quality, op2_url_filter, op3_packing, op4_embedding_dedup, op5_suffix_dedup, op6_language_id, op7_chat_format, op8_simhash_dedup, op9_exact_dedup, op10_bpe)}
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = alignment.Vocabularies(public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN, public_tokenizers.path("piece_bpe_32k.model"))
+    return alignment.alignment_digests(_read(spark, sf_dir, "documents"), names)
+
+
+QUERIES = {f.__name__: f for f in (op1_quality, op2_url_filter, op3_packing, op4_embedding_dedup, op5_suffix_dedup, op6_language_id, op7_chat_format, op8_simhash_dedup, op9_exact_dedup, op10_bpe, op13_alignment)}
 QUERIES["pipeline"] = corpus_pipeline.run
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
