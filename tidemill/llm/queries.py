@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import zlib
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
 
-from . import alignment, bpe, chat, embedding_dedup, exact_dedup, langid, packing, quality, simhash, suffix_dedup, url_filter
+from . import alignment, bpe, chat, embedding_dedup, exact_dedup, langid, packing, periodic_runs, quality, simhash, suffix_dedup, url_filter
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -69,12 +71,27 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.token_digests(_read(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
 
 
+def with_planted_run(doc_id: int | None, words: list[bytes]) -> list[bytes]:
+    """The words of every tenth document (by the CRC-32 of its id) with their end made periodic; null ids have none."""
+    h = zlib.crc32(str(doc_id).encode())
+    n, g = len(words), h // 10
+    if doc_id is None or h % 10 or not n:
+        return words
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    return words[:a] + [words[a + (i - a) % p] for i in range(a, n)]
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.run_digests(_read(spark, sf_dir, "documents"), rewrite=with_planted_run)
+
+
 def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = alignment.Vocabularies(public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN, public_tokenizers.path("piece_bpe_32k.model"))
     return alignment.alignment_digests(_read(spark, sf_dir, "documents"), names)
 
 
-QUERIES = {f.__name__: f for f in (op1_quality, op2_url_filter, op3_packing, op4_embedding_dedup, op5_suffix_dedup, op6_language_id, op7_chat_format, op8_simhash_dedup, op9_exact_dedup, op10_bpe, op13_alignment)}
+QUERIES = {f.__name__: f for f in (op1_quality, op2_url_filter, op3_packing, op4_embedding_dedup, op5_suffix_dedup, op6_language_id, op7_chat_format, op8_simhash_dedup, op9_exact_dedup, op10_bpe, op11_periodic_runs, op13_alignment)}
 QUERIES["pipeline"] = corpus_pipeline.run
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
