@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 
-from . import alignment, bpe, chat, embedding_dedup, exact_dedup, langid, packing, periodic_runs, quality, simhash, suffix_dedup, url_filter
+from . import alignment, bpe, chat, embedding_dedup, exact_dedup, fingerprints, langid, packing, periodic_runs, quality, simhash, suffix_dedup, url_filter
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -86,12 +86,16 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic_runs.run_digests(_read(spark, sf_dir, "documents"), rewrite=with_planted_run)
 
 
+def op12_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.edit_test(_read(spark, sf_dir, "documents"))
+
+
 def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = alignment.Vocabularies(public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN, public_tokenizers.path("piece_bpe_32k.model"))
     return alignment.alignment_digests(_read(spark, sf_dir, "documents"), names)
 
 
-QUERIES = {f.__name__: f for f in (op1_quality, op2_url_filter, op3_packing, op4_embedding_dedup, op5_suffix_dedup, op6_language_id, op7_chat_format, op8_simhash_dedup, op9_exact_dedup, op10_bpe, op11_periodic_runs, op13_alignment)}
+QUERIES = {f.__name__: f for f in (op1_quality, op2_url_filter, op3_packing, op4_embedding_dedup, op5_suffix_dedup, op6_language_id, op7_chat_format, op8_simhash_dedup, op9_exact_dedup, op10_bpe, op11_periodic_runs, op12_fingerprints, op13_alignment)}
 QUERIES["pipeline"] = corpus_pipeline.run
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
