@@ -33,9 +33,9 @@ B_BITS = 15
 #: Links of one group that are listed one by one; those of larger groups are listed by distinct ids.
 LISTED = 4096
 #: Bytes of text aligned at once.
-AT_ONCE = 2 << 20
+AT_ONCE = 1 << 20
 #: Characters of words that a worker remembers the tokens of, before it starts anew.
-REMEMBERED = 8 << 20
+REMEMBERED = 3 << 20
 #: No token of either tokenizer begins before such a place and ends behind it.
 _WORDS = re.compile(r"(?<=\S)(?= .)", re.DOTALL)
 
