@@ -10,19 +10,18 @@ import zipfile
 from xml.etree import ElementTree
 
 import pyarrow as pa
-from pyarrow import csv as arrow_csv
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..errors import InputError
+from . import delimited
 from .files import Files
 
 ENCODINGS = ("utf-8-sig", "gbk", "latin-1")
 SEPARATORS = (",", "\t", ";", "|")
 RECORD_KEYS = ("data", "rows", "records", "items", "list")
 SNIFF_BYTES = 1 << 20
-_TORN = "_torn_record"
 
 
 def _head(spark: SparkSession, path: str) -> bytes:
@@ -49,6 +48,16 @@ def sniff(head: bytes) -> tuple[str, str]:
     return encoding, max(SEPARATORS, key=lambda s: (line.count(s), -SEPARATORS.index(s)))
 
 
+def _layout(spark: SparkSession, path: str) -> tuple[delimited.Layout, str]:
+    """The layout of delimited text, and its head."""
+    head = _head(spark, path)
+    if not head.strip():
+        raise InputError("the file is empty")
+    encoding, sep = sniff(head)
+    text = _decoded(head)[1]
+    return delimited.layout(text, encoding, sep), text
+
+
 def trimmed_names(df: DataFrame) -> DataFrame:
     return df.toDF(*[c.strip() for c in df.columns])
 
@@ -58,74 +67,19 @@ def nan_to_null(df: DataFrame) -> DataFrame:
     return df.withColumns({c: F.when(~F.isnan(f"`{c}`"), F.col(f"`{c}`")) for c in floats}) if floats else df
 
 
-def _lines_torn(spark: SparkSession, path: str) -> bool:
-    """Whether a line of the text has an odd number of quotes: some value goes on in the next line."""
-    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
-    return not spark.read.text(path).where(quotes % 2 == 1).isEmpty()
-
-
-def _reader(spark: SparkSession, sep: str, schema, multi_line: bool = False):
-    reader = spark.read.option("header", True).option("sep", sep).option("quote", '"').option("escape", '"').option("multiLine", multi_line)
-    return reader.schema(schema) if schema else reader.option("inferSchema", True)
-
-
-def _delimited(spark: SparkSession, path: str, encoding: str, sep: str, schema, multi_line: bool, **options) -> DataFrame:
-    reader = _reader(spark, sep, schema, multi_line).options(**options)
-    if encoding != "gbk":
-        return reader.option("encoding", {"utf-8-sig": "UTF-8", "latin-1": "ISO-8859-1"}[encoding]).csv(path)
-    # Spark's CSV reader doesn't know the encoding: its lines are decoded one by one, so files still split
-    if multi_line:
-        raise InputError("values over several lines can't be read in this encoding")
-    lines = spark.read.text(path).select(F.col("value").cast("binary")).rdd
-    return reader.csv(lines.map(lambda r: bytes(r[0]).decode("gb18030", "replace")))
-
+def read_csv(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
+    """Delimited text: a file, a folder or a pattern. Encoding and separator come from the first bytes; a comma separates where the other separator gives no table.
 
-def read_csv(spark: SparkSession, path: str, schema: str | None = None, multi_line: bool | None = None) -> DataFrame:
-    """Delimited text: a file, a folder or a pattern. Encoding and separator come from the first bytes.
-
-    Files are split between tasks unless a value holds a line break (``multi_line``; looked for in all lines if it isn't said).
-    Types are taken from all rows unless a schema is given.
+    Files are split between tasks whatever their values hold. Types are taken from all rows unless a schema is given.
     """
-    head = _head(spark, path)
-    if not head.strip():
-        raise InputError("the file is empty")
-    encoding, sep = sniff(head)
-    if multi_line is None:
-        multi_line = _lines_torn(spark, path)
-    df = trimmed_names(_delimited(spark, path, encoding, sep, schema, multi_line))
-    whole = {c: F.col(f"`{c}`").cast("bigint") for c, k in df.dtypes if k == "int" and not schema}
-    return nan_to_null(df.withColumns(whole) if whole else df)
-
-
-def _head_schema(text: str, sep: str) -> T.StructType | None:
-    """The types that the first lines of a delimited text suggest, None if they don't read as a table."""
-    try:
-        table = arrow_csv.read_csv(io.BytesIO(text.encode()), parse_options=arrow_csv.ParseOptions(delimiter=sep))
-    except pa.ArrowInvalid:
-        return None
-    kinds = ((pa.types.is_integer, T.LongType()), (pa.types.is_floating, T.DoubleType()), (pa.types.is_boolean, T.BooleanType()), (pa.types.is_timestamp, T.TimestampNTZType()), (pa.types.is_date, T.DateType()))
-    return T.StructType([T.StructField(f.name, next((k for fits, k in kinds if fits(f.type)), T.StringType())) for f in table.schema])
+    layout, _ = _layout(spark, path)
+    return delimited.read(spark, path, layout, T._parse_datatype_string(schema) if schema else None)
 
 
 def ingest_csv(spark: SparkSession, path: str, table: str) -> DataFrame:
-    """Delimited text written to a Parquet table in one pass over the text: the types of its first bytes are tried on all rows.
-
-    Rows that don't fit are counted while the table is written. If there are any the types are taken from all rows, and the table is written again.
-    """
-    head = _head(spark, path)
-    encoding, sep = sniff(head)
-    text = _decoded(head)[1]
-    schema = _head_schema(text.rsplit("\n", 1)[0] if len(head) == SNIFF_BYTES else text, sep)  # the last line is cut
-    if schema and len(schema) > 1 and _TORN not in schema.names:
-        whole = T.StructType([*schema, T.StructField(_TORN, T.StringType())])
-        rows = _delimited(spark, path, encoding, sep, whole, False, columnNameOfCorruptRecord=_TORN)
-        drift = Observation("drift")
-        rows = rows.observe(drift, F.count(_TORN).alias("torn"))
-        nan_to_null(trimmed_names(rows.drop(_TORN))).write.mode("overwrite").parquet(table)
-        if not drift.get["torn"]:
-            return spark.read.parquet(table)
-    read_csv(spark, path).write.mode("overwrite").parquet(table)
-    return spark.read.parquet(table)
+    """Delimited text written to a Parquet table, in one pass where the types of its first bytes fit all rows."""
+    layout, text = _layout(spark, path)
+    return delimited.ingest(spark, path, layout, delimited.guess(text.rsplit("\n", 1)[0] + "\n" if "\n" in text else text + "\n", layout), table)
 
 
 def read_paste(spark: SparkSession, text: str) -> DataFrame:
@@ -135,8 +89,7 @@ def read_paste(spark: SparkSession, text: str) -> DataFrame:
         raise InputError("nothing was pasted")
     first = text.splitlines()[0]
     sep = "\t" if "\t" in first and "," not in first else ","
-    lines = spark.createDataFrame([(line,) for line in text.splitlines()], "value string").coalesce(1).rdd.map(lambda r: r[0])
-    return trimmed_names(_reader(spark, sep, None).csv(lines))
+    return delimited.read_text(spark, text, delimited.layout(text, "utf-8-sig", sep))
 
 
 def flatten(df: DataFrame) -> DataFrame:
