@@ -12,11 +12,14 @@ from ..errors import InputError
 from ..functions import dates, ranges, stats
 from ..functions.stats import col, kinds, need_columns, number, numeric_columns, pearson
 from ..session import fixed
+from . import moments
 from .clean import _absent, _numeric
 
 #: Bits of a digit of ranks: each digit is one pass. Up to so many distinct pairs are counted on the driver instead.
 DIGIT_BITS = 4
 FEW_PAIRS = 100_000
+#: Coefficients that one aggregation works out; more come from products of whole batches.
+FEW_COEFFICIENTS = 45
 AGGS = ("count", "sum", "mean", "min", "max", "median", "std", "nunique", "first", "last")
 
 
@@ -221,16 +224,17 @@ def corr(df: DataFrame, columns=None, method: str = "pearson") -> DataFrame:
     for c in columns:
         _numeric(df, c)
     pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1 :]]
-    found: dict = {}
-    if method == "pearson":
-        row = df.agg(*[pearson(number(df, a), number(df, b)).alias(str(i)) for i, (a, b) in enumerate(pairs)], *[F.stddev_pop(number(df, c)).alias(f"s{i}") for i, c in enumerate(columns)]).first()
+    if method not in ("pearson", "spearman", "kendall"):
+        raise InputError(f"unknown method: {method}")
+    if method == "pearson" and len(pairs) <= FEW_COEFFICIENTS:
+        row = df.agg(*[pearson(number(df, a), number(df, b)).alias(str(i)) for i, (a, b) in enumerate(pairs)]).first()
         found = {p: row[i] for i, p in enumerate(pairs)}
-    elif method == "spearman":
-        found = {(a, b): spearman(df, a, b) for a, b in pairs}
-    elif method == "kendall":
-        found = {(a, b): kendall(df, a, b) for a, b in pairs}
+    elif method == "kendall" or len(pairs) == 1:
+        found = {(a, b): (kendall if method == "kendall" else spearman)(df, a, b) for a, b in pairs}
     else:
-        raise InputError(f"unknown method: {method}")
+        made = moments.pearson_matrix(df, columns) if method == "pearson" else moments.spearman_matrix(df, columns, lambda a, b: spearman(df, a, b))
+        found = {(a, b): float(made[i, j]) for i, a in enumerate(columns) for j, b in enumerate(columns) if i < j}
+    found = {p: None if r is None or math.isnan(r) else r for p, r in found.items()}
     rounded = lambda v: None if v is None else round(v, 4)
     rows = [tuple([a] + [1.0 if a == b else rounded(found.get((a, b), found.get((b, a)))) for b in columns]) for a in columns]
     return df.sparkSession.createDataFrame(rows, "column string, " + ", ".join(f"`{c}` double" for c in columns))

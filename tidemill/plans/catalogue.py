@@ -80,6 +80,12 @@ _query("corr_pearson", "lineitem", lambda d: analyze.corr(d, ["l_quantity", "l_e
        "WITH c AS (SELECT round(corr(l_quantity, l_extendedprice), 4) AS ab, round(corr(l_quantity, l_discount), 4) AS ac, round(corr(l_extendedprice, l_discount), 4) AS bc FROM lineitem) SELECT 'l_quantity' AS \"column\", 1.0::DOUBLE AS l_quantity, ab AS l_extendedprice, ac AS l_discount FROM c UNION ALL SELECT 'l_extendedprice', ab, 1.0, bc FROM c UNION ALL SELECT 'l_discount', ac, bc, 1.0 FROM c")
 _query("corr_spearman", "customer", lambda d: analyze.corr(d, ["c_acctbal", "c_nationkey"], "spearman"),
        "WITH r AS (SELECT rank() OVER (ORDER BY c_acctbal) + (count(*) OVER (PARTITION BY c_acctbal) - 1) / 2.0 AS a, rank() OVER (ORDER BY c_nationkey) + (count(*) OVER (PARTITION BY c_nationkey) - 1) / 2.0 AS b FROM customer), c AS (SELECT round(corr(a, b), 4) AS v FROM r) SELECT 'c_acctbal' AS \"column\", 1.0::DOUBLE AS c_acctbal, v AS c_nationkey FROM c UNION ALL SELECT 'c_nationkey', v, 1.0 FROM c")
+_WIDE = {f"{c}_{v}": how.format(c=c, k=k + 2) for k, c in enumerate(("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax")) for v, how in (("all", "{c}"), ("some", "CASE WHEN l_orderkey % {k} > 0 THEN {c} END"), ("times", "{c} * l_linenumber"))}
+_query("corr_matrix", "lineitem", lambda d: analyze.corr(d.selectExpr(*[f"{x} AS {c}" for c, x in _WIDE.items()]), list(_WIDE)).unpivot("column", list(_WIDE), "other", "r"),
+       f"WITH t AS (SELECT {', '.join(f'{x} AS {c}' for c, x in _WIDE.items())} FROM lineitem) " + " UNION ALL ".join(f"""SELECT '{a}' AS "column", '{b}' AS other, {f'round(corr({a}, {b}), 4)' if a != b else '1.0::DOUBLE'} AS r FROM {'t' if a != b else '(SELECT 1)'}""" for a in _WIDE for b in _WIDE))
+_RANKED = {"p_partkey": "p_partkey", "p_size": "p_size", "price": "CASE WHEN p_partkey % 5 > 0 THEN p_retailprice END", "size_too": "CASE WHEN p_partkey % 5 > 0 THEN -p_size END", "other": "CASE WHEN p_partkey % 3 > 0 THEN p_retailprice + p_size END"}
+_query("corr_spearman_matrix", "part", lambda d: analyze.corr(d.selectExpr(*[f"{x} AS {c}" for c, x in _RANKED.items()]), list(_RANKED), "spearman").unpivot("column", list(_RANKED), "other", "r"),
+       f"WITH t AS (SELECT {', '.join(f'{x} AS {c}' for c, x in _RANKED.items())} FROM part) " + " UNION ALL ".join(f"""SELECT '{a}' AS "column", '{b}' AS other, round(corr(x, y), 4) AS r FROM (SELECT rank() OVER (ORDER BY {a}) + (count(*) OVER (PARTITION BY {a}) - 1) / 2.0 AS x, rank() OVER (ORDER BY {b}) + (count(*) OVER (PARTITION BY {b}) - 1) / 2.0 AS y FROM t WHERE {a} IS NOT NULL AND {b} IS NOT NULL)""" if a != b else f"""SELECT '{a}' AS "column", '{a}' AS other, 1.0::DOUBLE AS r""" for a in _RANKED for b in _RANKED))
 _query("corr_kendall", "supplier", lambda d: analyze.corr(d, ["s_acctbal", "s_nationkey"], "kendall"),
        "WITH p AS (SELECT sign(a.s_acctbal - b.s_acctbal) AS x, sign(a.s_nationkey - b.s_nationkey) AS y FROM supplier a JOIN supplier b ON a.s_suppkey < b.s_suppkey), c AS (SELECT round(sum(x * y) / sqrt(sum(x * x)::DOUBLE * sum(y * y)), 4) AS v FROM p) SELECT 's_acctbal' AS \"column\", 1.0::DOUBLE AS s_acctbal, v AS s_nationkey FROM c UNION ALL SELECT 's_nationkey', v, 1.0 FROM c")
 for _freq, _unit, _step in (("D", "day", "1 day"), ("M", "month", "1 month"), ("Q", "quarter", "3 months"), ("Y", "year", "1 year")):
