@@ -40,42 +40,48 @@ def number(df: DataFrame, name: str) -> Column:
 
 
 #: Up to so many rows one buffer may hold a column's values; beyond it quantiles are bracketed first.
-EXACT_ROWS = 2_000_000
-#: Accuracy of the brackets: a quantile's bracket holds about 4/BRACKETS of the rows.
+EXACT_ROWS = 400_000
+#: Accuracy of the brackets: a quantile's bracket holds about 4/BRACKETS of the rows of the one before.
 BRACKETS = 100_000
 
 
 def quantiles(df: DataFrame, columns: dict[str, Column], at: list[float], n_rows: int | None = None) -> dict[str, list | None]:
     """Exact quantiles (linear between neighbours) of each named column, None for a column without values.
 
-    ``percentile`` keeps every distinct value of a column in one buffer. On many rows a first pass brackets each quantile
-    approximately, a second counts what lies below and inside, and only what lies inside is looked at exactly.
+    ``percentile`` keeps every distinct value of a column in one buffer. On many rows a pass brackets each quantile
+    approximately and another counts what lies below and inside, again and again until a bracket holds few rows or a
+    single value; only what lies inside the last one is looked at exactly.
     """
-    names = list(columns)
+    names, x = list(columns), list(columns.values())
     if not names:
         return {}
     n_rows = df.count() if n_rows is None else n_rows
     if n_rows <= EXACT_ROWS:
-        row = df.agg(*[F.percentile(x, F.array(*map(F.lit, at))).alias(str(i)) for i, x in enumerate(columns.values())]).first()
+        row = df.agg(*[F.percentile(c, F.array(*map(F.lit, at))).alias(str(i)) for i, c in enumerate(x)]).first()
         return {name: row[i] for i, name in enumerate(names)}
-    edge = 2.0 / BRACKETS
-    around = [min(1.0, max(0.0, q + e)) for q in at for e in (-edge, edge)]
-    row = df.agg(*[F.percentile_approx(x, around, BRACKETS).alias(str(i)) for i, x in enumerate(columns.values())], *[F.count(x).alias(f"n{i}") for i, x in enumerate(columns.values())]).first()
-    bracket = {(i, j): row[i][2 * j : 2 * j + 2] for i in range(len(names)) if row[i] for j in range(len(at))}
-    if not bracket:
-        return dict.fromkeys(names)
-    x = list(columns.values())
-    inside = {k: (x[k[0]] >= low) & (x[k[0]] <= high) for k, (low, high) in bracket.items()}
-    counts = df.agg(*[c for k, (low, high) in bracket.items() for c in (F.sum((x[k[0]] < low).cast("long")).alias(f"b{k}"), F.sum(inside[k].cast("long")).alias(f"m{k}"))]).first()
-    wanted = {}
-    for k in bracket:
-        n, below, m, rank = row[f"n{k[0]}"], counts[f"b{k}"], counts[f"m{k}"], at[k[1]] * (row[f"n{k[0]}"] - 1)
-        if below <= rank and rank <= below + m - 1:
-            wanted[k] = F.percentile(F.when(inside[k], x[k[0]]), min(1.0, (rank - below) / max(m - 1, 1)))
-        else:  # between two brackets' edges: all values of the column
-            wanted[k] = F.percentile(x[k[0]], at[k[1]])
-    found = df.agg(*[c.alias(str(k)) for k, c in wanted.items()]).first()
-    return {name: [found[str((i, j))] for j in range(len(at))] if row[i] else None for i, name in enumerate(names)}
+    row = df.agg(*[F.count(c).alias(str(i)) for i, c in enumerate(x)]).first()
+    every = [(i, j) for i in range(len(names)) if row[i] for j in range(len(at))]
+    rank = {(i, j): at[j] * (row[i] - 1) for i, j in every}
+    low, high, below, inside, edge = {}, {}, dict.fromkeys(every, 0), {k: row[k[0]] for k in every}, dict.fromkeys(every, 2.0 / BRACKETS)
+
+    def within(k) -> Column:
+        return F.when((x[k[0]] >= low[k]) & (x[k[0]] <= high[k]), x[k[0]]) if k in low else x[k[0]]
+
+    while todo := [k for k in every if inside[k] > EXACT_ROWS and edge[k] < 1 and not (k in low and low[k] == high[k])]:
+        place = {k: (rank[k] - below[k]) / max(inside[k] - 1, 1) for k in todo}
+        ends = df.agg(*[F.percentile_approx(within(k), [min(1.0, max(0.0, place[k] + e)) for e in (-edge[k], edge[k])], BRACKETS).alias(str(k)) for k in todo]).first()
+        counted = df.agg(*[F.sum(f.cast("long")).alias(f"{name}{k}") for k in todo for name, f in (("b", x[k[0]] < ends[str(k)][0]), ("m", (x[k[0]] >= ends[str(k)][0]) & (x[k[0]] <= ends[str(k)][1])))]).first()
+        for k in todo:
+            b, m = counted[f"b{k}"], counted[f"m{k}"]
+            if b <= rank[k] <= b + m - 1 and m < inside[k]:
+                (low[k], high[k]), below[k], inside[k] = ends[str(k)], b, m
+            elif b <= rank[k] <= b + m - 1 and ends[str(k)][0] == ends[str(k)][1]:
+                low[k] = high[k] = ends[str(k)][0]
+            else:  # between two brackets' edges
+                edge[k] *= 32
+    exact = [k for k in every if not (k in low and low[k] == high[k])]
+    found = df.agg(*[F.percentile(within(k), min(1.0, (rank[k] - below[k]) / max(inside[k] - 1, 1))).alias(str(k)) for k in exact]).first() if exact else {}
+    return {name: [found[str((i, j))] if (i, j) in exact else low[i, j] for j in range(len(at))] if row[i] else None for i, name in enumerate(names)}
 
 
 def outlier_bounds(df: DataFrame, columns, method: str = "iqr") -> dict[str, tuple]:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 from pyspark.sql import DataFrame, Window
@@ -40,20 +41,143 @@ def aggregate(df: DataFrame, column: str, agg: str, order_by=None):
 
 
 def groupby(df: DataFrame, by, metrics, top: int | None = None, order_by=None) -> DataFrame:
-    """Missing is a group; sorted by key, missing last; ``top`` keeps the first groups in key order."""
+    """Missing is a group; sorted by key, missing last; ``top`` keeps the first groups in key order.
+
+    Distinct values are counted by their digests and medians of large groups are selected by rank, so no row is expanded
+    for a distinct count and no buffer holds a large group.
+    """
     by = [by] if isinstance(by, str) else list(by or [])
     if not by or not metrics:
         raise InputError("keys and metrics are needed")
     need_columns(df, by)
-    made = [aggregate(df, m["column"], m["agg"], order_by).alias(f"{m['column']} / {m['agg']}") for m in metrics]
-    out = df.groupBy(*map(col, by)).agg(*made).orderBy(*[col(c).asc_nulls_last() for c in by])
+    made = [aggregate(df, m["column"], m["agg"], order_by).alias(f"m{i}") for i, m in enumerate(metrics)]
+    keys = [col(c).alias(f"k{i}") for i, c in enumerate(by)]
+    apart = {agg: list(dict.fromkeys(m["column"] for m in metrics if m["agg"] == agg)) for agg in ("nunique", "median")}
+    large = _large_groups(df, keys, apart["median"]) if apart["median"] else None
+    whole = [a for a, m in zip(made, metrics) if not (m["agg"] == "nunique" or m["agg"] == "median" and large is not None)]
+    out = df.groupBy(*keys).agg(*whole or [F.lit(1).alias("any")])
+    for agg, found in (("nunique", _distinct(df, apart["nunique"], keys) if apart["nunique"] else None), ("median", _medians(df, keys, apart["median"], large) if large is not None else None)):
+        if found is not None:
+            same = F.lit(True)
+            for i in range(len(by)):
+                same = same & F.col(f"a.k{i}").eqNullSafe(F.col(f"b.k{i}"))
+            value = {i: F.col(f"b.v{apart[agg].index(m['column'])}") for i, m in enumerate(metrics) if m["agg"] == agg}
+            out = out.alias("a").join(found.alias("b"), same, "left").select("a.*", *[(F.coalesce(v, F.lit(0)) if agg == "nunique" else v).alias(f"m{i}") for i, v in value.items()])
+    out = out.orderBy(*[F.col(f"k{i}").asc_nulls_last() for i in range(len(by))])
+    out = out.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(by)], *[F.col(f"m{i}").alias(f"{m['column']} / {m['agg']}") for i, m in enumerate(metrics)])
     return out.limit(int(top)) if top else out
 
 
+#: Large groups whose brackets the driver keeps; where there are more their values are sorted.
+GROUPS = 2000
+#: Steps of the grid that brackets a median.
+GRID = 1000
+
+
+def _large_groups(df: DataFrame, keys: list, columns: list[str]) -> DataFrame | None:
+    """Keys of the groups that have more values of a column than one buffer may hold; None if there are none."""
+    many = F.greatest(*[F.count(number(df, c)) for c in columns], F.lit(0)) > stats.EXACT_ROWS
+    large = df.groupBy(*keys).agg(many.alias("many")).where("many").drop("many")
+    return None if large.isEmpty() else fixed(large)
+
+
+def _same_keys(n: int):
+    same = F.lit(True)
+    for i in range(n):
+        same = same & F.col(f"k{i}").eqNullSafe(F.col(f"g{i}"))
+    return same
+
+
+def _medians(df: DataFrame, keys: list, columns: list[str], large: DataFrame) -> DataFrame:
+    """By group (``k0``, ``k1``, ...): exact medians of columns, as ``v0``, ``v1``, ...; those of large groups without a buffer of their values."""
+    names = [f"k{i}" for i in range(len(keys))]
+    few = large.count() <= GROUPS
+    groups = large.toDF(*[f"g{i}" for i in range(len(keys))]).withColumn("g", F.monotonically_increasing_id())
+    if not few:
+        groups = fixed(groups)
+    groups = df.sparkSession.createDataFrame(groups.collect(), groups.schema) if few else groups
+    rows = df.select(*keys, *[(number(df, c) + F.lit(0.0)).alias(f"x{j}") for j, c in enumerate(columns)])
+    small = rows.join(F.broadcast(groups) if few else groups, _same_keys(len(keys)), "left_anti")
+    out = small.groupBy(*names).agg(*[F.median(f"x{j}").alias(f"v{j}") for j in range(len(columns))])
+    met = rows.join(F.broadcast(groups) if few else groups, _same_keys(len(keys)))
+    found = groups
+    for j in range(len(columns)):
+        x = met.select("g", F.col(f"x{j}").alias("x")).where("x is not null")
+        middle = df.sparkSession.createDataFrame(_bracketed(x), f"h long, v{j} double") if few else _selected(x).withColumnRenamed("v", f"v{j}")
+        found = found.join(middle, F.col("g") == F.col("h"), "left").drop("h")
+    return out.unionByName(found.select(*[F.col(f"g{i}").alias(n) for i, n in enumerate(names)], *[f"v{j}" for j in range(len(columns))]))
+
+
+def _bracketed(rows: DataFrame) -> list[tuple[int, float]]:
+    """Medians of ``x`` by ``g`` (at most ``GROUPS`` groups): brackets on a grid of approximate quantiles narrow until they hold few values or one."""
+    spark = rows.sparkSession
+    state = {r["g"]: [r["low"], r["high"], 0, r["n"], (r["n"] - 1) / 2] for r in rows.groupBy("g").agg(F.min("x").alias("low"), F.max("x").alias("high"), F.count("x").alias("n")).collect()}
+    grid = [k / GRID for k in range(GRID + 1)]
+    stuck: set[int] = set()
+
+    def inside(todo) -> DataFrame:
+        some = spark.createDataFrame([(g, state[g][0], state[g][1]) for g in todo], "h long, low double, high double")
+        return rows.join(F.broadcast(some), (F.col("g") == F.col("h")) & (F.col("x") >= F.col("low")) & (F.col("x") <= F.col("high"))).select("g", "x")
+
+    while todo := [g for g, (low, high, _, n, _) in state.items() if n > stats.EXACT_ROWS and low < high and g not in stuck]:
+        ends = {}
+        for r in inside(todo).groupBy("g").agg(F.percentile_approx("x", grid, stats.BRACKETS).alias("q")).collect():
+            low, high, below, n, rank = state[r["g"]]
+            k = int((rank - below) / max(n - 1, 1) * GRID)
+            ends[r["g"]] = (low if k < 2 else r["q"][k - 1], high if k > GRID - 3 else r["q"][k + 2])
+        some = spark.createDataFrame([(g, *ends[g]) for g in todo], "h long, low double, high double")
+        counted = inside(todo).join(F.broadcast(some), F.col("g") == F.col("h")).groupBy("g").agg(F.count_if(F.col("x") < F.col("low")).alias("b"), F.count_if((F.col("x") >= F.col("low")) & (F.col("x") <= F.col("high"))).alias("m"))
+        for r in counted.collect():
+            g, (low, high, below, n, rank) = r["g"], state[r["g"]]
+            if below + r["b"] <= rank <= below + r["b"] + r["m"] - 1 and (r["m"] < n or ends[g][0] == ends[g][1]):
+                state[g] = [*ends[g], below + r["b"], r["m"], rank]
+            else:
+                stuck.add(g)
+    out = [(g, low) for g, (low, high, *_) in state.items() if low == high]
+    rest = [g for g in state if state[g][0] < state[g][1]]
+    if rest:
+        # the two middle values of what lies inside, of each group
+        some = spark.createDataFrame([(g, math.floor(state[g][4]) - state[g][2], math.ceil(state[g][4]) - state[g][2]) for g in rest], "h long, first long, second long")
+        counts = inside(rest).groupBy("g", "x").agg(F.count(F.lit(1)).alias("n"))
+        out += [(r["g"], r["v"]) for r in _at_ranks(counts, some).collect()]
+    return out
+
+
+def _at_ranks(counts: DataFrame, ranks: DataFrame) -> DataFrame:
+    """``g``, ``v``: the mean of the values at two ranks (``first``, ``second``) of each group ``h``, from ``g``, ``x`` and how often ``n`` it stands; values are sorted in ranges."""
+    ordered = ranges.running_totals(counts, ["g", "x"], {"n": "below"})
+    starts = ordered.groupBy(F.col("g").alias("s")).agg(F.min("below").alias("start"))
+    met = ordered.join(starts.join(ranks, F.col("s") == F.col("h")), F.col("g") == F.col("s")).withColumn("at", F.col("below") - F.col("start"))
+    held = [F.max(F.when((F.col("at") <= F.col(r)) & (F.col(r) < F.col("at") + F.col("n")), F.col("x"))) for r in ("first", "second")]
+    return met.groupBy("g").agg(((held[0] + held[1]) / 2).alias("v"))
+
+
+def _selected(rows: DataFrame) -> DataFrame:
+    """Medians of ``x`` by ``g``, as ``h`` and ``v``, of any number of groups."""
+    counts = fixed(rows.groupBy("g", "x").agg(F.count(F.lit(1)).alias("n")))
+    size = F.sum("n") - 1
+    ranks = counts.groupBy(F.col("g").alias("h")).agg(F.floor(size / 2).alias("first"), F.ceil(size / 2).alias("second"))
+    return _at_ranks(counts, ranks).withColumnRenamed("g", "h")
+
+
+def _digest(df: DataFrame, column: str) -> list:
+    """128 bits that tell values of a column apart; 0.0 and -0.0 are one value, not-a-number is none."""
+    v = number(df, column) + F.lit(0.0) if dict(df.dtypes)[column] in ("float", "double") else col(column)
+    return [F.xxhash64(v).alias("a"), F.xxhash64(F.lit(1), v).alias("b")]
+
+
 def _wide_counts(df: DataFrame, columns: list[str]) -> DataFrame:
-    """``i`` (number of the column), ``v`` (value as text), ``n``: the values of all columns by one unpivoted count."""
-    cells = F.array(*[F.struct(F.lit(i).alias("i"), F.when(~_absent(df, c), col(c).cast("string")).alias("v")) for i, c in enumerate(columns)])
-    return df.select(F.explode(cells).alias("c")).select("c.*").where("v is not null").groupBy("i", "v").agg(F.count(F.lit(1)).alias("n"))
+    """``i`` (number of the column), ``v`` (value as text), ``n``: the values of all columns by one unpivoted count. Values are told apart by their digests."""
+    cells = F.array(*[F.struct(F.lit(i).alias("i"), *_digest(df, c), F.when(~_absent(df, c), col(c).cast("string")).alias("v")) for i, c in enumerate(columns)])
+    return df.select(F.explode(cells).alias("c")).select("c.*").where("v is not null").groupBy("i", "a", "b").agg(F.count(F.lit(1)).alias("n"), F.max("v").alias("v")).drop("a", "b")
+
+
+def _distinct(df: DataFrame, columns: list[str], keys: list) -> DataFrame:
+    """By group (``keys``): distinct values of columns, as ``v0``, ``v1``, ...; digests move, map-side deduplicated, values don't."""
+    cells = F.array(*[F.struct(F.lit(i).alias("i"), *_digest(df, c), (~_absent(df, c)).alias("there")) for i, c in enumerate(columns)])
+    names = [f"k{i}" for i in range(len(keys))]
+    once = df.select(*keys, F.explode(cells).alias("c")).select(*names, "c.*").where("there").groupBy(*names, "i", "a", "b").agg(F.lit(1))
+    return once.groupBy(*names).agg(*[F.count_if(F.col("i") == i).alias(f"v{i}") for i in range(len(columns))])
 
 
 def _top(counts: DataFrame) -> DataFrame:
@@ -69,17 +193,18 @@ def describe(df: DataFrame, columns=None) -> DataFrame:
     kind = kinds(df)
     numeric, others = [c for c in columns if kind[c] == "numeric"], [c for c in columns if kind[c] != "numeric"]
     rows = {}
-    if numeric:
-        x = {c: number(df, c) for c in numeric}
-        aggs = [a.alias(f"{i}:{n}") for i, c in enumerate(numeric) for n, a in (("count", F.count(x[c])), ("mean", F.avg(x[c])), ("std", F.stddev_samp(x[c])), ("min", F.min(x[c])), ("max", F.max(x[c])))]
-        got, q = df.agg(*aggs).first(), stats.quantiles(df, x, [0.25, 0.5, 0.75])
-        for i, c in enumerate(numeric):
-            rows[c] = (c, got[f"{i}:count"], None, None, None, got[f"{i}:mean"], got[f"{i}:std"], got[f"{i}:min"], *(q[c] or [None] * 3), got[f"{i}:max"])
-    if others:
-        found = {r["i"]: r for r in _top(_wide_counts(df, others)).collect()}
-        for i, c in enumerate(others):
-            r = found.get(i)
-            rows[c] = (c, *((r["count"], r["unique"], r["top"], r["freq"]) if r else (0, 0, None, None)), *[None] * 7)
+    x = {c: number(df, c) for c in numeric}
+    aggs = [a.alias(f"{i}:{n}") for i, c in enumerate(numeric) for n, a in (("count", F.count(x[c])), ("mean", F.avg(x[c])), ("std", F.stddev_samp(x[c])), ("min", F.min(x[c])), ("max", F.max(x[c])))]
+    with ThreadPoolExecutor(3) as pool:
+        tops = pool.submit(lambda: {r["i"]: r for r in _top(_wide_counts(df, others)).collect()}) if others else None
+        got = df.agg(F.count(F.lit(1)).alias("n"), *aggs).first()
+        q = stats.quantiles(df, x, [0.25, 0.5, 0.75], got["n"])
+        found = tops.result() if others else {}
+    for i, c in enumerate(numeric):
+        rows[c] = (c, got[f"{i}:count"], None, None, None, got[f"{i}:mean"], got[f"{i}:std"], got[f"{i}:min"], *(q[c] or [None] * 3), got[f"{i}:max"])
+    for i, c in enumerate(others):
+        r = found.get(i)
+        rows[c] = (c, *((r["count"], r["unique"], r["top"], r["freq"]) if r else (0, 0, None, None)), *[None] * 7)
     numbers_of = ", ".join(f"{n} double" for n in ("mean", "std", "min", "p25", "p50", "p75", "max"))
     return df.sparkSession.createDataFrame([rows[c] for c in columns], f"column string, count long, unique long, top string, freq long, {numbers_of}")
 
@@ -331,13 +456,14 @@ def profile(df: DataFrame, columns=None) -> DataFrame:
             aggs += [F.min(col(c)).cast("string").alias(f"{i}:first"), F.max(col(c)).cast("string").alias(f"{i}:last")]
     got = df.agg(*aggs).first().asDict()
     q = stats.quantiles(df, {c: number(df, c) for c in columns if kind[c] == "numeric"}, [0.25, 0.5, 0.75], got["n"])
-    counts = _wide_counts(df, columns)
     listed = [i for i, c in enumerate(columns) if kind[c] in ("text", "boolean")]
     rank = F.row_number().over(Window.partitionBy("i").orderBy(F.desc("n"), "v"))
-    distinct = {r["i"]: r["k"] for r in counts.groupBy("i").agg(F.count(F.lit(1)).alias("k")).collect()}
+    found = _distinct(df, columns, []).first() or {}
+    distinct = {i: found[f"v{i}"] for i in range(len(columns))}
     tops: dict[int, list] = {}
     if listed:
-        best = counts.where(F.col("i").isin(listed)).withColumn("rank", rank).where("rank <= 5").orderBy("i", "rank").collect()
+        counts = _wide_counts(df, [columns[i] for i in listed]).withColumn("i", F.element_at(F.array(*map(F.lit, listed)), F.col("i") + 1))
+        best = counts.withColumn("rank", rank).where("rank <= 5").orderBy("i", "rank").collect()
         for r in best:
             tops.setdefault(r["i"], []).append((r["v"], r["n"]))
     rows = []
