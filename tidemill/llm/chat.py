@@ -30,6 +30,8 @@ _ESCAPED = re.compile(r"\\(.)", re.DOTALL)
 _TURN = re.compile(f"{re.escape(OPEN)}(.*?){re.escape(SEP)}(.*?){re.escape(CLOSE)}", re.DOTALL)
 #: Rows and characters of whole conversations that are assembled together.
 ROWS_AT_ONCE, CHARS_AT_ONCE = 4096, 1 << 25
+#: Bytes from which a part is copied by itself, and bytes that index arrays and counts cover at once.
+LONG, AT_ONCE = 1 << 12, 1 << 20
 
 
 def escape(text: str) -> str:
@@ -47,10 +49,27 @@ def parse(formatted: str) -> list[tuple[str, str]]:
 
 
 def _scatter(out: np.ndarray, to: np.ndarray, parts: list[bytes]) -> None:
-    """Copy each part to its place: one index array for all parts."""
+    """Copy each part to its place: long ones as slices, short ones by one index array for some megabytes of them."""
     lengths = np.fromiter(map(len, parts), np.int64, len(parts))
-    source = np.frombuffer(b"".join(parts), np.uint8)
-    out[np.repeat(to - (np.cumsum(lengths) - lengths), lengths) + np.arange(len(source))] = source
+    for i in np.flatnonzero(lengths > LONG):
+        out[to[i] : to[i] + lengths[i]] = np.frombuffer(parts[i], np.uint8)
+    short = np.flatnonzero(lengths <= LONG)
+    ends = np.cumsum(lengths[short])
+    for some in np.split(short, np.flatnonzero(np.diff(ends // AT_ONCE)) + 1):
+        length = lengths[some]
+        source = np.frombuffer(b"".join([parts[i] for i in some]), np.uint8)
+        out[np.repeat(to[some] - (np.cumsum(length) - length), length) + np.arange(len(source))] = source
+
+
+def _code_points(out: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """Code points that begin before each of some ascending places of a UTF-8 buffer."""
+    found, before = np.zeros(len(places), np.int64), 0
+    for start in range(0, len(out) + 1, AT_ONCE):
+        counts = np.r_[0, np.cumsum((out[start : start + AT_ONCE] & 0xC0) != 0x80, dtype=np.int64)]
+        a, b = np.searchsorted(places, [start, start + AT_ONCE])
+        found[a:b] = before + counts[places[a:b] - start]
+        before += counts[-1]
+    return found
 
 
 def assemble(conv: np.ndarray, roles: list[str], texts: list[str]) -> tuple[pa.Array, list[list[dict]]]:
@@ -68,16 +87,16 @@ def assemble(conv: np.ndarray, roles: list[str], texts: list[str]) -> tuple[pa.A
         out[at[:, k, None] + np.arange(len(mark))] = mark
     _scatter(out, at[:, 1], role)
     _scatter(out, at[:, 3], text)
-    # offsets of conversations in the buffer, and code points before each byte
+    # offsets of conversations in the buffer, and code points before each segment
     first = np.searchsorted(conv, np.arange(count + 1))
     offsets = np.r_[at[:, 0], len(out)][first]
-    chars = np.r_[0, np.cumsum((out & 0xC0) != 0x80)]
+    chars = _code_points(out, at.ravel()).reshape(n, 5)
     learned = np.fromiter((r == LEARNED_ROLE for r in roles), bool, n)
     spans: list[list[dict]] = [[] for _ in range(count)]
-    base = chars[offsets[:-1]]
     for i in np.flatnonzero(learned):
         c = int(conv[i])
-        spans[c].append({"start": int(chars[at[i, 3]] - base[c]), "end": int(chars[at[i, 4]] - base[c])})
+        base = chars[first[c], 0]
+        spans[c].append({"start": int(chars[i, 3] - base), "end": int(chars[i, 4] - base)})
     kind, width = (pa.string(), np.int32) if len(out) < 2**31 else (pa.large_string(), np.int64)
     column = pa.Array.from_buffers(kind, count, [None, pa.py_buffer(offsets.astype(width).tobytes()), pa.py_buffer(out)])
     return column, spans
