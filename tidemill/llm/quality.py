@@ -156,15 +156,18 @@ def train(x: np.ndarray, counts: np.ndarray, labels: np.ndarray, rounds: int = 3
 def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", docs_bound: int = SAMPLE_DOCS) -> MilModel:
     """Fit on at most ``docs_bound`` labelled documents, chosen by a hash of the id among those whose crc32(id as text) mod 4 is not 2.
 
-    Labels of one id are averaged. Without any label the model knows nothing and scores everything alike.
+    Labels of one id are averaged, and a text that comes several times with an id counts once. Without any label the model knows nothing and scores everything alike.
     """
     arrow_limits(docs.sparkSession)
     known = labels.select(F.col(f"`{id_col}`").alias("__id"), F.col(f"`{label_col}`").cast("double").alias("__label"))
     known = known.where("__label is not null and crc32(cast(__id as string)) % 4 <> 2").groupBy("__id").agg(F.avg("__label").alias("__label"))
     chosen = known.orderBy(F.xxhash64("__id"), "__id").limit(docs_bound)
     rows = document_rows(docs, id_col, text_col).toDF("id", "text").where(F.octet_length("text") <= SAMPLE_BYTES)
-    # at most docs_bound pairs of two numbers
-    sample = rows.join(F.broadcast(chosen), F.col("id") == F.col("__id")).select("id", "text", "__label")
+    # at most docs_bound pairs of two numbers; an id may come with many texts, and a text of it many times
+    labelled = rows.join(F.broadcast(chosen), F.col("id") == F.col("__id")).select("id", "text", "__label", F.xxhash64("text").alias("h"))
+    few = labelled.select(F.col("id").alias("i"), F.col("h").alias("k")).distinct().orderBy(F.xxhash64("i"), "i", "k").limit(docs_bound)
+    met = labelled.join(F.broadcast(few), (F.col("id") == F.col("i")) & (F.col("h") == F.col("k")), "left_semi")
+    sample = met.groupBy("id", "h").agg(F.first("text").alias("text"), F.first("__label").alias("__label")).select("id", "text", "__label")
 
     def run(batches):
         for batch in pieces(batches, "text", 1 << 20):
@@ -173,7 +176,6 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     found = sample.mapInArrow(run, "id long, label double, n long, x binary").collect()
     found.sort(key=lambda r: (r["id"], bytes(r["x"])))
-    found = found[:docs_bound]
     if not found:
         return train(np.zeros((1, N_FEATURES)), np.array([1]), np.array([0.5]), rounds=1)
     x = np.concatenate([np.frombuffer(r["x"], "<f4").reshape(-1, N_FEATURES) for r in found])
