@@ -263,7 +263,13 @@ def link_chunks(x: np.ndarray, many: np.ndarray, y: np.ndarray | None, many_y: n
 def _matrix(column) -> np.ndarray:
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    x = flat.reshape(len(column), -1)
+    return _unit(flat.reshape(len(column), -1))
+
+
+def _unit(x: np.ndarray) -> np.ndarray:
+    """Vectors of length 1. Powers of two take very small and very large components into the range of squares first, exactly."""
+    power = np.frexp(np.abs(x).max(axis=1, keepdims=True))[1] if x.size else 0
+    x = np.ldexp(x, -power)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
@@ -274,7 +280,7 @@ def _links(vectors: DataFrame, threshold: float, sample: int, chunk: int) -> Dat
     picked = np.array([r["v"] for r in few.orderBy(F.xxhash64("rep")).select("v").limit(sample).collect()], np.float64)
     if not len(picked):  # by chance the hashes left none
         picked = np.array([vectors.select("v").first()["v"]], np.float64)
-    picked /= np.linalg.norm(picked, axis=1, keepdims=True)
+    picked = _unit(picked)
     pivots = picked[farthest_first(picked, max(1, math.ceil(total / chunk)))]
     kind = vectors.schema["v"].dataType.simpleString()
 
