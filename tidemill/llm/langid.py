@@ -24,6 +24,8 @@ from .common import arrow_limits, document_rows, pieces
 ORDER = 5
 #: Bound of the sample that a model is fitted on: documents per language.
 SAMPLE_DOCS_PER_LANG = 400
+#: Longer texts are only judged, so the sample of a language has a size bound in bytes too.
+SAMPLE_BYTES = 1 << 18
 UNKNOWN = "und"
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
@@ -249,9 +251,9 @@ def fit(samples: dict[str, list[str]], order: int = ORDER) -> Model:
 
 
 def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", order: int = ORDER, per_lang: int = SAMPLE_DOCS_PER_LANG) -> Model:
-    """Fit on at most ``per_lang`` documents of every labelled language, chosen by a hash of the id
+    """Fit on at most ``per_lang`` documents (of at most ``SAMPLE_BYTES`` each) of every labelled language, chosen by a hash of the id
     among those whose crc32(id as text) mod 5 is not 0."""
-    rows = document_rows(docs, id_col, text_col, lang_col).toDF("id", "text", "lang").where("lang is not null and text is not null and crc32(cast(id as string)) % 5 <> 0")
+    rows = document_rows(docs, id_col, text_col, lang_col).toDF("id", "text", "lang").where("lang is not null and text is not null and crc32(cast(id as string)) % 5 <> 0").where(F.octet_length("text") <= SAMPLE_BYTES)
     # a cut on the hash leaves a few times as many as wanted, whatever a language's share; then the smallest hashes are taken
     share = rows.groupBy("lang").agg((F.lit(3.0 * per_lang) / F.count(F.lit(1))).alias("share"))
     mark = F.pmod(F.xxhash64("id"), F.lit(1_000_000)) / 1e6
