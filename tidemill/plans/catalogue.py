@@ -338,6 +338,18 @@ _sql("sql_cte_filter", "WITH big AS (SELECT * FROM orders WHERE o_totalprice > 1
 _sql("sql_recursive", "WITH RECURSIVE t(n) AS (SELECT 1 UNION ALL SELECT n + 1 FROM t WHERE n < 20) SELECT n FROM t")
 
 
+# analysts' forms: the text is its own oracle
+_sql("sql_dialect_cast", """SELECT CAST(CAST("c_custkey" AS BIGINT) AS VARCHAR) AS "c_custkey", c_name, round(c_acctbal * 2, 2) AS twice FROM customer WHERE c_custkey IS NOT NULL AND c_acctbal > 0 AND c_name NOT LIKE 'C%1'""")
+_sql("sql_dialect_qualify", "SELECT o_custkey, o_orderkey, o_totalprice FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) <= 2")
+_sql("sql_dialect_qualify_name", "WITH ranked AS (SELECT n_regionkey, n_name, rank() OVER (PARTITION BY n_regionkey ORDER BY n_name) AS place FROM nation QUALIFY place = 1) SELECT r_name, n_name FROM ranked JOIN region ON r_regionkey = n_regionkey")
+_sql("sql_dialect_exclude", "SELECT * EXCLUDE (p_name, p_type) FROM part WHERE p_size // 10 = 2")
+_sql("sql_dialect_lists", "SELECT p_partkey, unnest(list_filter([p_size, p_partkey % 7, 3], lambda v: v > 4)) AS v FROM part WHERE list_contains([1, 5, 9], p_size)")
+_sql("sql_dialect_quantiles", "SELECT l_returnflag, round(quantile_cont(l_extendedprice, 0.9), 6) AS q, arg_max(l_orderkey, l_extendedprice * 1000000 + l_linenumber) AS top FROM lineitem GROUP BY ALL")
+_sql("sql_dialect_dates", "SELECT strftime(o_orderdate, '%Y-%m') AS month, count(*) AS n, sum(date_diff('month', o_orderdate, TIMESTAMP '1999-01-15 00:00:00'))::BIGINT AS months FROM orders GROUP BY 1")
+_sql("sql_dialect_from_first", "FROM region")
+_sql("sql_dialect_texts", "SELECT c_custkey, regexp_extract(c_name, '[0-9]+') AS digits, strpos(c_name, '#') AS at, starts_with(c_mktsegment, 'B') AS b FROM customer")
+
+
 def _asof(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = _table(spark, sf_dir, "events")
     clicks, views = e.where("event_type = 'purchase'").select("event_id", "user_id", "ts"), e.where("event_type = 'view'").groupBy("user_id", "ts").agg(F.max("event_id").alias("view_id"))

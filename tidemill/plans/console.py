@@ -1,6 +1,6 @@
 """A read-only SQL console over registered tables.
 
-What may run is decided on the parsed plan, not on the text: a query starts with SELECT or WITH and no node of its plan,
+What may run is decided on the parsed plan, not on the text: a query starts with SELECT, WITH or FROM and no node of its plan,
 at any depth, is a statement. No session setting is touched, so threads can't disturb one another.
 """
 
@@ -14,6 +14,7 @@ from py4j.java_gateway import JavaObject, is_instance_of
 from pyspark.sql import DataFrame, SparkSession
 
 from ..errors import InputError
+from . import dialect
 
 PREVIEW_ROWS = 100_000
 # fixed values: functions that reach outside a query
@@ -64,11 +65,11 @@ def _strings(names: JavaObject) -> list[str]:
 
 def check_read_only(spark: SparkSession, query: str) -> str:
     """The single statement of ``query``, if all that its parsed plan does is to read tables by name."""
-    text, bare = with_backticks(query)
+    text, bare = with_backticks(dialect.in_spark(query))
     text, bare = text.strip().rstrip(";").strip(), bare.strip().rstrip(";").strip()
     if not bare:
         raise InputError("the query is empty")
-    if not re.match(r"(?i)\(*\s*(select|with)\b", bare):
+    if not re.match(r"(?i)\(*\s*(select|with|from)\b", bare):
         raise InputError("only SELECT and WITH queries are allowed")
     try:
         plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(text)
@@ -97,10 +98,16 @@ def check_read_only(spark: SparkSession, query: str) -> str:
 def run_sql(spark: SparkSession, query: str, tables: dict[str, DataFrame] | None = None, preview: bool = True) -> DataFrame:
     """The result of a read-only query over ``tables``; a preview is capped at PREVIEW_ROWS + 1 rows, a result to be saved is not."""
     text = check_read_only(spark, query)
+    views = spark.catalog
     with _registering:  # names are resolved before another query can take them
-        for name, df in (tables or {}).items():
-            df.createOrReplaceTempView(name)
-        out = spark.sql(text)
+        held = {name: spark.table(f"`{name}`") for name in tables or {} if any(t.name.lower() == name.lower() and t.isTemporary for t in views.listTables(pattern=name))}
+        try:
+            for name, df in (tables or {}).items():
+                df.createOrReplaceTempView(name)
+            out = spark.sql(text)
+        finally:  # the caller's own views are as they were
+            for name in tables or {}:
+                held[name].createOrReplaceTempView(name) if name in held else views.dropTempView(name)
     return out.limit(PREVIEW_ROWS + 1) if preview else out
 
 
