@@ -2,9 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from ..errors import InputError
 from ..functions import ranges
 from ..functions.stats import col, need_columns
 
@@ -33,3 +40,105 @@ def asof_join(left: DataFrame, right: DataFrame, on: str, by: list[str], columns
     for i in range(len(by)):
         same = same & (found[f"k{i}"] == F.col(f"o{i}"))
     return met.select("row.*", *[F.when(same, found[f"v{i}"]).alias(c) for i, c in enumerate(columns)])
+
+
+#: Points of one bin at least, and bins at most; points and intervals of one piece of a bin at most, unless they are a small share of all.
+POINTS_PER_BIN, BINS, PIECE, SHARE = 1024, 4096, 200_000, 50_000
+#: Pairs written at once.
+PAIRS = 1 << 16
+_CLOSED = {"both": (True, True), "left": (True, False), "right": (False, True), "neither": (False, False)}
+
+
+def _axis(df: DataFrame, name: str):
+    """A column as a double that never reverses the order of two values."""
+    kind = dict(df.dtypes)[name]
+    x = F.unix_micros(col(name).cast("timestamp")) if kind.startswith("timestamp") else F.unix_date(col(name)) if kind == "date" else col(name)
+    x = x.cast("double")
+    return F.when(~F.isnan(x), x)
+
+
+def _pieces(rows: DataFrame, name: str) -> DataFrame:
+    """Keys and bins with so many rows that they are cut, and into how many pieces. There are few: each holds more than a share of all rows."""
+    counts = rows.groupBy("h", "bin").agg(F.count(F.lit(1)).alias("n"))
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    limit = max(PIECE, total // SHARE)
+    return counts.where(F.col("n") > limit).select("h", "bin", F.ceil(F.col("n") / limit).cast("int").alias(name))
+
+
+def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs of points and the intervals that hold them. Of each piece of a bin the intervals come first, then the points in their order."""
+    key, held = None, []
+    for batch in batches:
+        keys = np.column_stack([batch.column(i).to_numpy(zero_copy_only=False) for i in range(5)]) if batch.num_rows else np.zeros((0, 5), np.int64)
+        starts = np.flatnonzero(np.r_[True, (keys[1:] != keys[:-1]).any(1)]) if len(keys) else []
+        for s, e in zip(starts, [*starts[1:], len(keys)]):
+            if key != (now := tuple(keys[s, :4])):
+                key, held = now, []
+            part = batch.slice(s, e - s)
+            if not keys[s, 4]:
+                held.append(part)
+                continue
+            x, points = part.column(5).to_numpy(), part.column(7)
+            for some in held:
+                a, b = some.column(5).to_numpy(), some.column(6).to_numpy()
+                first, last = np.searchsorted(x, a, "left"), np.searchsorted(x, b, "right")
+                n = np.maximum(last - first, 0)
+                ends = np.cumsum(n)
+                for at in range(0, int(ends[-1]), PAIRS):
+                    pair = np.arange(at, min(at + PAIRS, ends[-1]))
+                    i = np.searchsorted(ends, pair, "right")
+                    j = first[i] + pair - (ends[i] - n[i])
+                    yield pa.RecordBatch.from_arrays([points.take(pa.array(j)), some.column(8).take(pa.array(i))], names=["l", "r"])
+
+
+def range_join(points: DataFrame, intervals: DataFrame, on: str, low: str, high: str, by: list[str] | None = None, closed: str = "both") -> DataFrame:
+    """Each row of ``points`` with each row of ``intervals`` (of equal ``by``) whose ``low`` to ``high`` holds its ``on``: all columns of both.
+
+    The axis is cut where equal numbers of points lie between, and an interval goes to the bins that it meets, so the join is
+    one on bins. Bins with many points or intervals are cut into pieces that meet one another. In a task sorted points are
+    searched for the ends of intervals: work grows with the rows and the pairs found, not with all pairs. ``closed`` tells which
+    ends belong to an interval. Null and not-a-number find nothing; other columns of the same name on both sides are an error.
+    """
+    by = list(by or [])
+    need_columns(points, [on, *by])
+    need_columns(intervals, [low, high, *by])
+    if closed not in _CLOSED:
+        raise InputError(f"closed is one of {', '.join(_CLOSED)}")
+    both = [c for c in intervals.columns if c in points.columns and c not in by]
+    if both:
+        raise InputError(f"columns on both sides: {', '.join(both)}")
+    h = F.xxhash64(*map(col, by)) if by else F.lit(0).cast("long")
+    whole = lambda df: F.struct(*[col(c).alias(f"c{i}") for i, c in enumerate(df.columns)])
+    known = F.lit(True)
+    for c in by:
+        known = known & col(c).isNotNull()
+    left = points.where(known).select(h.alias("h"), _axis(points, on).alias("x"), whole(points).alias("l")).where("x is not null")
+    right = intervals.where(known).select(h.alias("h"), _axis(intervals, low).alias("x"), _axis(intervals, high).alias("y"), whole(intervals).alias("r")).where("x <= y")
+    n = left.count()
+    m = max(1, min(BINS, n // POINTS_PER_BIN))
+    cuts = left.agg(F.percentile_approx("x", [k / m for k in range(1, m)], max(10_000, 20 * m))).first()[0] if m > 1 else []
+    bounds = np.unique(np.array(cuts or [], float))
+
+    @F.pandas_udf("int")
+    def bin_of(x: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(bounds, x.to_numpy(), "right").astype(np.int32))
+
+    left = left.withColumn("bin", bin_of("x"))
+    right = right.withColumn("bin", F.explode(F.sequence(bin_of("x"), bin_of("y"))))
+    of_points, of_intervals = _pieces(left, "points"), _pieces(right, "intervals")
+    for side in (of_points, of_intervals):
+        left, right = (df.join(F.broadcast(side), ["h", "bin"], "left") for df in (left, right))
+    own = lambda value, n: F.pmod(F.xxhash64(value), F.coalesce(n, F.lit(1))).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.coalesce(n, F.lit(1)) - 1))
+    kinds = [df.schema[c].dataType for df, c in ((left, "l"), (right, "r"))]
+    left = left.select("h", "bin", own("l", F.col("points")).alias("p"), every(F.col("intervals")).alias("i"), F.lit(1).alias("side"), "x", F.lit(None).cast("double").alias("y"), "l", F.lit(None).cast(kinds[1]).alias("r"))
+    right = right.select("h", "bin", every(F.col("points")).alias("p"), own("r", F.col("intervals")).alias("i"), F.lit(0).alias("side"), "x", "y", F.lit(None).cast(kinds[0]).alias("l"), "r")
+    rows = left.unionByName(right).repartition("h", "bin", "p", "i").sortWithinPartitions("h", "bin", "p", "i", "side", "x")
+    pairs = rows.mapInArrow(_merged, T.StructType([T.StructField("l", kinds[0]), T.StructField("r", kinds[1])]))
+    at = {("l", c): F.col(f"l.c{i}") for i, c in enumerate(points.columns)} | {("r", c): F.col(f"r.c{i}") for i, c in enumerate(intervals.columns)}
+    x, a, b = at["l", on], at["r", low], at["r", high]
+    with_low, with_high = _CLOSED[closed]
+    fits = ((a <= x) if with_low else (a < x)) & ((x <= b) if with_high else (x < b))
+    for c in by:  # a hash brought them together
+        fits = fits & (at["l", c] == at["r", c])
+    return pairs.where(fits).select(*[at["l", c].alias(c) for c in points.columns], *[at["r", c].alias(c) for c in intervals.columns if c not in by])

@@ -358,3 +358,21 @@ def _asof(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES["asof_join"] = _asof
 ORACLES["asof_join"] = "WITH v AS (SELECT user_id, ts, max(event_id) AS view_id FROM events WHERE event_type = 'view' GROUP BY 1, 2) SELECT p.event_id, v.view_id FROM (SELECT * FROM events WHERE event_type = 'purchase') p ASOF LEFT JOIN v ON p.user_id = v.user_id AND p.ts >= v.ts"
+
+
+def _range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items whose price lies in the band of a small part, 10 to 10.01 times its retail price."""
+    bands = _table(spark, sf_dir, "part").where("p_size <= 5").selectExpr("p_partkey", "p_retailprice * 10 AS low", "p_retailprice * 10.01 AS high")
+    return joins.range_join(_table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice"), bands, "l_extendedprice", "low", "high").select("l_orderkey", "l_linenumber", "p_partkey")
+
+
+def _range_by(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events of a user within two days before each of their purchases."""
+    events = _table(spark, sf_dir, "events")
+    spans = events.where("event_type = 'purchase'").selectExpr("user_id", "event_id AS purchase_id", "ts - INTERVAL 2 DAYS AS since", "ts AS until")
+    return joins.range_join(events.select("user_id", "event_id", "ts"), spans, "ts", "since", "until", ["user_id"], "left").select("purchase_id", "event_id")
+
+
+QUERIES["range_join"], QUERIES["range_join_by"] = _range, _range_by
+ORACLES["range_join"] = "SELECT l_orderkey, l_linenumber, p_partkey FROM lineitem JOIN part ON p_size <= 5 AND l_extendedprice BETWEEN p_retailprice * 10 AND p_retailprice * 10.01::DOUBLE"
+ORACLES["range_join_by"] = "SELECT p.event_id AS purchase_id, e.event_id FROM events e JOIN events p ON p.event_type = 'purchase' AND e.user_id = p.user_id AND e.ts >= p.ts - INTERVAL 2 DAYS AND e.ts < p.ts"
