@@ -71,14 +71,11 @@ class Dataset:
         self._save(out, message)
         return message
 
-    def transform(self, code: str, preview: bool = False) -> DataFrame:
-        """User code in Python; a preview leaves the dataset as it is."""
+    def transform(self, code: str, preview: bool = False, seconds: float = usercode.SECONDS) -> DataFrame:
+        """User code in Python; a preview leaves the dataset as it is. ``seconds`` is the time for the code and for writing its result."""
         if preview:
-            return usercode.preview(self.df, code)
-        out, _ = usercode.run_code(self.df, code)
-        if out.isEmpty():
-            raise InputError("no row would be left")
-        return self._save(out, "transform").df
+            return usercode.preview(self.df, code, seconds)
+        return usercode.apply_code(self.df, code, lambda out: self._save(out, "transform"), seconds).df
 
     def undo(self) -> dict:
         return self.workspace.store.undo(self.id)
