@@ -1,11 +1,17 @@
-"""Versioned datasets: immutable Parquet directories and small JSON metadata, swapped atomically."""
+"""Versioned datasets: immutable Parquet directories, and metadata in logs of numbered commits.
+
+A commit is a small file that holds the metadata after it. Its number is one more than that of the commit it changes, and
+only one process can create it; whoever comes second reads again and repeats its change. So drivers that share a folder lose
+no commit of one another. Data go to a directory of their own before they are committed.
+"""
 
 from __future__ import annotations
 
 import json
-import threading
+import random
 import time
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -21,19 +27,24 @@ class Store:
     """Datasets below one folder, in any store that driver and executors share."""
 
     def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root, self.files, self._lock = spark, str(root).rstrip("/"), Files(spark), threading.RLock()
+        self.spark, self.root, self.files = spark, str(root).rstrip("/"), Files(spark)
         self.files.make_dir(f"{self.root}/datasets")
 
     # metadata
 
-    def _write(self, path: str, value) -> None:
-        self.files.write(path, json.dumps(value, ensure_ascii=False).encode())
+    def _latest(self, log: str) -> tuple[int, object]:
+        """Number and content of a log's last commit; -1 and None for an empty log."""
+        numbers = [int(n[:-5]) for n in self.files.names(log) if n.endswith(".json") and n[:-5].isdigit()]
+        return (max(numbers), json.loads(self.files.read(f"{log}/{max(numbers):010d}.json"))) if numbers else (-1, None)
 
-    def _read(self, path: str, default=None):
-        try:
-            return json.loads(self.files.read(path)) if self.files.exists(path) else default
-        except ValueError:
-            return default
+    def _commit(self, log: str, change: Callable[[object], object]) -> object:
+        """The log's content after ``change``, which is called again with what others have committed meanwhile."""
+        while True:
+            number, found = self._latest(log)
+            new = change(found)
+            if self.files.create(f"{log}/{number + 1:010d}.json", json.dumps(new, ensure_ascii=False).encode()):
+                return new
+            time.sleep(random.uniform(0, 0.02))
 
     def _dir(self, ds: str) -> str:
         if not ds.isalnum():
@@ -41,47 +52,58 @@ class Store:
         return f"{self.root}/datasets/{ds}"
 
     def meta(self, ds: str) -> dict:
-        found = self._read(f"{self._dir(ds)}/meta.json")
+        found = self._latest(f"{self._dir(ds)}/log")[1]
         if found is None:
             raise InputError(f"no such dataset: {ds}")
         return found
 
-    def _save(self, m: dict) -> dict:
-        m["updated_at"] = time.time()
-        m["history"] = m["history"][-KEEP_HISTORY:]
-        self._write(f"{self._dir(m['id'])}/meta.json", m)
-        return m
+    def _change(self, ds: str, change: Callable[[dict], dict]) -> dict:
+        """Metadata after a change of the dataset's latest."""
+
+        def made(found):
+            if found is None:
+                raise InputError(f"no such dataset: {ds}")
+            m = change(found)
+            return m | {"updated_at": time.time(), "history": m["history"][-KEEP_HISTORY:]}
+
+        return self._commit(f"{self._dir(ds)}/log", made)
 
     def list(self) -> list[dict]:
-        """Latest first; folders without readable metadata are skipped."""
-        found = [self._read(f"{self.root}/datasets/{name}/meta.json") for name in self.files.names(f"{self.root}/datasets")]
+        """Latest first; folders without metadata are skipped."""
+        found = [self._latest(f"{self.root}/datasets/{name}/log")[1] for name in self.files.names(f"{self.root}/datasets")]
         return sorted((m for m in found if m), key=lambda m: m["updated_at"], reverse=True)
 
     # data
 
-    def _path(self, ds: str, version: int) -> str:
-        return f"{self._dir(ds)}/v{version}.parquet"
+    def _path(self, ds: str, m: dict, version: int) -> str:
+        return f"{self._dir(ds)}/{m['paths'][str(version)]}"
+
+    def _new_path(self, ds: str) -> str:
+        return f"{self._dir(ds)}/data-{uuid.uuid4().hex[:12]}.parquet"
 
     def create(self, df: DataFrame, name: str, project: str | None = None, parent: str | None = None, original: str | None = None) -> dict:
         """A dataset that holds ``df``; ``original``, the file that it comes from, is kept beside it."""
         ds = uuid.uuid4().hex[:12]
-        df.write.parquet(self._path(ds, 0))
-        return self._created(ds, df, name, project, parent, original)
+        path = self._new_path(ds)
+        df.write.parquet(path)
+        return self._created(ds, path, df, name, project, parent, original)
 
-    def _created(self, ds: str, df: DataFrame, name: str, project: str | None, parent: str | None, original: str | None) -> dict:
+    def _created(self, ds: str, path: str, df: DataFrame, name: str, project: str | None, parent: str | None, original: str | None) -> dict:
         kept = None
         if original:
             kept = f"original.{original.rsplit('.', 1)[-1]}"
             self.files.copy(original, f"{self._dir(ds)}/{kept}")
         inherited = self.meta(parent).get("project") if parent and not project else project
         columns = [{"name": n, "type": t} for n, t in df.dtypes]
-        return self._save({"id": ds, "name": name, "project": inherited, "parent": parent, "original": kept, "current": 0, "versions": [0], "next": 1, "columns": columns, "history": [{"version": 0, "action": "create"}]})
+        first = {"id": ds, "name": name, "project": inherited, "parent": parent, "original": kept, "current": 0, "versions": [0], "next": 1, "paths": {"0": path.rsplit("/", 1)[-1]}, "columns": columns, "history": [{"version": 0, "action": "create"}], "updated_at": time.time()}
+        return self._commit(f"{self._dir(ds)}/log", lambda _: first)
 
     def ingest_csv(self, path: str, name: str, project: str | None = None) -> dict:
         """A delimited file as a dataset in one pass: types come from its head, and only if a later row doesn't fit them are they taken from all rows."""
         ds = uuid.uuid4().hex[:12]
-        df = readers.ingest_csv(self.spark, path, self._path(ds, 0))
-        return self._created(ds, df, name, project, None, None)
+        table = self._new_path(ds)
+        df = readers.ingest_csv(self.spark, path, table)
+        return self._created(ds, table, df, name, project, None, None)
 
     def import_sheet(self, ds: str, sheet: str) -> dict:
         """Another sheet of a dataset's workbook as a dataset below it, in its project."""
@@ -93,40 +115,48 @@ class Store:
 
     def load(self, ds: str, version: int | None = None) -> DataFrame:
         m = self.meta(ds)
-        return self.spark.read.parquet(self._path(ds, m["current"] if version is None else version))
+        return self.spark.read.parquet(self._path(ds, m, m["current"] if version is None else version))
 
     def save(self, ds: str, df: DataFrame, action: str) -> dict:
         """A new version after the current one; what had been undone is pruned, and the oldest beyond KEEP_VERSIONS go (never version 0)."""
-        version = self.meta(ds)["next"]
-        df.write.mode("overwrite").parquet(self._path(ds, version))
-        with self._lock:
-            m = self.meta(ds)
-            if m["next"] != version:
-                self.files.move(self._path(ds, version), self._path(ds, m["next"]))
-                version = m["next"]
-            gone = [v for v in m["versions"] if v > m["current"]]
+        self.meta(ds)
+        path, gone = self._new_path(ds), []
+        try:
+            df.write.parquet(path)
+        except BaseException:
+            self.files.delete(path)
+            raise
+
+        def change(m: dict) -> dict:
+            version = m["next"]
+            dropped = [v for v in m["versions"] if v > m["current"]]
             kept = [v for v in m["versions"] if v <= m["current"]] + [version]
             while len(kept) > KEEP_VERSIONS:
-                gone.append(kept.pop(1))
-            m |= {"current": version, "versions": kept, "next": version + 1, "columns": [{"name": n, "type": t} for n, t in df.dtypes]}
-            m["history"].append({"version": version, "action": action})
-            self._save(m)
-        for v in gone:
-            self.files.delete(self._path(ds, v))
+                dropped.append(kept.pop(1))
+            gone[:] = [self._path(ds, m, v) for v in dropped]
+            paths = {k: v for k, v in m["paths"].items() if int(k) not in dropped} | {str(version): path.rsplit("/", 1)[-1]}
+            return m | {"current": version, "versions": kept, "next": version + 1, "paths": paths, "columns": [{"name": n, "type": t} for n, t in df.dtypes], "history": [*m["history"], {"version": version, "action": action}]}
+
+        m = self._change(ds, change)
+        for old in gone:
+            self.files.delete(old)
         return m
 
     def restore(self, ds: str, version: int) -> dict:
         """Move the pointer; later versions stay until the next save."""
-        with self._lock:
-            m = self.meta(ds)
+        m = self.meta(ds)
+        if version not in m["versions"]:
+            raise InputError(f"no version {version}")
+        if version == m["current"]:
+            return m
+        columns = [{"name": n, "type": t} for n, t in self.load(ds, version).dtypes]
+
+        def change(m: dict) -> dict:
             if version not in m["versions"]:
                 raise InputError(f"no version {version}")
-            if version == m["current"]:
-                return m
-            m["current"] = version
-            m["columns"] = [{"name": n, "type": t} for n, t in self.load(ds, version).dtypes]
-            m["history"].append({"version": version, "action": "restore"})
-            return self._save(m)
+            return m | {"current": version, "columns": columns, "history": [*m["history"], {"version": version, "action": "restore"}]}
+
+        return self._change(ds, change)
 
     def undo(self, ds: str) -> dict:
         m = self.meta(ds)
@@ -146,16 +176,13 @@ class Store:
     def rename(self, ds: str, name: str) -> dict:
         if not name.strip():
             raise InputError("a name is needed")
-        with self._lock:
-            return self._save(self.meta(ds) | {"name": name.strip()})
+        return self._change(ds, lambda m: m | {"name": name.strip()})
 
     def delete(self, ds: str) -> None:
         self.meta(ds)
         self.files.delete(self._dir(ds))
-        with self._lock:
-            boards = self._read(f"{self.root}/dashboards.json", {})
-            if boards.pop(ds, None) is not None:
-                self._write(f"{self.root}/dashboards.json", boards)
+        if ds in (self._latest(f"{self.root}/dashboards")[1] or {}):
+            self._commit(f"{self.root}/dashboards", lambda boards: {k: v for k, v in (boards or {}).items() if k != ds})
 
     def views(self, current: str | None = None) -> dict[str, DataFrame]:
         """Tables of the SQL console: ds1.. by last change, and df for the current dataset."""
@@ -168,44 +195,42 @@ class Store:
     # projects
 
     def projects(self) -> list[dict]:
-        return self._read(f"{self.root}/projects.json", [])
+        return self._latest(f"{self.root}/projects")[1] or []
+
+    def _projects(self, change: Callable[[list[dict]], list[dict]]) -> list[dict]:
+        return self._commit(f"{self.root}/projects", lambda found: change(found or []))
 
-    def _project_name(self, name: str, but: str | None = None) -> str:
+    @staticmethod
+    def _project_name(name: str, others: list[dict]) -> str:
         name = name.strip()
-        if not name or any(p["name"] == name and p["id"] != but for p in self.projects()):
+        if not name or any(p["name"] == name for p in others):
             raise InputError("project names are unique and not empty")
         return name
 
     def create_project(self, name: str) -> dict:
-        with self._lock:
-            p = {"id": uuid.uuid4().hex[:8], "name": self._project_name(name), "created_at": time.time()}
-            self._write(f"{self.root}/projects.json", [*self.projects(), p])
-        return p
+        p = {"id": uuid.uuid4().hex[:8], "created_at": time.time()}
+        return self._projects(lambda all: [*all, p | {"name": self._project_name(name, all)}])[-1]
 
     def rename_project(self, project: str, name: str) -> None:
-        with self._lock:
-            name = self._project_name(name, project)
-            self._write(f"{self.root}/projects.json", [p | {"name": name} if p["id"] == project else p for p in self.projects()])
+        self._projects(lambda all: [p | {"name": self._project_name(name, [q for q in all if q["id"] != project])} if p["id"] == project else p for p in all])
 
     def delete_project(self, project: str) -> None:
         """Its datasets stay, without a project."""
-        with self._lock:
-            self._write(f"{self.root}/projects.json", [p for p in self.projects() if p["id"] != project])
-            for m in self.list():
-                if m.get("project") == project:
-                    self._save(m | {"project": None})
+        self._projects(lambda all: [p for p in all if p["id"] != project])
+        for m in self.list():
+            if m.get("project") == project:
+                self._change(m["id"], lambda m: m | {"project": None})
 
     def move(self, ds: str, project: str | None) -> dict:
         if project and all(p["id"] != project for p in self.projects()):
             raise InputError("no such project")
-        with self._lock:
-            return self._save(self.meta(ds) | {"project": project})
+        return self._change(ds, lambda m: m | {"project": project})
 
     # dashboards
 
     def dashboard(self, ds: str) -> list[dict]:
         self.meta(ds)
-        return self._read(f"{self.root}/dashboards.json", {}).get(ds, [])
+        return (self._latest(f"{self.root}/dashboards")[1] or {}).get(ds, [])
 
     def save_dashboard(self, ds: str, cards: list[dict]) -> None:
         if len(cards) > MAX_CARDS:
@@ -214,8 +239,7 @@ class Store:
         if wrong:
             raise InputError(f"unknown analysis: {wrong[0]}")
         self.meta(ds)
-        with self._lock:
-            self._write(f"{self.root}/dashboards.json", self._read(f"{self.root}/dashboards.json", {}) | {ds: cards})
+        self._commit(f"{self.root}/dashboards", lambda boards: (boards or {}) | {ds: cards})
 
     def replay(self, ds: str) -> list[DataFrame]:
         df = self.load(ds)

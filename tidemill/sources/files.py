@@ -4,8 +4,14 @@ from __future__ import annotations
 
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import SparkSession
 
+from ..errors import InputError
+
+#: Bytes of a file that the driver reads as a whole, at most.
+WHOLE = 1 << 30
+
 
 class Files:
     """The few file operations that the engine needs beside Spark's readers and writers."""
@@ -29,12 +35,14 @@ class Files:
         where, store = self._at(folder)
         return sorted(s.getPath().getName() for s in store.listStatus(where)) if store.exists(where) else []
 
-    def read(self, path: str, most: int = 1 << 30) -> bytes:
-        """The first ``most`` bytes."""
+    def read(self, path: str, most: int | None = None) -> bytes:
+        """The first ``most`` bytes; without a number the whole file, which may have a gigabyte at most."""
         where, store = self._at(path)
+        if most is None and store.getFileStatus(where).getLen() > WHOLE:
+            raise InputError(f"the file is too large to be read at once: {path}")
         stream = store.open(where)
         try:
-            return bytes(stream.readNBytes(most))
+            return bytes(stream.readNBytes(WHOLE if most is None else most))
         finally:
             stream.close()
 
@@ -53,6 +61,34 @@ class Files:
         renames[0] = option.OVERWRITE
         context.rename(made, where, renames)
 
+    def create(self, path: str, data: bytes) -> bool:
+        """The whole file at once if nobody has made it before; whether it was made now.
+
+        Stores with an atomic rename that doesn't overwrite decide by it, the local file system by a hard link.
+        """
+        where, store = self._at(path)
+        made, _ = self._at(f"{path}.{uuid.uuid4().hex[:8]}.tmp")
+        stream = store.create(made, True)
+        try:
+            stream.write(data)
+        finally:
+            stream.close()
+        jvm = self.spark._jvm
+        try:
+            if store.getScheme() == "file":
+                local = [jvm.java.nio.file.Paths.get(p.toUri().getPath(), self.spark.sparkContext._gateway.new_array(jvm.java.lang.String, 0)) for p in (where, made)]
+                jvm.java.nio.file.Files.createLink(*local)
+                store.delete(made, False)
+            else:
+                context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(store.getUri(), self.spark._jsc.hadoopConfiguration())
+                context.rename(made, where, self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0))
+            return True
+        except Py4JJavaError as e:
+            store.delete(made, False)
+            if e.java_exception.getClass().getSimpleName() == "FileAlreadyExistsException":
+                return False
+            raise
+
     def move(self, source: str, target: str) -> None:
         where, store = self._at(source)
         store.rename(where, self._path(target))
