@@ -10,6 +10,7 @@ from .plans import console, usercode
 from .plans.store import Store
 from .plans.tools import Tools, table
 from .sources import readers, sample, writers
+from .streaming.ingest import Follower
 
 
 class Dataset:
@@ -157,6 +158,11 @@ class Workspace:
     def make_sample(self, project: str | None = None) -> Dataset:
         return self.add(sample.make_sample(self.spark), "sample", project)
 
+    def follow(self, folder: str, ds: str, checkpoint: str) -> Dataset:
+        """New delimited files of a folder as further rows of a dataset, each file once."""
+        Follower(self.store, folder, ds).start(checkpoint).awaitTermination()
+        return Dataset(self, ds)
+
     def datasets(self, project: str | None = None) -> list[dict]:
         return [m for m in self.store.list() if project is None or m.get("project") == project]
 

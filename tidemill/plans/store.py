@@ -7,6 +7,7 @@ no commit of one another. Data go to a directory of their own before they are co
 
 from __future__ import annotations
 
+import functools
 import json
 import random
 import time
@@ -14,8 +15,11 @@ import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..errors import InputError
+from ..functions.stats import col
 from ..operators import analyze
 from ..sources import readers
 from ..sources.files import Files
@@ -23,6 +27,27 @@ from ..sources.files import Files
 KEEP_VERSIONS, KEEP_HISTORY, MAX_CARDS = 20, 200, 12
 
 
+_WIDER = {frozenset(("bigint", "double")): T.DoubleType(), frozenset(("int", "bigint")): T.LongType(), frozenset(("int", "double")): T.DoubleType(), frozenset(("date", "timestamp_ntz")): T.TimestampNTZType()}
+
+
+def widened(a: T.StructType, b: T.StructType) -> T.StructType:
+    """The columns of both, each of a type that holds the values of either."""
+    kinds = {f.name: f.dataType for f in a}
+    for f in b:
+        old = kinds.get(f.name)
+        if old is None or isinstance(old, T.NullType):
+            kinds[f.name] = f.dataType
+        elif old != f.dataType and not isinstance(f.dataType, T.NullType):
+            kinds[f.name] = _WIDER.get(frozenset((old.simpleString(), f.dataType.simpleString())), T.StringType())
+    return T.StructType([T.StructField(n, k) for n, k in kinds.items()])
+
+
+def as_schema(df: DataFrame, schema: T.StructType) -> DataFrame:
+    """``df`` with the columns of a schema that its own widen to; what it lacks is null."""
+    have = {f.name: f.dataType for f in df.schema}
+    return df.select(*[(col(f.name) if have.get(f.name) == f.dataType else col(f.name).cast(f.dataType) if f.name in have else F.lit(None).cast(f.dataType)).alias(f.name) for f in schema])
+
+
 class Store:
     """Datasets below one folder, in any store that driver and executors share."""
 
@@ -51,6 +76,10 @@ class Store:
             raise InputError("bad dataset id")
         return f"{self.root}/datasets/{ds}"
 
+    def folder(self, ds: str) -> str:
+        """Where a dataset's directories are."""
+        return self._dir(ds)
+
     def meta(self, ds: str) -> dict:
         found = self._latest(f"{self._dir(ds)}/log")[1]
         if found is None:
@@ -75,8 +104,17 @@ class Store:
 
     # data
 
-    def _path(self, ds: str, m: dict, version: int) -> str:
-        return f"{self._dir(ds)}/{m['paths'][str(version)]}"
+    def _read(self, ds: str, m: dict, version: int) -> DataFrame:
+        """A version's directories, those of one schema together, as the version's schema."""
+        parts, root = m["paths"][str(version)], self._dir(ds)
+        by_schema: dict[str, list[str]] = {}
+        for name, schema in parts:
+            by_schema.setdefault(schema, []).append(f"{root}/{name}")
+        whole = T.StructType([])
+        for schema in by_schema:
+            whole = widened(whole, T.StructType.fromJson(json.loads(schema)))
+        frames = [self.spark.read.schema(T.StructType.fromJson(json.loads(schema))).parquet(*names) for schema, names in by_schema.items()]
+        return functools.reduce(DataFrame.unionByName, [as_schema(df, whole) for df in frames])
 
     def _new_path(self, ds: str) -> str:
         return f"{self._dir(ds)}/data-{uuid.uuid4().hex[:12]}.parquet"
@@ -95,7 +133,8 @@ class Store:
             self.files.copy(original, f"{self._dir(ds)}/{kept}")
         inherited = self.meta(parent).get("project") if parent and not project else project
         columns = [{"name": n, "type": t} for n, t in df.dtypes]
-        first = {"id": ds, "name": name, "project": inherited, "parent": parent, "original": kept, "current": 0, "versions": [0], "next": 1, "paths": {"0": path.rsplit("/", 1)[-1]}, "columns": columns, "history": [{"version": 0, "action": "create"}], "updated_at": time.time()}
+        parts = [[path.rsplit("/", 1)[-1], self.spark.read.parquet(path).schema.json()]]
+        first = {"id": ds, "name": name, "project": inherited, "parent": parent, "original": kept, "current": 0, "versions": [0], "next": 1, "paths": {"0": parts}, "columns": columns, "history": [{"version": 0, "action": "create"}], "updated_at": time.time()}
         return self._commit(f"{self._dir(ds)}/log", lambda _: first)
 
     def ingest_csv(self, path: str, name: str, project: str | None = None) -> dict:
@@ -115,33 +154,61 @@ class Store:
 
     def load(self, ds: str, version: int | None = None) -> DataFrame:
         m = self.meta(ds)
-        return self.spark.read.parquet(self._path(ds, m, m["current"] if version is None else version))
+        return self._read(ds, m, m["current"] if version is None else version)
 
     def save(self, ds: str, df: DataFrame, action: str) -> dict:
         """A new version after the current one; what had been undone is pruned, and the oldest beyond KEEP_VERSIONS go (never version 0)."""
         self.meta(ds)
-        path, gone = self._new_path(ds), []
+        path = self._new_path(ds)
+        self._written(df, path)
+        part = [path.rsplit("/", 1)[-1], self.spark.read.parquet(path).schema.json()]
+        return self._next_version(ds, lambda m: [part], action)
+
+    def _written(self, df: DataFrame, path: str) -> None:
         try:
-            df.write.parquet(path)
+            df.write.mode("overwrite").parquet(path)
         except BaseException:
             self.files.delete(path)
             raise
 
+    def _next_version(self, ds: str, parts: Callable[[dict], list], action: str, more: Callable[[dict], dict] = lambda m: {}) -> dict:
+        """A version of these directories; directories that no version has any more go."""
+        gone: list[str] = []
+
         def change(m: dict) -> dict:
-            version = m["next"]
+            version, made = m["next"], parts(m)
             dropped = [v for v in m["versions"] if v > m["current"]]
             kept = [v for v in m["versions"] if v <= m["current"]] + [version]
             while len(kept) > KEEP_VERSIONS:
                 dropped.append(kept.pop(1))
-            gone[:] = [self._path(ds, m, v) for v in dropped]
-            paths = {k: v for k, v in m["paths"].items() if int(k) not in dropped} | {str(version): path.rsplit("/", 1)[-1]}
-            return m | {"current": version, "versions": kept, "next": version + 1, "paths": paths, "columns": [{"name": n, "type": t} for n, t in df.dtypes], "history": [*m["history"], {"version": version, "action": action}]}
+            paths = {k: v for k, v in m["paths"].items() if int(k) not in dropped} | {str(version): made}
+            needed = {name for v in paths.values() for name, _ in v}
+            gone[:] = {name for v in m["paths"].values() for name, _ in v} - needed
+            schema = functools.reduce(widened, [T.StructType.fromJson(json.loads(x)) for x in dict.fromkeys(x for _, x in made)])
+            columns = [{"name": f.name, "type": f.dataType.simpleString()} for f in schema]
+            return m | {"current": version, "versions": kept, "next": version + 1, "paths": paths, "columns": columns, "history": [*m["history"], {"version": version, "action": action}]} | more(m)
 
         m = self._change(ds, change)
-        for old in gone:
-            self.files.delete(old)
+        for name in gone:
+            self.files.delete(f"{self._dir(ds)}/{name}")
         return m
 
+    def append(self, ds: str, df: DataFrame, action: str, batch: tuple[str, int]) -> dict:
+        """A new version with the rows of one more batch of a stream, beside what is there; a batch that is in already is left out.
+
+        Only the new rows are written. Columns whose types differ are read as the narrowest type that holds both, text in the end.
+        """
+        stream, number = batch
+        if not stream.isalnum():
+            raise InputError("bad stream id")
+        m = self.meta(ds)
+        if m.get("batches", {}).get(stream, -1) >= number:
+            return m
+        name = f"data-{stream}-{number}.parquet"  # a batch that is repeated after a failure takes the place of its first try
+        self._written(df, f"{self._dir(ds)}/{name}")
+        schema = self.spark.read.parquet(f"{self._dir(ds)}/{name}").schema.json()
+        return self._next_version(ds, lambda m: [*m["paths"][str(m["current"])], [name, schema]], action, lambda m: {"batches": m.get("batches", {}) | {stream: number}})
+
     def restore(self, ds: str, version: int) -> dict:
         """Move the pointer; later versions stay until the next save."""
         m = self.meta(ds)

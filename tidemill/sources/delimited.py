@@ -152,16 +152,20 @@ def _options(layout: Layout, size: int, types: dict | None, wrong) -> dict:
     }
 
 
-def parse(block: bytes, layout: Layout, types: dict | None = None) -> list[pa.Table]:
+def parse(block: bytes, layout: Layout, types: dict | None = None, aside: list[str] | None = None) -> list[pa.Table]:
     """Whole records as tables of these Arrow types, or of those that the values suggest.
 
-    Records that are short of values end in nulls (a table of their own); more values than the header has are an error.
+    Records that are short of values end in nulls (a table of their own); those with more values than the header has are
+    put ``aside`` if there is such a list, else an error.
     """
     short: list[str] = []
     long: list[str] = []
 
     def wrong(row) -> str:
         if row.actual_columns > row.expected_columns:
+            if aside is not None:
+                aside.append(row.text)
+                return "skip"
             long.append(f"{row.actual_columns} values for {row.expected_columns} columns: {(row.text or '')[:80]!r}")
             return "error"
         short.append(row.text + layout.sep * (row.expected_columns - row.actual_columns))
@@ -177,6 +181,8 @@ def parse(block: bytes, layout: Layout, types: dict | None = None) -> list[pa.Ta
                 data.decode()
             except UnicodeDecodeError:
                 short.clear()
+                if aside is not None:
+                    aside.clear()
                 return read(data.decode("utf-8", "replace").encode())
             raise
 
@@ -197,10 +203,10 @@ def kind_of(kind: pa.DataType) -> int:
     return next((bit for fits, bit in tests if fits(kind)), TEXT)
 
 
-def _kinds(block: bytes, layout: Layout) -> np.ndarray:
+def _kinds(block: bytes, layout: Layout, lenient: bool = False) -> np.ndarray:
     """The kinds of values that each column of some records has."""
     found = np.zeros(len(layout.names), np.int32)
-    for table in parse(block, layout):
+    for table in parse(block, layout, aside=[] if lenient else None):
         found |= [kind_of(f.type) for f in table.schema]
     return found
 
@@ -218,7 +224,7 @@ def _schema(layout: Layout, kinds) -> T.StructType:
     return T.StructType([T.StructField(n, _TYPES.get(int(k), T.StringType())) for n, k in zip(layout.names, kinds)])
 
 
-def _lines(spark: SparkSession, path: str) -> DataFrame:
+def _lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Lines in the order of their splits, each with its file and where its split begins."""
     text = spark.read.option("lineSep", "\n").text(path)
     return text.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.col("value").cast("binary").alias("value"))
@@ -261,7 +267,7 @@ def _begins_inside(begins: Begins, file: str, start: int) -> bool:
     return known[start]
 
 
-def _survey(lines: DataFrame, layout: Layout, begins: Begins, typed: bool) -> DataFrame:
+def _survey(lines: DataFrame, layout: Layout, begins: Begins, typed: bool, lenient: bool = False) -> DataFrame:
     """For each split: where it ends if it begins outside quotes (``out``: inside?) and if it begins inside (``ins``), and the kinds of its values."""
 
     def run(batches):
@@ -276,7 +282,7 @@ def _survey(lines: DataFrame, layout: Layout, begins: Begins, typed: bool) -> Da
                 found = records.feed(block)
                 same = same or other == records.inside
                 if typed and found:
-                    kinds |= _kinds(found, layout)
+                    kinds |= _kinds(found, layout, lenient)
             mine, theirs = records.inside, records.inside if same else other
             out, ins = (theirs, mine) if _begins_inside(begins, file, start) else (mine, theirs)
             yield pa.RecordBatch.from_arrays([pa.array([file]), pa.array([start], pa.int64()), pa.array([out]), pa.array([ins]), pa.array([kinds.tolist()], pa.list_(pa.int32()))], names=["file", "start", "out", "ins", "kinds"])
@@ -342,13 +348,17 @@ def _fitted(table: pa.Table, types: dict) -> pa.Table:
     return pa.table(out, names=table.column_names)
 
 
-def _typed(block: bytes, layout: Layout, types: dict) -> Iterator[pa.RecordBatch]:
+def _typed(block: bytes, layout: Layout, types: dict, aside: str | None = None) -> Iterator[pa.RecordBatch]:
+    long: list[str] | None = [] if aside else None
     try:
-        tables = parse(block, layout, types)
+        tables = parse(block, layout, types, long)
     except pa.ArrowInvalid:
-        tables = [_fitted(t, types) for t in parse(block, layout, dict.fromkeys(types, pa.string()))]
-    for table in tables:
-        yield from table.to_batches()
+        long = [] if aside else None
+        tables = [_fitted(t, types) for t in parse(block, layout, dict.fromkeys(types, pa.string()), long)]
+    for batch in (b for t in tables for b in t.to_batches()):
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.nulls(batch.num_rows, pa.string())], names=[*types, aside]) if aside else batch
+    if long:
+        yield pa.RecordBatch.from_arrays([*(pa.nulls(len(long), t) for t in types.values()), pa.array(long, pa.string())], names=[*types, aside])
 
 
 def _cast(df: DataFrame, schema: T.StructType) -> DataFrame:
@@ -361,21 +371,23 @@ def _parsed(schema: T.StructType) -> T.StructType:
     return T.StructType([T.StructField(f.name, f.dataType if f.dataType in direct else T.StringType()) for f in schema])
 
 
-def _rows(lines: DataFrame, layout: Layout, schema: T.StructType, begins: Begins) -> DataFrame:
-    """The records that lie in one split, and those that lie in several."""
+def _rows(lines: DataFrame, layout: Layout, schema: T.StructType, begins: Begins, aside: str | None = None) -> DataFrame:
+    """The records that lie in one split, and those that lie in several; with ``aside``, a column of that name holds records with too many values."""
     types = _arrow_types(schema)
+    if aside:
+        schema = T.StructType([*schema, T.StructField(aside, T.StringType())])
 
     def run(batches):
         for file, start, blocks in _splits(batches, layout):
             records = Records(layout.sep, _begins_inside(begins, file, start), start == 0)
             for block in blocks:
                 if found := records.feed(block):
-                    yield from _typed(found, layout, types)
+                    yield from _typed(found, layout, types, aside)
 
     def whole(batches):
         for batch in batches:
             for record in batch.column(0).to_pylist():
-                yield from _typed(record, layout, types)
+                yield from _typed(record, layout, types, aside)
 
     rows = lines.mapInArrow(run, _parsed(schema))
     if begins:
@@ -383,33 +395,34 @@ def _rows(lines: DataFrame, layout: Layout, schema: T.StructType, begins: Begins
     return _cast(rows, schema)
 
 
-def _kinds_of_pieces(lines: DataFrame, layout: Layout, begins: Begins) -> DataFrame:
+def _kinds_of_pieces(lines: DataFrame, layout: Layout, begins: Begins, lenient: bool) -> DataFrame:
     def run(batches):
         for batch in batches:
-            found = [_kinds(record, layout).tolist() for record in batch.column(0).to_pylist()]
+            found = [_kinds(record, layout, lenient).tolist() for record in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.int32()))], names=["kinds"])
 
     return _pieces(lines, layout, begins).mapInArrow(run, "kinds array<int>")
 
 
-def read(spark: SparkSession, path: str, layout: Layout, schema: T.StructType | None = None) -> DataFrame:
-    """Delimited text of a file, a folder or a pattern; every file begins with a header.
+def read(spark: SparkSession, path: str | list[str], layout: Layout, schema: T.StructType | None = None, aside: str | None = None) -> DataFrame:
+    """Delimited text of a file, a folder, a pattern or some files; every file begins with a header.
 
     One pass finds how splits begin and what types fit all rows (another follows only if a split begins inside a value); the
     rows themselves are read lazily. With a schema, columns go by their place, and values that don't fit are null.
+    Records with more values than the header are an error, or with ``aside`` rows that have but a column of that name.
     """
     lines = _lines(spark, path)
-    survey = _survey(lines, layout, {}, schema is None)
+    survey = _survey(lines, layout, {}, schema is None, bool(aside))
     begins = _torn(survey)
     if schema is not None:
         layout = Layout(tuple(schema.names), layout.sep, layout.encoding)
     else:
         kinds = survey.select("kinds")
         if begins:
-            kinds = _survey(lines, layout, begins, True).select("kinds").unionByName(_kinds_of_pieces(lines, layout, begins))
+            kinds = _survey(lines, layout, begins, True, bool(aside)).select("kinds").unionByName(_kinds_of_pieces(lines, layout, begins, bool(aside)))
         found = kinds.agg(*[F.bit_or(F.col("kinds")[i]).alias(f"k{i}") for i in range(len(layout.names))]).first()
         schema = _schema(layout, [k or 0 for k in found])
-    return _rows(lines, layout, schema, begins)
+    return _rows(lines, layout, schema, begins, aside)
 
 
 def ingest(spark: SparkSession, path: str, layout: Layout, schema: T.StructType | None, table: str) -> DataFrame:

@@ -67,6 +67,15 @@ def nan_to_null(df: DataFrame) -> DataFrame:
     return df.withColumns({c: F.when(~F.isnan(f"`{c}`"), F.col(f"`{c}`")) for c in floats}) if floats else df
 
 
+def has_text(spark: SparkSession, path: str) -> bool:
+    return bool(_head(spark, path).strip())
+
+
+def layout_of(spark: SparkSession, path: str) -> delimited.Layout:
+    """The layout of delimited text, from its head."""
+    return _layout(spark, path)[0]
+
+
 def read_csv(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
     """Delimited text: a file, a folder or a pattern. Encoding and separator come from the first bytes; a comma separates where the other separator gives no table.
 
