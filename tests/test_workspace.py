@@ -92,32 +92,32 @@ def test_sample_data(spark):
     made = sample.make_sample(spark)
     assert made.count() == 370 and made.distinct().count() == 360
     orders = made.distinct()
-    assert orders.where("`销售额` is null").count() == 12 and orders.where("`地区` is null").count() == 8
-    assert orders.where("abs(`销售额` - `单价` * `数量`) > 0.006").count() == 0
+    assert orders.where("`charge` is null").count() == 12 and orders.where("`harbour` is null").count() == 8
+    assert orders.where("abs(`charge` - `hourly` * `hours`) > 0.006").count() == 0
     assert made.collect() == sample.make_sample(spark).collect()
 
 
 def test_a_dataset_from_upload_to_export(space, tmp_path):
     ds = space.make_sample()
     assert ds.clean("drop_duplicates").startswith("drop_duplicates: 370 -> 360 rows")
-    assert ds.clean("cast_type", {"column": "日期", "to": "datetime", "format": "%Y-%m-%d"}).endswith("0 values could not be converted")
-    assert ds.transform("df = df.withColumn('twice', F.col('数量') * 2)", preview=True).count() == 20
+    assert ds.clean("cast_type", {"column": "day", "to": "datetime", "format": "%Y-%m-%d"}).endswith("0 values could not be converted")
+    assert ds.transform("df = df.withColumn('twice', F.col('hours') * 2)", preview=True).count() == 20
     assert "twice" not in ds.df.columns
-    ds.transform("def pandas_batch(frame):\n    frame['数量'] = frame['数量'] + 1\n    return frame")
-    assert ds.df.agg(F.min("数量")).first()[0] == 2
-    assert ds.undo()["current"] == 2 and ds.df.agg(F.min("数量")).first()[0] == 1
-    ds.pin([{"kind": "value_counts", "params": {"column": "地区"}}])
+    ds.transform("def pandas_batch(frame):\n    frame['hours'] = frame['hours'] + 1\n    return frame")
+    assert ds.df.agg(F.min("hours")).first()[0] == 2
+    assert ds.undo()["current"] == 2 and ds.df.agg(F.min("hours")).first()[0] == 1
+    ds.pin([{"kind": "value_counts", "params": {"column": "harbour"}}])
     assert [d.count() for d in ds.replay()] == [5]
     assert ds.rows(page=2, page_size=50)["total"] == 360 and len(ds.rows(page=8, page_size=50)["rows"]) == 10
-    part = ds.sample("stratified", 2, by="产品类别")
+    part = ds.sample("stratified", 2, by="kind")
     assert part.df.count() == 6 and part.meta["parent"] == ds.id
-    made = space.sql('SELECT "产品类别", count(*) AS n FROM df GROUP BY 1', ds.id, save_as="counts")
+    made = space.sql('SELECT "kind", count(*) AS n FROM df GROUP BY 1', ds.id, save_as="counts")
     assert made.df.agg(F.sum("n")).first()[0] == 360
     text = open(ds.export(str(tmp_path / "o.csv")), encoding="utf-8").read()
-    assert text.startswith("﻿订单编号,") and text.count("订单编号") == 1 and len(text.splitlines()) == 361
+    assert text.startswith("﻿rental,") and text.count("rental") == 1 and len(text.splitlines()) == 361
     ds.export(str(tmp_path / "o.xlsx"), "xlsx")
     assert space.upload(str(tmp_path / "o.xlsx")).df.count() == 360
-    points = ds.interactions("单价", "数量", ["订单编号"])
+    points = ds.interactions("hourly", "hours", ["rental"])
     assert points["total_sampled"] == 360 and -0.2 < points["spearman"] < 0.2
     assert {s["kind"] for s in ds.chart_suggest()} >= {"trend", "groupby", "scatter", "histogram", "corr"}
     for spec in ds.chart_suggest():
@@ -128,7 +128,7 @@ def test_a_dataset_from_upload_to_export(space, tmp_path):
 def test_tools_are_bounded_and_checked(space):
     ds = space.make_sample()
     described = {s["name"]: s["parameters"] for s in space.tools.schemas()}
-    params = {"column_profile": {}, "read_rows": {"page_size": 1000}, "health_check": {}, "describe": {}, "groupby": {"by": ["产品"], "metrics": [{"column": "销售额", "agg": "sum"}]}, "correlation": {"columns": ["单价", "数量"]}, "histogram": {"column": "单价"}, "value_counts": {"column": "产品"}, "trend": {"date_column": "日期", "value_column": "销售额"}, "sql_query": {"query": "SELECT * FROM df"}, "list_datasets": {}}
+    params = {"column_profile": {}, "read_rows": {"page_size": 1000}, "health_check": {}, "describe": {}, "groupby": {"by": ["model"], "metrics": [{"column": "charge", "agg": "sum"}]}, "correlation": {"columns": ["hourly", "hours"]}, "histogram": {"column": "hourly"}, "value_counts": {"column": "model"}, "trend": {"date_column": "day", "value_column": "charge"}, "sql_query": {"query": "SELECT * FROM df"}, "list_datasets": {}}
     assert set(params) == set(described)
     for name, p in params.items():
         p = p if name == "list_datasets" else p | {"dataset_id": ds.id}
@@ -138,7 +138,7 @@ def test_tools_are_bounded_and_checked(space):
     assert len(space.tools.run("sql_query", {"query": "SELECT * FROM df", "dataset_id": ds.id})["rows"]) == 200
     assert space.tools.run("sql_query", {"query": "SELECT * FROM df", "dataset_id": ds.id})["truncated"]
     assert len(space.tools.brief("read_rows", {"dataset_id": ds.id, "page_size": 200})) == 3500
-    assert len(space.tools.card(ds.id, {"kind": "value_counts", "params": {"column": "产品"}})["rows"]) == 12
+    assert len(space.tools.card(ds.id, {"kind": "value_counts", "params": {"column": "model"}})["rows"]) == 12
     for name, p in (("nothing", {}), ("describe", {}), ("describe", {"dataset_id": ds.id, "more": 1})):
         with pytest.raises(InputError):
             space.tools.run(name, p)

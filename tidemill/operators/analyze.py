@@ -574,39 +574,64 @@ def page(df: DataFrame, page: int = 1, page_size: int = 50, sort: str | None = N
     return out.offset((page - 1) * page_size).limit(page_size), total, df.count()
 
 
+#: Rows that chart suggestions look at.
+LOOKED_AT = 20_000
+
+
+def _interest(df: DataFrame) -> dict:
+    """What a bounded sample tells of the columns: kind, share of known values, distinct values, spread, skew, outliers, correlations."""
+    some = fixed(df.limit(LOOKED_AT))
+    kind, aggs = kinds(some), [F.count(F.lit(1)).alias("n")]
+    for i, (c, k) in enumerate(kind.items()):
+        aggs += [F.avg((~_absent(some, c)).cast("int")).alias(f"known{i}"), F.approx_count_distinct(col(c)).alias(f"distinct{i}")]
+        if k == "numeric":
+            aggs += [F.abs(stats.skewness(number(some, c))).alias(f"skew{i}"), F.try_divide(F.stddev_samp(number(some, c)), F.abs(F.avg(number(some, c)))).alias(f"spread{i}")]
+        elif k == "text":
+            aggs.append(F.avg(F.when(col(c).isNotNull(), dates.parse_date(col(c)).isNotNull().cast("int"))).alias(f"dated{i}"))
+    got = some.agg(*aggs).first().asDict()
+    out = {c: {"kind": k} | {name: got.get(f"{name}{i}") or 0 for name in ("known", "distinct", "skew", "spread", "dated")} for i, (c, k) in enumerate(kind.items())}
+    for c, x in out.items():
+        if x["kind"] == "datetime" or x["dated"] >= 0.8:
+            x["kind"] = "time"
+        elif x["kind"] in ("text", "boolean"):
+            x["kind"] = "group"
+        # a value of its own in each row tells rows apart, not groups
+        x["labels"] = x["kind"] == "group" and 1 < x["distinct"] <= max(30, got["n"] / 20)
+    numeric = [c for c, x in out.items() if x["kind"] == "numeric" and x["distinct"] > 1]
+    for r in outliers(some, numeric).collect() if numeric else []:
+        out[r["column"]]["beyond"] = r["n_outliers"]
+    pairs = moments.pearson_matrix(some, numeric) if len(numeric) > 1 else np.zeros((1, 1))
+    return {"columns": out, "numeric": numeric, "pairs": np.nan_to_num(np.abs(np.triu(pairs, 1)))}
+
+
 def suggest_charts(df: DataFrame, limit: int = 10) -> list[dict]:
-    """Titled specs (kind and parameters), each runnable by ``run``: what the columns' kinds and few statistics call for, the most telling first."""
+    """Titled specs (kind and parameters), each runnable by ``run``, the most telling first.
+
+    Every analysis names the columns that it takes and how much they have to tell: a measure by its spread, a group by how
+    few and how complete its labels are, a pair by its correlation, a distribution by its skew. What scores nothing is left out.
+    """
     if df.isEmpty():
         return []
-    kind = kinds(df)
-    numbers = [c for c, k in kind.items() if k == "numeric"]
-    texts = [c for c, k in kind.items() if k in ("text", "boolean")]
-    date = next((c for c, k in kind.items() if k == "datetime"), None)
-    few = df.limit(200)  # a text column whose first values are dates will do
-    if date is None and texts:
-        shares = few.agg(*[F.avg(F.when(col(c).isNotNull(), dates.parse_date(col(c)).isNotNull().cast("int"))).alias(str(i)) for i, c in enumerate(texts)]).first()
-        date = next((c for i, c in enumerate(texts) if (shares[i] or 0) >= 0.8), None)
-    groups = [c for c in texts if c != date]
-    distinct = df.agg(*[F.count_distinct(col(c)).alias(str(i)) for i, c in enumerate(groups[:2])]).first() if groups else []
-    out = []
-    if date and numbers:
-        out.append((f"{numbers[0]} over time", "trend", {"date_column": date, "value_column": numbers[0], "freq": "M"}))
-    if groups and numbers:
-        out.append((f"{numbers[0]} by {groups[0]}", "groupby", {"by": [groups[0]], "metrics": [{"column": numbers[0], "agg": "sum"}]}))
-        if distinct[0] <= 12:
-            out.append((f"shares of {groups[0]}", "value_counts", {"column": groups[0], "top": 10}))
-    if len(numbers) > 1:
-        out.append((f"{numbers[0]} and {numbers[1]}", "scatter", {"x": numbers[0], "y": numbers[1], "order_by": list(df.columns)}))
-    if numbers:
-        out.append((f"distribution of {numbers[0]}", "histogram", {"column": numbers[0], "bins": 20}))
-        beyond = df.agg(F.sum(stats.is_outlier(df, numbers[0], stats.outlier_bounds(df, numbers[:1])[numbers[0]]).cast("long"))).first()[0]
-        if beyond:
-            out.append((f"outliers of {numbers[0]} ({beyond})", "boxplot", {"columns": numbers[:6]}))
-    if len(groups) > 1 and max(distinct) <= 30:
-        out.append((f"{groups[0]} by {groups[1]}", "crosstab", {"row": groups[0], "column": groups[1]}))
-    if len(numbers) > 2:
-        out.append(("correlations", "corr", {}))
-    return [{"title": t, "kind": k, "params": p} for t, k, p in out[:limit]]
+    seen = _interest(df)
+    about, numeric, pairs = seen["columns"], seen["numeric"], seen["pairs"]
+    pick = lambda names, worth: max(names, key=lambda c: (worth(about[c]), -df.columns.index(c)), default=None)
+    measure = pick(numeric, lambda x: x["spread"] * x["known"])
+    skewed, odd = pick(numeric, lambda x: x["skew"]), pick(numeric, lambda x: x.get("beyond", 0))
+    time = pick([c for c, x in about.items() if x["kind"] == "time"], lambda x: x["known"] * x["distinct"])
+    labels = sorted((c for c, x in about.items() if x["labels"]), key=lambda c: (about[c]["distinct"] > 12, -about[c]["known"], about[c]["distinct"]))
+    group, other = (labels + [None, None])[:2]
+    x, y = (numeric[i] for i in np.unravel_index(pairs.argmax(), pairs.shape)) if len(numeric) > 1 else (None, None)
+    scored = [
+        (bool(time and measure) * (2 + about[time]["known"] if time else 0), f"{measure} over time", "trend", {"date_column": time, "value_column": measure, "freq": "M"}),
+        (bool(group and measure) * (2 + about[group]["known"] / 2 if group else 0), f"{measure} by {group}", "groupby", {"by": [group], "metrics": [{"column": measure, "agg": "sum"}]}),
+        (bool(group and about[group]["distinct"] <= 12) * 1.5, f"shares of {group}", "value_counts", {"column": group, "top": 10}),
+        (bool(x) * (1 + pairs.max()), f"{x} and {y}", "scatter", {"x": x, "y": y, "order_by": list(df.columns)}),
+        (bool(skewed) * (1 + min(1, about[skewed]["skew"] / 4) if skewed else 0), f"distribution of {skewed}", "histogram", {"column": skewed, "bins": 20}),
+        (bool(odd and about[odd].get("beyond")) * 1.4, f"outliers of {odd}", "boxplot", {"columns": sorted(numeric, key=lambda c: -about[c].get("beyond", 0))[:6]}),
+        (bool(group and other) * 1.2, f"{group} by {other}", "crosstab", {"row": group, "column": other}),
+        (bool(len(numeric) > 2) * (0.5 + pairs.max()), "correlations", "corr", {}),
+    ]
+    return [{"title": t, "kind": k, "params": p} for s, t, k, p in sorted(scored, key=lambda s: -s[0])[:limit] if s > 0]
 
 
 KINDS = {f.__name__: f for f in (describe, groupby, corr, histogram, boxplot, value_counts, trend, outliers, kpi, funnel, crosstab, profile, missing_matrix, duplicates, text_stats, scatter)}

@@ -1,51 +1,44 @@
-"""A seeded table of invented sales with missing cells and repeated rows, to try the engine on."""
+"""A seeded table of invented boat rentals with missing cells and repeated rows, to try the engine on."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# fixed values: what the invented orders are made of
-REGIONS = ("华东", "华南", "华北", "西南", "东北")
-PRODUCTS = {
-    "办公用品": ("打印纸", "签字笔", "文件夹", "订书机"),
-    "电子产品": ("键盘", "鼠标", "显示器", "U盘"),
-    "家具": ("办公椅", "书桌", "文件柜", "会议桌"),
-}
-MANAGERS = ("张伟", "李娜", "王强", "刘洋", "陈静", "赵磊")
-ROWS, NO_AMOUNT, NO_REGION, REPEATED = 360, 12, 8, 10
+HARBOURS, MODELS, GUIDES = 5, 4, 6
+KINDS = ("kayak", "motor", "sail")
+ROWS, NO_CHARGE, NO_HARBOUR, REPEATED = 360, 12, 8, 10
 
 
 def make_sample(spark: SparkSession, rows: int = ROWS, seed: int = 42) -> DataFrame:
-    """``rows`` orders and ``REPEATED`` of them once more; ``NO_AMOUNT`` amounts and ``NO_REGION`` regions are missing. The same seed gives the same rows."""
+    """``rows`` rentals and ``REPEATED`` of them once more; ``NO_CHARGE`` charges and ``NO_HARBOUR`` harbours are missing. The same seed gives the same rows."""
 
     def draw(what: str, upto: int):
         return F.pmod(F.xxhash64(F.lit(seed), F.lit(what), "id"), F.lit(upto))
 
-    def pick(what: str, values):
-        return F.element_at(F.array(*map(F.lit, values)), (draw(what, len(values)) + 1).cast("int"))
+    def chosen(what: str, n: int) -> set:
+        """``n`` ids, drawn from the few that there are."""
+        return {r[0] for r in spark.range(rows).orderBy(F.xxhash64(F.lit(seed), F.lit(what), "id")).limit(n).collect()}
 
-    def rank(what: str):
-        """A place in an order drawn for the rows; all rows are few."""
-        return F.array_position(F.lit([r[0] for r in spark.range(rows).orderBy(F.xxhash64(F.lit(seed), F.lit(what), "id")).collect()]), F.col("id"))
+    def unless(what: str, n: int, value):
+        return F.when(~F.col("id").isin(chosen(what, n)), value)
 
-    kind = pick("category", tuple(PRODUCTS))
-    product = F.coalesce(*[F.when(F.col("产品类别") == k, pick("product", v)) for k, v in PRODUCTS.items()])
-    orders = spark.range(rows).withColumns({"产品类别": kind, "数量": draw("quantity", 20) + 1, "单价": F.round(20 + draw("price", 78001) / 100, 2), "rate": 0.05 + draw("margin", 3001) / 10000})
-    amount = F.round(F.col("单价") * F.col("数量"), 2)
-    orders = orders.select(
+    hourly, hours = F.round(8 + draw("rate", 9001) / 100, 2), draw("hours", 12) + 1
+    charge = F.round(hourly * hours, 2)
+    rentals = spark.range(rows).select(
         "id",
-        F.format_string("SO-%05d", "id").alias("订单编号"),
-        F.date_format(F.date_add(F.lit("2025-01-01").cast("date"), draw("day", 601).cast("int")), "yyyy-MM-dd").alias("日期"),
-        F.when(rank("region gap") > NO_REGION, pick("region", REGIONS)).alias("地区"),
-        "产品类别",
-        product.alias("产品"),
-        "单价",
-        "数量",
-        F.when(rank("amount gap") > NO_AMOUNT, amount).alias("销售额"),
-        F.round(amount * F.col("rate"), 2).alias("利润"),
-        pick("manager", MANAGERS).alias("客户经理"),
+        F.format_string("R%06d", F.col("id") * 7 + 1000).alias("rental"),
+        F.timestamp_add("DAY", draw("day", 730).cast("int"), F.lit("2023-04-01").cast("timestamp_ntz")).cast("date").cast("string").alias("day"),
+        unless("harbour", NO_HARBOUR, F.concat(F.lit("Harbour "), F.char(65 + draw("port", HARBOURS)))).alias("harbour"),
+        F.element_at(F.array(*map(F.lit, KINDS)), (draw("kind", len(KINDS)) + 1).cast("int")).alias("kind"),
+        hourly.alias("hourly"),
+        hours.alias("hours"),
+        unless("charge", NO_CHARGE, charge).alias("charge"),
+        F.round(charge * (10 + draw("deposit", 41)) / 100, 2).alias("deposit"),
+        F.concat(F.lit("guide "), draw("guide", GUIDES) + 1).alias("guide"),
+        draw("model", MODELS).alias("number"),
     )
-    again = orders.where(rank("repeat") <= REPEATED)
-    every = orders.withColumn("copy", F.lit(0)).unionByName(again.withColumn("copy", F.lit(1)))
+    rentals = rentals.withColumn("model", F.concat("kind", F.lit(" "), F.col("number") + 1)).drop("number")
+    again = rentals.where(F.col("id").isin(chosen("repeat", REPEATED)))
+    every = rentals.withColumn("copy", F.lit(0)).unionByName(again.withColumn("copy", F.lit(1)))
     return every.orderBy(F.xxhash64(F.lit(seed), "id", "copy")).drop("id", "copy")
