@@ -48,18 +48,7 @@ class Files:
 
     def write(self, path: str, data: bytes) -> None:
         """The whole file at once: readers see the old or the new one."""
-        where, store = self._at(path)
-        made, _ = self._at(f"{path}.{uuid.uuid4().hex[:8]}.tmp")
-        stream = store.create(made, True)
-        try:
-            stream.write(data)
-        finally:
-            stream.close()
-        context = self.spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(store.getUri(), self.spark._jsc.hadoopConfiguration())
-        option = self.spark._jvm.org.apache.hadoop.fs.Options.Rename
-        renames = self.spark.sparkContext._gateway.new_array(option, 1)
-        renames[0] = option.OVERWRITE
-        context.rename(made, where, renames)
+        self._made(path, lambda out: out.write(data))
 
     def create(self, path: str, data: bytes) -> bool:
         """The whole file at once if nobody has made it before; whether it was made now.
@@ -102,23 +91,68 @@ class Files:
         where, store = self._at(path)
         store.delete(where, True)
 
-    def join_parts(self, folder: str, path: str, head: bytes) -> None:
-        """``head`` and the part files of ``folder``, in their order, as one file; the folder goes."""
+    def size(self, path: str) -> int:
+        where, store = self._at(path)
+        return store.getFileStatus(where).getLen()
+
+    def _over(self, made, where, store) -> None:
+        """Put a finished file in the place of another: readers see the old or the new one."""
+        jvm = self.spark._jvm
+        renames = self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+        renames[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+        jvm.org.apache.hadoop.fs.FileContext.getFileContext(store.getUri(), self.spark._jsc.hadoopConfiguration()).rename(made, where, renames)
+
+    def _copy_parts(self, folder: str, out) -> None:
+        for name in self.names(folder):
+            if name.startswith("part-"):
+                part, store = self._at(f"{folder}/{name}")
+                stream = store.open(part)
+                try:
+                    self.spark._jvm.org.apache.hadoop.io.IOUtils.copyBytes(stream, out, 1 << 20, False)
+                finally:
+                    stream.close()
+
+    def _made(self, path: str, fill) -> None:
         where, store = self._at(path)
         made, _ = self._at(f"{path}.{uuid.uuid4().hex[:8]}.tmp")
         out = store.create(made, True)
         try:
-            out.write(head)
-            for name in self.names(folder):
-                if name.startswith("part-"):
-                    part, _ = self._at(f"{folder}/{name}")
-                    stream = store.open(part)
-                    self.spark._jvm.org.apache.hadoop.io.IOUtils.copyBytes(stream, out, 1 << 20, False)
-                    stream.close()
-        finally:
+            fill(out)
+        except BaseException:
             out.close()
-        store.delete(where, True)
-        store.rename(made, where)
+            store.delete(made, False)
+            raise
+        out.close()
+        self._over(made, where, store)
+
+    def join_parts(self, folder: str, path: str, head: bytes) -> None:
+        """``head`` and the part files of ``folder``, in their order, as one file; the folder goes. Bytes are copied by the JVM, a block at a time."""
+
+        def fill(out):
+            out.write(head)
+            self._copy_parts(folder, out)
+
+        self._made(path, fill)
+        self.delete(folder)
+
+    def zip_parts(self, path: str, small: dict[str, bytes], large: str, head: bytes, folder: str, tail: bytes) -> None:
+        """A zip archive of small files and one ``large`` one: ``head``, the part files of ``folder`` in their order, and ``tail``. The folder goes."""
+
+        def fill(out):
+            jvm = self.spark._jvm
+            archive = jvm.java.util.zip.ZipOutputStream(out)
+            for name, data in small.items():
+                archive.putNextEntry(jvm.java.util.zip.ZipEntry(name))
+                archive.write(data)
+                archive.closeEntry()
+            archive.putNextEntry(jvm.java.util.zip.ZipEntry(large))
+            archive.write(head)
+            self._copy_parts(folder, archive)
+            archive.write(tail)
+            archive.closeEntry()
+            archive.finish()
+
+        self._made(path, fill)
         self.delete(folder)
 
     def first_data_file(self, path: str) -> str:

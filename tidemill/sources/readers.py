@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import datetime as dt
 import io
+import itertools
 import json
 import re
 import zipfile
+from collections.abc import Iterator
 from xml.etree import ElementTree
 
 import pyarrow as pa
@@ -15,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..errors import InputError
+from ..session import fixed
 from . import delimited
 from .files import Files
 
@@ -172,8 +175,51 @@ def _date_styles(z: zipfile.ZipFile) -> set[int]:
     return {i for i, x in enumerate(styles if styles is not None else []) if int(x.get("numFmtId") or 0) in dated}
 
 
-def sheet_rows(data: bytes, sheet: str | int = 0) -> list[list[tuple[str, str] | None]]:
-    """The cells of a sheet, row by row."""
+_ROW = re.compile(rb"<(?:\w+:)?row[\s/>]")
+_END = re.compile(rb"</(?:\w+:)?sheetData>|<(?:\w+:)?sheetData\s*/>")
+#: Rows of a sheet that are parsed at once, and bytes of a workbook for which one more task parses.
+ROWS_AT_ONCE, BYTES_PER_TASK = 2000, 4 << 20
+
+
+def _raw_rows(stream) -> Iterator[bytes]:
+    """The opening of a sheet's XML, then its rows one by one, as they come out of the archive."""
+    held, opened = b"", False
+    while chunk := stream.read(1 << 18):
+        held += chunk
+        at = [m.start() for m in _ROW.finditer(held)]
+        if not at:
+            continue
+        if not opened:
+            yield held[: at[0]]
+            opened = True
+        for a, b in zip(at[:-1], at[1:]):
+            yield held[a:b]
+        held = held[at[-1] :]
+    if not opened:
+        yield held
+        return
+    end = _END.search(held)
+    at = [m.start() for m in _ROW.finditer(held)]
+    for a, b in zip(at, [*at[1:], end.start() if end else len(held)]):
+        yield held[a:b]
+
+
+def _shared_strings(z: zipfile.ZipFile) -> list[str]:
+    out: list[str] = []
+    if "xl/sharedStrings.xml" in z.namelist():
+        with z.open("xl/sharedStrings.xml") as f:
+            for _, element in ElementTree.iterparse(f):
+                if element.tag == f"{_MAIN}si":
+                    out.append("".join(t.text or "" for t in element.iter(f"{_MAIN}t")))
+                    element.clear()
+    return out
+
+
+def sheet_rows(data: bytes, sheet: str | int = 0, share: int = 0, shares: int = 1) -> Iterator[tuple[int, list[tuple[str, str] | None]]]:
+    """Number and cells of a sheet's rows; of several shares one has every so many stretches of rows.
+
+    The XML comes out of the archive as a stream: rows of other shares are passed over unparsed, and only a stretch is in memory.
+    """
     sheets = _sheets(data)
     if isinstance(sheet, str):
         if sheet not in dict(sheets):
@@ -181,61 +227,74 @@ def sheet_rows(data: bytes, sheet: str | int = 0) -> list[list[tuple[str, str] |
         part = dict(sheets)[sheet]
     else:
         part = sheets[sheet][1]
-    with zipfile.ZipFile(io.BytesIO(data)) as z:
-        shared, dated = [], _date_styles(z)
-        if "xl/sharedStrings.xml" in z.namelist():
-            shared = ["".join(t.text or "" for t in si.iter(f"{_MAIN}t")) for si in ElementTree.fromstring(z.read("xl/sharedStrings.xml")).iter(f"{_MAIN}si")]
+    with zipfile.ZipFile(io.BytesIO(data)) as z, z.open(part) as stream:
+        shared, dated = _shared_strings(z), _date_styles(z)
         book = ElementTree.fromstring(z.read("xl/workbook.xml")).find(f"{_MAIN}workbookPr")
         base = dt.datetime(1904, 1, 1) if book is not None and book.get("date1904") in ("1", "true") else dt.datetime(1899, 12, 30)
-        rows = []
-        for row in ElementTree.fromstring(z.read(part)).iter(f"{_MAIN}row"):
-            cells: dict[int, tuple[str, str]] = {}
-            for place, c in enumerate(row.iter(f"{_MAIN}c")):
-                at = place + 1
-                if c.get("r"):
-                    at = 0
-                    for letter in re.match("[A-Z]+", c.get("r"))[0]:
-                        at = at * 26 + ord(letter) - 64
-                value, kind = c.find(f"{_MAIN}v"), c.get("t")
-                if kind == "inlineStr":
-                    cells[at - 1] = "s", "".join(t.text or "" for t in c.iter(f"{_MAIN}t"))
-                elif value is not None and value.text is not None and kind != "e":
-                    if kind == "s":
-                        cells[at - 1] = "s", shared[int(value.text)]
-                    elif kind == "b":
-                        cells[at - 1] = "b", "true" if value.text == "1" else "false"
-                    elif kind in ("str", "d"):
-                        cells[at - 1] = "s" if kind == "str" else "d", value.text
-                    elif int(c.get("s") or 0) in dated:
-                        cells[at - 1] = "d", (base + dt.timedelta(days=float(value.text))).isoformat(sep=" ", timespec="milliseconds")
-                    else:
-                        cells[at - 1] = "n", value.text
-            rows.append([cells.get(i) for i in range(max(cells, default=-1) + 1)])
-    return rows
+        raw = _raw_rows(stream)
+        opening = re.search(rb"<(\w+:)?worksheet[^>]*>", next(raw))
+        close = b"</" + (opening[1] or b"") + b"worksheet>" if opening else b""
+        for block in itertools.count():
+            some = list(itertools.islice(raw, ROWS_AT_ONCE))
+            if not some:
+                return
+            if block % shares == share:
+                for i, row in enumerate(ElementTree.fromstring(b"".join([opening[0], *some, close]))):
+                    yield block * ROWS_AT_ONCE + i, _cells(row, shared, dated, base)
+
+
+def _cells(row, shared: list[str], dated: set[int], base: dt.datetime) -> list[tuple[str, str] | None]:
+    cells: dict[int, tuple[str, str]] = {}
+    for place, c in enumerate(row.iter(f"{_MAIN}c")):
+        at = place + 1
+        if c.get("r"):
+            at = 0
+            for letter in re.match("[A-Z]+", c.get("r"))[0]:
+                at = at * 26 + ord(letter) - 64
+        value, kind = c.find(f"{_MAIN}v"), c.get("t")
+        if kind == "inlineStr":
+            cells[at - 1] = "s", "".join(t.text or "" for t in c.iter(f"{_MAIN}t"))
+        elif value is not None and value.text is not None and kind != "e":
+            if kind == "s":
+                cells[at - 1] = "s", shared[int(value.text)]
+            elif kind == "b":
+                cells[at - 1] = "b", "true" if value.text == "1" else "false"
+            elif kind in ("str", "d"):
+                cells[at - 1] = "s" if kind == "str" else "d", value.text
+            elif int(c.get("s") or 0) in dated:
+                cells[at - 1] = "d", (base + dt.timedelta(days=float(value.text))).isoformat(sep=" ", timespec="milliseconds")
+            else:
+                cells[at - 1] = "n", value.text
+    return [cells.get(i) for i in range(max(cells, default=-1) + 1)]
 
 
 def read_xlsx(spark: SparkSession, source: bytes | str, sheet: str | int = 0) -> DataFrame:
     """One sheet of a workbook (a path, or its bytes): numbers, dates and truth values keep their kind where a whole column has it.
 
-    The format is bounded to about a million rows, which one task parses where the file is read.
+    A sheet has a million rows at most. Tasks parse stretches of them, in turn, and the parsed cells are kept in a checkpoint.
     """
+    files = Files(spark)
     if isinstance(source, str):
-        books = spark.read.format("binaryFile").load(source).select("content")
+        books, size = spark.read.format("binaryFile").load(source).select("content"), files.size(source)
     else:
-        books = spark.createDataFrame([(bytearray(source),)], "content binary")
+        books, size = spark.createDataFrame([(bytearray(source),)], "content binary"), len(source)
+    shares = max(1, min(spark.sparkContext.defaultParallelism, size // BYTES_PER_TASK))
+    kind = pa.list_(pa.struct([("kind", pa.string()), ("value", pa.string())]))
 
     def parse(batches):
         for batch in batches:
-            for book in batch.column(0).to_pylist():
-                rows = sheet_rows(book, sheet)
-                cells = [[None if c is None else {"kind": c[0], "value": c[1]} for c in r] for r in rows]
-                yield pa.RecordBatch.from_arrays([pa.array(range(len(rows)), pa.int64()), pa.array(cells, pa.list_(pa.struct([("kind", pa.string()), ("value", pa.string())])))], names=["row", "cells"])
+            for book, share in zip(*(c.to_pylist() for c in batch.columns)):
+                found = sheet_rows(book, sheet, share, shares)
+                while some := list(itertools.islice(found, ROWS_AT_ONCE)):
+                    cells = [[None if c is None else {"kind": c[0], "value": c[1]} for c in r] for _, r in some]
+                    yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in some], pa.int64()), pa.array(cells, kind)], names=["row", "cells"])
 
     if isinstance(sheet, str):
-        head = source if isinstance(source, bytes) else Files(spark).read(source)
+        head = source if isinstance(source, bytes) else files.read(source)
         if sheet not in sheet_names(head):
             raise InputError(f"no such sheet: {sheet}")
-    rows = books.mapInArrow(parse, f"row long, cells array<{_CELL}>")
+    books = books.select("content", F.explode(F.sequence(F.lit(0), F.lit(shares - 1))).alias("share"))
+    rows = fixed((books.repartition(shares, "share") if shares > 1 else books).mapInArrow(parse, f"row long, cells array<{_CELL}>"))
     width = rows.agg(F.max(F.size("cells"))).first()[0]
     if not width:
         raise InputError("the sheet is empty")

@@ -7,10 +7,10 @@ import io
 import math
 import re
 import uuid
-import zipfile
 from xml.sax.saxutils import escape
 
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..errors import InputError
@@ -36,41 +36,52 @@ def write_csv(df: DataFrame, path: str) -> None:
     files.join_parts(parts, path, ("\ufeff" + head.getvalue()).encode())
 
 
+_MAIN, _RELATED = "http://schemas.openxmlformats.org/spreadsheetml/2006/main", "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+_HEAD = '<?xml version="1.0" encoding="UTF-8"?>'
+_PACKAGE = "http://schemas.openxmlformats.org/package/2006"
+#: Characters that XML can't hold, and line ends, which a text file of rows can't.
+_UNFIT = re.compile("[\x00-\x08\x0b\x0c\x0e-\x1f\ufffe\uffff]")
+
+
+def _cell(v) -> str:
+    v = json_cell(v)
+    if v is None:
+        return "<c/>"
+    if isinstance(v, bool):
+        return f'<c t="b"><v>{int(v)}</v></c>'
+    if isinstance(v, (int, float)):
+        return f"<c><v>{v}</v></c>"
+    text = escape(_UNFIT.sub("", str(v)), {"\n": "&#10;", "\r": "&#13;"})
+    return f'<c t="inlineStr"><is><t xml:space="preserve">{text}</t></is></c>'
+
+
+def _row(values) -> str:
+    """A row without numbers: cells follow one another, so a task needn't know what stands before its rows."""
+    return f"<row>{''.join(map(_cell, values))}</row>"
+
+
 def write_xlsx(df: DataFrame, path: str) -> None:
-    """One sheet; more rows than the format holds are refused."""
-    rows = df.limit(XLSX_ROWS + 1).collect()  # bounded by the format
-    if len(rows) > XLSX_ROWS:
-        raise InputError(f"an XLSX sheet holds at most {XLSX_ROWS} rows")
+    """One sheet; more rows than the format holds are refused. Tasks write the rows' XML, whose parts are then zipped a block at a time."""
+    files, parts = Files(df.sparkSession), f"{path}.{uuid.uuid4().hex[:8]}.parts"
 
-    def cell(v) -> str:
-        v = json_cell(v)
-        if v is None:
-            return "<c/>"
-        if isinstance(v, (int, float)) and not isinstance(v, bool):
-            return f"<c><v>{v}</v></c>"
-        return f'<c t="inlineStr"><is><t xml:space="preserve">{escape(str(v))}</t></is></c>'
-
-    def named(r: int, values) -> str:
-        cells = []
-        for i, v in enumerate(values):
-            letters, k = "", i + 1
-            while k:
-                k, rest = divmod(k - 1, 26)
-                letters = chr(65 + rest) + letters
-            cells.append(cell(v).replace("<c", f'<c r="{letters}{r}"', 1))
-        return f'<row r="{r}">{"".join(cells)}</row>'
-
-    sheet = "".join(named(i + 1, values) for i, values in enumerate([df.columns, *rows]))
-    main, rel = "http://schemas.openxmlformats.org/spreadsheetml/2006/main", "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
-    head = '<?xml version="1.0" encoding="UTF-8"?>'
-    book = io.BytesIO()
-    with zipfile.ZipFile(book, "w", zipfile.ZIP_DEFLATED) as z:
-        z.writestr("[Content_Types].xml", f'{head}<Types xmlns="http://schemas.openxmlformats.org/package/2006/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Default Extension="xml" ContentType="application/xml"/><Override PartName="/xl/workbook.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.sheet.main+xml"/><Override PartName="/xl/worksheets/sheet1.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.worksheet+xml"/></Types>')
-        z.writestr("_rels/.rels", f'{head}<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="rId1" Type="{rel}/officeDocument" Target="xl/workbook.xml"/></Relationships>')
-        z.writestr("xl/workbook.xml", f'{head}<workbook xmlns="{main}" xmlns:r="{rel}"><sheets><sheet name="Sheet1" sheetId="1" r:id="rId1"/></sheets></workbook>')
-        z.writestr("xl/_rels/workbook.xml.rels", f'{head}<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="rId1" Type="{rel}/worksheet" Target="worksheets/sheet1.xml"/></Relationships>')
-        z.writestr("xl/worksheets/sheet1.xml", f'{head}<worksheet xmlns="{main}"><sheetData>{sheet}</sheetData></worksheet>')
-    Files(df.sparkSession).write(path, book.getvalue())
+    def run(batches):
+        for batch in batches:
+            rows = zip(*(c.to_pylist() for c in batch.columns))
+            yield pa.RecordBatch.from_arrays([pa.array([_row(r) for r in rows], pa.string())], names=["row"])
+
+    seen = Observation()
+    df.mapInArrow(run, "row string").observe(seen, F.count(F.lit(1)).alias("n")).write.text(parts)
+    if seen.get["n"] > XLSX_ROWS:
+        files.delete(parts)
+        raise InputError(f"an XLSX sheet holds at most {XLSX_ROWS} rows")
+    small = {
+        "[Content_Types].xml": f'{_HEAD}<Types xmlns="{_PACKAGE}/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Default Extension="xml" ContentType="application/xml"/><Override PartName="/xl/workbook.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.sheet.main+xml"/><Override PartName="/xl/worksheets/sheet1.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.worksheet+xml"/></Types>',
+        "_rels/.rels": f'{_HEAD}<Relationships xmlns="{_PACKAGE}/relationships"><Relationship Id="rId1" Type="{_RELATED}/officeDocument" Target="xl/workbook.xml"/></Relationships>',
+        "xl/workbook.xml": f'{_HEAD}<workbook xmlns="{_MAIN}" xmlns:r="{_RELATED}"><sheets><sheet name="Sheet1" sheetId="1" r:id="rId1"/></sheets></workbook>',
+        "xl/_rels/workbook.xml.rels": f'{_HEAD}<Relationships xmlns="{_PACKAGE}/relationships"><Relationship Id="rId1" Type="{_RELATED}/worksheet" Target="worksheets/sheet1.xml"/></Relationships>',
+    }
+    head = f'{_HEAD}<worksheet xmlns="{_MAIN}"><sheetData>{_row(df.columns)}\n'
+    files.zip_parts(path, {k: v.encode() for k, v in small.items()}, "xl/worksheets/sheet1.xml", head.encode(), parts, b"</sheetData></worksheet>")
 
 
 def json_cell(v):
