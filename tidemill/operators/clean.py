@@ -20,6 +20,8 @@ from ..functions.stats import col, kinds, need_columns, number
 
 #: Mappings of more pairs are joined instead of written into the plan.
 MAP_LITERAL = 500
+#: Characters of a mapping that is broadcast.
+MAP_BROADCAST = 16 << 20
 
 
 def _default(df: DataFrame, columns) -> list[str]:
@@ -52,10 +54,21 @@ def drop_duplicates(df: DataFrame, columns=None, order_by=None) -> DataFrame:
     if not columns and not order_by:
         return df.dropDuplicates()
     keys = _default(df, columns)
-    order_by = [*(order_by or ()), *[c for c in df.columns if c not in keys and c not in (order_by or ()) and not dict(df.dtypes)[c].startswith(("map", "variant"))]] or keys
+    plain = [c for c, k in df.dtypes if not k.startswith(("map", "variant"))]
+    order_by = [*(order_by or ()), *[c for c in plain if c not in keys and c not in (order_by or ())]] or keys
     need_columns(df, order_by)
-    rank = F.row_number().over(Window.partitionBy(*map(col, keys)).orderBy(*map(col, order_by)))
-    return df.withColumn("__rank", rank).where("__rank = 1").drop("__rank")
+    if len(plain) < len(df.columns):  # values without an order can't be compared, so the first row is found by sorting
+        rank = F.row_number().over(Window.partitionBy(*map(col, keys)).orderBy(*map(col, order_by)))
+        return df.withColumn("__rank", rank).where("__rank = 1").drop("__rank")
+    # the least row of a key, map-side first: only one row of a key leaves a task
+    rest = [c for c in df.columns if c not in keys]
+    if not rest:
+        return df.dropDuplicates()
+    named = [col(c).alias(f"k{i}") for i, c in enumerate(keys)]
+    least = F.min_by(F.struct(*[col(c).alias(f"v{i}") for i, c in enumerate(rest)]), F.struct(*[col(c).alias(f"o{i}") for i, c in enumerate(order_by)]))
+    got = df.groupBy(*named).agg(least.alias("row"))
+    at = {c: F.col(f"k{i}") for i, c in enumerate(keys)} | {c: F.col(f"row.v{i}") for i, c in enumerate(rest)}
+    return got.select(*[at[c].alias(c) for c in df.columns])
 
 
 def drop_missing(df: DataFrame, columns=None, how: str = "any") -> DataFrame:
@@ -349,8 +362,10 @@ def map_values(df: DataFrame, column: str, mapping: dict, keep_original: bool =
     c = col(column).cast("string")
     if len(mapping) > MAP_LITERAL:
         made, key, new = df.sparkSession.createDataFrame([(str(k), str(v)) for k, v in mapping.items()], "k string, v string"), "__map_key", "__map_value"
-        # as many rows as the caller's mapping has
-        met = df.join(F.broadcast(made.toDF(key, new)), c == F.col(key), "left")
+        # a mapping that the driver holds anyway; beyond a size that every executor can hold too, rows are shuffled to it
+        held = sum(len(str(k)) + len(str(v)) for k, v in mapping.items())
+        made = made.toDF(key, new)
+        met = df.join(F.broadcast(made) if held <= MAP_BROADCAST else made.hint("shuffle_hash"), c == F.col(key), "left")
         return met.withColumn(column, F.coalesce(F.col(new), c) if keep_original else F.col(new)).drop(key, new)
     pairs = F.create_map(*[F.lit(str(x)) for pair in mapping.items() for x in pair])
     return df.withColumn(column, F.coalesce(F.element_at(pairs, c), c) if keep_original else F.element_at(pairs, c))
