@@ -3,6 +3,7 @@
 import hashlib
 import itertools
 import math
+import os
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -234,7 +235,9 @@ def test_attention_forward_and_gradient():
 
 
 def test_quality_of_held_out_documents(spark):
-    sf = "/root/testdata/sf0.01"
+    sf = os.path.join(os.environ.get("TESTDATA_DIR", "/root/testdata"), "sf0.01")
+    if not os.path.isdir(sf):
+        pytest.skip("the tables aren't here; TESTDATA_DIR names their folder")
     labels = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
     got = queries.op1_quality(spark, sf).collect()
     assert len(got) == spark.read.parquet(f"{sf}/documents.parquet").count()
