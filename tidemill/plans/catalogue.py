@@ -335,7 +335,8 @@ _sql("sql_cube", "SELECT l_returnflag, l_linestatus, count(*) AS n FROM lineitem
 _sql("sql_rollup", "SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM orders GROUP BY ROLLUP (o_orderstatus, o_orderpriority)")
 _sql("sql_grouping_sets", "SELECT p_brand, p_size, count(*) AS n FROM part GROUP BY GROUPING SETS ((p_brand), (p_size), ())")
 _sql("sql_cte_filter", "WITH big AS (SELECT * FROM orders WHERE o_totalprice > 100000) SELECT o_orderstatus, count(*) FILTER (WHERE o_orderpriority = '1-URGENT') AS urgent, count(*) AS n FROM big GROUP BY o_orderstatus")
-_sql("sql_recursive", "WITH RECURSIVE t(n) AS (SELECT 1 UNION ALL SELECT n + 1 FROM t WHERE n < 20) SELECT n FROM t")
+# days on which a chain of orders goes on: each step is the next day that has an order
+_sql("sql_recursive", "WITH RECURSIVE days AS (SELECT DISTINCT date_trunc('day', o_orderdate) AS d FROM orders), chain(d, step) AS (SELECT min(d), 0 FROM days UNION ALL SELECT days.d, step + 1 FROM chain JOIN days ON days.d = chain.d + INTERVAL '1' DAY WHERE step < 12) SELECT step, CAST(extract(YEAR FROM d) * 10000 + extract(MONTH FROM d) * 100 + extract(DAY FROM d) AS BIGINT) AS d FROM chain")
 
 
 # analysts' forms: the text is its own oracle
