@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 
 from tidemill.errors import InputError
-from tidemill.sources import delimited, readers
+from tidemill.sources import delimited, readers, writers
 
 
 @pytest.fixture
@@ -54,6 +54,14 @@ def test_values_over_several_splits(spark, tmp_path, split_bytes, encoding, sep,
     assert made.dtypes == got.dtypes and sorted(map(tuple, made.collect())) == want
 
 
+def test_an_export_reads_back(spark, tmp_path):
+    rows = [(1, " edge ", 0.5), (2, "two\nlines\n", None), (3, 'say "hi", or', 2.0), (4, None, 1.0), (5, "\t", 1.0)]
+    writers.write_csv(spark.createDataFrame(rows, "id long, t string, x double").repartition(3), str(tmp_path / "o.csv"))
+    writers.write_csv(spark.createDataFrame(rows, "id long, t string, x double").repartition(3), str(tmp_path / "o.csv"))
+    assert sorted(map(str, map(tuple, readers.read_csv(spark, str(tmp_path / "o.csv")).collect()))) == sorted(map(str, rows))
+    assert [p.name for p in tmp_path.iterdir() if not p.name.startswith(".")] == ["o.csv"]
+
+
 def test_torn_pairs_stay_together(spark, tmp_path):
     path = tmp_path / "torn.csv"
     path.write_text('id,note\n1,"x\n2,y"\n3,z\n')

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import analyze, clean, health, joins
+from ..session import shared_dir
+from ..sources import readers
 from . import console
 
 QUERIES: dict = {}
@@ -377,3 +381,20 @@ def _range_by(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES["range_join"], QUERIES["range_join_by"] = _range, _range_by
 ORACLES["range_join"] = "SELECT l_orderkey, l_linenumber, p_partkey FROM lineitem JOIN part ON p_size <= 5 AND l_extendedprice BETWEEN p_retailprice * 10 AND p_retailprice * 10.01::DOUBLE"
 ORACLES["range_join_by"] = "SELECT p.event_id AS purchase_id, e.event_id FROM events e JOIN events p ON p.event_type = 'purchase' AND e.user_id = p.user_id AND e.ts >= p.ts - INTERVAL 2 DAYS AND e.ts < p.ts"
+
+
+def _ingested(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items written as text whose values hold quotes, separators and line breaks, ingested again, and summed up."""
+    path = f"{shared_dir(spark).rstrip('/')}/ingested-{uuid.uuid4().hex}"
+    note = F.concat(F.lit('"'), F.col("l_returnflag"), F.lit('",\n'), F.col("l_linestatus"), F.lit("\n"))
+    text = _table(spark, sf_dir, "lineitem").select("l_orderkey", note.alias("note"), "l_extendedprice", F.when(F.col("l_linenumber") > 2, F.col("l_shipdate").cast("date")).alias("day"))
+    text.write.options(header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(f"{path}/text")
+    rows = readers.ingest_csv(spark, f"{path}/text", f"{path}/table")
+    return rows.groupBy("note").agg(F.count(F.lit(1)).alias("n"), F.sum("l_orderkey").alias("orders"), F.min("l_extendedprice").alias("low"), F.max("l_extendedprice").alias("high"), F.count("day").alias("days"), F.date_format(F.max("day"), "yyyyMMdd").cast("long").alias("last"))
+
+
+QUERIES["ingest_quoted_text"] = _ingested
+ORACLES["ingest_quoted_text"] = """
+    SELECT '"' || l_returnflag || '",' || chr(10) || l_linestatus || chr(10) AS note, count(*) AS n, CAST(sum(l_orderkey) AS BIGINT) AS orders, min(l_extendedprice) AS low, max(l_extendedprice) AS high,
+           count(*) FILTER (l_linenumber > 2) AS days, CAST(strftime(max(l_shipdate) FILTER (l_linenumber > 2), '%Y%m%d') AS BIGINT) AS last
+    FROM lineitem GROUP BY 1"""

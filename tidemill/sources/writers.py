@@ -29,8 +29,7 @@ def write_csv(df: DataFrame, path: str) -> None:
     Rows are written by all tasks, without headers; their part files, which begin with the header's, are then joined by the store.
     """
     files, parts = Files(df.sparkSession), f"{path}.{uuid.uuid4().hex[:8]}.parts"
-    kept = df.write.option("quote", '"').option("escape", '"').option("emptyValue", '""')
-    kept.csv(parts)
+    df.write.options(quote='"', escape='"', emptyValue='""', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(parts)
     head = io.StringIO()
     csv.writer(head, lineterminator="\n").writerow(df.columns)
     files.join_parts(parts, path, ("\ufeff" + head.getvalue()).encode())
