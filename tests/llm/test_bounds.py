@@ -7,7 +7,10 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
 
-from tidemill.llm import chat, embedding_dedup, quality, queries
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from tidemill.llm import chat, common, embedding_dedup, quality, queries, suffix_dedup
 
 
 def test_a_long_conversation_takes_few_copies_of_itself():
@@ -73,3 +76,49 @@ def test_suffix_dedup_digests(spark, tmp_path):
         want.append((i, len(data), int(gone.sum()), runs, hashlib.sha256(bytes(np.frombuffer(data, np.uint8)[~gone])).hexdigest()))
     got = queries.op5_suffix_dedup(spark, str(tmp_path)).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").orderBy("doc_id").collect()
     assert [tuple(r) for r in got] == want
+
+
+def test_a_passage_of_all_documents_meets_in_shares(spark, monkeypatch):
+    """No key has more than a few of the places of a passage that many tasks read, and one place is left in the end."""
+    monkeypatch.setattr(suffix_dedup, "HOT_RUNS", 20)
+    monkeypatch.setattr(suffix_dedup, "SHARE", 4)
+    rng = np.random.default_rng(11)
+    word = lambda n: "".join(chr(97 + c) for c in rng.integers(0, 26, n))
+    shared = word(160)
+    rows = spark.createDataFrame([(i, word(30) + shared + word(30)) for i in range(400)], "id long, text string").repartition(100, "id")
+    conf = {"spark.sql.shuffle.partitions": "100", "spark.sql.adaptive.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        met = suffix_dedup.meet(suffix_dedup.text_runs(rows)).cache()
+        asks = met.where("place % 2 = 0")
+        asked = suffix_dedup.asked_bytes(rows, asks, suffix_dedup.hot_minimisers(asks)).where("bytes is not null").cache()
+        most = lambda *by: asked.groupBy(*by).count().agg(F.max("count")).first()[0]
+        assert most("bytes") > 60 and most("h") < most("bytes") / 4
+        found = suffix_dedup.decide(asked).cache()
+        again = found.where("bytes is not null")
+        assert 0 < again.count() < asked.count()
+        shares = again.groupBy("bytes").count()
+        assert shares.where(F.col("bytes").cast("string") == shared[:100]).first()["count"] > 1
+        left = suffix_dedup.decide(again.withColumn("h", F.xxhash64("bytes")))
+        assert left.where("bytes is not null").isEmpty()
+        spans = {r["id"]: [tuple(s) for s in r["spans"]] for r in suffix_dedup.repeated_spans(rows, id_col="id").collect()}
+        # bytes beside the passage may be those of an earlier document by chance
+        assert spans.pop(0) == [] and len(spans) == 399 and all(len(s) == 1 and s[0][0] <= 30 and s[0][1] >= 190 for s in spans.values())
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+        spark.catalog.clearCache()
+
+
+def test_the_pipeline_leaves_the_tables_of_its_last_stage_only(spark, tmp_path):
+    texts = [f"some words of a plain text about number {i} and what comes after it, line by line and page by page" for i in range(60)]
+    pq.write_table(pa.table({"doc_id": pa.array(range(60), pa.int64()), "text": texts, "lang": ["en"] * 60, "source": ["a"] * 60, "n_chars": pa.array([len(t) for t in texts], pa.int64())}), tmp_path / "documents.parquet")
+    folder = common.shared_dir(spark)
+    stages = [name.replace(" ", "-").lower() for name, _ in corpus_pipeline.STAGES]
+    listed = lambda: {p.getPath().getName() for p in common._in_store(spark, folder)[0].listStatus(common._in_store(spark, folder)[1])}
+    before = listed()
+    corpus_pipeline.run(spark, str(tmp_path)).collect()
+    left = {n.rsplit("-", 1)[0] for n in listed() - before}
+    assert stages[3] in left and not left & {*stages[:3], "shingles", "entries", "runs", "windows", "places"}

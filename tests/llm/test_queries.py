@@ -342,8 +342,10 @@ def test_packing_and_sequences(spark, folder):
     assert pieces == want
 
 
-def test_hot_minimisers_are_met_window_by_window(spark, monkeypatch):
+@pytest.mark.parametrize("share", [1, 7, 8192])
+def test_hot_minimisers_are_met_window_by_window(spark, monkeypatch, share):
     monkeypatch.setattr(suffix_dedup, "HOT_RUNS", 3)
+    monkeypatch.setattr(suffix_dedup, "SHARE", share)
     rng = np.random.default_rng(26)
     word = lambda n: "".join(rng.choice(list("abcde "), n))
     shared = word(180)

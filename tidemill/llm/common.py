@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import contextvars
 import uuid
 from collections.abc import Iterator
 
@@ -37,15 +38,50 @@ def cut(df: DataFrame) -> DataFrame:
         return df.select("*").checkpoint()
 
 
+#: Paths of the tables that are stored in the surrounding ``tables()``.
+_TABLES: contextvars.ContextVar[list | None] = contextvars.ContextVar("tables", default=None)
+
+
+def _in_store(spark: SparkSession, path: str):
+    """The file system of a path, and the path, as Spark's own objects."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()), path
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write a wide frame as a compressed table in the shared folder and reread it."""
+    """Write a wide frame as a compressed table in the shared folder and reread it.
+
+    What is read from it may be worked out at any later time, so the table is there until the application ends, which removes it.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     with _one_use(spark):
         df.write.option("compression", "zstd").parquet(path)
+    store, place = _in_store(spark, path)
+    store.deleteOnExit(place)
+    if (held := _TABLES.get()) is not None:
+        held.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextlib.contextmanager
+def tables() -> Iterator[list[str]]:
+    """A list that takes the paths of the tables stored inside."""
+    token = _TABLES.set([])
+    try:
+        yield _TABLES.get()
+    finally:
+        _TABLES.reset(token)
+
+
+def keep_last(spark: SparkSession, written: list[str]) -> None:
+    """Remove the tables of ``tables()`` but the last one, which was worked out from them."""
+    for path in written[:-1]:
+        store, place = _in_store(spark, path)
+        store.delete(place, True)
+    del written[:-1]
+
+
 def arrow_limits(spark: SparkSession) -> None:
     """Keep Arrow batches small, so a worker's memory doesn't follow the longest texts."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_BATCH_ROWS)

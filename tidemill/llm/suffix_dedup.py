@@ -12,6 +12,8 @@ same minimiser, the least of their ``GRAM``-byte hashes. Equal windows have equa
    deep-shallow: multikey quicksort on eight-byte words to a shallow depth, then blind tries for the groups that still
    share their prefix. Runs that are equal to their full length come first: the earliest stays, all
    windows of the others go. Then the windows of the different runs are sorted likewise, and of equal ones all but the earliest go.
+   Equal windows of a minimiser with very many runs meet in shares, and then the earliest ones of the shares meet: no
+   task ever holds all places of a passage that stands in every document.
 
 Hashes only bring candidates together. What goes is decided by the sorted order of bytes.
 """
@@ -41,6 +43,8 @@ HELD = 1 << 18
 RUNS, ASKED = 1 << 14, 1 << 17
 #: A minimiser with more runs than this is hot, and at most so many minimisers are: beyond that the limit grows.
 HOT_RUNS, HOT_MINIMISERS = 2048, 500_000
+#: Runs of one minimiser whose equal windows may meet in one task; where it has more, they meet in shares of about so many first.
+SHARE = 8192
 _NO_ID = -(1 << 63)
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -140,9 +144,9 @@ def _changes(*columns: np.ndarray) -> np.ndarray:
 
 
 #: ``place`` in one number: first window, place of the minimiser after it, number of windows, and what is known: the run goes,
-#: its bytes are asked for, it doesn't have to meet others (dealt out evenly).
+#: its bytes are asked for, it doesn't have to meet others (dealt out evenly), it meets those of its share only and then the earliest of the others.
 RUN_SCHEMA = "h long, doc long, place long"
-_GOES, _ASKED, _PASSES = 1, 2, 4
+_GOES, _ASKED, _PASSES, _SHARED = 1, 2, 4, 8
 
 
 def _place(p, off, n, flags=0):
@@ -313,6 +317,13 @@ def _digest(w: np.ndarray, hasher: Hasher) -> np.ndarray:
     return _mix((hasher.value[w] * hasher.up[: w.shape[1]]).sum(1, dtype=np.uint64)).view(np.int64)
 
 
+def _shares(digest: np.ndarray, doc: np.ndarray, place: np.ndarray, shares: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What windows are dealt out by: their digest, where they meet in several shares also the share their place falls into; and where they do."""
+    several = shares > 1
+    share = _mix(_mix(doc.view(np.uint64)) + place.astype(np.uint64)) % shares.astype(np.uint64)
+    return np.where(several, _mix(digest.view(np.uint64) + (share + np.uint64(1)) * np.uint64(_BASE)).view(np.int64), digest), several
+
+
 def _stretches(data: np.ndarray, start: np.ndarray, length: np.ndarray) -> pa.Array:
     """The bytes from each start as values of a binary column."""
     ends = np.r_[0, np.cumsum(length)]
@@ -340,20 +351,21 @@ def _repeats(order: np.ndarray, new: np.ndarray, doc: np.ndarray, p: np.ndarray)
 
 
 def hot_minimisers(asks: DataFrame) -> np.ndarray:
-    """Sorted hashes of the minimisers with so many runs that one task shouldn't have them all; their number is bounded."""
+    """Sorted hashes of the minimisers with so many runs that one task shouldn't have them all (their number is bounded), and in how many shares their equal windows meet."""
     limit = max(HOT_RUNS, asks.count() // HOT_MINIMISERS)
     hot = asks.groupBy("h").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") > limit)
-    return np.sort(np.array([r["h"] for r in hot.select("h").collect()], np.int64))
+    rows = np.array([(r["h"], 1 + r["k"] // SHARE) for r in hot.collect()], np.int64).reshape(-1, 2)
+    return rows[np.argsort(rows[:, 0])]
 
 
 def asked_bytes(rows: DataFrame, asks: DataFrame, hot: np.ndarray, window: int = WINDOW) -> DataFrame:
     """The runs asked for with their ``bytes``; hot ones as single windows, dealt out by their bytes, of which those that repeat one of the same batch go."""
     lists = asks.groupBy("doc").agg(F.collect_list(F.struct("h", "place")).alias("runs"))
     joined_rows = rows.join(lists, rows.id == lists.doc).select("id", "text", "runs")
-    held = rows.sparkSession.sparkContext.broadcast(hot)  # at most HOT_MINIMISERS numbers
+    held = rows.sparkSession.sparkContext.broadcast(hot)  # at most HOT_MINIMISERS pairs of numbers
 
     def run(batches):
-        hot, hasher = held.value, Hasher(window)
+        hot, shares, hasher = *held.value.T, Hasher(window)
 
         def out(h, doc, place, found):
             return pa.RecordBatch.from_arrays([pa.array(h), pa.array(doc), pa.array(place), found], names=["h", "doc", "place", "bytes"])
@@ -365,7 +377,8 @@ def asked_bytes(rows: DataFrame, asks: DataFrame, hot: np.ndarray, window: int =
             runs = runs.flatten()
             h, place = (pc.struct_field(runs, c).to_numpy(zero_copy_only=False) for c in ("h", "place"))
             doc, base, (p, off, n) = batch.column(0).to_numpy()[of], begins[:-1][of], _parts(place)
-            burning = hot[np.minimum(np.searchsorted(hot, h), len(hot) - 1)] == h if len(hot) else np.zeros(len(h), bool)
+            at = np.minimum(np.searchsorted(hot, h), len(hot) - 1)
+            burning = hot[at] == h if len(hot) else np.zeros(len(h), bool)
             k = np.flatnonzero(~burning)
             yield out(h[k], doc[k], _place(p[k], off[k], n[k]), _stretches(data, base[k] + p[k], n[k] + window - 1))
             k = np.flatnonzero(burning)
@@ -378,13 +391,14 @@ def asked_bytes(rows: DataFrame, asks: DataFrame, hot: np.ndarray, window: int =
                 places = _place(p[r] + j, off[r] - j, 1)
                 yield out(np.zeros(int(goes.sum()), np.int64), doc[r][goes], places[goes] | _GOES | _PASSES, pa.nulls(int(goes.sum()), pa.binary()))
                 stay = np.flatnonzero(~goes)
-                yield out(_digest(w[stay], hasher), doc[r][stay], places[stay], _stretches(data, (base[r] + p[r] + j)[stay], np.full(len(stay), window)))
+                key, several = _shares(_digest(w[stay], hasher), doc[r][stay], places[stay], shares[at[r[stay]]])
+                yield out(key, doc[r][stay], places[stay] | np.where(several, _SHARED, 0), _stretches(data, (base[r] + p[r] + j)[stay], np.full(len(stay), window)))
 
     return joined_rows.mapInArrow(run, f"{RUN_SCHEMA}, bytes binary")
 
 
 def _decided(h: np.ndarray, doc: np.ndarray, place: np.ndarray, data: np.ndarray, begins: np.ndarray, window: int):
-    """``doc``, ``p``, ``n`` of the windows that go among runs with their bytes, whole groups of equal ``h``."""
+    """``doc``, ``p``, ``n`` of the windows that go among runs with their bytes, whole groups of equal ``h``; and the rows that are the earliest of their share."""
     p, off, n = _parts(place)
     length = np.diff(begins)
     sorted_rows = np.zeros((len(h), int(length.max()) + 2), np.uint8)
@@ -392,7 +406,7 @@ def _decided(h: np.ndarray, doc: np.ndarray, place: np.ndarray, data: np.ndarray
     sorted_rows[row, np.arange(len(row)) - np.repeat(begins[:-1] - begins[0], length)] = data[begins[0] : begins[-1]]
     sorted_rows[:, -2], sorted_rows[:, -1] = n, off
     goes, first = _repeats(*suffix_order(sorted_rows), doc, p)
-    yield doc[goes], p[goes], n[goes]
+    yield doc[goes], p[goes], n[goes], np.flatnonzero(first & ((place & _SHARED) != 0))
     # windows of different runs of one minimiser, a bounded number at a time
     k = np.flatnonzero(first)
     group = _changes(h[k])
@@ -411,16 +425,17 @@ def _decided(h: np.ndarray, doc: np.ndarray, place: np.ndarray, data: np.ndarray
         begin = goes & np.r_[True, ~goes[:-1] | (r[1:] != r[:-1])]
         end = goes & np.r_[~goes[1:] | (r[1:] != r[:-1]), True]
         b = np.flatnonzero(begin)
-        yield doc[some[r[b]]], p[some[r[b]]] + j[b], np.flatnonzero(end) - b + 1
+        yield doc[some[r[b]]], p[some[r[b]]] + j[b], np.flatnonzero(end) - b + 1, b[:0]
         s = t
 
 
 def decide(asked: DataFrame, window: int = WINDOW) -> DataFrame:
-    """``doc``, ``p``, ``n`` of the windows that also start earlier: runs of one minimiser meet, sorted by their bytes."""
+    """The windows that also start earlier: runs of one minimiser meet, sorted by their bytes. Rows with ``bytes`` are the earliest windows of shares, which are still to meet."""
 
     def run(batches):
         def out(doc, p, n):
-            return pa.RecordBatch.from_arrays([pa.array(doc), pa.array(p), pa.array(n)], names=["doc", "p", "n"])
+            place = _place(p, 0, n, _GOES | _PASSES)
+            return pa.RecordBatch.from_arrays([pa.array(np.zeros(len(doc), np.int64)), pa.array(doc), pa.array(place), pa.nulls(len(doc), pa.binary())], names=["h", "doc", "place", "bytes"])
 
         held, size, last = [], 0, None
         for batch in itertools.chain(batches, [None]):
@@ -452,13 +467,16 @@ def decide(asked: DataFrame, window: int = WINDOW) -> DataFrame:
             if whole:
                 part = table.slice(0, whole)
                 doc, place = part.column(1).to_numpy(), part.column(2).to_numpy()
-                for found in _decided(h[:whole], doc, place, *_values(part.column(3).combine_chunks() if part.column(3).num_chunks != 1 else part.column(3).chunk(0)), window):
+                values = part.column(3).combine_chunks() if part.column(3).num_chunks != 1 else part.column(3).chunk(0)
+                for *found, again in _decided(h[:whole], doc, place, *_values(values), window):
                     yield out(*found)
+                    if len(again):
+                        yield pa.RecordBatch.from_arrays([pa.array(h[again]), pa.array(doc[again]), pa.array(place[again] & ~_SHARED), values.take(pa.array(again))], names=["h", "doc", "place", "bytes"])
             rest = table.slice(whole)
             held, size = (rest.to_batches() if rest.num_rows else []), rest.num_rows
             last = h[-1] if rest.num_rows else None
 
-    return _dealt(asked, "h").mapInArrow(run, "doc long, p long, n long")
+    return _dealt(asked, "h").mapInArrow(run, f"{RUN_SCHEMA}, bytes binary")
 
 
 def _covered(length: int, p: np.ndarray, n: np.ndarray, window: int) -> np.ndarray:
@@ -502,7 +520,9 @@ def _with_repeats(docs: DataFrame, columns: list[str], id_col: str, text_col: st
     goes = F.col("place").bitwiseAND(F.lit(_GOES)) != 0
     asks = met.where(~goes)
     found = stored(decide(asked_bytes(rows, asks, hot_minimisers(asks), window), window), "windows")
-    gone = met.where(goes).select("doc", F.shiftright("place", 20).alias("p"), F.shiftright("place", 4).bitwiseAND(F.lit(255)).alias("n")).unionByName(found)
+    again = found.where("bytes is not null").withColumn("h", F.xxhash64("bytes"))
+    found = found.where("bytes is null").unionByName(decide(again, window))
+    gone = met.where(goes).unionByName(found.drop("bytes")).select("doc", F.shiftright("place", 20).alias("p"), F.shiftright("place", 4).bitwiseAND(F.lit(255)).alias("n"))
     lists = gone.groupBy("doc").agg(F.collect_list("p").alias(starts), F.collect_list("n").alias(counts)).withColumnRenamed("doc", doc)
     own = docs.select(*[F.col(f"`{c}`") for c in columns], place)
     return own.join(lists, F.col(place) == F.col(doc), "left").drop(doc, place)
