@@ -40,6 +40,28 @@ def test_a_hot_bin_is_spread(spark, monkeypatch):
     assert dict(map(tuple, got)) == {"seven": 1001, "low": 1005}
 
 
+def test_intervals_of_many_keys_go_to_few_bins(spark, monkeypatch):
+    # a wide interval holds most of the axis, yet few points of its own key
+    monkeypatch.setattr(joins, "POINTS_PER_BIN", 10)
+    sent = []
+    counted = joins._pieces
+    monkeypatch.setattr(joins, "_pieces", lambda rows, name: (sent.append(rows.count()), counted(rows, name))[1])
+    points = spark.range(6000).selectExpr("id % 200 as k", "id as pid", "cast(id as double) as x")
+    spans = spark.range(200).selectExpr("id as k", "id as sid", "500d as a", "5500d as b")
+    got = joins.range_join(points, spans, "x", "a", "b", ["k"]).groupBy("k").count().collect()
+    assert sent[0] == 6000 and sent[1] <= 2000 and len(got) == 200 and sum(r["count"] for r in got) == 5001
+
+
+def test_places_among_pairs():
+    rng = np.random.default_rng(3)
+    pairs = sorted(zip(rng.integers(-3, 4, 60).tolist(), rng.integers(0, 9, 60).astype(float).tolist()))
+    asked = [(k, v) for k in range(-5, 6) for v in (-1.0, 0.0, 2.5, 4.0, 8.0, 9.0, math.inf)]
+    for some in (pairs, pairs[:1], []):
+        h, x, k, v = (np.array(c) for c in (*(zip(*some) if some else ((), ())), *zip(*asked)))
+        for side, before in (("left", lambda p, q: p < q), ("right", lambda p, q: p <= q)):
+            assert joins._places(h, x, k, v, side).tolist() == [sum(before(p, q) for p in some) for q in asked]
+
+
 def test_days_and_times(spark):
     days = [(i, dt.date(2024, 1, 1) + dt.timedelta(i)) for i in range(40)]
     spans = [("jan", dt.date(2024, 1, 10), dt.date(2024, 1, 12)), ("none", dt.date(2025, 1, 1), dt.date(2025, 2, 1)), ("back", dt.date(2024, 1, 12), dt.date(2024, 1, 10))]
