@@ -3,6 +3,7 @@
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from tidemill.functions import stats
 from tidemill.operators import analyze
@@ -61,3 +62,15 @@ def test_values_are_not_expanded(spark):
     df = spark.range(100).selectExpr("id % 3 as k", "id % 7 as a", "id % 5 as b")
     plan = analyze.groupby(df, "k", [{"column": c, "agg": "nunique"} for c in "ab"])._jdf.queryExecution().executedPlan().toString()
     assert "Expand" not in plan
+
+
+def test_quantiles_are_exact_though_brackets_come_from_some_values(spark, monkeypatch):
+    monkeypatch.setattr(stats, "EXACT_ROWS", 100)
+    monkeypatch.setattr(stats, "BRACKETS", 100)
+    monkeypatch.setattr(stats, "SKETCHED", 300)
+    rng = np.random.default_rng(8)
+    rows = [(float(x), float(i % 7), 1e9 if i % 50 == 0 else float(i)) for i, x in enumerate(rng.normal(size=6000))]
+    df = spark.createDataFrame(rows, "a double, b double, c double")
+    got = stats.quantiles(df, {c: F.col(c) for c in "abc"}, [0.0, 0.25, 0.5, 0.75, 1.0])
+    for c, values in zip("abc", zip(*rows)):
+        assert got[c] == pytest.approx(np.quantile(values, [0, 0.25, 0.5, 0.75, 1]), rel=1e-12)

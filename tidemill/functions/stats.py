@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -42,15 +44,18 @@ def number(df: DataFrame, name: str) -> Column:
 #: Up to so many rows one buffer may hold a column's values; beyond it quantiles are bracketed first.
 EXACT_ROWS = 400_000
 #: Accuracy of the brackets: a quantile's bracket holds about 4/BRACKETS of the rows of the one before.
-BRACKETS = 100_000
+BRACKETS = 10_000
+#: Values that the sketch of a bracket is made from; all values are counted against what it says.
+SKETCHED = 1_000_000
 
 
 def quantiles(df: DataFrame, columns: dict[str, Column], at: list[float], n_rows: int | None = None) -> dict[str, list | None]:
     """Exact quantiles (linear between neighbours) of each named column, None for a column without values.
 
     ``percentile`` keeps every distinct value of a column in one buffer. On many rows a pass brackets each quantile
-    approximately and another counts what lies below and inside, again and again until a bracket holds few rows or a
-    single value; only what lies inside the last one is looked at exactly.
+    approximately (from about SKETCHED values) and another counts what lies below and inside among all rows, again and again
+    until a bracket holds few rows or a single value; only what lies inside the last one is looked at exactly. A bracket
+    that the count shows to miss its quantile is widened.
     """
     names, x = list(columns), list(columns.values())
     if not names:
@@ -69,7 +74,16 @@ def quantiles(df: DataFrame, columns: dict[str, Column], at: list[float], n_rows
 
     while todo := [k for k in every if inside[k] > EXACT_ROWS and edge[k] < 1 and not (k in low and low[k] == high[k])]:
         place = {k: (rank[k] - below[k]) / max(inside[k] - 1, 1) for k in todo}
-        ends = df.agg(*[F.percentile_approx(within(k), [min(1.0, max(0.0, place[k] + e)) for e in (-edge[k], edge[k])], BRACKETS).alias(str(k)) for k in todo]).first()
+        # quantiles that lie in one bracket share its sketch
+        shared: dict[tuple, list] = {}
+        for k in todo:
+            shared.setdefault((k[0], low.get(k), high.get(k)), []).append(k)
+        asked = list(shared.values())
+        share = min(1.0, SKETCHED / min(inside[k] for k in todo))
+        wide = {k: edge[k] if share == 1 else max(edge[k], 4 / math.sqrt(share * inside[k])) for k in todo}
+        some = df if share == 1 else df.sample(share)
+        found = some.agg(*[F.percentile_approx(within(ks[0]), [min(1.0, max(0.0, place[k] + e)) for k in ks for e in (-wide[k], wide[k])], BRACKETS).alias(str(j)) for j, ks in enumerate(asked)]).first()
+        ends = {str(k): found[j][2 * t : 2 * t + 2] for j, ks in enumerate(asked) for t, k in enumerate(ks)}
         counted = df.agg(*[F.sum(f.cast("long")).alias(f"{name}{k}") for k in todo for name, f in (("b", x[k[0]] < ends[str(k)][0]), ("m", (x[k[0]] >= ends[str(k)][0]) & (x[k[0]] <= ends[str(k)][1])))]).first()
         for k in todo:
             b, m = counted[f"b{k}"], counted[f"m{k}"]
@@ -78,7 +92,7 @@ def quantiles(df: DataFrame, columns: dict[str, Column], at: list[float], n_rows
             elif b <= rank[k] <= b + m - 1 and ends[str(k)][0] == ends[str(k)][1]:
                 low[k] = high[k] = ends[str(k)][0]
             else:  # between two brackets' edges
-                edge[k] *= 32
+                edge[k] = 32 * wide[k]
     exact = [k for k in every if not (k in low and low[k] == high[k])]
     found = df.agg(*[F.percentile(within(k), min(1.0, (rank[k] - below[k]) / max(inside[k] - 1, 1))).alias(str(k)) for k in exact]).first() if exact else {}
     return {name: [found[str((i, j))] if (i, j) in exact else low[i, j] for j in range(len(at))] if row[i] else None for i, name in enumerate(names)}
