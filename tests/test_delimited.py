@@ -166,3 +166,17 @@ def test_quotes_against_a_walk(sep):
                 return s[before.index(before[-1])] if before else inside
 
             assert [at_break(i, got.tolist()) for i in breaks] == [at_break(i, want) for i in breaks], (text, inside, states)
+
+
+@pytest.mark.parametrize("first", ["0,plain\n", '0,"a\nb"\n'])
+def test_values_torn_between_splits_are_parsed_once(spark, tmp_path, monkeypatch, first):
+    (tmp_path / "in.csv").write_text("n,t\n" + first * 400 + "".join(f'{i},"v\n{i},""\n"\n' for i in range(4000)))
+    monkeypatch.setattr(delimited, "read", None)  # looks at the whole text again
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4001b")
+    try:
+        got = readers.ingest_csv(spark, str(tmp_path / "in.csv"), str(tmp_path / "t"))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    want = [(0, first[2:].strip('"\n'))] * 400 + [(i, f'v\n{i},"\n') for i in range(4000)]
+    assert got.columns == ["n", "t"] and sorted(map(tuple, got.collect())) == sorted(want)

@@ -220,6 +220,13 @@ def guess(text: str, layout: Layout) -> T.StructType | None:
         return None
 
 
+def broken(text: str, layout: Layout) -> bool:
+    """Whether values of a head hold line breaks."""
+    block = np.frombuffer(text.encode(), np.uint8)
+    at, after = quote_states(block, False, ord(layout.sep))
+    return bool(np.r_[False, after][np.searchsorted(at, np.flatnonzero(block == 0x0A))].any())
+
+
 def _schema(layout: Layout, kinds) -> T.StructType:
     return T.StructType([T.StructField(n, _TYPES.get(int(k), T.StringType())) for n, k in zip(layout.names, kinds)])
 
@@ -425,39 +432,69 @@ def read(spark: SparkSession, path: str | list[str], layout: Layout, schema: T.S
     return _rows(lines, layout, schema, begins, aside)
 
 
-def ingest(spark: SparkSession, path: str, layout: Layout, schema: T.StructType | None, table: str) -> DataFrame:
+def _written(lines: DataFrame, layout: Layout, schema: T.StructType, begins: Begins, table: str) -> tuple[int, int]:
+    """Writes the rows with these types; how many splits end inside quotes unforeseen, and how many tasks met values that don't fit."""
+    wrong = "wrong"
+    while wrong in schema.names:
+        wrong += "_"
+    types = _arrow_types(schema)
+    empty = [pa.nulls(1, t) for t in types.values()]
+    torn, unfit = 1, 2
+
+    def typed(block):
+        for t in parse(block, layout, types):
+            for batch in t.to_batches():
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.nulls(batch.num_rows, pa.int32())], names=[*layout.names, wrong])
+
+    def mark(kind):
+        return pa.RecordBatch.from_arrays([*empty, pa.array([kind], pa.int32())], names=[*layout.names, wrong])
+
+    def run(batches):
+        amiss = False
+        for file, start, blocks in _splits(batches, layout):
+            records = Records(layout.sep, _begins_inside(begins, file, start), start == 0)
+            for block in blocks:
+                found = records.feed(block)
+                try:
+                    yield from typed(found) if found and not amiss else []
+                except (pa.ArrowInvalid, InputError):
+                    amiss = True
+            if records.inside and not begins:
+                yield mark(torn)
+        if amiss:
+            yield mark(unfit)
+
+    def whole(batches):
+        for batch in batches:
+            for record in batch.column(0).to_pylist():
+                try:
+                    yield from typed(record)
+                except (pa.ArrowInvalid, InputError):
+                    yield mark(unfit)
+
+    kind = T.StructType([*schema, T.StructField(wrong, T.IntegerType())])
+    rows = lines.mapInArrow(run, kind)
+    if begins:
+        rows = rows.unionByName(_pieces(lines, layout, begins).mapInArrow(whole, kind))
+    seen = Observation()
+    rows.observe(seen, *[F.count(F.when(F.col(wrong) == k, 1)).alias(n) for n, k in (("torn", torn), ("unfit", unfit))]).where(F.col(wrong).isNull()).drop(wrong).write.mode("overwrite").parquet(table)
+    return seen.get["torn"], seen.get["unfit"]
+
+
+def ingest(spark: SparkSession, path: str, layout: Layout, schema: T.StructType | None, table: str, broken: bool = False) -> DataFrame:
     """Delimited text as a Parquet table, in one pass if the types that its head suggests fit all rows and no value lies in two splits.
 
-    Splits that end inside quotes and batches with values that don't fit are counted while the table is written. If there are
-    any, the text is looked at as a whole, and the table is written again.
+    Splits that end inside quotes and batches with values that don't fit are counted while the table is written. If values are
+    torn (``broken``: the head has values with line breaks, so that is looked for first), the splits' beginnings are found without
+    parsing, and the rows are written with the same types. If these don't fit, the text is looked at as a whole, and written again.
     """
     if schema is not None:
-        wrong = "wrong"
-        while wrong in schema.names:
-            wrong += "_"
-        types = _arrow_types(schema)
-        empty = [pa.nulls(1, t) for t in types.values()]
-
-        def run(batches):
-            amiss = 0
-            for _, start, blocks in _splits(batches, layout):
-                records = Records(layout.sep, False, start == 0)
-                for block in blocks:
-                    found = records.feed(block)
-                    try:
-                        for t in parse(found, layout, types) if found and not amiss else []:
-                            for batch in t.to_batches():
-                                yield pa.RecordBatch.from_arrays([*batch.columns, pa.nulls(batch.num_rows, pa.int32())], names=[*layout.names, wrong])
-                    except (pa.ArrowInvalid, InputError):
-                        amiss = 1
-                amiss |= records.inside
-            if amiss:
-                yield pa.RecordBatch.from_arrays([*empty, pa.array([1], pa.int32())], names=[*layout.names, wrong])
-
-        seen = Observation("ingest")
-        rows = _lines(spark, path).mapInArrow(run, T.StructType([*schema, T.StructField(wrong, T.IntegerType())]))
-        rows.observe(seen, F.count(F.col(wrong)).alias("wrong")).drop(wrong).write.mode("overwrite").parquet(table)
-        if not seen.get["wrong"]:
+        lines = _lines(spark, path)
+        begins = _torn(_survey(lines, layout, {}, False)) if broken else {}
+        torn, unfit = _written(lines, layout, schema, begins, table)
+        if torn and not unfit and (begins := _torn(_survey(lines, layout, {}, False))):
+            torn, unfit = _written(lines, layout, schema, begins, table)
+        if not torn and not unfit:
             return spark.read.parquet(table)
     read(spark, path, layout).write.mode("overwrite").parquet(table)
     return spark.read.parquet(table)

@@ -91,7 +91,8 @@ def read_csv(spark: SparkSession, path: str, schema: str | None = None) -> DataF
 def ingest_csv(spark: SparkSession, path: str, table: str) -> DataFrame:
     """Delimited text written to a Parquet table, in one pass where the types of its first bytes fit all rows."""
     layout, text = _layout(spark, path)
-    return delimited.ingest(spark, path, layout, delimited.guess(text.rsplit("\n", 1)[0] + "\n" if "\n" in text else text + "\n", layout), table)
+    text = text.rsplit("\n", 1)[0] + "\n" if "\n" in text else text + "\n"
+    return delimited.ingest(spark, path, layout, delimited.guess(text, layout), table, delimited.broken(text, layout))
 
 
 def read_paste(spark: SparkSession, text: str) -> DataFrame:
