@@ -180,3 +180,34 @@ def test_values_torn_between_splits_are_parsed_once(spark, tmp_path, monkeypatch
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
     want = [(0, first[2:].strip('"\n'))] * 400 + [(i, f'v\n{i},"\n') for i in range(4000)]
     assert got.columns == ["n", "t"] and sorted(map(tuple, got.collect())) == sorted(want)
+
+
+def typed_rows(df):
+    return df.dtypes, sorted(map(str, map(tuple, df.collect())))
+
+
+def test_a_first_file_without_rows_tells_no_types(spark, tmp_path):
+    """Spark itself writes such a file where the first partition has no rows."""
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "0.csv").write_text("n,t,x,d\n")
+    (tmp_path / "in" / "1.csv").write_bytes("n,t,x,d\n".encode() + "".join(f'{i},"é漢\n{i}",{i}.5,2024-01-05\n' for i in range(50)).encode("gb18030"))
+    got = readers.ingest_csv(spark, str(tmp_path / "in"), str(tmp_path / "t"))
+    assert got.dtypes == [("n", "bigint"), ("t", "string"), ("x", "double"), ("d", "date")]
+    assert sorted(r[:3] for r in map(tuple, got.collect())) == [(i, f"é漢\n{i}", i + 0.5) for i in range(50)]
+
+
+@pytest.mark.parametrize("later", ["7,1.5,2024-01-05,007x,,-3", "7,2,2024-01-05 10:00:00,true,5,", "x,z,z,z,z,z"])
+@pytest.mark.parametrize("size", [4001, 1 << 26])
+def test_columns_that_are_empty_in_the_head(spark, tmp_path, split_bytes, monkeypatch, later, size):
+    monkeypatch.setattr(readers, "SNIFF_BYTES", 2000)
+    rows = ['1,,,,,\n2,,,,,"a\nb"\n'] * 300 + [f"{later}\n"] * 9 + ["3,1,2024-01-06,NA,,4\n"] * 300 + [",,,,,\n"] * 300
+    (tmp_path / "in.csv").write_text("n,x,d,t,z,m\n" + "".join(rows))
+    split_bytes(size)
+    want = typed_rows(readers.read_csv(spark, str(tmp_path / "in.csv")))
+    assert typed_rows(readers.ingest_csv(spark, str(tmp_path / "in.csv"), str(tmp_path / "t"))) == want
+
+
+def test_one_record_without_a_line_end(spark, tmp_path):
+    (tmp_path / "one.csv").write_text("n,x\n1,2.5")
+    got = readers.ingest_csv(spark, str(tmp_path / "one.csv"), str(tmp_path / "t"))
+    assert got.dtypes == [("n", "bigint"), ("x", "double")] and got.collect() == [(1, 2.5)]

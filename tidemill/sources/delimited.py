@@ -143,8 +143,8 @@ class Records:
         return found
 
 
-def _options(layout: Layout, size: int, types: dict | None, wrong) -> dict:
-    kinds = {"column_types": types} if types else {}
+def _options(layout: Layout, size: int, types: dict | None, wrong, only: list[str] | None = None) -> dict:
+    kinds = ({"column_types": types} if types else {}) | ({"include_columns": only} if only else {})
     return {
         "read_options": arrow_csv.ReadOptions(column_names=list(layout.names), use_threads=False, block_size=max(size + 1, 1 << 10)),
         "parse_options": arrow_csv.ParseOptions(delimiter=layout.sep, newlines_in_values=True, ignore_empty_lines=True, invalid_row_handler=wrong),
@@ -152,8 +152,8 @@ def _options(layout: Layout, size: int, types: dict | None, wrong) -> dict:
     }
 
 
-def parse(block: bytes, layout: Layout, types: dict | None = None, aside: list[str] | None = None) -> list[pa.Table]:
-    """Whole records as tables of these Arrow types, or of those that the values suggest.
+def parse(block: bytes, layout: Layout, types: dict | None = None, aside: list[str] | None = None, only: list[str] | None = None) -> list[pa.Table]:
+    """Whole records as tables of these Arrow types, or of those that the values suggest; of all columns, or ``only`` some.
 
     Records that are short of values end in nulls (a table of their own); those with more values than the header has are
     put ``aside`` if there is such a list, else an error.
@@ -173,7 +173,7 @@ def parse(block: bytes, layout: Layout, types: dict | None = None, aside: list[s
 
     def read(data: bytes) -> pa.Table:
         try:
-            return arrow_csv.read_csv(io.BytesIO(data), **_options(layout, len(data), types, wrong))
+            return arrow_csv.read_csv(io.BytesIO(data), **_options(layout, len(data), types, wrong, only))
         except pa.ArrowInvalid as e:
             if long:
                 raise InputError(f"a row has {long[0]}") from e
@@ -211,11 +211,20 @@ def _kinds(block: bytes, layout: Layout, lenient: bool = False) -> np.ndarray:
     return found
 
 
-def guess(text: str, layout: Layout) -> T.StructType | None:
-    """The types that the whole records of a head suggest; None if they don't read as a table."""
+def _records(text: str, layout: Layout) -> bytes:
+    """The whole records of a head of whole lines."""
+    return Records(layout.sep, skips=True).feed(text.lstrip("\ufeff").encode())
+
+
+def bare(text: str, layout: Layout) -> bool:
+    """Whether a text is no more than a header."""
+    return not _records(text if text.endswith("\n") else text + "\n", layout).strip(b"\r\n")
+
+
+def guess(text: str, layout: Layout) -> np.ndarray | None:
+    """The kinds of values that each column of a head has in whole records, 0 without values; None if they don't read as a table."""
     try:
-        records = Records(layout.sep, skips=True).feed(text.lstrip("\ufeff").encode())
-        return _schema(layout, _kinds(records, layout) if records else [0] * len(layout.names))
+        return _kinds(_records(text, layout), layout)
     except (InputError, pa.ArrowInvalid):
         return None
 
@@ -432,68 +441,90 @@ def read(spark: SparkSession, path: str | list[str], layout: Layout, schema: T.S
     return _rows(lines, layout, schema, begins, aside)
 
 
-def _written(lines: DataFrame, layout: Layout, schema: T.StructType, begins: Begins, table: str) -> tuple[int, int]:
-    """Writes the rows with these types; how many splits end inside quotes unforeseen, and how many tasks met values that don't fit."""
+def _written(lines: DataFrame, layout: Layout, kinds: np.ndarray, begins: Begins, table: str) -> tuple[int, int, np.ndarray]:
+    """Writes the rows with the types of these kinds, columns without a kind as text.
+
+    How many splits end inside quotes unforeseen, how many tasks met values that don't fit, and the kinds with those of the columns that had none.
+    """
     wrong = "wrong"
-    while wrong in schema.names:
+    while wrong in layout.names:
         wrong += "_"
+    schema = _schema(layout, kinds)
     types = _arrow_types(schema)
-    empty = [pa.nulls(1, t) for t in types.values()]
-    torn, unfit = 1, 2
+    open_at = np.flatnonzero(np.asarray(kinds) == 0)
+    marks = pa.list_(pa.int32())
+
+    class Task:
+        """What a task has to tell: torn splits, whether values don't fit, kinds of the open columns."""
 
-    def typed(block):
-        for t in parse(block, layout, types):
-            for batch in t.to_batches():
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.nulls(batch.num_rows, pa.int32())], names=[*layout.names, wrong])
+        def __init__(self):
+            self.torn = self.unfit = 0
+            self.kinds = np.zeros(len(layout.names), np.int32)
 
-    def mark(kind):
-        return pa.RecordBatch.from_arrays([*empty, pa.array([kind], pa.int32())], names=[*layout.names, wrong])
+        def typed(self, block):
+            try:
+                for t in parse(block, layout, types):
+                    self.look(t, block)
+                    for batch in t.to_batches():
+                        yield pa.RecordBatch.from_arrays([*batch.columns, pa.nulls(batch.num_rows, marks)], names=[*layout.names, wrong])
+            except (pa.ArrowInvalid, InputError):
+                self.unfit = 1
+
+        def look(self, t, block):
+            some = [i for i in open_at if not self.kinds[i] & TEXT and t.column(int(i)).null_count < t.num_rows]
+            if some:
+                for found in parse(block, layout, only=[layout.names[i] for i in some]):
+                    self.kinds[some] |= [kind_of(f.type) for f in found.schema]
+
+        def told(self):
+            if self.torn or self.unfit or self.kinds.any():
+                mark = pa.array([[self.torn, self.unfit, *self.kinds[open_at].tolist()]], marks)
+                yield pa.RecordBatch.from_arrays([*[pa.nulls(1, t) for t in types.values()], mark], names=[*layout.names, wrong])
 
     def run(batches):
-        amiss = False
+        task = Task()
         for file, start, blocks in _splits(batches, layout):
             records = Records(layout.sep, _begins_inside(begins, file, start), start == 0)
             for block in blocks:
                 found = records.feed(block)
-                try:
-                    yield from typed(found) if found and not amiss else []
-                except (pa.ArrowInvalid, InputError):
-                    amiss = True
-            if records.inside and not begins:
-                yield mark(torn)
-        if amiss:
-            yield mark(unfit)
+                yield from task.typed(found) if found and not task.unfit else []
+            task.torn += records.inside and file not in begins
+        yield from task.told()
 
     def whole(batches):
+        task = Task()
         for batch in batches:
             for record in batch.column(0).to_pylist():
-                try:
-                    yield from typed(record)
-                except (pa.ArrowInvalid, InputError):
-                    yield mark(unfit)
+                yield from task.typed(record)
+        yield from task.told()
 
-    kind = T.StructType([*schema, T.StructField(wrong, T.IntegerType())])
+    kind = T.StructType([*schema, T.StructField(wrong, T.ArrayType(T.IntegerType()))])
     rows = lines.mapInArrow(run, kind)
     if begins:
         rows = rows.unionByName(_pieces(lines, layout, begins).mapInArrow(whole, kind))
-    seen = Observation()
-    rows.observe(seen, *[F.count(F.when(F.col(wrong) == k, 1)).alias(n) for n, k in (("torn", torn), ("unfit", unfit))]).where(F.col(wrong).isNull()).drop(wrong).write.mode("overwrite").parquet(table)
-    return seen.get["torn"], seen.get["unfit"]
+    seen, told = Observation(), F.col(wrong)
+    counts = [F.sum(told[0]).alias("torn"), F.sum(told[1]).alias("unfit"), *[F.bit_or(told[k + 2]).alias(f"k{i}") for k, i in enumerate(open_at)]]
+    rows.observe(seen, *counts).where(told.isNull()).drop(wrong).write.mode("overwrite").parquet(table)
+    got = seen.get
+    return got["torn"] or 0, got["unfit"] or 0, np.array([k or got.get(f"k{i}") or 0 for i, k in enumerate(kinds)], np.int32)
 
 
-def ingest(spark: SparkSession, path: str, layout: Layout, schema: T.StructType | None, table: str, broken: bool = False) -> DataFrame:
-    """Delimited text as a Parquet table, in one pass if the types that its head suggests fit all rows and no value lies in two splits.
+def ingest(spark: SparkSession, path: str, layout: Layout, kinds: np.ndarray | None, table: str, broken: bool = False) -> DataFrame:
+    """Delimited text as a Parquet table, in one pass if the kinds of values of its head fit all rows and no value lies in two splits.
 
     Splits that end inside quotes and batches with values that don't fit are counted while the table is written. If values are
     torn (``broken``: the head has values with line breaks, so that is looked for first), the splits' beginnings are found without
     parsing, and the rows are written with the same types. If these don't fit, the text is looked at as a whole, and written again.
+    The kinds of columns that are empty in the head are found while they are written as text; if they aren't text, the table is written again.
     """
-    if schema is not None:
+    if kinds is not None:
         lines = _lines(spark, path)
         begins = _torn(_survey(lines, layout, {}, False)) if broken else {}
-        torn, unfit = _written(lines, layout, schema, begins, table)
+        torn, unfit, found = _written(lines, layout, kinds, begins, table)
         if torn and not unfit and (begins := _torn(_survey(lines, layout, {}, False))):
-            torn, unfit = _written(lines, layout, schema, begins, table)
+            torn, unfit, found = _written(lines, layout, kinds, begins, table)
+        if not torn and not unfit and _schema(layout, found) != _schema(layout, kinds):
+            torn, unfit, _ = _written(lines, layout, found, begins, table)
         if not torn and not unfit:
             return spark.read.parquet(table)
     read(spark, path, layout).write.mode("overwrite").parquet(table)

@@ -155,14 +155,20 @@ class Files:
         self._made(path, fill)
         self.delete(folder)
 
-    def first_data_file(self, path: str) -> str:
-        """``path`` itself, or the first file with data in the folder or among the matches of a pattern."""
+    def _data_files(self, path: str):
+        """Files with data: ``path`` itself, those in the folder or among the matches of a pattern."""
         where, store = self._at(path)
         todo = list(store.globStatus(where) or [])
         while todo:
             status = todo.pop(0)
             if status.isFile() and status.getLen() > 0 and not status.getPath().getName().startswith(("_", ".")):
-                return status.getPath().toString()
+                yield status
             if status.isDirectory():
                 todo += sorted(store.listStatus(status.getPath()), key=lambda s: s.getPath().getName())
-        return str(path)
+
+    def first_data_file(self, path: str) -> str:
+        """``path`` itself, or the first file with data in the folder or among the matches of a pattern."""
+        return next((s.getPath().toString() for s in self._data_files(path)), str(path))
+
+    def largest_data_file(self, path: str) -> str:
+        return max(self._data_files(path), key=lambda s: s.getLen()).getPath().toString()

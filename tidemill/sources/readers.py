@@ -52,10 +52,18 @@ def sniff(head: bytes) -> tuple[str, str]:
 
 
 def _layout(spark: SparkSession, path: str) -> tuple[delimited.Layout, str]:
-    """The layout of delimited text, and its head."""
+    """The layout of delimited text, and its head: that of the first file, or of the largest one where the first is a mere header."""
     head = _head(spark, path)
     if not head.strip():
         raise InputError("the file is empty")
+    layout, text = _laid_out(head)
+    if len(head) < SNIFF_BYTES and delimited.bare(text, layout):
+        files = Files(spark)
+        return _laid_out(files.read(files.largest_data_file(path), SNIFF_BYTES))
+    return layout, text
+
+
+def _laid_out(head: bytes) -> tuple[delimited.Layout, str]:
     encoding, sep = sniff(head)
     text = _decoded(head)[1]
     return delimited.layout(text, encoding, sep), text
