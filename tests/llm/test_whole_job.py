@@ -56,6 +56,45 @@ def test_near_duplicates_against_brute_force(spark):
     assert sorted(((r["doc_id"], r["text"] or "") for r in got), key=str) == sorted(want, key=str)
 
 
+def test_similar_texts_whose_fingerprints_are_far_apart(spark):
+    """Four of five shingles in common, but more than 80 of 256 bits differ by chance."""
+    words = [
+        ["w3279", "w1650", "w3678", "w3591", "w102", "w4955", "w1490", "w543", "w441"],
+        ["w2535", "w4654", "w4774", "w1938", "w101", "w2984", "w407", "w1", "w1313"],
+    ]
+    rows = [(10 * k + i, " ".join(w[: 8 + i])) for k, w in enumerate(words) for i in range(2)]
+    sets = [simhash.shingles(t.encode(), 5) for _, t in rows]
+    assert all(np.bitwise_count(simhash._wide(a, 4) ^ simhash._wide(b, 4)).sum() > 80 for a, b in zip(sets[::2], sets[1::2]))
+    assert sorted(r["doc_id"] for r in simhash.drop_near_duplicates(docs(spark, rows)).collect()) == [0, 10]
+
+
+def test_sketches_never_part_similar_sets():
+    rng = np.random.default_rng(3)
+    for size in [1, 4, 5, 340, 341, 342, 420, 426, 427, 430, 1365, 1706, 1707, 5000, 6826, 6900, 27000, 30000]:
+        for similarity in (0.8, 0.95):
+            union = rng.integers(1 << 64, size=int(size / similarity), dtype=np.uint64)
+            for a, b in ((union[:size], union), (union[: (len(union) + size) // 2], np.r_[union[:size], union[(len(union) + size) // 2 :]])):
+                kinds = set(simhash._kinds(len(a), similarity)) & set(simhash._kinds(len(b), similarity))
+                assert max(simhash._kind(len(a)), simhash._kind(len(b))) in kinds
+                for k in kinds:
+                    x, y = (np.r_[np.uint64(0), np.uint64(len(s)), simhash.sketch(s, simhash.SKETCH_LANES[k])] for s in (a, b))
+                    x[0] = ~x[0]  # fingerprints as far apart as can be
+                    assert simhash._open(x[None], y, 1, 5, len(np.intersect1d(a, b)) / len(np.union1d(a, b)))[0]
+
+
+def test_near_duplicates_of_all_sizes_without_fingerprints(spark, monkeypatch):
+    """What fingerprints don't find sketches leave open, and chance meetings stay apart."""
+    monkeypatch.setattr(simhash, "WIDE_SHARE", 0)
+    rng, texts = np.random.default_rng(5), []
+    for n in [6, 9, 30, 400, 425, 431, 440, 520, 530, 1700, 2000, 2100, 7500]:
+        base = [f"w{rng.integers(10**6)}" for _ in range(n)]
+        cut = (n - 4) * 8 // 10 + 4
+        texts += [" ".join(base), " ".join(base[:cut]), " ".join(base[: cut - 1]), " ".join([*base[: cut + 1], *(f"v{rng.integers(10**6)}" for _ in range(n - cut - 1))])]
+    rows = list(enumerate(texts[k] for k in rng.permutation(len(texts))))
+    got = simhash.drop_near_duplicates(docs(spark, rows)).collect()
+    assert sorted(((r["doc_id"], r["text"]) for r in got), key=str) == near_kept(rows)
+
+
 def test_groups_larger_than_a_part(spark):
     base = [f"w{i}" for i in range(100)]
     rows = [(i, " ".join(base[:50] + [f"x{i}"] + base[50:])) for i in range(40)]

@@ -8,8 +8,9 @@ eight triples of positions inside a half, and no pair is lost. (A list of one by
 the shared positional bytes are tallied, pairs below the guaranteed minimum are dropped, and the rest are verified bit by bit.
 
 ``drop_near_duplicates`` asks for a similarity of shingles, which no list of bytes guarantees at 0.8. Its
-lists are kept for the rarest shingles of each text (a prefix that any two similar texts share an element of), wide
-fingerprints only drop pairs that are far below the limit, and the sets of shingles verify each link.
+lists are kept for the rarest shingles of each text (a prefix that any two similar texts share an element of). Of the pairs
+that meet there, those with near wide fingerprints are looked at, and of the others all but those whose sizes and sketches
+prove that they aren't similar: no similar pair is lost. The sets of shingles verify each link.
 
 Equal fingerprints are one entry of the index. A list leaves a spanning forest of
 its links, never all pairs, and lists with many entries are cut into chunks that
@@ -21,6 +22,8 @@ from __future__ import annotations
 import itertools
 import math
 import re
+from collections.abc import Callable, Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -35,10 +38,13 @@ DISTANCE = 3
 SEED = 42
 #: Entries of a posting list that one task compares with one another.
 CHUNK = 16384
-#: Lanes of the fingerprints that go before the sets of shingles, and the share of bits beyond which a pair is not looked at.
-#: Texts of similarity 0.8 differ in 0.15 of the bits, tiny ones in up to 0.19; for those 5/16 of 256 bits are five standard deviations more.
+#: Lanes of the fingerprints that go before the sets of shingles, and the share of bits beyond which sketches decide whether a pair is looked at.
+#: Texts of similarity 0.8 differ in 0.15 of the bits, tiny ones in up to 0.19, few in more than 5/16.
 WIDE_LANES = 4
 WIDE_SHARE = 5 / 16
+#: Lanes of the sketches of sets: the first with so many bits for a shingle, which tell most pairs below similarity 0.6 apart; larger sets have the last.
+SKETCH_LANES = (4, 16, 64, 256)
+SKETCH_BITS = 0.6
 #: Common shingles come last in the order of prefixes: at most so many, found so often in one of so many texts. Any order loses nothing.
 COMMON = 1 << 16
 COMMON_COUNT = 8
@@ -100,20 +106,25 @@ def _near(a: np.ndarray, b: np.ndarray, distance: int, shared: int) -> np.ndarra
 
 
 def forest(prints: np.ndarray, distance: int, shared: int) -> tuple[np.ndarray, np.ndarray]:
-    """Row numbers of links that connect what all links among the prints [row, lane] connect: breadth first, so each row is reached once."""
+    """Row numbers of links that connect what all links among the prints [row, lane] connect."""
+    return _forest(prints, partial(_near, distance=distance, shared=shared))
+
+
+def _forest(prints: np.ndarray, near: Callable) -> tuple[np.ndarray, np.ndarray]:
+    """``forest`` for links that ``near`` tells from rows: breadth first, so each row is reached once."""
     left, a, b = np.arange(len(prints)), [], []
     while len(left) > 1:
         front, left = left[:1], left[1:]
         while len(front) and len(left):
             reached = []
             for f in front:
-                near = _near(prints[left], prints[f], distance, shared)
-                if near.any():
-                    got = left[near]
+                linked = near(prints[left], prints[f])
+                if linked.any():
+                    got = left[linked]
                     a.append(np.full(len(got), f))
                     b.append(got)
                     reached.append(got)
-                    left = left[~near]
+                    left = left[~linked]
                     if not len(left):
                         break
             front = np.concatenate(reached) if reached else left[:0]
@@ -121,7 +132,7 @@ def forest(prints: np.ndarray, distance: int, shared: int) -> tuple[np.ndarray,
     return np.concatenate([none, *a]), np.concatenate([none, *b])
 
 
-def _links(keys: list[np.ndarray], prints: np.ndarray, distance: int, shared: int) -> tuple[np.ndarray, np.ndarray]:
+def _links(keys: list[np.ndarray], prints: np.ndarray, near: Callable) -> tuple[np.ndarray, np.ndarray]:
     """Links (row numbers) within runs of equal keys."""
     new = np.zeros(len(prints), bool)
     new[:1] = True
@@ -134,11 +145,11 @@ def _links(keys: list[np.ndarray], prints: np.ndarray, distance: int, shared: in
     run = np.cumsum(new)
     for d in range(1, int(size[size <= _SHORT].max(initial=1))):
         i = np.flatnonzero((run[d:] == run[:-d]) & short[d:])
-        i = i[_near(prints[i], prints[i + d], distance, shared)]
+        i = i[near(prints[i], prints[i + d])]
         a.append(i)
         b.append(i + d)
     for s, n in zip(start[size > _SHORT], size[size > _SHORT]):
-        x, y = forest(prints[s : s + n], distance, shared)
+        x, y = _forest(prints[s : s + n], near)
         a.append(x + s)
         b.append(y + s)
     none = np.zeros(0, np.int64)
@@ -157,13 +168,7 @@ def near_links(entries: DataFrame, distance: int = DISTANCE, chunk: int = CHUNK)
         raise ValueError("byte triples guarantee pairs of at most 3 differing bits")
     byte = [F.shiftrightunsigned("f0", 8 * i).bitwiseAND(F.lit(255)) for i in range(8)]
     lists = F.array(*[F.lit(g << 24).cast("long") + byte[x] * 65536 + byte[y] * 256 + byte[z] for g, (x, y, z) in enumerate(_TRIPLES)])
-    return listed_links(entries.select("entry", "f0", lists.alias("lists")), 1, distance, 8 - distance, chunk)
-
-
-def listed_links(entries: DataFrame, lanes: int, distance: int, shared: int, chunk: int = CHUNK) -> DataFrame:
-    """``a``, ``b``: links whose components are those of all near pairs that meet in one of the ``lists`` of an entry."""
-    names = _columns(lanes)
-    posted = entries.select("entry", *names, F.explode("lists").alias("list"))
+    posted = entries.select("entry", "f0", F.explode(lists).alias("list"))
     long = posted.groupBy("list").count().where(F.col("count") > chunk).select("list", F.ceil(F.col("count") / chunk).cast("int").alias("chunks"))
     long = cut(long)
     n_long = long.count()
@@ -172,6 +177,26 @@ def listed_links(entries: DataFrame, lanes: int, distance: int, shared: int, chu
     else:
         posted = posted.withColumn("chunks", F.lit(None).cast("int"))
     posted = posted.withColumn("chunks", F.coalesce("chunks", F.lit(1)))
+    return listed_links(posted, ["f0"], partial(_near, distance=distance, shared=8 - distance))
+
+
+def _rows(columns: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Row numbers and rows of lanes, from columns of longs and a last one that may hold lanes as bytes; rows of equally many lanes together."""
+    longs = np.stack([np.ascontiguousarray(c).view(np.uint64) for c in columns if c.dtype != object], 1)
+    if columns[-1].dtype != object:
+        yield np.arange(len(longs)), longs
+        return
+    sizes = np.array([len(x) for x in columns[-1]])
+    for size in np.unique(sizes):
+        at = np.flatnonzero(sizes == size)
+        yield at, np.concatenate([longs[at], np.frombuffer(b"".join(columns[-1][at]), "<u8").reshape(len(at), -1)], 1)
+
+
+def listed_links(posted: DataFrame, names: list[str], near: Callable) -> DataFrame:
+    """``a``, ``b``: links whose components are those of all pairs that meet in a ``list`` and are ``near`` by rows of ``names``.
+
+    ``posted`` has a row for each ``list`` of an ``entry``, and the number of ``chunks`` that the list is cut into.
+    """
     mine = F.pmod(F.xxhash64("entry"), F.col("chunks")).cast("int")
     posted = posted.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     posted = posted.select("list", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "entry", *names)
@@ -193,10 +218,10 @@ def listed_links(entries: DataFrame, lanes: int, distance: int, shared: int, chu
                     same &= k == k[-1]
                 whole = int(np.flatnonzero(~same)[-1]) + 1 if not same.all() else 0
             if whole:
-                prints = np.stack([np.ascontiguousarray(c[:whole]).view(np.uint64) for c in held[4:]], 1)
-                a, b = _links([k[:whole] for k in held[:3]], prints, distance, shared)
-                a, b = contracted_pairs(held[3][a], held[3][b])
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+                for at, prints in _rows([c[:whole] for c in held[4:]]):
+                    a, b = _links([k[at] for k in held[:3]], prints, near)
+                    a, b = contracted_pairs(held[3][at[a]], held[3][at[b]])
+                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
                 held = [k[whole:] for k in held]
 
     return posted.mapInArrow(run, "a long, b long")
@@ -273,6 +298,33 @@ def _wide(found: np.ndarray, lanes: int) -> np.ndarray:
     return np.packbits(total * 2 > len(found), axis=1, bitorder="little").view("<u8").ravel()
 
 
+def _kind(size: float) -> int:
+    """The place in SKETCH_LANES of the sketch of a set of this size."""
+    return next((k for k, lanes in enumerate(SKETCH_LANES) if 64 * lanes >= SKETCH_BITS * size), len(SKETCH_LANES) - 1)
+
+
+def _kinds(size: int, similarity: float) -> range:
+    """The kinds of sketches by which a set is compared: its own, and those of larger sets that may be similar."""
+    return range(_kind(size), _kind((size + 1e-9) / similarity) + 1)
+
+
+def sketch(found: np.ndarray, lanes: int) -> np.ndarray:
+    """A bit for each value of a hash, set if an odd number of elements has it: two sets differ in at least as many elements as their sketches in bits."""
+    count = np.bincount((found & np.uint64(64 * lanes - 1)).view(np.int64), minlength=64 * lanes)
+    return np.packbits((count & 1).astype(np.uint8), bitorder="little").view("<u8")
+
+
+def _open(a: np.ndarray, b: np.ndarray, lanes: int, distance: int, similarity: float) -> np.ndarray:
+    """Whether sets may be similar, from rows of fingerprint, size and sketch: near fingerprints, or sketches that leave it open.
+
+    Similar sets differ in at most (1 - similarity) / (1 + similarity) of the sum of their sizes.
+    """
+    bits = np.bitwise_count(a ^ b)
+    x, y = a[..., lanes].astype(np.float64), b[..., lanes].astype(np.float64)
+    open_ = bits[..., lanes + 1 :].sum(-1, dtype=np.int64) <= (1 - similarity) / (1 + similarity) * (x + y) + 1e-9
+    return (np.minimum(x, y) >= similarity * np.maximum(x, y) - 1e-9) & (open_ | (bits[..., :lanes].sum(-1, dtype=np.int64) <= distance))
+
+
 def _prefix(found: np.ndarray, common: np.ndarray, similarity: float) -> np.ndarray:
     """The first shingles, common ones last: two sets share ``similarity`` of each at least, so one of these."""
     size = len(found) - math.ceil(similarity * len(found) - 1e-9) + 1 if len(found) else 0
@@ -297,7 +349,7 @@ def common_shingles(texts: DataFrame, words: int, sample: int = COMMON_SAMPLE, c
 
 
 def shingle_entries(rows: DataFrame, words: int, similarity: float, lanes: int) -> DataFrame:
-    """``id``, ``key`` of the rows (which have a ``text`` too), a 128-bit digest of their set of shingles (``set``), its fingerprint and its ``lists``."""
+    """``id``, ``key`` of the rows (which have a ``text`` too), a 128-bit digest of their set of shingles (``set``), its fingerprint, ``size``, ``kind`` and ``sketches`` of that kind and the next ones, and its ``lists``."""
     held = rows.sparkSession.sparkContext.broadcast(common_shingles(rows, words))
     names = _columns(lanes)
 
@@ -307,23 +359,44 @@ def shingle_entries(rows: DataFrame, words: int, similarity: float, lanes: int)
             sets = [shingles(t, words) for t in texts_of(batch.column(2))]
             digest = pa.array([xxhash.xxh3_128_digest(s.tobytes(), SEED) for s in sets], pa.binary())
             prints = np.array([_wide(s, lanes) for s in sets], np.uint64).reshape(-1, lanes).view(np.int64).T
+            kinds = [_kinds(len(s), similarity) for s in sets]
+            sketches = pa.array([[sketch(s, SKETCH_LANES[k]).tobytes() for k in ks] for s, ks in zip(sets, kinds)], pa.list_(pa.binary()))
+            sizes, first = pa.array([len(s) for s in sets], pa.int64()), pa.array([ks[0] for ks in kinds], pa.int32())
             lists = [_prefix(s, common, similarity) for s in sets]
             ends = np.cumsum([0, *map(len, lists)])
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.uint64), *lists]).view(np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), digest, *[pa.array(np.ascontiguousarray(c)) for c in prints], lists], names=["id", "key", "set", *names, "lists"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), digest, *[pa.array(np.ascontiguousarray(c)) for c in prints], sizes, first, sketches, lists], names=["id", "key", "set", *names, "size", "kind", "sketches", "lists"])
+
+    return rows.mapInArrow(run, ", ".join(["id long, key binary, set binary", *[f"{c} long" for c in names], "size long, kind int, sketches array<binary>, lists array<long>"]))
 
-    return rows.mapInArrow(run, ", ".join(["id long, key binary, set binary", *[f"{c} long" for c in names], "lists array<long>"]))
+
+def loose_links(entries: DataFrame, lanes: int, distance: int, similarity: float, chunk: int = CHUNK) -> DataFrame:
+    """``a``, ``b``: links that connect all similar sets, and others that fingerprints and sketches don't tell apart.
+
+    Sets meet in the lists of the larger one's kind. Most lists have one entry, so only the others meet the sketches.
+    """
+    kinds = F.sequence("kind", F.col("kind") + F.size("sketches") - 1)
+    posted = entries.select("entry", "lists", F.explode(kinds).alias("kind")).select("entry", "kind", F.explode("lists").alias("list"))
+    posted = posted.select(F.xxhash64("list", "kind").alias("list"), "entry", "kind")
+    shared = posted.groupBy("list").count().where(F.col("count") > 1)
+    wide = F.array(*[F.lit(n / SKETCH_LANES[0] / chunk) for n in SKETCH_LANES])[F.col("kind")]  # chunks of one kind have as many bytes as those of another
+    # stored, so the shuffle files of all the other lists are gone when sketches are shuffled
+    met = stored(posted.join(shared, "list").select("list", "entry", "kind", F.ceil(F.col("count") * wide).cast("int").alias("chunks")), "met")
+    names = [*_columns(lanes), "size"]
+    rows = entries.select("entry", *names, "kind", F.posexplode("sketches").alias("more", "sketch")).withColumn("kind", F.col("kind") + F.col("more")).drop("more")
+    return listed_links(met.join(rows, ["entry", "kind"]), [*names, "sketch"], partial(_open, lanes=lanes, distance=distance, similarity=similarity))
 
 
 def similar_forest(sets: list[np.ndarray], prints: np.ndarray, similarity: float, distance: int) -> tuple[np.ndarray, np.ndarray]:
     """What ``forest`` does, for sets of that Jaccard similarity at least."""
     sizes, left, a, b = np.array([len(s) for s in sets]), np.arange(len(sets)), [], []
+    width = SKETCH_LANES[_kind(sizes.max(initial=0))]
+    rows = np.concatenate([prints, sizes[:, None].astype(np.uint64), np.array([sketch(s, width) for s in sets], np.uint64).reshape(-1, width)], 1)
     while len(left) > 1:
         front, left = [int(left[0])], left[1:]
         while front and len(left):
             f = front.pop()
-            least, most = np.minimum(sizes[left], sizes[f]), np.maximum(sizes[left], sizes[f])
-            may = left[(least >= similarity * most - 1e-9) & (np.bitwise_count(prints[left] ^ prints[f]).sum(-1, dtype=np.int64) <= distance)]
+            may = left[_open(rows[left], rows[f], prints.shape[1], distance, similarity)]
             may = may[sizes[may] > 0]
             if not len(may) or not sizes[f]:
                 continue
@@ -393,9 +466,10 @@ def drop_near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.
     distance, names = int(WIDE_SHARE * 64 * lanes), _columns(lanes)
     prints = stored(shingle_entries(rows, words, similarity, lanes), "shingles")
     # a set is named by the smallest id that has it, and told by that document's text
-    one = F.min_by(F.struct("id", "key", *names, "lists"), F.struct(F.col("id").isNull(), "id", "key"))
-    entries, _ = named_by_first(stored(prints.groupBy("set").agg(one.alias("x")).select("set", F.col("x.id").alias("first"), "x.key", *[f"x.{c}" for c in names], "x.lists"), "entries"), "key")
-    loose = connected_components(cut(contracted(cut(listed_links(entries, lanes, distance, 0)))))
+    known = [*names, "size", "kind", "sketches", "lists"]
+    one = F.min_by(F.struct("id", "key", *known), F.struct(F.col("id").isNull(), "id", "key"))
+    entries, _ = named_by_first(stored(prints.groupBy("set").agg(one.alias("x")).select("set", F.col("x.id").alias("first"), *[f"x.{c}" for c in ("key", *known)]), "entries"), "key")
+    loose = connected_components(cut(contracted(cut(loose_links(entries, lanes, distance, similarity)))))
     links = cut(contracted(cut(similar_links(rows, entries.select("key", "entry", *names), loose, words, similarity, lanes, distance))))
     parts = connected_components(links)
     # a component's smallest entry is its document with the smallest id
